@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from stacklight.llm import ann, bpe, chunk_dedup, toxicity
+from stacklight.llm import ann, bpe, chunk_dedup, html_text, toxicity, warc
 from stacklight.llm.common import table
 
 
@@ -24,6 +24,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.write_and_read(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -36,7 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op8_exact_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op8_exact_dedup, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -48,4 +57,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+        "op9_warc": """
+            WITH p AS (
+                SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+            f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+            FROM f""",
     }
