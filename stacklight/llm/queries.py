@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from stacklight.llm import ann, bpe, chunk_dedup, html_text, toxicity, warc
+from stacklight.llm import ann, bpe, chunk_dedup, html_text, mixing, toxicity, warc
 from stacklight.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    ppm = F.floor(F.col("probability") * 1e6 + 0.5).cast("bigint").alias("probability_ppm")
+    return mixing.sampled(docs).select("doc_id", "source", "lang", "topic", "n_tokens", ppm, "selected")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,11 +51,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op8_exact_dedup, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op6_mixing, op8_exact_dedup, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_mixing": mixing.oracle_sql(),
         "op8_exact_dedup": """
             WITH d AS (
                 SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
