@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from stacklight.llm import ann, bpe, chunk_dedup, html_text, mixing, suffix_dedup, toxicity, warc
+from stacklight.llm import ann, bpe, chosen_path, chunk_dedup, html_text, mixing, suffix_dedup, toxicity, warc
 from stacklight.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(docs).select("doc_id", "source", "lang", "topic", "n_tokens", ppm, "selected")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op5_suffix_dedup, op6_mixing, op8_exact_dedup, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op5_suffix_dedup, op6_mixing, op7_ngram_join, op8_exact_dedup, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
