@@ -91,8 +91,8 @@ def probabilities(raked: DataFrame, rate: float = RATE) -> DataFrame:
     return raked.withColumn("probability", F.coalesce(F.least(F.lit(1.0), gain * F.lit(scale)), F.lit(min(1.0, rate))))
 
 
-def sampled(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", margins: Mapping[str, float] = MARGINS, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
-    """docs with n_tokens, topic, probability and selected added; every row of docs, in its own columns."""
+def _planned(docs: DataFrame, topic: Column | None, tokens: Column | None, margins: Mapping[str, float], targets: Mapping[str, DataFrame] | None, rate: float) -> DataFrame:
+    """docs with __cell_<margin>, __tokens and __probability."""
     topic = topic_of() if topic is None else topic
     tokens = tokens_of() if tokens is None else tokens
     cell = {m: F.coalesce((topic if m == "topic" else F.col(m)).cast("string"), F.lit(NONE)) for m in margins}
@@ -104,10 +104,21 @@ def sampled(docs: DataFrame, topic: Column | None = None, tokens: Column | None
     if right.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         right = F.broadcast(right)
     own = docs.select("*", *(c.alias(names[m]) for m, c in cell.items()), tokens.alias("__tokens"))
-    both = own.join(right, list(names.values()))
+    return own.join(right, list(names.values()))
+
+
+def sampled(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", margins: Mapping[str, float] = MARGINS, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
+    """docs with n_tokens, topic, probability and selected added (or replaced); every row of docs."""
+    both = _planned(docs, topic, tokens, margins, targets, rate)
+    chosen = draw(id_col) < F.col("__probability")
     extra = {"topic": F.col("__cell_topic")} if "topic" in margins else {}
-    both = both.withColumns(extra | {"n_tokens": F.col("__tokens"), "probability": F.col("__probability"), "selected": draw(id_col) < F.col("__probability")})
-    return both.drop(*names.values(), "__tokens", "__probability")
+    both = both.withColumns(extra | {"n_tokens": F.col("__tokens"), "probability": F.col("__probability"), "selected": chosen})
+    return both.drop(*(f"__cell_{m}" for m in margins), "__tokens", "__probability")
+
+
+def drawn(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", margins: Mapping[str, float] = MARGINS, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
+    """The selected rows of docs, with docs' own columns."""
+    return _planned(docs, topic, tokens, margins, targets, rate).where(draw(id_col) < F.col("__probability")).select(docs.columns)
 
 
 def oracle_sql(margins: Mapping[str, float] = MARGINS, rate: float = RATE) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from stacklight.llm import ann, bpe, chosen_path, chunk_dedup, html_text, mixing, suffix_dedup, toxicity, warc
+from stacklight.llm import ann, bpe, chosen_path, chunk_dedup, html_text, licenses, mixing, suffix_dedup, toxicity, warc
 from stacklight.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op5_suffix_dedup, op6_mixing, op7_ngram_join, op8_exact_dedup, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op4_license_scan, op5_suffix_dedup, op6_mixing, op7_ngram_join, op8_exact_dedup, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
