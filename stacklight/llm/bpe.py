@@ -25,14 +25,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacklight.llm.common import in_slices, utf8
 
-#: A worker remembers the ids of at most so many pre-tokens; then it starts anew.
-MEMORY = 400_000
-_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: A worker remembers the ids of at most twice so many pre-tokens, in two generations.
+MEMORY = 300_000
 _M = (1 << 64) - 1
 
 
@@ -43,13 +43,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _mix(h: int, seed: int) -> int:
-    h = (h ^ seed) * 0xFF51AFD7ED558CCD & _M
-    h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & _M
+    h = (h ^ seed * 0x9E3779B97F4A7C15 & _M) * 0xFF51AFD7ED558CCD & _M
     return h ^ h >> 33
 
 
-def _digest(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+_digest = xxhash.xxh3_64_intdigest
 
 
 def _latin(pattern: str) -> str:
@@ -86,19 +84,19 @@ class PerfectHash:
         groups: list[list[tuple[int, int]]] = [[] for _ in range(self.buckets)]
         for i, word in enumerate(words):
             d = _digest(word)
-            groups[_mix(d, _SEEDS[0]) % self.buckets].append((d, i))
+            groups[d % self.buckets].append((d, i))
         free = bytearray(b"\1" * n)
         order = sorted(range(self.buckets), key=lambda b: -len(groups[b]))
         for b in (b for b in order if len(groups[b]) > 1):
             seed = 0
             while True:
                 seed += 1
-                to = {_mix(d, _SEEDS[1] + seed) % n for d, _ in groups[b]}
+                to = {_mix(d, seed) % n for d, _ in groups[b]}
                 if len(to) == len(groups[b]) and all(free[t] for t in to):
                     break
             self.seeds[b] = seed
             for d, i in groups[b]:
-                t = _mix(d, _SEEDS[1] + seed) % n
+                t = _mix(d, seed) % n
                 free[t], self.slots[t] = 0, i
         left = iter([t for t in range(n) if free[t]])
         for b in (b for b in order if len(groups[b]) == 1):
@@ -111,21 +109,22 @@ class PerfectHash:
         if not self.n:
             return -1
         d = _digest(word)
-        seed = self.seeds[_mix(d, _SEEDS[0]) % self.buckets]
-        slot = _mix(d, _SEEDS[1] + seed) % self.n if seed >= 0 else -1 - seed
+        seed = self.seeds[d % self.buckets]
+        slot = _mix(d, seed) % self.n if seed >= 0 else -1 - seed
         return self.slots[slot] if self.words[slot] == word else -1
 
 
 class _Memory(dict):
-    """pre-token -> ids; what is missing is looked up in the two tiers."""
+    """pre-token -> ids; what is missing is looked up in the generation before, then in the two tiers."""
 
     def __init__(self, piece):
-        self.piece = piece
+        self.piece, self.before = piece, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = self.piece(text)
+        ids = self.before.get(text) or self.piece(text)
         if len(text) <= 64:
             if len(self) >= MEMORY:
+                self.before = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -143,36 +142,40 @@ class Codec:
         self.place_rank = [ranks[w] for w in words]
         self.strings = {r: w for w, r in ranks.items()}
         self.singles = [ranks[bytes([b])] for b in range(256)]
-        #: (left id, right id) packed -> id of the two joined
-        self.joins = {ranks[w[:i]] << 32 | ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+        #: (left id, right id) -> id of the two joined
+        self.joins = {(ranks[w[:i]], ranks[w[i:]]): r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
         self.slow = regex.compile(pattern).findall
         self.fast = re.compile(_latin(pattern)).findall
         self.memory = _Memory(self.piece)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token by merges alone. A heap entry packs rank and place; it is stale unless the pair there still joins to that rank."""
-        n, join, singles = len(word), self.joins.get, self.singles
-        part = [singles[b] for b in word]
-        heap = [r << 32 | i for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if (r := join(a << 32 | b)) is not None]
+        join = self.joins.get
+        part = list(map(self.singles.__getitem__, word))
+        n = len(part)
+        shift = n.bit_length()
+        low = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(map(join, zip(part, part[1:]))) if r is not None]  # noqa: B905
         if not heap:
             return part
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        part.append(-1)  # joins with nothing
         heapify(heap)
         while heap:
             entry = heappop(heap)
-            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            i, rank = entry & low, entry >> shift
             j = after[i]
-            if part[i] < 0 or j >= n or join(part[i] << 32 | part[j]) != rank:
+            if join((part[i], part[j])) != rank:
                 continue
             part[i], part[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := join(rank << 32 | part[k])) is not None:
-                    heappush(heap, r << 32 | i)
+                if (r := join((rank, part[k]))) is not None:
+                    heappush(heap, r << shift | i)
             h = before[i]
-            if h >= 0 and (r := join(part[h] << 32 | rank)) is not None:
-                heappush(heap, r << 32 | h)
+            if h >= 0 and (r := join((part[h], rank))) is not None:
+                heappush(heap, r << shift | h)
         return [p for p in part if p >= 0]
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -201,19 +204,43 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+class _Gather:
+    """Concatenates table entries for arrays of ids."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        self.size = np.zeros(max(strings, default=-1) + 1, np.int64)
+        for i, b in strings.items():
+            self.size[i] = len(b)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(strings.get(i, b"") for i in range(len(self.size))), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, the end of each entry in them)."""
+        sizes = self.size[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[ids] - ends + sizes, sizes) + np.arange(total)], ends
+
+
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
-    digits = {r: str(r) for r in own.strings}
-    for batch in in_slices(batches, 1):
-        n, ids_sha, decoded_sha, n_bytes = [], [], [], []
+    decimal, decode = _Gather({r: b"%d," % r for r in own.strings}), _Gather(own.strings)
+    for batch in in_slices(batches, 1, 1 << 20):
+        ids: list[int] = []
+        edges = [0]
         for body in batch.column(1).to_pylist():
-            ids = own.encode((body or b"").decode("utf-8"))
-            decoded = own.decode(ids)
-            n.append(len(ids))
-            n_bytes.append(len(decoded))
-            ids_sha.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(decoded).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(n_bytes, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+            ids += own.encode((body or b"").decode("utf-8"))
+            edges.append(len(ids))
+        array, at = np.array(ids, np.int64), np.array(edges)
+        hashes, lengths = [], None
+        for table, comma in ((decimal, 1), (decode, 0)):
+            data, ends = table(array)
+            ends = np.concatenate([[0], ends])[at]
+            view = memoryview(data)
+            hashes.append([hashlib.sha256(view[a : max(a, b - comma)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+            lengths = np.diff(ends)
+        columns = [batch.column(0), pa.array(np.diff(at), pa.int64()), *(pa.array(h, pa.string()) for h in hashes), pa.array(lengths, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
