@@ -72,7 +72,8 @@ def strata(locked: Column, explicit_score: Column, rating_explicit: Column, rati
 def strata_of_reasons(reasons: Column) -> Column:
     """Where no strata are given: the kinds that reasons begin with, else general."""
     kinds = ("safety", "identity", "quality", "source", "baseline")
-    found = F.array_compact(F.array(*(F.when(F.exists(reasons, lambda r, k=k: F.lower(r).startswith(k)), k) for k in kinds)))
+    begins = lambda kind: F.exists(reasons, lambda r: F.lower(r).startswith(kind))
+    found = F.array_compact(F.array(*(F.when(begins(k), k) for k in kinds)))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
 
 
