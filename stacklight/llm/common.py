@@ -84,7 +84,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def in_slices(batches, column: int, most: int = 4 << 20):
+def in_slices(batches, column: int, most: int = 1 << 20):
     """The batches cut into runs of rows whose `column` has about `most` bytes; a longer single value stays whole."""
     for batch in batches:
         if not batch.num_rows:
