@@ -54,7 +54,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int = 5) -> list[n
     h = words.copy()
     for k in range(1, size):
         own = np.zeros(n, np.uint64)
-        own[: n - k] = words[k:]
+        own[: max(0, n - k)] = words[k:]
         own[at + k >= lasts] = 0
         h = h * np.uint64(_P) + own
     h = mix(h)
