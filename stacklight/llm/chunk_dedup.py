@@ -67,12 +67,13 @@ def _chunked(batches: Iterator[pa.RecordBatch], wanted: str) -> Iterator[pa.Reco
         view = memoryview(lowered)
         rows: dict[str, list] = {"sha": [], "n": [], "recipe": [], "chunks": []}
         for start, end, ends in zip(offsets[:-1].tolist(), offsets[1:].tolist(), cuts, strict=True):
-            ids = [hashlib.sha256(view[start + a : start + b]).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            spans = list(zip([0, *ends], ends, strict=False))
+            ids = [hashlib.sha256(view[start + a : start + b]).digest() for a, b in spans]
             rows["sha"].append(ids[0].hex() if len(ids) == 1 else hashlib.sha256(view[start:end]).hexdigest())
             rows["n"].append(len(ids))
             rows["recipe"].append(hashlib.sha256(b"".join(ids)).digest())
             if wanted == "chunks":
-                rows["chunks"].append([{"chunk_id": i, "n_bytes": b - a} for i, a, b in zip(ids, [0, *ends[:-1]], ends, strict=True)])
+                rows["chunks"].append([{"chunk_id": i, "n_bytes": b - a} for i, (a, b) in zip(ids, spans, strict=True)])
         n_bytes = pa.array(np.diff(offsets), pa.int64())
         if wanted == "chunks":
             kind = pa.list_(pa.struct([("chunk_id", pa.binary()), ("n_bytes", pa.int64())]))
