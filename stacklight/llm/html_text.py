@@ -112,6 +112,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
             if not attrs.rstrip().endswith("/"):
                 at = end.end() if end else n if tag in ("script", "style") else at
             continue
+        if not closing and (tag in BLOCKS or tag in CONTAINERS) and tag != "br" and stack and stack[-1][0] in ("p", "li", "dt", "dd"):
+            close(len(stack) - 1)  # a dropped paragraph or item ends where the next block begins
         if tag in CONTAINERS or tag in BOILERPLATE or not closing and tag not in VOID and "=" in attrs and _boilerplate(tag, attrs, marked > 0):
             if closing:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
