@@ -17,6 +17,17 @@ def assets(occ: DataFrame, order: str = "source_path") -> DataFrame:
     return occ.groupBy("asset_id").agg(F.min_by("source_path", F.struct(order, "source_path")).alias("source_path"), F.count(F.lit(1)).alias("n_occurrences"))
 
 
+def with_first(occ: DataFrame, order: str = "source_path") -> DataFrame:
+    """occ with first_path and n_occurrences of its asset.
+
+    The join has a second key, the digest's length, so that the aggregated side is shuffled
+    anew and adaptive execution may split an asset that very many paths share.
+    """
+    own = occ.withColumn("__length", F.length("asset_id"))
+    groups = own.groupBy("asset_id").agg(F.min_by("source_path", F.struct(order, "source_path")).alias("first_path"), F.count(F.lit(1)).alias("n_occurrences"), F.any_value("__length").alias("__length"))
+    return own.join(groups, ["asset_id", "__length"]).drop("__length")
+
+
 def scan_counts(occ: DataFrame, known: DataFrame | None = None, failed: Column | None = None) -> DataFrame:
     """discovered, enqueued (assets not yet known), duplicates, errors (counted in discovered)."""
     bad = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)

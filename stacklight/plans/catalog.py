@@ -221,9 +221,8 @@ def dedup_assets(spark, sf_dir):
 
 @query(f"WITH {_FOUND} SELECT asset_id, source_path, count(*) OVER (PARTITION BY asset_id) AS n_occurrences, source_path = min(source_path) OVER (PARTITION BY asset_id) AS canonical FROM f")
 def asset_occurrences(spark, sf_dir):
-    occ = found(spark, sf_dir).select("asset_id", "source_path")
-    groups = assets.assets(occ).select("asset_id", F.col("source_path").alias("first_path"), "n_occurrences")
-    return occ.join(groups, "asset_id").select("asset_id", "source_path", "n_occurrences", (F.col("source_path") == F.col("first_path")).alias("canonical"))
+    occ = assets.with_first(found(spark, sf_dir).select("asset_id", "source_path"))
+    return occ.select("asset_id", "source_path", "n_occurrences", (F.col("source_path") == F.col("first_path")).alias("canonical"))
 
 
 @query(f"""WITH {_FOUND}, k AS (SELECT DISTINCT sha256(text) AS asset_id FROM documents JOIN labels USING (doc_id)),
