@@ -31,6 +31,7 @@ other id; matches never cross documents, and are judged on the input; other colu
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,11 @@ from pyspark.sql import functions as F
 from stacklight.llm.common import binary_array, byte_column, input_bytes, utf8
 
 LENGTH, K = 50, 24
-#: Bytes of stored input for each part; anchors above HOT occurrences send windows.
-PART_BYTES, LEAST_PARTS, HOT = 4 << 20, 64, 4096
+#: Bytes of stored input for each part, until a part and a bucket would share fewer than some 64 anchors: from then on
+#: parts grow with the root of the input, ROW_BYTES being the input for each pair of a part and a bucket.
+PART_BYTES, LEAST_PARTS, ROW_BYTES = 4 << 20, 64, 900
+#: Anchors above so many occurrences send windows.
+HOT = 4096
 #: At most about so many bytes are suffix-sorted at once (groups of one anchor stay together).
 SORT_BYTES = 1 << 20
 _NULL_ID = np.iinfo(np.int64).max
@@ -82,9 +86,14 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all documents, in order. The buffer is walked in overlapping pieces, whatever its documents' lengths."""
-    n, places, hashes = len(data), [], []
+def anchors(data: np.ndarray, offsets: np.ndarray, owned: bool = False, step: int = 1 << 19) -> tuple[np.ndarray, ...]:
+    """(places, hashes) of the anchors of all documents, in order. The buffer is walked in overlapping pieces, whatever its documents' lengths.
+
+    With `owned` also (lo, hi): an anchor's own windows, those whose leftmost smallest K-gram it
+    is, start at place - _SPAN + lo to place - _SPAN + hi. Every window has one owner, and equal
+    windows have it at the same place.
+    """
+    n, places, hashes, los, his = len(data), [], [], [], []
     ends = offsets[1:]
     for at in range(0, n, step):
         lo, hi = max(0, at - LENGTH), min(n, at + step + 2 * LENGTH)
@@ -101,9 +110,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 19) -> tuple
         own = own[(own + lo >= at) & (own + lo < at + step)]
         places.append(own + lo)
         hashes.append(h[own])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(places), np.concatenate(hashes)
+        if owned:
+            first, last = np.full(len(own), _SPAN + 1), np.full(len(own), -1)
+            around = np.concatenate([pad, low, pad])  # the window that starts at own - _SPAN + s is around[own + s]
+            for s in range(_SPAN + 1):
+                mine = around[own + s] == h[own]
+                np.minimum(first, np.where(mine, s, _SPAN + 1), out=first)
+                last[mine] = s
+            los.append(first)
+            his.append(last)
+    places, hashes = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((places, np.int64), (hashes, np.uint64)))
+    if not owned:
+        return places, hashes
+    lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (los, his))
+    # Of equal anchors in one window the leftmost owns it.
+    order = np.argsort(hashes, kind="stable")
+    gap = np.diff(places[order])
+    again = (hashes[order][1:] == hashes[order][:-1]) & (gap <= _SPAN)
+    later = order[1:][again]
+    lo[later] = np.maximum(lo[later], _SPAN - gap[again] + 1)
+    return places, hashes, lo, hi
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -211,21 +237,23 @@ def _bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
 
 
 def _ask(table: pa.Table, count: int) -> pa.Table:
-    """A part's distinct anchor hashes and their counts, a row for each bucket."""
+    """A part's distinct anchor hashes (the low 48 bits beside the bucket: enough for a filter) and their counts (16 steps for each doubling), a row for each bucket."""
     ids, offsets, data = _part(table)
     _, hashes = anchors(data, offsets)
     own, counts = np.unique(hashes, return_counts=True)
     order, edges = _bucketed(_bucket_of(own, count), count)
-    part = table.column("part")[0].as_py()
-    return _packed(bucket=np.arange(count), part=np.full(count, part), hashes=_runs(edges, own[order]), counts=_runs(edges, np.minimum(counts, 65535).astype(np.uint16)[order]))
+    part, filled = table.column("part")[0].as_py(), pa.array(np.diff(edges) > 0)
+    return _packed(bucket=np.arange(count), part=np.full(count, part), hashes=_runs(edges, own[order].view(np.uint8).reshape(-1, 8)[:, :6]), counts=_runs(edges, np.minimum(np.round(16 * np.log2(counts)), 255).astype(np.uint8)[order])).filter(filled)
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each part's row of a bucket: 0 for anchors that occur once in all, 1 for repeated and 2 for hot ones."""
-    hashes, counts = _read(table.column("hashes"), "u8"), _read(table.column("counts"), "u2")
-    _, where = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(counts))[where] if len(where) else np.zeros(0)
-    flags = ((total > 1).astype(np.uint8) + (total > HOT)).astype(np.uint8)
+    hashes, counts = _read(table.column("hashes"), "u1", 6), _read(table.column("counts"), "u1")
+    whole = np.zeros((sum(map(len, hashes)), 8), np.uint8)
+    whole[:, :6] = np.concatenate(hashes)
+    _, where = np.unique(whole.view(np.uint64).ravel(), return_inverse=True)
+    total = np.bincount(where, weights=2.0 ** (np.concatenate(counts) / 16))[where] if len(where) else np.zeros(0)
+    flags = ((total > 1.5).astype(np.uint8) + (total > HOT)).astype(np.uint8)
     edges = np.cumsum([0, *map(len, hashes)])
     return _packed(part=table.column("part").combine_chunks(), bucket=table.column("bucket").combine_chunks(), flags=_runs(edges, flags))
 
@@ -257,8 +285,10 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-#: meta of a context: document number in its part, start of its first byte in the document plus _CTX, first and last window.
-_META = np.dtype([("key", "u8"), ("doc_id", "i8"), ("doc", "u4"), ("start", "u8"), ("lo", "u1"), ("hi", "u1")])
+#: A context: its bucket's key, document, number of the document in its part, start of its first byte in the document plus _CTX, first and last window.
+_META = np.dtype([("key", "u8"), ("doc_id", "i8"), ("doc", "u4"), ("start", "u4"), ("lo", "u1"), ("hi", "u1")])
+#: The columns that travel; each is a difference to the context before where that is smaller.
+_SENT = (("doc_id", "i8", True), ("doc", "i4", True), ("start", "u4", False), ("lo", "u1", False), ("hi", "u1", False))
 _SPANS = np.dtype([("doc", "u4"), ("start", "u8"), ("size", "u8")])
 
 
@@ -284,7 +314,7 @@ def _contexts(table: pa.Table, answers: pa.Table, count: int) -> pa.Table:
     """A part's contexts around repeated anchors, a row for each bucket; spans settled here ride along."""
     ids, offsets, data = _part(table)
     part = table.column("part")[0].as_py()
-    places, hashes = anchors(data, offsets)
+    places, hashes, lo, hi = anchors(data, offsets, owned=True)
     own, inverse = np.unique(hashes, return_inverse=True)
     order, _ = _bucketed(_bucket_of(own, count), count)
     by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True))
@@ -292,9 +322,6 @@ def _contexts(table: pa.Table, answers: pa.Table, count: int) -> pa.Table:
     flags[order] = np.frombuffer(b"".join(f for _, f in by_bucket), np.uint8)
     flag = flags[inverse]
     doc = np.searchsorted(offsets, places, side="right") - 1
-    lo = np.maximum(0, offsets[doc] - (places - _SPAN))
-    hi = np.minimum(_SPAN, offsets[doc + 1] - LENGTH - (places - _SPAN))
-    metas, rows, spans = [], [], []
 
     def send(keys, starts, doc, lo, hi, width) -> None:
         for at in range(0, len(starts), 200_000):
@@ -338,18 +365,33 @@ def _contexts(table: pa.Table, answers: pa.Table, count: int) -> pa.Table:
     order, edges = _bucketed(_bucket_of(metas["key"], count), count)
     own_bucket = part % count
     settled = [spans.tobytes() if b == own_bucket else b"" for b in range(count)]
-    return _packed(bucket=np.arange(count), part=np.full(count, part), body=_runs(edges, rows[order]), meta=_runs(edges, metas[order]), spans=settled)
+    metas, heads = metas[order], edges[:-1][edges[:-1] < len(order)]
+    sent = {}
+    for name, kind, differs in _SENT:
+        column = metas[name].astype(kind)
+        if differs:
+            steps = np.diff(column, prepend=column[:1] * 0)
+            steps[heads] = column[heads]
+            column = steps
+        sent[name] = _runs(edges, column)
+    filled = (np.diff(edges) > 0) | np.array([bool(b) for b in settled])
+    return _packed(bucket=np.arange(count), part=np.full(count, part), body=_runs(edges, rows[order]), **sent, spans=pa.array(settled, pa.binary())).filter(pa.array(filled))
 
 
 def _sort(table: pa.Table) -> pa.Table:
     """A bucket's contexts, settled: a row of spans for each part."""
-    bodies, metas = _read(table.column("body"), "u1", _CTX), _read(table.column("meta"), _META)
+    bodies = _read(table.column("body"), "u1", _CTX)
     parts = table.column("part").to_pylist()
-    body, meta = np.concatenate(bodies), np.concatenate(metas)
-    source = np.repeat(np.arange(len(parts)), [len(m) for m in metas])
+    body = np.concatenate(bodies)
+    meta = np.zeros(len(body), _META)
+    for name, kind, differs in _SENT:
+        columns = _read(table.column(name), kind)
+        meta[name] = np.concatenate([np.cumsum(c) if differs else c for c in columns])
+    meta["key"] = _row_hash(body[:, _SPAN:LENGTH])  # the anchor's bytes, or a hot window's
+    source = np.repeat(np.arange(len(parts)), [len(b) for b in bodies])
     order = np.argsort(meta["doc_id"], kind="stable")
     body, meta, source = body[order], meta[order], source[order]
-    full = np.concatenate([body, meta["lo"][:, None], meta["hi"][:, None], meta["key"][:, None].view(np.uint8)], axis=1) if len(body) else np.zeros((0, _CTX + 10), np.uint8)
+    full = np.concatenate([body, meta["lo"][:, None], meta["hi"][:, None]], axis=1)
     first, group = _distinct(_row_hash(full), full)
     lost = np.zeros((len(body), _SPAN + 1), bool)
     later = meta["doc_id"] > meta["doc_id"][first][group]
@@ -440,12 +482,17 @@ _EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], p
 _EMPTY_TEXTS = _EMPTY.append_column("kept", pa.array([], pa.binary()))
 
 
+def part_count(size: int) -> int:
+    """Parts, and buckets, for an input of so many stored bytes."""
+    return max(LEAST_PARTS, min(-(-size // PART_BYTES), math.isqrt(size // ROW_BYTES)))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document; with `texts` also the kept bytes."""
-    count = parts or max(LEAST_PARTS, -(-input_bytes(docs.select(id_col, text_col)) // PART_BYTES))
+    count = parts or part_count(input_bytes(docs.select(id_col, text_col)))
     dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(count)).cast("bigint").alias("part"), F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
     asked = dealt.groupBy("part").applyInArrow(lambda t: _ask(t, count), "bucket bigint, part bigint, hashes binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "part bigint, bucket bigint, flags binary")
-    cut = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda t, a: _contexts(t, a, count), "bucket bigint, part bigint, body binary, meta binary, spans binary")
+    cut = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda t, a: _contexts(t, a, count), "bucket bigint, part bigint, body binary, doc_id binary, doc binary, start binary, lo binary, hi binary, spans binary")
     spans = cut.groupBy("bucket").applyInArrow(_sort, "part bigint, spans binary")
     return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _remove(t, s, texts), _SCHEMA + ", kept binary" * texts)
