@@ -84,7 +84,7 @@ _ACCEPTED = f"(score >= {CONFIG.min_similarity} AND margin >= {CONFIG.min_margin
 @query(f"WITH {_UNIT} SELECT id, floor(list_sum(vector) * 1e6 + 0.5)::BIGINT AS sum_ppm, floor(vector[1] * 1e6 + 0.5)::BIGINT AS first_ppm, len(vector) AS n FROM u")
 def vector_normalize(spark, sf_dir):
     v = labelled(spark, sf_dir).withColumn("u", vectors.normalize("vector"))
-    return v.select("id", ppm(F.aggregate("u", F.lit(0.0), lambda s, x: s + x)).alias("sum_ppm"), ppm(F.col("u")[0]).alias("first_ppm"), F.size("u").alias("n"))
+    return v.select("id", ppm(F.aggregate("u", F.lit(0.0), lambda s, x: s + x)).alias("sum_ppm"), ppm(F.col("u")[0]).alias("first_ppm"), F.size("u").cast("bigint").alias("n"))
 
 
 @query(f"WITH {_UNIT}, {_CENTERS} SELECT label, n, floor(center[1] * 1e6 + 0.5)::BIGINT AS first_ppm, floor(list_sum(center) * 1e6 + 0.5)::BIGINT AS sum_ppm FROM center")
