@@ -43,11 +43,11 @@ from stacklight.llm.common import binary_array, byte_column, input_bytes, utf8
 LENGTH, K = 50, 24
 #: Bytes of stored input for each part, until a part and a bucket would share fewer than some 64 anchors: from then on
 #: parts grow with the root of the input, ROW_BYTES being the input for each pair of a part and a bucket.
-PART_BYTES, LEAST_PARTS, ROW_BYTES = 4 << 20, 64, 900
+PART_BYTES, LEAST_PARTS, ROW_BYTES = 2 << 20, 64, 900
 #: Anchors above so many occurrences send windows.
 HOT = 4096
 #: At most about so many bytes are suffix-sorted at once (groups of one anchor stay together).
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 _NULL_ID = np.iinfo(np.int64).max
 _MULT = 0x9E3779B97F4A7C15 | 1
 _SPAN = LENGTH - K  # windows that hold an anchor start 0 to _SPAN bytes before it
@@ -233,24 +233,24 @@ def _read(column, dtype: str, width: int = 0) -> list[np.ndarray]:
 
 
 def _bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(count)).astype(np.int64)
+    return ((hashes >> np.uint64(40)) % np.uint64(count)).astype(np.int64)
 
 
 def _ask(table: pa.Table, count: int) -> pa.Table:
-    """A part's distinct anchor hashes (the low 48 bits beside the bucket: enough for a filter) and their counts (16 steps for each doubling), a row for each bucket."""
+    """A part's distinct anchor hashes (the low 40 bits beside the bucket, which comes from the others: enough for a filter) and their counts (16 steps for each doubling), a row for each bucket."""
     ids, offsets, data = _part(table)
     _, hashes = anchors(data, offsets)
     own, counts = np.unique(hashes, return_counts=True)
     order, edges = _bucketed(_bucket_of(own, count), count)
     part, filled = table.column("part")[0].as_py(), pa.array(np.diff(edges) > 0)
-    return _packed(bucket=np.arange(count), part=np.full(count, part), hashes=_runs(edges, own[order].view(np.uint8).reshape(-1, 8)[:, :6]), counts=_runs(edges, np.minimum(np.round(16 * np.log2(counts)), 255).astype(np.uint8)[order])).filter(filled)
+    return _packed(bucket=np.arange(count), part=np.full(count, part), hashes=_runs(edges, own[order].view(np.uint8).reshape(-1, 8)[:, :5]), counts=_runs(edges, np.minimum(np.round(16 * np.log2(counts)), 255).astype(np.uint8)[order])).filter(filled)
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each part's row of a bucket: 0 for anchors that occur once in all, 1 for repeated and 2 for hot ones."""
-    hashes, counts = _read(table.column("hashes"), "u1", 6), _read(table.column("counts"), "u1")
+    hashes, counts = _read(table.column("hashes"), "u1", 5), _read(table.column("counts"), "u1")
     whole = np.zeros((sum(map(len, hashes)), 8), np.uint8)
-    whole[:, :6] = np.concatenate(hashes)
+    whole[:, :5] = np.concatenate(hashes)
     _, where = np.unique(whole.view(np.uint64).ravel(), return_inverse=True)
     total = np.bincount(where, weights=2.0 ** (np.concatenate(counts) / 16))[where] if len(where) else np.zeros(0)
     flags = ((total > 1.5).astype(np.uint8) + (total > HOT)).astype(np.uint8)
