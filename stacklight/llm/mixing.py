@@ -23,13 +23,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.llm.common import kept
 
 #: Up to so many cells (about 100 bytes each) are broadcast.
 BROADCAST_CELLS = 50_000
+#: Up to so many cells a margin's sums are windows, which one task may see whole; beyond, they are aggregated before a shuffle and joined.
+WINDOW_CELLS = 500_000
 ROUNDS, SCALE_ROUNDS, NONE = 8, 6, "(none)"
 MARGINS: Mapping[str, float] = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 RATE = 0.7
@@ -62,19 +64,24 @@ def default_targets(cells: DataFrame, margin: str, flatten: float) -> DataFrame:
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cells (margins, tokens) with `weight`: tokens scaled until every margin's sums go with its targets; the total stays."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {}
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for m, t in targets.items():
         t = t.join(cells.select(m).distinct(), m, "left_semi").select(m, "share")
         whole = float(t.agg(F.sum("share")).first()[0] or 0) or 1.0
-        goals[m] = kept(t.select(m, (F.col("share") / whole * total).alias("goal")))
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for m, goal in goals.items():
-            sums = out.groupBy(m).agg(F.sum("weight").alias("sum")).join(goal, m, "left")
-            factor = F.when(F.col("sum") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("sum")).otherwise(0.0)
-            out = out.join(sums.select(m, factor.alias("factor")), m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        out = kept(out)  # cuts the lineage of the rounds before
-    return out
+        out = out.join(t.select(m, (F.col("share") / whole * total).alias(f"__goal_{m}")), m, "left")
+    out = kept(out)
+    few = cells.limit(WINDOW_CELLS + 1).count() <= WINDOW_CELLS
+    for r in range(rounds):
+        for m in targets:
+            if few:
+                out = out.withColumn("__sum", F.sum("weight").over(Window.partitionBy(m)))
+            else:
+                out = out.join(out.groupBy(m).agg(F.sum("weight").alias("__sum")), m)
+            factor = F.when(F.col("__sum") > 0, F.coalesce(f"__goal_{m}", F.lit(0.0)) / F.col("__sum")).otherwise(0.0)
+            out = out.withColumn("weight", F.col("weight") * factor).drop("__sum")
+        if not few or r % 2 or r == rounds - 1:
+            out = kept(out)  # cuts the lineage of the rounds before
+    return out.drop(*(f"__goal_{m}" for m in targets))
 
 
 def probabilities(raked: DataFrame, rate: float = RATE) -> DataFrame:

@@ -247,7 +247,9 @@ def test_mixing_equals_sql(spark, sf_dir):
     against_sql(queries.op6_mixing(spark, sf_dir), queries.oracle_sql()["op6_mixing"], sf_dir, "documents")
 
 
-def test_mixing_meets_its_margins(spark):
+@pytest.mark.parametrize("window_cells", [500_000, 0])
+def test_mixing_meets_its_margins(spark, monkeypatch, window_cells):
+    monkeypatch.setattr(mixing, "WINDOW_CELLS", window_cells)
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 40), rng.choice(["en", "en", "de"]), rng.choice("aab")) for i in range(3000)]
     docs = docs_frame(spark, rows)
