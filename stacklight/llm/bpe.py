@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from stacklight.llm.common import in_slices, utf8
 
 #: A worker remembers the ids of at most twice so many pre-tokens, in two generations.
-MEMORY = 300_000
+MEMORY = 150_000
 _M = (1 << 64) - 1
 
 
