@@ -10,6 +10,8 @@ so copies cost nothing and lose nothing. Buckets are counted first. A bucket abo
 ``block`` vectors or ``query_block`` queries is cut into blocks of both sides, so that no
 task holds more than one block of each, however hot the bucket is. Vectors travel to
 their buckets in their stored precision; only each block's best few go on from there.
+Tables, probes and axes in a bucket name don't depend on the number of vectors, so neither
+does the chance to meet a neighbour of a given cosine; the work grows with vectors x queries.
 
 Defined results: vectors that are null, empty, all zero or hold null, NaN or infinite
 components take no part, nor do rows without an id; ties go to the smaller id; repeated
@@ -33,12 +35,11 @@ from stacklight.llm.common import kept
 
 @dataclass(frozen=True)
 class Settings:
-    """tables, probes: more of either raise recall and cost. hashes: axes joined into one bucket name; None: one, and two from `dense` vectors on."""
+    """tables, probes: more of either raise recall and cost. hashes: axes joined into one bucket name, the same at every size; more need far more probes."""
 
     tables: int = 12
     probes: int = 10
-    hashes: int | None = None
-    dense: int = 4_000_000
+    hashes: int = 1
     block: int = 1024
     query_block: int = 512
     seed: int = 11
@@ -164,9 +165,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     entries = entries.join(asking, "key").withColumn("first_id", F.col("ids")[0])
     schema = "key string, ids array<bigint>, asks boolean, first_id bigint, body binary"
     packed = kept(entries.select("key", "ids", "asks", "first_id", "vec").mapInArrow(lambda it: _pack(it, dtype), schema))
-    total = packed.count()
-    hashes = s.hashes or (1 if total < s.dense else 2)
-    every, tables, probes = total <= s.block, range(s.tables), s.probes
+    hashes, every, tables, probes = s.hashes, packed.count() <= s.block, range(s.tables), s.probes
     if every:  # few vectors: one table, all of its axes
         hashes, tables = 1, range(1)
     named = "tab int, bucket bigint, dims int, "

@@ -1,4 +1,5 @@
 import collections
+import dataclasses
 import itertools
 import random
 import re
@@ -73,6 +74,17 @@ def test_ann_in_many_blocks_and_two_hashes(spark):
         assert sum(len({i for _, i in want[q]} & got[q]) for q in want) / (5 * len(want)) >= 0.9
 
 
+def test_ann_recall_has_no_switch_by_size(spark):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.standard_normal(64).tolist() for i in range(3000)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    small = {f.name: 1 for f in dataclasses.fields(ann.Settings) if f.name == "dense"}  # any size is large
+    want, got = exact(vectors), collections.defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, settings=ann.Settings(**small)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert sum(len({i for _, i in want[q]} & got[q]) for q in want) / (5 * len(want)) >= 0.9
+
+
 def test_pseudo_rotation_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 12))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 0, 0, 1), axis=1), np.linalg.norm(x, axis=1))
