@@ -3,12 +3,13 @@
 Markup is stripped into lines, one for each block; every block boundary ends a line.
 Elements that are boilerplate by their kind (scripts, navigation, asides, forms, footers,
 adverts, notices, reader comments and the like, told by tag, role or class words) leave an
-empty lines in their place, as do the edges of containers. Text lengths are summed
-over a sliding window of lines. A surge is a line where the sum rises from nothing, a dive
-one where it falls back to nothing; of the stretches between them the one with the most
-text is the article, from its first line to its last, short lines included. Where a page
-marks articles or a main part, lines outside them have length 0, and containers inside
-them don't part lines.
+empty line in their place, as does any run of container edges: one, however deep they nest,
+so that layout alone never parts an article. Lists of links leave a window of empty lines.
+Text lengths are summed over a sliding window of lines. A surge is a line where the sum rises
+from nothing, a dive one where it falls back to nothing. The article is the stretch between
+them with the most text, and with it every other one that has a line in the same container,
+that has ``ENOUGH`` text of its own, or that lies between two such, short lines included.
+Where a page marks articles or a main part, all that is inside the marks is the article.
 
 Defined results: a null or empty page has an empty text and 0 characters; an unclosed
 element ends with its container or the page; a stray "<" is text; white space inside a block
@@ -20,6 +21,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,12 @@ from pyspark.sql import functions as F
 
 from stacklight.llm.common import in_slices, utf8
 
-#: Lines in a window. The edge of an article, of the body or of boilerplate counts as so many empty lines.
+#: Lines in a window. The edge of the body and a list of links count as so many empty lines; a list has at least so many links.
 WINDOW = 3
 
+#: Characters outside links that make a stretch part of the article wherever it stands.
+ENOUGH = 100
+
 # Element names of HTML by their part in a page, and words in class or id that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title"}
 BOILERPLATE = {"nav", "aside", "footer", "header", "form", "button", "menu", "dialog", "head", "audio", "video", "map"}
@@ -67,31 +73,52 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or "display:none" in attrs.replace(" ", "")
 
 
+class Line(NamedTuple):
+    """inside: an article or main part. owner: number of the innermost container. linked, links: characters in links, and their number."""
+
+    text: str
+    inside: bool
+    owner: int
+    linked: int
+    links: int
+
+
+_GAP = Line("", False, -1, 0, 0)
+
+
 def _edge(tag: str) -> int:
-    """Empty lines at a container's edge."""
-    return WINDOW if tag in ("article", "main", "body") or tag in BOILERPLATE else 1 if tag in ("div", "section", "table") else 0
+    """Empty lines at a container's edge; a run of single ones is one."""
+    return WINDOW if tag == "body" else 1 if tag in ("article", "main", "div", "section", "table") or tag in BOILERPLATE else 0
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, inside an article or main part) for each line of the stripped page; empty lines part containers."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[Line]:
+    """The lines of the stripped page; empty lines part containers."""
+    out: list[Line] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open containers: tag, whether its content is dropped
+    owners = [0]  # numbers of the page and of the open containers
     dropped, marked, at, n = 0, 0, 0, len(page)
+    link: int | None = None  # open containers where the open link began
+    linked, links, opened = 0, 0, 0
 
     def end_line(edge: int = 0) -> None:
+        nonlocal linked, links
         if text:
             line = _BLANKS.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if line:
-                out.append((line, marked > 0))
-        if edge and not marked:
-            out.extend([("", False)] * edge)
+                out.append(Line(line, marked > 0, owners[-1], min(linked, len(line)), links))
+            linked, links = 0, 0
+        if edge and not marked and (edge > 1 or out and out[-1].text):
+            out.extend([_GAP] * edge)
 
     def close(depth: int) -> None:
-        nonlocal dropped, marked
+        nonlocal dropped, marked, link
+        if link is not None and depth < link:
+            link = None
         while len(stack) > depth:
             tag, drops = stack.pop()
+            owners.pop()
             dropped -= drops
             marked -= tag in ("article", "main")
 
@@ -103,6 +130,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
             break
         if not dropped and m.start() > at:
             text.append(page[at : m.start()])
+            if link is not None:
+                linked += len(html.unescape(text[-1]).strip())
         at = m.end()
         if m[2] is None:
             continue
@@ -114,6 +143,11 @@ def lines(page: str) -> list[tuple[str, bool]]:
             continue
         if not closing and (tag in BLOCKS or tag in CONTAINERS) and tag != "br" and stack and stack[-1][0] in ("p", "li", "dt", "dd"):
             close(len(stack) - 1)  # a dropped paragraph or item ends where the next block begins
+        if tag == "a":
+            link = None
+            if not closing and not dropped and "href" in attrs.lower():
+                link = len(stack)
+                links += 1
         if tag in CONTAINERS or tag in BOILERPLATE or not closing and tag not in VOID and "=" in attrs and _boilerplate(tag, attrs, marked > 0):
             if closing:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -128,6 +162,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
                 end_line(_edge(tag))
                 drops = _boilerplate(tag, attrs, marked > 0)
                 stack.append((tag, drops))
+                opened += 1
+                owners.append(opened)
                 dropped += drops
                 marked += tag in ("article", "main")
         elif closing and any(t == tag for t, _ in stack):  # a dropped inline or block element
@@ -149,16 +185,32 @@ def stretches(sizes: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
 
 
+def _parted(own: list[Line]) -> list[Line]:
+    """The lines with a window of empty ones for each list of links: a run of lines with WINDOW links or more that have over half of its text."""
+    out: list[Line] = []
+    for blank, run in groupby(own, lambda x: not x.text):
+        block = list(run)
+        many = not blank and sum(x.links for x in block) >= WINDOW and 2 * sum(x.linked for x in block) > sum(len(x.text) for x in block)
+        out += [_GAP] * WINDOW if many else block
+    return out
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by line breaks."""
     own = lines(page)
-    marked = any(inside for _, inside in own)
-    sizes = np.array([len(line) if inside or not marked else 0 for line, inside in own], np.int64)
+    inside = [x.text for x in own if x.inside]
+    if inside:
+        return "\n".join(inside)
+    parted = _parted(own)
+    own = parted if any(x.text for x in parted) else own  # a page of links only
+    sizes = np.array([len(x.text) for x in own], np.int64)
     found = stretches(sizes)
     if not found:
         return ""
     surge, dive = max(found, key=lambda x: (int(sizes[x[0] : x[1]].sum()), -x[0]))
-    return "\n".join(own[i][0] for i in range(surge, dive) if sizes[i])
+    owners = {x.owner for x in own[surge:dive] if x.text}
+    kept = [(a, b) for a, b in found if any(x.text and x.owner in owners for x in own[a:b]) or sum(len(x.text) - x.linked for x in own[a:b]) >= ENOUGH]
+    return "\n".join(x.text for x in own[kept[0][0] : kept[-1][1]] if x.text)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -166,6 +166,19 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
+def test_html_keeps_all_parts_of_an_article():
+    text = html_text.main_text
+    for gap in ("<aside>x</aside>", "<form>x</form>", "<nav>x</nav>", "<div class=ad><div>x</div></div>", "</div></div><div><div>"):
+        assert text(f"<body><div><div><p>First part.</p>{gap}<p>Second.</p></div></div></body>") == "First part.\nSecond."
+    assert text("<div><p>One half <button>x</button> and the other.</p></div>") == "One half\nand the other."
+    assert text("<body><article><p>First.</p></article><div>x</div><article><p>Second one.</p></article></body>") == "First.\nSecond one."
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>A long entry of a menu, number {i}</a>" for i in range(9)) + "</ul></div>"
+    assert text(f"<body><div>Site</div>{menu}<div><p>First part.</p>{menu}<p>Second.</p></div>{menu}<div>End</div></body>") == "First part.\nSecond."
+    long = "Many words. " * 12
+    assert text(f"<div>{long}</div>{menu}<div>Short.</div>{menu}<div>{long}x</div>").split("\n")[1:] == ["Short.", long + "x"]
+    assert text("<div><p>A.</p></div><div><p><a href=/x>Only a link in a paragraph</a></p></div><div><p>B.</p></div>") == "A.\nOnly a link in a paragraph\nB."
+
+
 def test_surge_and_dive():
     sizes = np.array([0, 0, 5, 0, 7, 0, 0, 0, 0, 9, 9])
     assert html_text.stretches(sizes) == [(2, 7), (9, 11)]
