@@ -5,8 +5,9 @@ chooses, in each of ``runs`` repetitions, the shingles whose hash for that run i
 ``picks`` / set size; similar sets choose some of the same, whatever their sizes, and
 meet in those buckets. A bucket above ``small`` entries is split again and again by the
 value of a sampled minhash, which similar sets share; small buckets are compared by brute
-force on sketches, and a bucket that won't split (it is all alike) is clustered around
-leaders, in blocks, and the blocks' leaders once more. What may be similar is thus linked;
+force on sketches, and a bucket that is still large is clustered around leaders, in blocks;
+its leaders then meet in pairs of blocks, and two are linked where the sketches and sizes of
+what follows them leave a link possible. What may be similar is thus linked;
 the linked entries of a component are then compared exactly, on their whole sets, in blocks
 of bounded size, and counted where they are compared: no list of pairs is ever made.
 
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacklight.llm.common import byte_column, in_slices, joined_on_id, kept, utf8
@@ -38,7 +39,7 @@ from stacklight.llm.shingles import mix, shingle_sets
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold is numerator / denominator. plausible, alike, kin: shares of equal sketch values that link two entries, retire a leader's neighbour, and link leaders of two blocks."""
+    """threshold is numerator / denominator. plausible, alike: shares of equal sketch values that link two entries, and make one follow a leader."""
 
     size: int = 5
     numerator: int = 4
@@ -51,7 +52,6 @@ class Settings:
     exact_block: int = 512
     plausible: float = 0.6
     alike: float = 0.9
-    kin: float = 0.4
     seed: int = 5
 
 
@@ -180,38 +180,53 @@ def _brute(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
         yield _links(entry, forest)
 
 
-def _led(table: pa.Table, s: Settings, share: float) -> tuple[np.ndarray, _Forest, np.ndarray]:
-    """(entries, links, leaders) of a bucket that is all alike: each leader meets all rows; what is very like a leader never leads."""
+def _lead(table: pa.Table, s: Settings) -> pa.Table:
+    """Links of a block (b set), and its leaders (sketch set): each leader meets all rows; what is very like a leader and of a fitting size follows it and never leads.
+
+    radius: most sketch values that differ between a leader and its followers. low, high: their sizes.
+    """
     order = np.argsort(table.column("entry").to_numpy(), kind="stable")
     entry, n, sk = table.column("entry").to_numpy()[order], table.column("n").to_numpy()[order], _sketches(table)[order]
     forest, open_rows, leaders = _Forest(len(entry)), np.ones(len(entry), bool), []
     for i in range(len(entry)):
         if not open_rows[i]:
             continue
-        leaders.append(i)
-        equal = (sk == sk[i]).sum(1)
-        near = np.flatnonzero((equal >= share * SKETCH) & (_fits(n, n[i], s) | (share < s.plausible)))
+        equal, fits = (sk == sk[i]).sum(1), _fits(n, n[i], s)
+        near = np.flatnonzero((equal >= s.plausible * SKETCH) & fits)
         forest.join(near, np.full(len(near), i))
-        open_rows[equal >= s.alike * SKETCH] = False
-        open_rows[i] = False
-    return entry, forest, order[np.array(leaders, np.int64)]
-
-
-def _lead(table: pa.Table, s: Settings) -> pa.Table:
-    """Links of a block (b set), and its leaders (sketch set)."""
-    entry, forest, leaders = _led(table, s, s.plausible)
+        own = open_rows & fits & (equal >= s.alike * SKETCH)
+        open_rows[own] = False
+        leaders.append((i, SKETCH - equal[own].min(), n[own].min(), n[own].max()))
     links = _links(entry, forest)
-    lead = table.take(pa.array(leaders))
-    k, m = links.num_rows, lead.num_rows
+    row, radius, low, high = (np.array(x, np.int64) for x in zip(*leaders, strict=True))
+    k, m = links.num_rows, len(row)
     bucket = pa.array([table.column("bucket")[0].as_py()] * (k + m), pa.int64())
-    return pa.table([bucket, pa.concat_arrays([links.column(0), lead.column("entry").combine_chunks()]), pa.concat_arrays([links.column(1), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(k, pa.int64()), lead.column("n").combine_chunks()]), pa.concat_arrays([pa.nulls(k, pa.binary()), lead.column("sketch").combine_chunks().cast(pa.binary())])], ["bucket", "a", "b", "n", "sketch"])
+    numbers = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (radius, low, high)]
+    sketches = pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array([x.tobytes() for x in sk[row]], pa.binary())])
+    return pa.table([bucket, pa.concat_arrays([links.column(0), pa.array(entry[row])]), pa.concat_arrays([links.column(1), pa.nulls(m, pa.int64())]), *numbers, sketches], ["bucket", "a", "b", "radius", "low", "high", "sketch"])
 
 
-def _lead_again(table: pa.Table, s: Settings) -> pa.Table:
-    entry, forest, _ = _led(table, s, s.kin)
+def _leaders_meet(table: pa.Table, s: Settings) -> pa.Table:
+    """Links between the leaders of two blocks (or of one, if first and second are the same) whose followers may be plausible links of fitting sizes."""
+    order = np.argsort(table.column("entry").to_numpy(), kind="stable")
+    entry, radius, low, high, block = (table.column(c).to_numpy()[order] for c in ("entry", "radius", "low", "high", "block"))
+    sk, forest = _sketches(table)[order], _Forest(len(entry))
+    rows, columns = np.flatnonzero(block == table.column("first")[0].as_py()), np.flatnonzero(block == table.column("second")[0].as_py())
+    other = sk[columns]
+    for i in rows.tolist():
+        # Differing values obey the triangle inequality: two followers differ in no fewer than their leaders do, less both radii.
+        possible = (other == sk[i]).sum(1) + radius[columns] + radius[i] >= s.plausible * SKETCH
+        possible &= (high[columns] * s.denominator >= low[i] * s.numerator) & (high[i] * s.denominator >= low[columns] * s.numerator)
+        near = columns[possible]
+        forest.join(near, np.full(len(near), i))
     return pa.Table.from_batches([_links(entry, forest)])
 
 
+def _block_pairs(block: str, blocks: str) -> Column:
+    """(low, high) of every pair of blocks that a row of one block takes part in."""
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1), lambda o: F.struct(F.least(block, o).alias("low"), F.greatest(block, o).alias("high")))
+
+
 def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
     """a, b: links between entries (entry, n, sketch, paths) that may reach the threshold; a spanning forest of each bucket's, not all pairs."""
     s, found = settings, None
@@ -236,9 +251,12 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
         rows = rows.where(F.col("members") > s.small).select("entry", "n", "sketch", F.xxhash64("bucket", F.lit(level), value).alias("bucket"))
     blocks = F.ceil(F.col("members") / s.block)
     large = large.select("bucket", "entry", "n", "sketch", F.pmod(F.xxhash64("entry"), blocks).alias("part"))
-    led = kept(large.groupBy("bucket", "part").applyInArrow(lambda t: _lead(t.drop_columns(["part"]), s), "bucket bigint, a bigint, b bigint, n bigint, sketch binary"))
-    again = led.where("sketch is not null").select("bucket", F.col("a").alias("entry"), "n", "sketch")
-    again = again.groupBy("bucket").applyInArrow(lambda t: _lead_again(t, s), "a bigint, b bigint")
+    led = kept(large.groupBy("bucket", "part").applyInArrow(lambda t: _lead(t.drop_columns(["part"]), s), "bucket bigint, a bigint, b bigint, radius bigint, low bigint, high bigint, sketch binary"))
+    leaders = led.where("sketch is not null").select("bucket", F.col("a").alias("entry"), "radius", "low", "high", "sketch")
+    blocks = leaders.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("blocks"))
+    leaders = leaders.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks"))).withColumn("pair", F.explode(_block_pairs("block", "blocks")))
+    leaders = leaders.select("bucket", F.col("pair.low").alias("first"), F.col("pair.high").alias("second"), "entry", "radius", "low", "high", "sketch", "block")
+    again = leaders.groupBy("bucket", "first", "second").applyInArrow(lambda t: _leaders_meet(t, s), "a bigint, b bigint")
     return found.union(led.where("b is not null").select("a", "b")).union(again)
 
 
@@ -318,8 +336,7 @@ def join(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     texts = joined_on_id(texts, members, "doc_id", "left_semi")
     sets = texts.select("body", "doc_id").mapInArrow(lambda it: _sets(it, s), "doc_id bigint, name binary, tokens binary")
     placed = sets.join(members, ["doc_id", "name"]).dropDuplicates(["doc_id"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
-    placed = placed.withColumn("pair", F.explode(pairs)).select("component", "pair.low", "pair.high", F.col("doc_id").alias("entry"), "weight", "block", "tokens")
+    placed = placed.withColumn("pair", F.explode(_block_pairs("block", "blocks"))).select("component", "pair.low", "pair.high", F.col("doc_id").alias("entry"), "weight", "block", "tokens")
     placed = placed.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "entry")
     compared = kept(placed.mapInArrow(lambda it: _compared(it, s), "entry bigint, links bigint, root bigint"))
     links = compared.groupBy("entry").agg(F.sum("links").alias("links"))

@@ -148,6 +148,20 @@ def test_join_with_split_buckets_and_blocks(spark):
     assert joined(spark, rows, tight) == brute(rows)
 
 
+def test_join_of_unlike_documents_with_one_passage(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(40)) + " " + passage) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].rsplit(" ", 2)[0]) for i in range(0, 300, 10)]
+    tight = chosen_path.Settings(small=8, block=16)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = chosen_path.signatures(df, tight).withColumnRenamed("doc_id", "entry")
+    sizes = components.components(chosen_path.candidate_links(signed, tight)).groupBy("component").count()
+    assert sizes.agg(F.max("count")).first()[0] < len(rows) / 2  # a passage makes no component
+    assert joined(spark, rows, tight) == brute(rows)
+
+
 def test_join_edges(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, None), (2, ""), (3, "..."), (4, "short text"), (5, "Short, TEXT!"), (6, text), (7, text.upper()), (8, text + " eleven"), (9, "x" * 50_000)]
