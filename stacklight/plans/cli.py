@@ -14,6 +14,7 @@ from stacklight.functions import paths
 from stacklight.operators import assets, moves, openset, resources, runs
 from stacklight.plans import apply, outputs
 from stacklight.sources import baseline, files, vectors
+from stacklight.sources.tables import RunTables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,7 +56,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--baseline")
     c.add_argument("--root")
     c.add_argument("--target")
-    c.add_argument("--limit", type=int, default=100)
+    c.add_argument("--journal", help="folder of the run tables that keep outcomes; beside the plan by default")
+    c.add_argument("--limit", type=int)
     c.add_argument("--execute", action="store_true")
     return p
 
@@ -89,7 +91,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         return outputs.run_report(spark.read.parquet(args.rows), args.out, args.review_limit, args.seed)
     if args.command == "migrate":
         if args.action == "create":
-            rows = baseline.normalised(baseline.read_csv(spark, args.baseline), images_only=False).where(paths.relative("source_path", args.root).isNotNull())
+            rows = baseline.normalised(baseline.read_csv(spark, args.baseline), images_only=False)
+            if outside := rows.where(~paths.is_excluded("source_path") & paths.relative("source_path", args.root).isNull()).first():
+                raise ValueError(f"a baseline path lies outside the authorized root: {outside['source_path']}")
             facts = files.listing(rows).where("regular").select("source_path", "sha256", F.col("size").alias("source_size_now"), "mtime_ns")
             own = rows.withColumn("engine", F.col("source_engine")).drop("source_size").join(facts, "source_path").withColumnRenamed("source_size_now", "source_size")
             moves.planned(own, args.root, args.target).write.mode("overwrite").parquet(args.plan)
@@ -100,10 +104,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         plan = spark.read.parquet(args.plan)
         if args.action == "status":
             return {r["state"]: r["n"] for r in apply.examined(plan).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
-        out: dict[str, int] = {}
-        for _, state, _ in apply.execute(plan, args.limit, args.execute):
-            out[state] = out.get(state, 0) + 1
-        return out
+        tables = RunTables(spark, args.journal or args.plan.rstrip("/") + "-journal")
+        return {r["state"]: r["n"] for r in apply.run(plan, tables, args.limit, args.execute).collect()}
     raise ValueError(args.command)
 
 

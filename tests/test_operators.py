@@ -263,6 +263,22 @@ def test_moves(spark, tmp_path):
         moves.planned(rows.join(facts, "source_path"), "/elsewhere", "/t").collect()
 
 
+def test_moves_go_on_behind_a_limit(spark, tmp_path):
+    names = ["a", "b", "c", "d"]
+    for name in names:
+        (tmp_path / name).write_bytes(name.encode())
+    rows = spark.createDataFrame([(str(tmp_path / n), str(tmp_path / "sorted" / n)) for n in names], "source_path string, destination_path string")
+    facts = files.listing(rows).select("source_path", "sha256", F.col("size").alias("source_size"), "mtime_ns")
+    rows.join(facts, "source_path").write.parquet(str(tmp_path / "plan"))
+    call = lambda *more: cli.run(cli.parser().parse_args(["migrate", "apply", "--plan", str(tmp_path / "plan"), *more]), spark)
+    assert call() == {"PLANNED": 4} and (tmp_path / "a").exists()
+    assert call("--execute", "--limit", "1") == {"MOVED": 1} and (tmp_path / "b").exists()
+    assert call("--execute", "--limit", "2") == {"MOVED": 2} and not (tmp_path / "c").exists()
+    (tmp_path / "d").write_bytes(b"changed")
+    assert call("--execute") == {"SOURCE_CHANGED": 1} and call("--execute") == {}
+    assert sorted(p.name for p in (tmp_path / "sorted").iterdir()) == ["a", "b", "c"]
+
+
 # --- JSON sources and the command line
 
 
