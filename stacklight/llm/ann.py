@@ -1,29 +1,39 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is turned by fast Hadamard pseudo-rotations (three rounds of random signs and a
-Walsh-Hadamard transform) and goes to the bucket of its nearest signed axis, in each of
-several tables. A query probes the nearest axes of each table, best first; what it meets
-there is ranked by the exact cosine of the original vectors in double precision.
+Walsh-Hadamard transform); its nearest signed axes, one for each hash, name its bucket in
+each of several tables. A query probes the buckets of each table whose axes it is nearest to,
+best first; what it meets there is ranked by the exact cosine of the original vectors in
+double precision.
+
+Hashes and probes follow from the number of vectors and a recall target by one rule, with no
+switch (``fit``). Vectors whose directions are spread evenly are the hardest to search: their
+nearest neighbours are the farthest away. For them the cosine of the first to k-th neighbour
+follows from the number of vectors and dimensions; pairs of those cosines are drawn and
+hashed, and as many buckets are probed as the target's share of them needs. Data that has
+closer neighbours is found more often. Hashes are added so that a bucket holds at most about
+``bucket_rows`` of such vectors; two at least.
 
 Identical vectors are one entry that keeps its smallest ids, as many as a result can need,
-so copies cost nothing and lose nothing. Buckets are counted first. A bucket above
-``block`` vectors or ``query_block`` queries is cut into blocks of both sides, so that no
-task holds more than one block of each, however hot the bucket is. Vectors travel to
-their buckets in their stored precision; only each block's best few go on from there.
-Tables, probes and axes in a bucket name don't depend on the number of vectors, so neither
-does the chance to meet a neighbour of a given cosine; the work grows with vectors x queries.
+so copies cost nothing and lose nothing. Buckets are dealt into cells of about ``block``
+vectors; a query goes once to each cell that holds any of its buckets, with their numbers.
+Cells are counted first, and one above ``block`` vectors or ``query_block`` queries is cut into
+blocks of both sides, so that no task holds more than one block of each, however hot a
+bucket is. Inside a block only vectors of a query's own buckets are compared with it.
 
 Defined results: vectors that are null, empty, all zero or hold null, NaN or infinite
 components take no part, nor do rows without an id; ties go to the smaller id; repeated
-rows count once; vectors of other lengths than the query's aren't candidates; a query with
-fewer candidates than k gets them all if its probes meet them (with fewer than ``block``
-vectors in all, every axis is probed, and the search is exact); other columns are ignored.
+rows count once; vectors of other lengths than the query's aren't candidates; at least so
+many buckets are probed that a query meets ``least`` vectors of evenly spread ones, so a query
+with fewer candidates than k gets them all; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +45,17 @@ from stacklight.llm.common import kept
 
 @dataclass(frozen=True)
 class Settings:
-    """tables, probes: more of either raise recall and cost. hashes: axes joined into one bucket name, the same at every size; more need far more probes."""
+    """recall: the target. least: vectors that a query should meet. hashes, probes: set them to overrule the rule. pairs: drawn to find it."""
 
-    tables: int = 12
-    probes: int = 10
-    hashes: int = 1
+    tables: int = 20
+    recall: float = 0.94
+    least: int = 64
+    bucket_rows: int = 4096
+    hashes: int | None = None
+    probes: int | None = None
     block: int = 1024
     query_block: int = 512
+    pairs: int = 1000
     seed: int = 11
 
 
@@ -55,9 +69,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def padded(dims: int) -> int:
+    """The power of two that vectors of a length are padded to."""
+    return 1 << max(0, int(dims - 1).bit_length())
+
+
 def rotate(x: np.ndarray, table: int, which: int, seed: int) -> np.ndarray:
     """Pseudo-rotation `which` of a table; rows are padded to a power of two."""
-    width = 1 << max(0, int(x.shape[1] - 1).bit_length())
+    width = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
     rng = np.random.default_rng([seed, table, which, width])
     for _ in range(3):
@@ -71,70 +90,179 @@ def signed_axes(x: np.ndarray, table: int, which: int, seed: int) -> np.ndarray:
     return np.concatenate([turned, -turned], axis=1)
 
 
-def buckets(x: np.ndarray, table: int, hashes: int, probes: int, seed: int) -> np.ndarray:
-    """(n, probes) bucket numbers, nearest first. With several hashes, combinations rank by their summed heights."""
-    best, heights = None, None
+def own_bucket(x: np.ndarray, table: int, hashes: int, seed: int) -> np.ndarray:
+    """The bucket of each row: its nearest axes, as digits of one number."""
+    name = np.zeros(len(x), np.int64)
+    for which in range(hashes):
+        s = signed_axes(x, table, which, seed)
+        name = name * s.shape[1] + s.argmax(1)
+    return name
+
+
+def probed_buckets(x: np.ndarray, table: int, hashes: int, probes: int, seed: int) -> np.ndarray:
+    """(n, probes) buckets with the greatest sums of heights, best first; all buckets if there are no more."""
+    best = heights = None
     for which in range(hashes):
         s = signed_axes(x, table, which, seed)
-        take = min(probes, s.shape[1])
-        top = np.argsort(-s, axis=1, kind="stable")[:, :take]
+        top = np.argsort(-s, axis=1, kind="stable")[:, :probes]
         high = np.take_along_axis(s, top, 1)
         if best is None:
             best, heights = top.astype(np.int64), high
             continue
-        both = (heights[:, :, None] + high[:, None, :]).reshape(len(x), -1)
-        names = (best[:, :, None] * s.shape[1] + top[:, None, :]).reshape(len(x), -1)
-        keep = np.argsort(-both, axis=1, kind="stable")[:, :probes]
-        best, heights = np.take_along_axis(names, keep, 1), np.take_along_axis(both, keep, 1)
+        # The pair of an i-th and a j-th best is behind (i + 1) (j + 1) - 1 others: only some can be among the best.
+        i, j = _pairs(best.shape[1], top.shape[1], probes)
+        both = heights[:, i] + high[:, j]
+        order = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+        best, heights = best[np.arange(len(x))[:, None], i[order]] * s.shape[1] + top[np.arange(len(x))[:, None], j[order]], np.take_along_axis(both, order, 1)
     return best
 
 
+@lru_cache(maxsize=64)
+def _pairs(n: int, m: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    widths = [min(m, most // (i + 1)) for i in range(min(n, most))]
+    return np.repeat(np.arange(len(widths)), widths), np.concatenate([np.arange(w) for w in widths])
+
+
+def neighbour_cosines(count: int, dims: int, ranks: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Cosines of neighbours of some ranks (from 1), drawn for queries among `count` evenly spread unit vectors."""
+    c = np.linspace(-1, 1, 200_001)
+    density = np.maximum(1 - c * c, 1e-300) ** ((dims - 3) / 2) if dims > 1 else np.ones(len(c))
+    above = np.cumsum(density[::-1])[::-1] / density.sum()  # falls from 1 to 0
+    wanted = np.minimum(1.0, rng.gamma(ranks) / max(1, count - 1))  # the share of vectors at least as near
+    return c[len(c) - np.searchsorted(above[::-1], wanted) - 1]
+
+
+@lru_cache(maxsize=256)
+def fit(count: int, dims: int, k: int, s: Settings) -> tuple[int, int]:
+    """(hashes, probes) for `count` vectors of a length: as many probes as the pairs' share ``recall`` needs in the best of all tables."""
+    axes = 2 * padded(dims)
+    hashes = s.hashes or max(2, math.ceil(math.log(max(1, count / s.bucket_rows), axes)))
+    whole = axes**hashes
+    if s.probes:
+        return hashes, min(s.probes, whole)
+    rng = np.random.default_rng([s.seed, dims])
+    q, other = rng.standard_normal((2, s.pairs, dims))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    other -= (other * q).sum(1, keepdims=True) * q
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
+    cosine = neighbour_cosines(count, dims, np.resize(np.arange(1, k + 1), s.pairs), rng)[:, None]
+    near = cosine * q + np.sqrt(np.maximum(0, 1 - cosine**2)) * other
+    rank = np.full(s.pairs, whole, np.int64)
+    rows = np.arange(s.pairs)
+    for t in range(s.tables):
+        heights, met = [], np.zeros(s.pairs)
+        for which in range(hashes):
+            a = signed_axes(q, t, which, s.seed)
+            met += a[rows, signed_axes(near, t, which, s.seed).argmax(1)]
+            heights.append(np.sort(a, axis=1))
+        for i in range(s.pairs):  # buckets that the query would probe before the one that it shares
+            firsts = heights[0][i]
+            for h in heights[1:-1]:
+                firsts = (firsts[:, None] + h[i]).ravel()
+            rank[i] = min(rank[i], int((axes - np.searchsorted(heights[-1][i], met[i] - firsts - 1e-12)).sum()) if hashes > 1 else int((firsts >= met[i] - 1e-12).sum()))
+    wanted = int(np.sort(rank)[min(s.pairs - 1, math.ceil(s.recall * s.pairs) - 1)])
+    meets = math.ceil(whole * s.least / max(1, count * s.tables))
+    return hashes, max(1, min(whole, max(wanted, meets)))
+
+
+def cell_count(count: int, dims: int, hashes: int, s: Settings) -> int:
+    """Cells of a table: about ``block`` vectors each, and never more than there are buckets."""
+    return max(1, min(-(-count // s.block), (2 * padded(dims)) ** hashes))
+
+
+def _cell(bucket: np.ndarray, cells: int) -> np.ndarray:
+    return ((bucket.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(cells)).astype(np.int64)
+
+
 def _matrix(column: pa.Array, dtype: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, float64 matrix) for each vector length in a column of packed vectors."""
-    raw = column.to_pylist()
+    """(row numbers, unit vectors as a float64 matrix) for each vector length in a column of packed vectors."""
+    raw, out = column.to_pylist(), []
     sizes = np.array([len(b) for b in raw])
-    return [(own, np.frombuffer(b"".join(raw[i] for i in own), dtype).reshape(len(own), -1).astype(np.float64)) for n in np.unique(sizes) if len(own := np.flatnonzero(sizes == n))]
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        x = np.frombuffer(b"".join(raw[i] for i in own), dtype).reshape(len(own), -1).astype(np.float64)
+        out.append((own, x / np.linalg.norm(x, axis=1, keepdims=True)))
+    return out
+
+
+def _spots(batches: Iterator[pa.RecordBatch], s: Settings, k: int, counts: dict[int, int], dtype: str) -> Iterator[pa.RecordBatch]:
+    """Each row once for every table, in its cell and bucket."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for rows, x in _matrix(batch.column("body"), dtype):
+            dims = x.shape[1]
+            hashes, _ = fit(counts[dims], dims, k, s)
+            cells, out = cell_count(counts[dims], dims, hashes, s), batch.take(pa.array(rows))
+            for t in range(s.tables):
+                bucket = own_bucket(x, t, hashes, s.seed)
+                arrays = [pa.array(np.full(len(x), t), pa.int32()), pa.array(_cell(bucket, cells)), pa.array(np.full(len(x), dims), pa.int32()), pa.array(bucket)]
+                yield pa.RecordBatch.from_arrays([*arrays, *out.columns], ["tab", "cell", "dims", "bucket", *out.schema.names])
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], s: Settings, hashes: int, probes: int, dtype: str, tables: range) -> Iterator[pa.RecordBatch]:
-    """Each row once for every table and probe."""
+def _probing(batches: Iterator[pa.RecordBatch], s: Settings, k: int, counts: dict[int, int], dtype: str) -> Iterator[pa.RecordBatch]:
+    """Each query once for every table and cell that it probes, with the numbers of its buckets there."""
     for batch in batches:
         if not batch.num_rows:
             continue
         for rows, x in _matrix(batch.column("body"), dtype):
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            named = np.stack([buckets(x, t, hashes, probes, s.seed) for t in tables], axis=1)
-            n, t, p = named.shape
-            out = batch.take(pa.array(np.repeat(rows, t * p)))
-            place = np.tile(np.repeat(np.arange(t), p), n)
-            arrays = [pa.array(place, pa.int32()), pa.array(named.ravel(), pa.int64()), pa.array(np.full(n * t * p, x.shape[1]), pa.int32())]
-            for at in range(0, out.num_rows, 20_000):
-                yield pa.RecordBatch.from_arrays([a.slice(at, 20_000) for a in [*arrays, *out.columns]], ["tab", "bucket", "dims", *out.schema.names])
-
-
-def _nearest(queries: pa.Table, rows: pa.Table, dtype: str, keep: int) -> pa.Table:
-    """For each query of a block, its best `keep` rows of the block."""
-    out: dict[str, list] = {"query": [], "key": [], "ids": [], "first_id": [], "score": []}
+            dims = x.shape[1]
+            hashes, probes = fit(counts[dims], dims, k, s)
+            cells, step = cell_count(counts[dims], dims, hashes, s), max(1, (1 << 21) // (probes * 8))
+            for at in range(0, len(x), step):
+                some, out = x[at : at + step], batch.take(pa.array(rows[at : at + step]))
+                for t in range(s.tables):
+                    bucket = probed_buckets(some, t, hashes, probes, s.seed)
+                    query, bucket = np.repeat(np.arange(len(some)), bucket.shape[1]), bucket.ravel()
+                    cell = _cell(bucket, cells)
+                    order = np.lexsort((bucket, cell, query))
+                    query, cell, bucket = query[order], cell[order], bucket[order]
+                    edges = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (cell[1:] != cell[:-1])]))
+                    ends = np.append(edges, len(query)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket))
+                    own = out.take(pa.array(query[edges]))
+                    arrays = [pa.array(np.full(len(edges), t), pa.int32()), pa.array(cell[edges]), pa.array(np.full(len(edges), dims), pa.int32()), lists]
+                    yield pa.RecordBatch.from_arrays([*arrays, *own.columns], ["tab", "cell", "dims", "probes", *own.schema.names])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+
+
+def _nearest(queries: pa.Table, rows: pa.Table, dtype: str, keep: int, step: int = 1 << 17) -> pa.Table:
+    """For each query of a block, its best `keep` rows of the block in the buckets that it probes."""
+    parts: list[tuple[np.ndarray, ...]] = []
     if queries.num_rows and rows.num_rows:
-        q = np.frombuffer(b"".join(queries.column("body").to_pylist()), dtype).reshape(queries.num_rows, -1).astype(np.float64)
-        c = np.frombuffer(b"".join(rows.column("body").to_pylist()), dtype).reshape(rows.num_rows, -1).astype(np.float64)
+        matrix = lambda t: np.frombuffer(b"".join(t.column("body").to_pylist()), dtype).reshape(t.num_rows, -1).astype(np.float64)
+        bucket = rows.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        q, c, bucket = matrix(queries), matrix(rows)[order], bucket[order]
         q_long, c_long = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
-        rough = (q @ c.T) / q_long[:, None] / c_long
-        first = rows.column("first_id").to_numpy()
-        keys, ids, q_keys = rows.column("key").to_pylist(), rows.column("ids").to_pylist(), queries.column("key").to_pylist()
-        spare = min(len(c), keep + 8)
-        for i in range(len(q)):
-            near = np.argpartition(-rough[i], spare - 1)[:spare]
-            edge = rough[i, near].min() - 1e-12
-            near = np.flatnonzero(rough[i] >= edge)  # all that tie with the last
-            exact = (c[near] * q[i]).sum(1) / (c_long[near] * q_long[i])
-            for j in np.lexsort((first[near], -exact))[:keep]:
-                out["query"].append(q_keys[i])
-                out["key"].append(keys[near[j]])
-                out["ids"].append(ids[near[j]])
-                out["first_id"].append(int(first[near[j]]))
-                out["score"].append(float(exact[j]))
-    return pa.table([pa.array(out["query"], pa.string()), pa.array(out["key"], pa.string()), pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["first_id"], pa.int64()), pa.array(out["score"], pa.float64())], list(out))
+        first = np.array([i[0] for i in rows.column("ids").to_pylist()])[order]
+        lists = queries.column("probes").combine_chunks()
+        asker = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+        named = lists.flatten().to_numpy()
+        starts = np.searchsorted(bucket, named)
+        sizes = np.searchsorted(bucket, named, side="right") - starts
+        met = sizes > 0
+        asker, starts, sizes = asker[met], starts[met], sizes[met]
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(asker):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+            row, who = _ranges(starts[at:end], sizes[at:end]), np.repeat(asker[at:end], sizes[at:end])
+            score = (c[row] * q[who]).sum(1) / (c_long[row] * q_long[who])
+            best = np.lexsort((first[row], -score, who))
+            who = who[best]
+            heads = np.concatenate([[True], who[1:] != who[:-1]])
+            place = np.arange(len(who)) - np.flatnonzero(heads)[np.cumsum(heads) - 1]
+            own = best[place < keep]
+            parts.append((who[place < keep], order[row[own]], first[row[own]], score[own]))
+            at = end
+    who, row, first, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    columns = [queries.column("key").take(pa.array(who)), rows.column("entry").take(pa.array(row)), rows.column("ids").take(pa.array(row)), pa.array(first, pa.int64()), pa.array(score)]
+    return pa.table(columns, ["query", "entry", "ids", "first_id", "score"])
 
 
 def _usable(vec: str) -> Column:
@@ -156,32 +284,31 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     kind, dtype = ("float", "<f4") if dict(rows.dtypes)[vec_col] == "array<float>" else ("double", "<f8")
     base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     base = base.where(F.col("id").isNotNull() & _usable("vec")).withColumn("vec", F.transform("vec", lambda v: v + F.lit(0).cast(kind)))
-    base = base.withColumn("key", F.sha2(F.concat_ws(",", "vec"), 256))
+    base = base.withColumn("key", F.unhex(F.sha2(F.concat_ws(",", "vec"), 256)))
     # Identical vectors become one entry with their first k + 1 ids; a salt keeps a vector that many rows share off one task.
     salted = base.groupBy("key", "id").agg(F.any_value("vec").alias("vec"), F.bool_or("asks").alias("asks")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     asking = salted.groupBy("key").agg(F.bool_or("asks").alias("asks"))
     first = salted.withColumn("n", F.row_number().over(Window.partitionBy("key", "salt").orderBy("id"))).where(F.col("n") <= keep)
     entries = first.groupBy("key").agg(F.any_value("vec").alias("vec"), F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
-    entries = entries.join(asking, "key").withColumn("first_id", F.col("ids")[0])
-    schema = "key string, ids array<bigint>, asks boolean, first_id bigint, body binary"
-    packed = kept(entries.select("key", "ids", "asks", "first_id", "vec").mapInArrow(lambda it: _pack(it, dtype), schema))
-    hashes, every, tables, probes = s.hashes, packed.count() <= s.block, range(s.tables), s.probes
-    if every:  # few vectors: one table, all of its axes
-        hashes, tables = 1, range(1)
-    named = "tab int, bucket bigint, dims int, "
-    spots = packed.select("key", "ids", "first_id", "body").mapInArrow(lambda it: _hashed(it, s, hashes, 1, dtype, tables), named + "key string, ids array<bigint>, first_id bigint, body binary")
-    probing = packed.where("asks").select("key", "body").mapInArrow(lambda it: _hashed(it, s, hashes, 1 << 30 if every else probes, dtype, tables), named + "key string, body binary")
-    at = ["tab", "bucket", "dims"]
+    entries = entries.join(asking, "key").withColumn("entry", F.monotonically_increasing_id())
+    packed = kept(entries.select("entry", "key", "ids", "asks", "vec").mapInArrow(lambda it: _pack(it, dtype), "entry bigint, key binary, ids array<bigint>, asks boolean, body binary"))
+    # A count for each vector length; nothing else of the data comes to the driver.
+    wide = 4 if kind == "float" else 8
+    counts = {r["dims"]: r["n"] for r in packed.groupBy((F.length("body") / wide).cast("int").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = "tab int, cell bigint, dims int, "
+    spots = packed.select("entry", "ids", "body").mapInArrow(lambda it: _spots(it, s, k, counts, dtype), named + "bucket bigint, entry bigint, ids array<bigint>, body binary")
+    probing = packed.where("asks").select("key", "body").mapInArrow(lambda it: _probing(it, s, k, counts, dtype), named + "probes array<bigint>, key binary, body binary")
+    at = ["tab", "cell", "dims"]
     sizes = spots.groupBy(at).agg(F.count(F.lit(1)).alias("n")).join(probing.groupBy(at).agg(F.count(F.lit(1)).alias("q")), at)
     sizes = sizes.select(*at, F.ceil(F.col("n") / s.block).cast("int").alias("row_blocks"), F.ceil(F.col("q") / s.query_block).cast("int").alias("query_blocks"))
     sizes = kept(sizes)
-    own = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    spots = spots.join(sizes, at).withColumn("row_block", (own % F.col("row_blocks")).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    probing = probing.join(sizes, at).withColumn("query_block", (own % F.col("query_blocks")).cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
+    row_own, query_own = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)), F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    spots = spots.join(sizes, at).withColumn("row_block", (row_own % F.col("row_blocks")).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+    probing = probing.join(sizes, at).withColumn("query_block", (query_own % F.col("query_blocks")).cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
     place = [*at, "row_block", "query_block"]
-    probing, spots = probing.select(*place, "key", "body"), spots.select(*place, "key", "ids", "first_id", "body")
-    met = probing.groupBy(place).cogroup(spots.groupBy(place)).applyInArrow(lambda a, b: _nearest(a, b, dtype, keep), "query string, key string, ids array<bigint>, first_id bigint, score double")
-    once = met.groupBy("query", "key").agg(F.max("score").alias("score"), F.any_value("ids").alias("ids"), F.any_value("first_id").alias("first_id"))
+    probing, spots = probing.select(*place, "probes", "key", "body"), spots.select(*place, "bucket", "entry", "ids", "body")
+    met = probing.groupBy(place).cogroup(spots.groupBy(place)).applyInArrow(lambda a, b: _nearest(a, b, dtype, keep), "query binary, entry bigint, ids array<bigint>, first_id bigint, score double")
+    once = met.groupBy("query", "entry").agg(F.max("score").alias("score"), F.any_value("ids").alias("ids"), F.any_value("first_id").alias("first_id"))
     best = once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))).where(F.col("n") <= keep)
     lists = best.groupBy("query").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id"))))).alias("found"))
     lists = lists.select(F.col("query").alias("key"), F.slice(F.array_sort("found"), 1, keep).alias("found"), F.lit(True).alias("asks"))
@@ -189,4 +316,3 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     asked = salted.where("asks").select("key", "id", "asks").join(lists, ["key", "asks"])
     ranked = asked.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)).alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
-

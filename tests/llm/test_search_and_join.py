@@ -1,5 +1,4 @@
 import collections
-import dataclasses
 import itertools
 import random
 import re
@@ -53,7 +52,8 @@ def test_ann_copies_ties_and_bad_vectors(spark):
     rows += [(1000, None), (1001, []), (1002, [0.0] * 8), (1050, [float("nan")] * 8), (1003, [None] * 8), (1004, [float("inf")] * 8), (None, vectors[3]), (1100, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id bigint, embedding array<double>, key int, ids string")
     got = collections.defaultdict(list)
-    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    every = ann.Settings(tables=2, probes=1 << 30)  # all buckets are probed: nothing may differ from brute force
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, settings=every).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((-round(r["score"], 12), r["vec_id"]))
     want = exact(vectors)
     assert {q: got[q] for q in want} == want
@@ -61,28 +61,67 @@ def test_ann_copies_ties_and_bad_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
-def test_ann_in_many_blocks_and_two_hashes(spark):
+def recall_of(spark, vectors, settings=ann.Settings()):
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    want, got = exact(vectors), collections.defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, settings=settings).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert all(len(got[q]) == 5 for q in want)
+    return sum(len({i for _, i in want[q]} & got[q]) for q in want) / (5 * len(want))
+
+
+def test_ann_in_many_blocks_and_with_more_hashes(spark):
     rng = np.random.default_rng(3)
     centre = rng.standard_normal(16)
     vectors = {i: (centre + 0.3 * rng.standard_normal(16)).tolist() for i in range(600)}
-    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
-    want = exact(vectors)
-    for settings in (ann.Settings(block=50, query_block=3, probes=16), ann.Settings(block=50, query_block=3, hashes=2, probes=60)):
-        got = collections.defaultdict(set)
-        for r in ann.search(df, F.col("vec_id") % 50 == 0, settings=settings).collect():
-            got[r["query_id"]].add(r["vec_id"])
-        assert sum(len({i for _, i in want[q]} & got[q]) for q in want) / (5 * len(want)) >= 0.9
+    assert recall_of(spark, vectors, ann.Settings(block=50, query_block=3)) >= 0.9
+    assert recall_of(spark, vectors, ann.Settings(block=50, query_block=3, hashes=3)) >= 0.9
 
 
-def test_ann_recall_has_no_switch_by_size(spark):
+def test_ann_recall_of_evenly_spread_vectors(spark):
+    """The hardest case, with the shipped settings, end to end."""
     rng = np.random.default_rng(4)
-    vectors = {i: rng.standard_normal(64).tolist() for i in range(3000)}
-    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
-    small = {f.name: 1 for f in dataclasses.fields(ann.Settings) if f.name == "dense"}  # any size is large
-    want, got = exact(vectors), collections.defaultdict(set)
-    for r in ann.search(df, F.col("vec_id") % 50 == 0, settings=ann.Settings(**small)).collect():
-        got[r["query_id"]].add(r["vec_id"])
-    assert sum(len({i for _, i in want[q]} & got[q]) for q in want) / (5 * len(want)) >= 0.9
+    assert recall_of(spark, {i: rng.standard_normal(64).tolist() for i in range(3000)}) >= 0.9
+
+
+@pytest.mark.parametrize("count, most", [(40_000, 0.1), (4_000_000, 0.06)])
+def test_ann_rule_keeps_recall_with_few_candidates(count, most):
+    """Recall at 5 and share of candidates of the shipped settings: brute force over evenly spread vectors."""
+    s, rng = ann.Settings(), np.random.default_rng(5)
+    hashes, probes = ann.fit(count, 64, 5, s)
+    q = rng.standard_normal((100, 64)).astype(np.float32)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    near, high, some = np.zeros((100, 0, 64), np.float32), np.zeros((100, 0), np.float32), None
+    for _ in range(count // 40_000):
+        x = rng.standard_normal((40_000, 64), dtype=np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        some = x[:2000]
+        score = q @ x.T
+        top = np.argpartition(-score, 5, axis=1)[:, :5]
+        near = np.concatenate([near, x[top]], axis=1)
+        high = np.concatenate([high, np.take_along_axis(score, top, 1)], axis=1)
+        best = np.argsort(-high, axis=1)[:, :5]
+        near, high = np.take_along_axis(near, best[:, :, None], 1), np.take_along_axis(high, best, 1)
+    hit, met = np.zeros((100, 5), bool), np.zeros((100, len(some)), bool)
+    for t in range(s.tables):
+        own = ann.own_bucket(near.reshape(-1, 64).astype(float), t, hashes, s.seed).reshape(100, 5)
+        others = ann.own_bucket(some.astype(float), t, hashes, s.seed)
+        for i, probed in enumerate(ann.probed_buckets(q.astype(float), t, hashes, probes, s.seed)):
+            hit[i] |= np.isin(own[i], probed)
+            met[i] |= np.isin(others, probed)
+    assert hit.mean() >= 0.9 and met.mean() < most
+
+
+def test_ann_probes_are_the_best_buckets():
+    x = np.random.default_rng(6).standard_normal((4, 8))
+    for hashes, probes in ((1, 5), (2, 40), (3, 100), (2, 1 << 30)):
+        got = ann.probed_buckets(x, 0, hashes, probes, 1)
+        heights = [ann.signed_axes(x, 0, w, 1) for w in range(hashes)]
+        for i in range(4):
+            every = {b: sum(h[i, d] for h, d in zip(heights, digits, strict=True)) for b, digits in enumerate(itertools.product(range(16), repeat=hashes))}
+            want = sorted(every.values(), reverse=True)[:probes]
+            assert np.allclose([every[b] for b in got[i]], want) and len(set(got[i])) == len(want)
+        assert (got[:, 0] == ann.own_bucket(x, 0, hashes, 1)).all()
 
 
 def test_pseudo_rotation_keeps_lengths():
