@@ -15,11 +15,12 @@ closer neighbours is found more often. Hashes are added so that a bucket holds a
 ``bucket_rows`` of such vectors; two at least.
 
 Identical vectors are one entry that keeps its smallest ids, as many as a result can need,
-so copies cost nothing and lose nothing. Buckets are dealt into cells of about ``block``
-vectors; a query goes once to each cell that holds any of its buckets, with their numbers.
-Cells are counted first, and one above ``block`` vectors or ``query_block`` queries is cut into
-blocks of both sides, so that no task holds more than one block of each, however hot a
-bucket is. Inside a block only vectors of a query's own buckets are compared with it.
+so copies cost nothing and lose nothing. Buckets with one first axis are a cell; a query goes
+once to each cell that holds any of its buckets, with their numbers.
+Vectors and queries travel to their cells packed, some at a time. Cells are counted first, and
+one above ``block`` vectors or ``query_block`` queries is cut into blocks of both sides, so that
+no step holds more than some blocks of each, however hot a bucket is. Inside a block only
+vectors of a query's own buckets are compared with it, and a task passes on its best few.
 
 Defined results: vectors that are null, empty, all zero or hold null, NaN or infinite
 components take no part, nor do rows without an id; ties go to the smaller id; repeated
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import kept
+from stacklight.llm.common import each_group, kept
 
 
 @dataclass(frozen=True)
@@ -53,22 +54,38 @@ class Settings:
     bucket_rows: int = 4096
     hashes: int | None = None
     probes: int | None = None
+    cells: int = 128
     block: int = 1024
     query_block: int = 512
     pairs: int = 1000
     seed: int = 11
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """The Walsh-Hadamard transform of each row; the length is a power of two."""
+@lru_cache(maxsize=8)
+def _hadamard_matrix(size: int) -> np.ndarray:
+    out = np.ones((1, 1))
+    while len(out) < size:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
+def hadamard(x: np.ndarray, radix: int = 64) -> np.ndarray:
+    """The Walsh-Hadamard transform of each row, `radix` elements at a time; the length is a power of two."""
     n, width, h = len(x), x.shape[1], 1
     while h < width:
-        y = x.reshape(n, width // (2 * h), 2, h)
-        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(n, width)
-        h *= 2
+        r = min(radix, width // h)
+        y = x.reshape(n, width // (r * h), r, h)
+        x = (np.swapaxes(y, 2, 3) @ _hadamard_matrix(r)).swapaxes(2, 3).reshape(n, width) if h > 1 else (x.reshape(-1, r) @ _hadamard_matrix(r)).reshape(n, width)
+        h *= r
     return x
 
 
+@lru_cache(maxsize=4096)
+def _signs(table: int, which: int, seed: int, width: int) -> np.ndarray:
+    """(3, width) random signs, one row for each round."""
+    return np.random.default_rng([seed, table, which, width]).choice((-1.0, 1.0), (3, width))
+
+
 def padded(dims: int) -> int:
     """The power of two that vectors of a length are padded to."""
     return 1 << max(0, int(dims - 1).bit_length())
@@ -77,10 +94,10 @@ def padded(dims: int) -> int:
 def rotate(x: np.ndarray, table: int, which: int, seed: int) -> np.ndarray:
     """Pseudo-rotation `which` of a table; rows are padded to a power of two."""
     width = padded(x.shape[1])
-    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    rng = np.random.default_rng([seed, table, which, width])
-    for _ in range(3):
-        x = hadamard(x * rng.choice((-1.0, 1.0), width)) / width**0.5
+    if width > x.shape[1]:
+        x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+    for signs in _signs(table, which, seed, width):
+        x = hadamard(x * (signs / width**0.5))
     return x
 
 
@@ -94,8 +111,9 @@ def own_bucket(x: np.ndarray, table: int, hashes: int, seed: int) -> np.ndarray:
     """The bucket of each row: its nearest axes, as digits of one number."""
     name = np.zeros(len(x), np.int64)
     for which in range(hashes):
-        s = signed_axes(x, table, which, seed)
-        name = name * s.shape[1] + s.argmax(1)
+        turned = rotate(x, table, which, seed)
+        axis = np.abs(turned).argmax(1)
+        name = name * (2 * turned.shape[1]) + axis + turned.shape[1] * (turned[np.arange(len(x)), axis] < 0)
     return name
 
 
@@ -165,13 +183,9 @@ def fit(count: int, dims: int, k: int, s: Settings) -> tuple[int, int]:
     return hashes, max(1, min(whole, max(wanted, meets)))
 
 
-def cell_count(count: int, dims: int, hashes: int, s: Settings) -> int:
-    """Cells of a table: about ``block`` vectors each, and never more than there are buckets."""
-    return max(1, min(-(-count // s.block), (2 * padded(dims)) ** hashes))
-
-
-def _cell(bucket: np.ndarray, cells: int) -> np.ndarray:
-    return ((bucket.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(cells)).astype(np.int64)
+def _cell(bucket: np.ndarray, dims: int, hashes: int, s: Settings) -> np.ndarray:
+    """Buckets with one first axis share a cell: a query's best buckets lie in few of them, however many vectors there are."""
+    return bucket // (2 * padded(dims)) ** (hashes - 1) % s.cells
 
 
 def _matrix(column: pa.Array, dtype: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -185,44 +199,49 @@ def _matrix(column: pa.Array, dtype: str) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def _spots(batches: Iterator[pa.RecordBatch], s: Settings, k: int, counts: dict[int, int], dtype: str) -> Iterator[pa.RecordBatch]:
-    """Each row once for every table, in its cell and bucket."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        for rows, x in _matrix(batch.column("body"), dtype):
-            dims = x.shape[1]
-            hashes, _ = fit(counts[dims], dims, k, s)
-            cells, out = cell_count(counts[dims], dims, hashes, s), batch.take(pa.array(rows))
-            for t in range(s.tables):
-                bucket = own_bucket(x, t, hashes, s.seed)
-                arrays = [pa.array(np.full(len(x), t), pa.int32()), pa.array(_cell(bucket, cells)), pa.array(np.full(len(x), dims), pa.int32()), pa.array(bucket)]
-                yield pa.RecordBatch.from_arrays([*arrays, *out.columns], ["tab", "cell", "dims", "bucket", *out.schema.names])
+_PACKED = "tab int, cell bigint, dims int, kind int, n bigint, entries binary, extra binary, buckets binary, counts binary, body binary"
+_ROWS, _QUERIES = 0, 1
+#: Bytes of vectors that are hashed at once, and items in a packed row at most.
+HASHED_BYTES, PACKED_ROWS = 1 << 19, 64
+
+
+def _chunks(key: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Places of equal keys, at most `size` at a time."""
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])).tolist()
+    for first, last in zip(edges, [*edges[1:], len(key)], strict=True):
+        for at in range(first, last, size):
+            yield order[at : min(at + size, last)]
 
 
-def _probing(batches: Iterator[pa.RecordBatch], s: Settings, k: int, counts: dict[int, int], dtype: str) -> Iterator[pa.RecordBatch]:
-    """Each query once for every table and cell that it probes, with the numbers of its buckets there."""
+def _dealt(batches: Iterator[pa.RecordBatch], s: Settings, fits: dict[int, tuple[int, int]], dtype: str, kind: int) -> Iterator[pa.RecordBatch]:
+    """Vectors (entry, first_id, body) packed by table and cell: each once in every table with its bucket, or as a query in every cell that it probes, with its buckets there."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        entry, first = batch.column("entry").to_numpy(), batch.column("first_id").to_numpy()
         for rows, x in _matrix(batch.column("body"), dtype):
-            dims = x.shape[1]
-            hashes, probes = fit(counts[dims], dims, k, s)
-            cells, step = cell_count(counts[dims], dims, hashes, s), max(1, (1 << 21) // (probes * 8))
+            dims, raw = x.shape[1], np.frombuffer(b"".join(batch.column("body").take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
+            hashes, probes = fits[dims]
+            step = max(16, HASHED_BYTES // (8 * max(dims, probes if kind == _QUERIES else 1)))
             for at in range(0, len(x), step):
-                some, out = x[at : at + step], batch.take(pa.array(rows[at : at + step]))
+                some, out = x[at : at + step], []
                 for t in range(s.tables):
-                    bucket = probed_buckets(some, t, hashes, probes, s.seed)
-                    query, bucket = np.repeat(np.arange(len(some)), bucket.shape[1]), bucket.ravel()
-                    cell = _cell(bucket, cells)
-                    order = np.lexsort((bucket, cell, query))
-                    query, cell, bucket = query[order], cell[order], bucket[order]
-                    edges = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (cell[1:] != cell[:-1])]))
-                    ends = np.append(edges, len(query)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket))
-                    own = out.take(pa.array(query[edges]))
-                    arrays = [pa.array(np.full(len(edges), t), pa.int32()), pa.array(cell[edges]), pa.array(np.full(len(edges), dims), pa.int32()), lists]
-                    yield pa.RecordBatch.from_arrays([*arrays, *own.columns], ["tab", "cell", "dims", "probes", *own.schema.names])
+                    bucket = own_bucket(some, t, hashes, s.seed)[:, None] if kind == _ROWS else probed_buckets(some, t, hashes, probes, s.seed)
+                    who, bucket = np.repeat(np.arange(len(some)), bucket.shape[1]), bucket.ravel()
+                    cell = _cell(bucket, dims, hashes, s)
+                    order = np.lexsort((bucket, who, cell))
+                    who, cell, bucket = who[order], cell[order], bucket[order]
+                    # One item for each pair of a vector and a cell; a query's has several buckets.
+                    heads = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (cell[1:] != cell[:-1])]))
+                    sizes = np.diff(np.append(heads, len(who)))
+                    for own in _chunks(cell[heads], PACKED_ROWS):
+                        at_rows = rows[at + who[heads[own]]]
+                        listed = bucket[_ranges(heads[own], sizes[own])]
+                        out.append((t, cell[heads[own[0]]], dims, kind, len(own), entry[at_rows].tobytes(), first[at_rows].tobytes(), listed.tobytes(), sizes[own].astype(np.int32).tobytes(), raw[at + who[heads[own]]].tobytes()))
+                columns = list(zip(*out, strict=True))
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["tab", "cell", "dims", "kind", "n", "entries", "extra", "buckets", "counts", "body"])
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -230,39 +249,75 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
-def _nearest(queries: pa.Table, rows: pa.Table, dtype: str, keep: int, step: int = 1 << 17) -> pa.Table:
+class _Side:
+    """The rows or the queries of a block, unpacked."""
+
+    def __init__(self, table: pa.Table, dims: int, dtype: str):
+        read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        self.entry, self.first, self.bucket, self.count = (read(name, kind) for name, kind in (("entries", np.int64), ("extra", np.int64), ("buckets", np.int64), ("counts", np.int32)))
+        self.x = read("body", dtype).reshape(-1, dims).astype(np.float64)
+        self.length = np.sqrt((self.x * self.x).sum(1))
+
+
+#: query, entry, first_id, score
+_Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _best(found: _Found, keep: int) -> _Found:
+    """The best `keep` of each query, each entry once."""
+    query, entry, first, score = found
+    order = np.lexsort((entry, first, -score, query))
+    query, entry = query[order], entry[order]
+    once = np.concatenate([[True], (query[1:] != query[:-1]) | (entry[1:] != entry[:-1])]) if len(order) else np.zeros(0, bool)
+    order, query = order[once], query[once]
+    heads = np.concatenate([[True], query[1:] != query[:-1]]) if len(order) else np.zeros(0, bool)
+    place = np.arange(len(order)) - (np.flatnonzero(heads)[np.cumsum(heads) - 1] if len(order) else 0)
+    own = order[place < keep]
+    return tuple(c[own] for c in found)
+
+
+def _nearest(rows: _Side, queries: _Side, keep: int, step: int = 1 << 16) -> Iterator[_Found]:
     """For each query of a block, its best `keep` rows of the block in the buckets that it probes."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    if queries.num_rows and rows.num_rows:
-        matrix = lambda t: np.frombuffer(b"".join(t.column("body").to_pylist()), dtype).reshape(t.num_rows, -1).astype(np.float64)
-        bucket = rows.column("bucket").to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        q, c, bucket = matrix(queries), matrix(rows)[order], bucket[order]
-        q_long, c_long = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
-        first = np.array([i[0] for i in rows.column("ids").to_pylist()])[order]
-        lists = queries.column("probes").combine_chunks()
-        asker = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
-        named = lists.flatten().to_numpy()
-        starts = np.searchsorted(bucket, named)
-        sizes = np.searchsorted(bucket, named, side="right") - starts
-        met = sizes > 0
-        asker, starts, sizes = asker[met], starts[met], sizes[met]
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < len(asker):
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
-            row, who = _ranges(starts[at:end], sizes[at:end]), np.repeat(asker[at:end], sizes[at:end])
-            score = (c[row] * q[who]).sum(1) / (c_long[row] * q_long[who])
-            best = np.lexsort((first[row], -score, who))
-            who = who[best]
-            heads = np.concatenate([[True], who[1:] != who[:-1]])
-            place = np.arange(len(who)) - np.flatnonzero(heads)[np.cumsum(heads) - 1]
-            own = best[place < keep]
-            parts.append((who[place < keep], order[row[own]], first[row[own]], score[own]))
-            at = end
-    who, row, first, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    columns = [queries.column("key").take(pa.array(who)), rows.column("entry").take(pa.array(row)), rows.column("ids").take(pa.array(row)), pa.array(first, pa.int64()), pa.array(score)]
-    return pa.table(columns, ["query", "entry", "ids", "first_id", "score"])
+    order = np.argsort(rows.bucket, kind="stable")
+    bucket = rows.bucket[order]
+    asker = np.repeat(np.arange(len(queries.entry)), queries.count)
+    starts = np.searchsorted(bucket, queries.bucket)
+    sizes = np.searchsorted(bucket, queries.bucket, side="right") - starts
+    met = sizes > 0
+    asker, starts, sizes = asker[met], starts[met], sizes[met]
+    ends, at = np.cumsum(sizes), 0
+    while at < len(asker):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+        row, who = order[_ranges(starts[at:end], sizes[at:end])], np.repeat(asker[at:end], sizes[at:end])
+        score = (rows.x[row] * queries.x[who]).sum(1) / (rows.length[row] * queries.length[who])
+        yield _best((queries.entry[who], rows.entry[row], rows.first[row], score), keep)
+        at = end
+
+
+def _compared(batches: Iterator[pa.RecordBatch], dtype: str, keep: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The best `keep` rows of each query over all blocks of a task, or of as many as memory allows."""
+    waiting: list[_Found] = []
+    size = 0
+
+    def out(found: _Found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query", "entry", "first_id", "score"])
+
+    for block in each_group(batches, 5):
+        kind, dims = block.column("kind").to_numpy(), block.column("dims")[0].as_py()
+        sides = [block.filter(pa.array(kind == which)) for which in (_ROWS, _QUERIES)]
+        if not all(side.num_rows for side in sides):
+            continue
+        for found in _nearest(*(_Side(side, dims, dtype) for side in sides), keep):
+            waiting.append(found)
+            size += len(found[0])
+        if size > most:
+            waiting = [_best(tuple(np.concatenate(c) for c in zip(*waiting, strict=True)), keep)]
+            size = len(waiting[0][0])
+            if size > most // 2:
+                yield out(waiting.pop())
+                size = 0
+    if waiting:
+        yield out(_best(tuple(np.concatenate(c) for c in zip(*waiting, strict=True)), keep))
 
 
 def _usable(vec: str) -> Column:
@@ -295,23 +350,25 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     # A count for each vector length; nothing else of the data comes to the driver.
     wide = 4 if kind == "float" else 8
     counts = {r["dims"]: r["n"] for r in packed.groupBy((F.length("body") / wide).cast("int").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    named = "tab int, cell bigint, dims int, "
-    spots = packed.select("entry", "ids", "body").mapInArrow(lambda it: _spots(it, s, k, counts, dtype), named + "bucket bigint, entry bigint, ids array<bigint>, body binary")
-    probing = packed.where("asks").select("key", "body").mapInArrow(lambda it: _probing(it, s, k, counts, dtype), named + "probes array<bigint>, key binary, body binary")
+    fits = {dims: fit(n, dims, k, s) for dims, n in counts.items()}
+    own = packed.select("entry", F.col("ids")[0].alias("first_id"), "body", "asks")
+    dealt = own.drop("asks").mapInArrow(lambda it: _dealt(it, s, fits, dtype, _ROWS), _PACKED)
+    dealt = dealt.union(own.where("asks").drop("asks").mapInArrow(lambda it: _dealt(it, s, fits, dtype, _QUERIES), _PACKED))
+    dealt = kept(dealt)
     at = ["tab", "cell", "dims"]
-    sizes = spots.groupBy(at).agg(F.count(F.lit(1)).alias("n")).join(probing.groupBy(at).agg(F.count(F.lit(1)).alias("q")), at)
-    sizes = sizes.select(*at, F.ceil(F.col("n") / s.block).cast("int").alias("row_blocks"), F.ceil(F.col("q") / s.query_block).cast("int").alias("query_blocks"))
-    sizes = kept(sizes)
-    row_own, query_own = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)), F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    spots = spots.join(sizes, at).withColumn("row_block", (row_own % F.col("row_blocks")).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    probing = probing.join(sizes, at).withColumn("query_block", (query_own % F.col("query_blocks")).cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
-    place = [*at, "row_block", "query_block"]
-    probing, spots = probing.select(*place, "probes", "key", "body"), spots.select(*place, "bucket", "entry", "ids", "body")
-    met = probing.groupBy(place).cogroup(spots.groupBy(place)).applyInArrow(lambda a, b: _nearest(a, b, dtype, keep), "query binary, entry bigint, ids array<bigint>, first_id bigint, score double")
-    once = met.groupBy("query", "entry").agg(F.max("score").alias("score"), F.any_value("ids").alias("ids"), F.any_value("first_id").alias("first_id"))
+    of = lambda kind, size: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("kind") == kind, F.col("n"))) / size)).cast("int")
+    sizes = dealt.groupBy(at).agg(of(_ROWS, s.block).alias("row_blocks"), of(_QUERIES, s.query_block).alias("query_blocks"), F.bool_or(F.col("kind") == _QUERIES).alias("asked")).where("asked").drop("asked")
+    spot = F.pmod(F.xxhash64("entries"), F.lit(1 << 30))
+    is_row = F.col("kind") == _ROWS
+    mine, others = F.when(is_row, F.col("row_blocks")).otherwise(F.col("query_blocks")), F.when(is_row, F.col("query_blocks")).otherwise(F.col("row_blocks"))
+    placed = dealt.join(sizes, at).withColumn("mine", (spot % mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    placed = placed.select(*at, F.when(is_row, F.col("mine")).otherwise(F.col("other")).alias("row_block"), F.when(is_row, F.col("other")).otherwise(F.col("mine")).alias("query_block"), "kind", "entries", "extra", "buckets", "counts", "body")
+    placed = placed.repartition(*at, "row_block", "query_block").sortWithinPartitions(*at, "row_block", "query_block", "kind")
+    met = placed.mapInArrow(lambda it: _compared(it, dtype, keep), "query bigint, entry bigint, first_id bigint, score double")
+    once = met.groupBy("query", "entry").agg(F.max("score").alias("score"), F.any_value("first_id").alias("first_id"))
     best = once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))).where(F.col("n") <= keep)
-    lists = best.groupBy("query").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id"))))).alias("found"))
-    lists = lists.select(F.col("query").alias("key"), F.slice(F.array_sort("found"), 1, keep).alias("found"), F.lit(True).alias("asks"))
+    lists = best.join(packed.select("entry", "ids"), "entry").groupBy("query").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id"))))).alias("found"))
+    lists = lists.join(packed.select(F.col("entry").alias("query"), "key"), "query").select("key", F.slice(F.array_sort("found"), 1, keep).alias("found"), F.lit(True).alias("asks"))
     # Both sides are shuffled by two columns, so that a vector that many queries share can be split.
     asked = salted.where("asks").select("key", "id", "asks").join(lists, ["key", "asks"])
     ranked = asked.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)).alias("pos", "hit"))

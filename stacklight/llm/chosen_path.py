@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import byte_column, in_slices, joined_on_id, kept, utf8
+from stacklight.llm.common import byte_column, each_group, in_slices, joined_on_id, kept, utf8, whole_groups
 from stacklight.llm.components import components
 from stacklight.llm.shingles import mix, shingle_sets
 
@@ -100,26 +100,6 @@ def signatures(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text
     return rows.mapInArrow(lambda it: _signed(it, settings), "doc_id bigint, name binary, n bigint, sketch binary, paths array<bigint>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of equal leading `keys` columns in sorted batches, many small runs at a time; a run is never cut."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None and rest.num_rows else table
-        last = [table.column(k)[-1].as_py() for k in range(keys)]
-        same = np.ones(table.num_rows, bool)
-        for k in range(keys):
-            same &= table.column(k).to_numpy() == last[k]
-        cut = table.num_rows - int(same.sum())
-        if cut:
-            yield table.slice(0, cut)
-        rest = table.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _sketches(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
 
@@ -162,7 +142,7 @@ def _links(entry: np.ndarray, forest: _Forest) -> pa.RecordBatch:
 
 def _brute(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Plausible links inside small buckets; rows come sorted by bucket and entry."""
-    for table in _groups(batches, 1):
+    for table in whole_groups(batches, 1):
         bucket, entry, n, sk = table.column("bucket").to_numpy(), table.column("entry").to_numpy(), table.column("n").to_numpy(), _sketches(table)
         forest, gap = _Forest(len(bucket)), 1
         here = np.arange(len(bucket))
@@ -291,34 +271,30 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def _compared(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """entry, links (weights of its partners in this pair of blocks), root: the smallest entry that it is tied to here."""
-    for tables in _groups(batches, 3):
-        keys = np.stack([tables.column(k).to_numpy() for k in range(3)], axis=1)
-        edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-        for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True):
-            table = tables.slice(first, last - first)
-            entry, weight, block = (table.column(c).to_numpy() for c in ("entry", "weight", "block"))
-            low, high = keys[first, 1], keys[first, 2]
-            sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
-            n = np.array([len(x) for x in sets])
-            rows, columns = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            if not len(rows) or not len(columns):
-                continue
-            both = intersections([sets[i] for i in rows], [sets[i] for i in columns])
-            linked = both * (s.numerator + s.denominator) >= s.numerator * (n[rows][:, None] + n[columns])
-            linked &= (both > 0) & (entry[rows][:, None] != entry[columns])
-            count = np.zeros(len(entry), np.int64)
-            count[rows] += linked @ weight[columns]
-            if low != high:
-                count[columns] += weight[rows] @ linked
-            forest = _Forest(len(entry))
-            i, j = np.nonzero(linked)
-            forest.join(rows[i], columns[j])
-            # Roots are the smallest row numbers; name them by the smallest entry of the tree.
-            roots = forest.roots()
-            least = np.full(len(entry), np.iinfo(np.int64).max)
-            np.minimum.at(least, roots, entry)
-            own = count > 0
-            yield pa.RecordBatch.from_arrays([pa.array(entry[own], pa.int64()), pa.array(count[own], pa.int64()), pa.array(least[roots[own]], pa.int64())], ["entry", "links", "root"])
+    for table in each_group(batches, 3):
+        entry, weight, block = (table.column(c).to_numpy() for c in ("entry", "weight", "block"))
+        low, high = table.column(1)[0].as_py(), table.column(2)[0].as_py()
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        rows, columns = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if not len(rows) or not len(columns):
+            continue
+        both = intersections([sets[i] for i in rows], [sets[i] for i in columns])
+        linked = both * (s.numerator + s.denominator) >= s.numerator * (n[rows][:, None] + n[columns])
+        linked &= (both > 0) & (entry[rows][:, None] != entry[columns])
+        count = np.zeros(len(entry), np.int64)
+        count[rows] += linked @ weight[columns]
+        if low != high:
+            count[columns] += weight[rows] @ linked
+        forest = _Forest(len(entry))
+        i, j = np.nonzero(linked)
+        forest.join(rows[i], columns[j])
+        # Roots are the smallest row numbers; name them by the smallest entry of the tree.
+        roots = forest.roots()
+        least = np.full(len(entry), np.iinfo(np.int64).max)
+        np.minimum.at(least, roots, entry)
+        own = count > 0
+        yield pa.RecordBatch.from_arrays([pa.array(entry[own], pa.int64()), pa.array(count[own], pa.int64()), pa.array(least[roots[own]], pa.int64())], ["entry", "links", "root"])
 
 
 def join(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

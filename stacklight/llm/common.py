@@ -95,3 +95,40 @@ def in_slices(batches, column: int, most: int = 1 << 20):
             end = max(at + 1, int(offsets.searchsorted(offsets[at] + most, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+
+
+def whole_groups(batches, keys: int):
+    """Tables of whole runs of equal leading `keys` columns in sorted batches, many small runs at a time; a run is never cut."""
+    import numpy as np
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None and rest.num_rows else table
+        last = [table.column(k)[-1].as_py() for k in range(keys)]
+        same = np.ones(table.num_rows, bool)
+        for k in range(keys):
+            same &= table.column(k).to_numpy() == last[k]
+        cut = table.num_rows - int(same.sum())
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def each_group(batches, keys: int):
+    """The runs of equal leading `keys` columns in sorted batches, one table each."""
+    import numpy as np
+
+    for table in whole_groups(batches, keys):
+        columns = [table.column(k).to_numpy() for k in range(keys)]
+        fresh = np.zeros(table.num_rows, bool)
+        fresh[0] = True
+        for c in columns:
+            fresh[1:] |= c[1:] != c[:-1]
+        edges = np.flatnonzero(fresh).tolist()
+        for first, last in zip(edges, [*edges[1:], table.num_rows], strict=True):
+            yield table.slice(first, last - first)
