@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,13 +44,9 @@ def alias_column(names: Sequence[str], *aliases: str) -> Column:
     return first_filled(*found) if found else F.lit(None).cast("string")
 
 
-def _casefold(c: pd.Series) -> pd.Series:
-    return c.str.casefold()
-
-
 def casefold(c: str | Column) -> Column:
-    """Full case folding in an Arrow function, for keys that aren't ASCII; lower() does for others and stays in the JVM."""
-    return F.pandas_udf(_casefold, "string")(col(c))
+    """Case folding in the JVM: upper then lower case, so that "STRASSE" and "Straße" are one; a dotless i stays itself."""
+    return F.translate(F.lower(F.upper(F.translate(col(c), "ı", "\ue000"))), "\ue000", "ı")
 
 
 def slashed(c: str | Column) -> Column:
@@ -83,11 +78,11 @@ def is_image(c: str | Column) -> Column:
 
 def is_excluded(c: str | Column, excluded: Sequence[str] = EXCLUDED_COMPONENTS) -> Column:
     """An excluded component anywhere, a lock file or a temporary suffix."""
-    name = F.lower(portable_name(c))
+    name = casefold(portable_name(c))
     temporary = F.lit(False)
     for s in TEMPORARY_SUFFIXES:
         temporary = temporary | name.endswith(s)
-    return F.arrays_overlap(F.transform(components(c), F.lower), F.array(*(F.lit(x.lower()) for x in excluded))) | name.startswith("~$") | temporary
+    return F.arrays_overlap(F.transform(components(c), casefold), F.array(*(F.lit(x.casefold()) for x in excluded))) | name.startswith("~$") | temporary
 
 
 def valid_sha256(c: str | Column) -> Column:
@@ -104,7 +99,7 @@ def occurrence_id(c: str | Column) -> Column:
 
 
 def is_posted(bucket: str | Column) -> Column:
-    return F.coalesce(F.lower(col(bucket)).isin(*POSTED_BUCKETS), F.lit(False))
+    return F.coalesce(casefold(bucket).isin(*POSTED_BUCKETS), F.lit(False))
 
 
 def safe_component(c: str | Column, fallback: str) -> Column:

@@ -10,6 +10,9 @@ STABLE = ("processed", "baseline_identity_unverifiable")
 PENDING_BUCKET = "待复核"
 
 
+_TAGS = "array<struct<name:string,score:double>>"
+
+
 def status_of(occurrence_state: Column, item_state: Column, unverifiable: Column) -> Column:
     return (
         F.when((occurrence_state == "PROCESSED") | (item_state == "COMPLETE"), F.when(unverifiable, STABLE[1]).otherwise(STABLE[0]))
@@ -30,10 +33,34 @@ def diff_rows(frozen: DataFrame, decisions: DataFrame) -> DataFrame:
         F.when(stable, "processed").otherwise(F.col("status")).alias("processing_state"), "old_bucket", "proposed_bucket",
         F.when(F.col("audit_locked"), F.col("old_bucket")).otherwise(F.col("proposed_bucket")).alias("effective_bucket"),
         "identity", "confidence", "audit_locked", F.when(~F.col("audit_locked"), "candidate_only").alias("action"),
-        F.array_sort(F.array_distinct(why)).alias("review_reasons"), "reason",
+        F.array_sort(F.array_distinct(why)).alias("review_reasons"), "reason", *(c for c in ("evidence",) if c in frozen.columns),
     )
 
 
+def run_states(occ: DataFrame, items: DataFrame) -> DataFrame:
+    """A run's paths (source_path, asset_id, occurrence_state, baseline_identity_unverifiable, ...) with the status that its item (asset_id, state) gives them, and the evidence of the item's features."""
+    own = items.select("asset_id", F.col("state").alias("__item"), F.col("features").alias("__features") if "features" in items.columns else F.lit(None).cast("string").alias("__features"))
+    both = occ.join(own, "asset_id", "left")
+    status = status_of(F.col("occurrence_state"), F.col("__item"), F.col("baseline_identity_unverifiable"))
+    return both.withColumns({"status": status, "evidence": F.when(F.col("__features").isNotNull(), evidence(F.col("__features")))}).drop("__item", "__features")
+
+
+def run_diff(occ: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The diff rows of a run: statuses, decisions, evidence, strata for review, and unidentified paths held back."""
+    frozen = run_states(occ, items)
+    frozen = frozen if "reason" in frozen.columns else frozen.withColumn("reason", F.lit(None).cast("string"))
+    rows = diff_rows(frozen, decisions)
+    e = lambda name: F.col(f"evidence.{name}")
+    unidentified = (F.col("processing_state") == "processed") & (F.coalesce("identity", F.lit("")) == "")
+    found = strata(F.col("audit_locked"), e("explicit_score"), e("rating_explicit"), e("rating_sensitive"), e("rating_questionable"), e("quality_boundary"), unidentified)
+    return held_back(rows.withColumn("review_strata", found))
+
+
+def with_paths(queue: DataFrame, rows: DataFrame) -> DataFrame:
+    """The review queue with the path of each occurrence; the queue is the small side."""
+    return rows.select("occurrence_id", "source_path").join(F.broadcast(queue), "occurrence_id")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """occurrences, audit_locked, review_required: one aggregation."""
     n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
@@ -52,7 +79,9 @@ def evidence(features: Column) -> Column:
     dark = F.coalesce(get("$.technical.dark_clip_ratio"), F.lit(0.0)) > 0.1
     bright = F.coalesce(get("$.technical.bright_clip_ratio"), F.lit(0.0)) > 0.1
     ratings = [get(f"$.analysis.wd14_moat.rating_{r}").alias(f"rating_{r}") for r in ("general", "sensitive", "questionable", "explicit")]
-    return F.struct(*ratings, F.coalesce(get("$.analysis.nudenet.explicit_score"), F.lit(0.0)).alias("explicit_score"), (low | dark | bright).alias("quality_boundary"))
+    tags = F.slice(F.coalesce(F.from_json(F.get_json_object(features, "$.analysis.wd14_moat.top_tags"), _TAGS), F.array().cast(_TAGS)), 1, 8)
+    scores = (F.coalesce(get(f"$.analysis.nudenet.{name}"), F.lit(0.0)).alias(name) for name in ("explicit_score", "covered_score"))
+    return F.struct(*ratings, tags.alias("top_tags"), *scores, (low | dark | bright).alias("quality_boundary"))
 
 
 def strata(locked: Column, explicit_score: Column, rating_explicit: Column, rating_sensitive: Column, rating_questionable: Column, quality_boundary: Column, unidentified: Column) -> Column:

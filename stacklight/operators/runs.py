@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stacklight.functions.paths import casefold
 from stacklight.operators.assets import latest
 
 ITEM_STATES = ("PENDING", "LEASED", "RETRYABLE_FAILED", "COMPLETE", "SOURCE_CHANGED", "FAILED")
@@ -45,6 +46,33 @@ def transition(items: DataFrame, outcomes: DataFrame) -> DataFrame:
     return outcomes.join(own, "asset_id", "left").withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("held", "held_token")
 
 
+def ended(items: DataFrame, outcomes: DataFrame, payloads: tuple[str, ...] = ("features", "evidence", "embedding")) -> DataFrame:
+    """items after outcomes (asset_id, lease_token, state, error and payloads): an item leased under the token takes the state and loses its lease; what an outcome doesn't bring is emptied, so a failure keeps no payload. Stale outcomes change nothing."""
+    brought = [c for c in (*payloads, "error") if c in outcomes.columns]
+    said = transition(items, outcomes).where("accepted").select("asset_id", F.struct("state", *brought).alias("__said"))
+    own = items.join(said, "asset_id", "left")
+    hit = F.col("__said").isNotNull()
+    new = {c: F.when(hit, F.col(f"__said.{c}") if c in brought else F.lit(None)).otherwise(F.col(c)) for c in (*payloads, "error") if c in items.columns}
+    lease = {c: F.when(~hit, F.col(c)) for c in ("lease_owner", "lease_token", "lease_expires_at") if c in items.columns}
+    return own.withColumns({"state": F.when(hit, F.col("__said.state")).otherwise(F.col("state"))} | new | lease).drop("__said")
+
+
+def cascaded(occ: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """occ after accepted outcomes (asset_id, state): the frozen paths of a finished asset are processed, those of a changed one are changed; a retry or a failure leaves them frozen."""
+    said = outcomes.where(F.col("state").isin("COMPLETE", "SOURCE_CHANGED")).select("asset_id", F.when(F.col("state") == "COMPLETE", "PROCESSED").otherwise("SOURCE_CHANGED").alias("__to")).distinct()
+    own = occ.join(said, "asset_id", "left")
+    return own.withColumn("occurrence_state", F.when((F.col("occurrence_state") == "FROZEN") & F.col("__to").isNotNull(), F.col("__to")).otherwise(F.col("occurrence_state"))).drop("__to")
+
+
+def marked(occ: DataFrame, marks: DataFrame) -> DataFrame:
+    """occ with path-level outcomes (source_path, mark) of the kinds MISSING, SOURCE_CHANGED and ADDED_DEFERRED; any other kind and an unknown path are errors."""
+    bad = F.raise_error(F.concat(F.lit("not a path-level outcome: "), F.coalesce("mark", F.lit("null"))))
+    said = marks.select("source_path", F.when(F.col("mark").isin("MISSING", "SOURCE_CHANGED", "ADDED_DEFERRED"), F.col("mark")).otherwise(bad).alias("__mark"))
+    both = occ.withColumn("__known", F.lit(True)).join(said, "source_path", "full")
+    known = F.when(F.col("__known").isNull(), F.raise_error(F.concat(F.lit("unknown occurrence: "), "source_path"))).otherwise(F.coalesce("__mark", "occurrence_state"))
+    return both.withColumn("occurrence_state", known).drop("__known", "__mark")
+
+
 def retry_state(kind: Column, attempts: Column, most: int = MOST_ATTEMPTS) -> Column:
     """The state after an outcome: input and output errors retry until `most` attempts; bad images and unknown errors end; provider, memory and start-up trouble retries."""
     return (
@@ -74,6 +102,20 @@ def run_status(items: DataFrame, key: str = "run_id", state: str = "state") -> D
     return counts.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(state, "n")))).alias("states"))
 
 
+def run_counts(items: DataFrame, occ: DataFrame) -> DataFrame:
+    """run_id, kind (item or occurrence), state, n: what a run's status reports."""
+    of = lambda rows, state, kind: rows.groupBy("run_id", F.col(state).alias("state")).agg(F.count(F.lit(1)).alias("n")).select("run_id", F.lit(kind).alias("kind"), "state", "n")
+    return of(items, "state", "item").union(of(occ, "occurrence_state", "occurrence"))
+
+
+def create_counts(frozen: DataFrame, deferred: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """state, n: what creating a run reports: statuses of frozen (status) and deferred paths, and those of `prior` (occurrence_state), which an earlier attempt left, as resumed too."""
+    new = frozen.select(F.upper("status").alias("state")).union(deferred.select(F.upper("status")))
+    if prior is not None:
+        new = new.union(prior.select("occurrence_state")).union(prior.select(F.lit("RESUMED")))
+    return new.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def violations(items: DataFrame, occ: DataFrame) -> DataFrame:
     """kind, n for each broken rule: repeated keys, occurrences without their asset, unknown states."""
     repeated = items.groupBy("asset_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("duplicate_asset").alias("kind"), "n")
@@ -110,8 +152,8 @@ def freeze(baseline: DataFrame, files: DataFrame, cutoff: Column, now: Column, s
 
 def added_deferred(found: DataFrame, baseline: DataFrame, excluded: Column) -> DataFrame:
     """Discovered paths outside the baseline, compared without case, each once; excluded ones don't count."""
-    known = baseline.select(F.lower("source_path").alias("key")).distinct()
-    new = found.where(~excluded).select("source_path", F.lower("source_path").alias("key")).distinct()
+    known = baseline.select(casefold("source_path").alias("key")).distinct()
+    new = found.where(~excluded).select("source_path", casefold("source_path").alias("key")).distinct()
     return new.join(known, "key", "left_anti").select("source_path", F.lit("added_deferred").alias("status"), F.lit("not_in_baseline").alias("reason"))
 
 
@@ -121,5 +163,8 @@ def prune_statistics(items: DataFrame, *payloads: str) -> DataFrame:
     return items.where(size > 0).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("payload_chars"))
 
 
-def prune(items: DataFrame, *payloads: str) -> DataFrame:
+def prune(items: DataFrame, *payloads: str, decision_runs: DataFrame | None = None) -> DataFrame:
+    """items without payloads; refused while a run of decisions (status) isn't finished."""
+    if decision_runs is not None and decision_runs.where(F.col("status") == "CREATED").limit(1).count():
+        raise ValueError("a decision run is unfinished, so nothing is pruned")
     return items.withColumns({p: F.lit(None).cast(items.schema[p].dataType) for p in payloads})

@@ -33,11 +33,19 @@ def snapshots(files: DataFrame) -> DataFrame:
     return files.select(local_path("path").alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("asset_id"))
 
 
+def unchanged(now: DataFrame, expected: DataFrame) -> DataFrame:
+    """expected (source_path, size, asset_id, and modified or mtime_ns if times count) with outcome by what `now` lists: same, changed or missing. A touched file has changed."""
+    compared = [c for c in ("size", "asset_id", "modified", "mtime_ns") if c in expected.columns and c in now.columns]
+    found = now.select("source_path", F.struct(*compared).alias("__now"))
+    same = F.lit(True)
+    for c in compared:
+        same = same & F.col(f"__now.{c}").eqNullSafe(F.col(c))
+    return expected.join(found, "source_path", "left").withColumn("outcome", F.when(F.col("__now").isNull(), "missing").when(same, "same").otherwise("changed")).drop("__now")
+
+
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """expected (source_path, size, asset_id) with outcome: same, changed or missing."""
-    now = snapshots(files).select("source_path", F.col("size").alias("__size"), F.col("asset_id").alias("__id"))
-    same = F.col("__size").eqNullSafe(F.col("size")) & F.col("__id").eqNullSafe(F.col("asset_id"))
-    return expected.join(now, "source_path", "left").withColumn("outcome", F.when(F.col("__id").isNull(), "missing").when(same, "same").otherwise("changed")).drop("__size", "__id")
+    """unchanged() against discovered files."""
+    return unchanged(snapshots(files), expected)
 
 
 def _stat_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from stacklight.plans import catalog
+from stacklight.plans import catalog, catalog_runs  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
