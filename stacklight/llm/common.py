@@ -79,11 +79,6 @@ def binary_array(offsets, data) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of df's sources; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def in_slices(batches, column: int, most: int = 1 << 20):
     """The batches cut into runs of rows whose `column` has about `most` bytes; a longer single value stays whole."""
     for batch in batches:

@@ -19,9 +19,11 @@ them are alone; so the sort is dealt out by anchors, without losing a match:
    are one group, and all but its smallest document lose those bytes.
 4. Removal. The intervals go back to the part of the corpus they came from.
 
-Documents are dealt into parts of bounded size by a hash of doc_id, once; every stage reads
-that same exchange. Counts, contexts and intervals are packed into binary columns, a row
-for each part and bucket.
+Documents are dealt into parts of bounded bytes by a hash of row and input split, once; every
+stage reads that same exchange, so neither rows without an id nor repeated ones share a part
+for it. Counts, contexts and intervals are packed into binary columns, a row for each part and
+bucket that have any: a part sends at most a row for each anchor, however many buckets there
+are, and rows grow with the input.
 
 Defined results: a null text is an empty text; texts below ``length`` bytes lose nothing;
 rows that repeat a doc_id don't remove each other's bytes; a null doc_id ranks after every
@@ -31,19 +33,17 @@ other id; matches never cross documents, and are judged on the input; other colu
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import binary_array, byte_column, input_bytes, utf8
+from stacklight.llm.common import binary_array, byte_column, utf8
 
 LENGTH, K = 50, 24
-#: Bytes of stored input for each part, until a part and a bucket would share fewer than some 64 anchors: from then on
-#: parts grow with the root of the input, ROW_BYTES being the input for each pair of a part and a bucket.
-PART_BYTES, LEAST_PARTS, ROW_BYTES = 2 << 20, 64, 900
+#: Bytes of text for each part, the fewest parts, and the most buckets (their numbers come from 24 bits of a hash).
+PART_BYTES, LEAST_PARTS, MOST_BUCKETS = 8 << 20, 64, 1 << 22
 #: Anchors above so many occurrences send windows.
 HOT = 4096
 #: At most about so many bytes are suffix-sorted at once (groups of one anchor stay together).
@@ -214,10 +214,12 @@ def _packed(**columns) -> pa.Table:
     return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
-def _bucketed(buckets: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts by bucket, the edges of each bucket in it)."""
+def _bucketed(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts by bucket, the buckets that occur, the edges of each in that order)."""
     order = np.argsort(buckets, kind="stable")
-    return order, np.searchsorted(buckets[order], np.arange(count + 1))
+    ascending = buckets[order]
+    heads = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(order) else np.zeros(0, np.int64)
+    return order, ascending[heads], np.append(heads, len(order))
 
 
 def _runs(edges: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -241,9 +243,9 @@ def _ask(table: pa.Table, count: int) -> pa.Table:
     ids, offsets, data = _part(table)
     _, hashes = anchors(data, offsets)
     own, counts = np.unique(hashes, return_counts=True)
-    order, edges = _bucketed(_bucket_of(own, count), count)
-    part, filled = table.column("part")[0].as_py(), pa.array(np.diff(edges) > 0)
-    return _packed(bucket=np.arange(count), part=np.full(count, part), hashes=_runs(edges, own[order].view(np.uint8).reshape(-1, 8)[:, :5]), counts=_runs(edges, np.minimum(np.round(16 * np.log2(counts)), 255).astype(np.uint8)[order])).filter(filled)
+    order, buckets, edges = _bucketed(_bucket_of(own, count))
+    part = table.column("part")[0].as_py()
+    return _packed(bucket=buckets, part=np.full(len(buckets), part), hashes=_runs(edges, own[order].view(np.uint8).reshape(-1, 8)[:, :5]), counts=_runs(edges, np.minimum(np.round(16 * np.log2(counts)), 255).astype(np.uint8)[order]))
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -299,9 +301,9 @@ def _intervals(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     if len(out) < 2:
         return out
     out = out[np.lexsort((out["start"], out["doc"]))]
-    far = out["doc"].astype(np.float64) * 2.0**40 + (out["start"] + out["size"])
-    reach = np.maximum.accumulate(far)
-    begin = out["doc"].astype(np.float64) * 2.0**40 + out["start"]
+    base = out["doc"].astype(np.int64) << 40
+    begin, end = base + out["start"].astype(np.int64), base + (out["start"] + out["size"]).astype(np.int64)
+    reach = np.maximum.accumulate(end)
     fresh = np.concatenate([[True], begin[1:] > reach[:-1]])
     heads = np.flatnonzero(fresh)
     last = np.concatenate([heads[1:], [len(out)]]) - 1
@@ -316,7 +318,7 @@ def _contexts(table: pa.Table, answers: pa.Table, count: int) -> pa.Table:
     part = table.column("part")[0].as_py()
     places, hashes, lo, hi = anchors(data, offsets, owned=True)
     own, inverse = np.unique(hashes, return_inverse=True)
-    order, _ = _bucketed(_bucket_of(own, count), count)
+    order, _, _ = _bucketed(_bucket_of(own, count))
     by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True))
     flags = np.zeros(len(own), np.uint8)
     flags[order] = np.frombuffer(b"".join(f for _, f in by_bucket), np.uint8)
@@ -362,10 +364,9 @@ def _contexts(table: pa.Table, answers: pa.Table, count: int) -> pa.Table:
         rows, metas = body[keep][:, :_CTX], meta
     else:
         rows, metas, spans = np.zeros((0, _CTX), np.uint8), np.zeros(0, _META), np.zeros(0, _SPANS)
-    order, edges = _bucketed(_bucket_of(metas["key"], count), count)
-    own_bucket = part % count
-    settled = [spans.tobytes() if b == own_bucket else b"" for b in range(count)]
-    metas, heads = metas[order], edges[:-1][edges[:-1] < len(order)]
+    order, buckets, edges = _bucketed(_bucket_of(metas["key"], count))
+    metas, heads = metas[order], edges[:-1]
+    buckets, edges = np.append(buckets, part % count), np.append(edges, edges[-1])  # a last row carries the spans that are settled
     sent = {}
     for name, kind, differs in _SENT:
         column = metas[name].astype(kind)
@@ -374,8 +375,8 @@ def _contexts(table: pa.Table, answers: pa.Table, count: int) -> pa.Table:
             steps[heads] = column[heads]
             column = steps
         sent[name] = _runs(edges, column)
-    filled = (np.diff(edges) > 0) | np.array([bool(b) for b in settled])
-    return _packed(bucket=np.arange(count), part=np.full(count, part), body=_runs(edges, rows[order]), **sent, spans=pa.array(settled, pa.binary())).filter(pa.array(filled))
+    settled = pa.array([b""] * (len(buckets) - 1) + [spans.tobytes()], pa.binary())
+    return _packed(bucket=buckets, part=np.full(len(buckets), part), body=_runs(edges, rows[order]), **sent, spans=settled).slice(0, len(buckets) - (not len(spans)))
 
 
 def _sort(table: pa.Table) -> pa.Table:
@@ -444,11 +445,12 @@ def _sort(table: pa.Table) -> pa.Table:
 
 def covered(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """For each byte of a part whether a span covers it."""
-    change = np.zeros(int(offsets[-1]) + 1, np.int32)
-    start = offsets[spans["doc"].astype(np.int64)] + spans["start"].astype(np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + spans["size"].astype(np.int64), -1)
-    return np.cumsum(change[:-1]) > 0
+    gone = np.zeros(int(offsets[-1]), bool)
+    merged = _intervals(spans["doc"], spans["start"], spans["size"])
+    starts = offsets[merged["doc"].astype(np.int64)] + merged["start"].astype(np.int64)
+    for start, size in zip(starts.tolist(), merged["size"].tolist(), strict=True):
+        gone[start : start + size] = True
+    return gone
 
 
 def _remove(table: pa.Table, spans: pa.Table, texts: bool) -> pa.Table:
@@ -482,17 +484,22 @@ _EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], p
 _EMPTY_TEXTS = _EMPTY.append_column("kept", pa.array([], pa.binary()))
 
 
-def part_count(size: int) -> int:
-    """Parts, and buckets, for an input of so many stored bytes."""
-    return max(LEAST_PARTS, min(-(-size // PART_BYTES), math.isqrt(size // ROW_BYTES)))
+def part_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Parts for the bytes that the texts have: one aggregation over their lengths, whatever the source says of its size."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(LEAST_PARTS, -(-size // PART_BYTES))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document; with `texts` also the kept bytes."""
-    count = parts or part_count(input_bytes(docs.select(id_col, text_col)))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(count)).cast("bigint").alias("part"), F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
-    asked = dealt.groupBy("part").applyInArrow(lambda t: _ask(t, count), "bucket bigint, part bigint, hashes binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "part bigint, bucket bigint, flags binary")
-    cut = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda t, a: _contexts(t, a, count), "bucket bigint, part bigint, body binary, doc_id binary, doc binary, start binary, lo binary, hi binary, spans binary")
-    spans = cut.groupBy("bucket").applyInArrow(_sort, "part bigint, spans binary")
-    return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _remove(t, s, texts), _SCHEMA + ", kept binary" * texts)
+    count = parts or part_count(docs, text_col)
+    buckets = min(count, MOST_BUCKETS)
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
+    part = F.pmod(F.xxhash64("doc_id", "body", F.spark_partition_id()), F.lit(count)).cast("bigint")
+    # Exchanges have a partition for each part or bucket, so that no task grows with the input.
+    dealt = own.select(part.alias("part"), "doc_id", "body").repartition(count, "part")
+    asked = dealt.groupBy("part").applyInArrow(lambda t: _ask(t, buckets), "bucket bigint, part bigint, hashes binary, counts binary")
+    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, "part bigint, bucket bigint, flags binary")
+    cut = dealt.groupBy("part").cogroup(answers.repartition(count, "part").groupBy("part")).applyInArrow(lambda t, a: _contexts(t, a, buckets), "bucket bigint, part bigint, body binary, doc_id binary, doc binary, start binary, lo binary, hi binary, spans binary")
+    spans = cut.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort, "part bigint, spans binary")
+    return dealt.groupBy("part").cogroup(spans.repartition(count, "part").groupBy("part")).applyInArrow(lambda t, s: _remove(t, s, texts), _SCHEMA + ", kept binary" * texts)

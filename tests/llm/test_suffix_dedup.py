@@ -81,6 +81,30 @@ def test_nulls_repeats_and_long_texts(spark):
 
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA), parts=2).collect() == []
+    assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_default_parts_on_rows_in_memory_and_joined(spark):
+    """Spark knows no size of such rows; parts come from the bytes of the texts."""
+    docs = made(4)
+    rows = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA)
+    assert S.part_count(rows) == S.LEAST_PARTS
+    want = brute([(i, t.encode()) for i, t in docs])
+    assert {r[0]: tuple(r[1:]) for r in S.remove_repeats(rows).collect()} == want
+    joined = rows.join(rows.select("doc_id"), "doc_id")
+    assert {r[0]: tuple(r[1:]) for r in S.remove_repeats(joined).collect()} == want
+
+
+def test_rows_without_an_id_share_no_part(spark):
+    line = "the same line of more than fifty bytes in each of these documents. "
+    rows = [(None, f"{line}{i}", "a") for i in range(40)] + [(7, f"{line}{i}", "a") for i in range(40)]
+    got = [(r["doc_id"], r["n_removed"]) for r in S.remove_repeats(spark.createDataFrame(rows, SCHEMA), parts=8).collect()]
+    assert sorted(n for i, n in got if i == 7) == [0] * 40 and all(n >= len(line) for i, n in got if i is None) and len(got) == 80
+
+
+def test_spans_of_many_documents_merge_exactly():
+    doc = np.array([70_000, 70_000, 3, 70_000]); start = np.array([9, 10, 1, 2]); size = np.array([1, 5, 2, 3])  # noqa: E702
+    assert [tuple(int(v) for v in x) for x in S._intervals(doc, start, size)] == [(3, 1, 2), (70_000, 2, 3), (70_000, 9, 6)]
 
 
 def test_kept_texts(spark):
