@@ -1,14 +1,16 @@
 """Exact deduplication by content-defined chunk recipes.
 
-Each text is normalised (A-Z lower-cased), cut into chunks at places that its own bytes
-choose, and every chunk gets a verified identifier: its SHA-256, so that equal identifiers
-mean equal bytes. A document's recipe is the ordered list of its identifiers. Texts are
-equal exactly when their recipes are. From here on only recipes are compared: a text is
-read once by the task that scans it and is never shuffled, however long it is.
+Each text is normalised (A-Z lower-cased) and cut into chunks at places that its own bytes
+choose. The chunk store keeps every distinct chunk once: its identifier is the first half of
+its SHA-256, and the bytes that come under one identifier are compared, so equal identifiers
+are known to mean equal bytes. Bytes move once for each task that meets a chunk, as chunks, never
+as documents. A document's recipe is the ordered list of its identifiers. Texts are equal
+exactly when their recipes are, and only these lists are shuffled and compared.
 
 Defined results: a null text is an empty text; all empty texts are equal; a null doc_id
 ranks below every other id; rows that repeat a doc_id are one document and get the same
-result; other columns are ignored, whatever their names.
+result; an identifier that stands for two chunks raises; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from pyspark.sql import functions as F
 from stacklight.llm.common import byte_column, in_slices, kept, utf8
 
 #: Cut where the hash of the last WINDOW bytes has MASK_BITS zero bits; chunks have MIN_CHUNK to MAX_CHUNK bytes (but for a text's last).
-WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 11, 256, 65_536
+WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 128, 65_536
+#: Bytes of an identifier, and bytes of chunks that a task remembers, so that it need not send them again.
+ID_BYTES, REMEMBERED = 16, 16 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_RECIPES = "doc_id bigint, n_bytes bigint, text_sha256 string, n_chunks bigint, recipe binary"
+_RECIPES = "doc_id bigint, n_bytes bigint, text_sha256 string, n_chunks bigint, recipe array<binary>"
+_CHUNKS = "chunk_id binary, n_bytes bigint, n_uses bigint, first_doc_id bigint, content binary"
 
 
 def cut_hashes(data: np.ndarray) -> np.ndarray:
@@ -59,51 +64,95 @@ def cut_points(offsets: np.ndarray, data: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], wanted: str) -> Iterator[pa.RecordBatch]:
+def _lowered(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int, int]]]]:
+    """For each text of a batch its normalised bytes and the (start, end) of its chunks."""
+    offsets, raw = byte_column(batch.column(1))
+    lowered = raw.tobytes().translate(_LOWER)
+    view = memoryview(lowered)
+    for start, end, ends in zip(offsets[:-1].tolist(), offsets[1:].tolist(), cut_points(offsets, np.frombuffer(lowered, np.uint8)), strict=True):
+        yield view[start:end], list(zip([0, *ends], ends, strict=False))
+
+
+def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(batches, 1):
+        digests, sizes, lists = [], [], []
+        for text, spans in _lowered(batch):
+            ids = [hashlib.sha256(text[a:b]).digest() for a, b in spans]
+            digests.append(ids[0].hex() if len(ids) == 1 else hashlib.sha256(text).hexdigest())
+            sizes.append(len(text))
+            lists.append([i[:ID_BYTES] for i in ids])
+        n_chunks = pa.array([len(x) for x in lists], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), n_chunks, pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "text_sha256", "n_chunks", "recipe"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice's distinct chunks with their uses; bytes only where the task hasn't sent them of late. Bytes that it remembers are compared."""
+    sent: dict[bytes, bytes] = {}
+    held = 0
     for batch in in_slices(batches, 1):
-        offsets, raw = byte_column(batch.column(1))
-        lowered = raw.tobytes().translate(_LOWER)
-        cuts = cut_points(offsets, np.frombuffer(lowered, np.uint8))
-        view = memoryview(lowered)
-        rows: dict[str, list] = {"sha": [], "n": [], "recipe": [], "chunks": []}
-        for start, end, ends in zip(offsets[:-1].tolist(), offsets[1:].tolist(), cuts, strict=True):
-            spans = list(zip([0, *ends], ends, strict=False))
-            ids = [hashlib.sha256(view[start + a : start + b]).digest() for a, b in spans]
-            rows["sha"].append(ids[0].hex() if len(ids) == 1 else hashlib.sha256(view[start:end]).hexdigest())
-            rows["n"].append(len(ids))
-            rows["recipe"].append(hashlib.sha256(b"".join(ids)).digest())
-            if wanted == "chunks":
-                rows["chunks"].append([{"chunk_id": i, "n_bytes": b - a} for i, (a, b) in zip(ids, spans, strict=True)])
-        n_bytes = pa.array(np.diff(offsets), pa.int64())
-        if wanted == "chunks":
-            kind = pa.list_(pa.struct([("chunk_id", pa.binary()), ("n_bytes", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows["chunks"], kind)], ["doc_id", "chunks"])
-        else:
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(rows["sha"], pa.string()), pa.array(rows["n"], pa.int64()), pa.array(rows["recipe"], pa.binary())], ["doc_id", "n_bytes", "text_sha256", "n_chunks", "recipe"])
+        uses: dict[bytes, list] = {}
+        for doc_id, (text, spans) in zip(batch.column(0).to_pylist(), _lowered(batch), strict=True):
+            for a, b in spans:
+                content = bytes(text[a:b])
+                name = hashlib.sha256(content).digest()[:ID_BYTES]
+                row = uses.get(name)
+                if row is None:
+                    row = uses[name] = [0, None, content]
+                elif row[2] != content:
+                    raise ValueError(f"identifier {name.hex()} stands for two chunks")
+                row[0] += 1
+                if doc_id is not None and (row[1] is None or doc_id < row[1]):
+                    row[1] = doc_id
+        out = []
+        for name, (n, first, content) in uses.items():
+            known = sent.get(name)
+            if known is None:
+                sent[name] = content
+                held += len(content)
+            elif known != content:
+                raise ValueError(f"identifier {name.hex()} stands for two chunks")
+            out.append((name, len(content), n, first, content if known is None else None))
+        if held > REMEMBERED:
+            sent.clear()
+            held = 0
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk_id", "n_bytes", "n_uses", "first_doc_id", "content"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, text_sha256, n_chunks, recipe (digest of the ordered chunk identifiers); one row per input row."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
-    return rows.mapInArrow(lambda it: _chunked(it, "recipes"), _RECIPES)
+    """doc_id, n_bytes, text_sha256, n_chunks, recipe (the ordered chunk identifiers); one row per input row."""
+    return _rows(docs, id_col, text_col).mapInArrow(_recipes, _RECIPES)
 
 
 def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every distinct chunk once: chunk_id (SHA-256), n_bytes, n_uses, first_doc_id. Chunk bytes are not moved."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
-    lists = rows.mapInArrow(lambda it: _chunked(it, "chunks"), "doc_id bigint, chunks array<struct<chunk_id:binary,n_bytes:bigint>>")
-    each = lists.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
-    return each.groupBy("chunk_id", "n_bytes").agg(F.count(F.lit(1)).alias("n_uses"), F.min("doc_id").alias("first_doc_id"))
+    """Every distinct chunk once: chunk_id, n_bytes, n_uses, first_doc_id, content, verified (all bytes under the identifier are equal)."""
+    each = _rows(docs, id_col, text_col).mapInArrow(_chunks, _CHUNKS)
+    same = (F.min("content") == F.max("content")) & (F.min("n_bytes") == F.max("n_bytes"))
+    return each.groupBy("chunk_id").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_uses").alias("n_uses"), F.min("first_doc_id").alias("first_doc_id"), F.min("content").alias("content"), same.alias("verified"))
+
+
+def verify(store: DataFrame) -> int:
+    """The number of identifiers in a store; one that stands for two chunks raises."""
+    counts = store.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("verified"), 1)).alias("bad")).first()
+    if counts["bad"]:
+        raise ValueError(f"{counts['bad']} identifiers stand for two chunks")
+    return counts["n"]
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_bytes, n_chunks for every row of docs.
 
-    Groups are counted with map-side partial aggregation, so a text that a third of all rows
-    share costs one partial row per task. The groups come back to their rows in a join on
-    recipe and chunk count; both sides are shuffled for it, and so adaptive execution may
-    split a skewed recipe.
+    Identifiers are verified by the chunk store first. Groups of equal lists are counted with
+    map-side partial aggregation, so a text that a third of all rows share costs one partial
+    row per task. The groups come back to their rows in a join on list and chunk count; both
+    sides are shuffled for it, and so adaptive execution may split a skewed recipe.
     """
+    verify(chunk_store(docs, id_col, text_col))
     own = kept(recipes(docs, id_col, text_col))
     groups = own.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("n_chunks").alias("n_chunks"))
     groups = groups.where("group_size > 1")

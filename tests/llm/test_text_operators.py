@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stacklight.llm import bpe, chunk_dedup, html_text, licenses, mixing, queries, toxicity, warc
 
@@ -63,6 +64,30 @@ def test_chunk_store(spark):
     rows = [(1, "x" * 100, "en", "a"), (2, "x" * 100, "en", "a"), (3, "y", "en", "a")]
     got = {(r["n_bytes"], r["n_uses"], r["first_doc_id"]) for r in chunk_dedup.chunk_store(docs_frame(spark, rows)).collect()}
     assert got == {(100, 2, 1), (1, 1, 3)}
+    store = chunk_dedup.chunk_store(docs_frame(spark, rows))
+    assert {bytes(r["content"]) for r in store.collect()} == {b"x" * 100, b"y"} and chunk_dedup.verify(store) == 2
+
+
+def test_an_identifier_of_two_chunks_raises(spark, monkeypatch):
+    rows = [(i, f"text number {i}", "en", "a") for i in range(20)]
+    store = chunk_dedup.chunk_store(docs_frame(spark, rows))
+    assert chunk_dedup.verify(store) == 20
+    with pytest.raises(ValueError):
+        chunk_dedup.verify(store.withColumn("verified", F.col("n_bytes") < 0))
+    monkeypatch.setattr(chunk_dedup, "ID_BYTES", 0)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"one", b"two"])], ["doc_id", "body"])
+    with pytest.raises(ValueError):
+        list(chunk_dedup._chunks(iter([batch])))
+
+
+def test_recipes_are_ordered_lists(spark):
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(97, 123, 20_000)))
+    rows = [(1, text, "en", "a"), (2, text.upper(), "en", "a"), (3, text[10_000:] + text[:10_000], "en", "a")]
+    got = {r["doc_id"]: r["recipe"] for r in chunk_dedup.recipes(docs_frame(spark, rows)).collect()}
+    assert got[1] == got[2] != got[3] and len(got[1]) > 10 and len(set(map(bytes, got[1])) & set(map(bytes, got[3]))) > 8
 
 
 # --- byte-level BPE
