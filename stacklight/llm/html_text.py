@@ -2,14 +2,18 @@
 
 Markup is stripped into lines, one for each block; every block boundary ends a line.
 Elements that are boilerplate by their kind (scripts, navigation, asides, forms, footers,
-adverts, notices, reader comments and the like, told by tag, role or class words) leave an
-empty line in their place, as does any run of container edges: one, however deep they nest,
-so that layout alone never parts an article. Lists of links leave a window of empty lines.
-Text lengths are summed over a sliding window of lines. A surge is a line where the sum rises
-from nothing, a dive one where it falls back to nothing. The article is the stretch between
-them with the most text, and with it every other one that has a line in the same container,
-that has ``ENOUGH`` text of its own, or that lies between two such, short lines included.
-Where a page marks articles or a main part, all that is inside the marks is the article.
+adverts, notices, reader comments and the like, told by tag, role or a container's class words)
+leave an empty line in their place, as does any run of container edges: one, however deep they
+nest, so that layout alone never parts an article. Lists of links leave a window of empty lines.
+
+Text lengths, without links, are summed over every window of WINDOW lines. A surge is where the
+sums rise to a threshold, a dive where they fall below it again: ENOUGH characters, or
+half of the largest sum on a page that has no such window. A line belongs to the
+stretch between a surge and a dive if any window over it reaches the threshold, so short lines
+beside text stay. The article is all that lies between the first surge and the last dive, with
+the rest of the container that holds most of the text there: what a page has before, after or
+beside that and has no dense text of its own is no article. Where a page marks articles or a
+main part, the lines outside are empty and any line inside reaches the threshold.
 
 Defined results: a null or empty page has an empty text and 0 characters; an unclosed
 element ends with its container or the page; a stray "<" is text; white space inside a block
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from typing import NamedTuple
@@ -34,7 +39,7 @@ from stacklight.llm.common import in_slices, utf8
 #: Lines in a window. The edge of the body and a list of links count as so many empty lines; a list has at least so many links.
 WINDOW = 3
 
-#: Characters outside links that make a stretch part of the article wherever it stands.
+#: Characters outside links that a window of dense text has.
 ENOUGH = 100
 
 # Element names of HTML by their part in a page, and words in class or id that mark boilerplate.
@@ -52,6 +57,12 @@ MARKS = {
     "disqus", "reply", "replies", "pagination", "pager", "tags", "toolbar", "skip",
 }
 
+#: Words that mark boilerplate only where no word of ARTICLE stands beside them: an article's own header is its title.
+SOFT = {"header", "notice", "promotion", "tags", "related", "banner", "toolbar", "search"}
+ARTICLE = {"article", "post", "entry", "story", "content", "main", "page", "text", "body", "blog", "news"}
+#: Elements whose class words count: parts of a layout, not the text's own blocks.
+LAYOUT = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "figure", "details", "fieldset", "center", "li", "blockquote"}
+
 _ATTRS = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -59,6 +70,12 @@ _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _BLANKS = re.compile(r"\s+")
 
 
+def _marks(token: str) -> bool:
+    """Whether a class or id says boilerplate."""
+    words = {x.lower() for x in _PARTS.findall(token)}
+    return bool(words & (MARKS - SOFT)) or bool(words & SOFT) and not words & (ARTICLE - {"page"} if "header" in words else ARTICLE)
+
+
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in BOILERPLATE:
         return not (tag == "header" and in_article)
@@ -68,13 +85,13 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = name.lower(), html.unescape(a or b or c)
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and any(x.lower() in MARKS for x in _PARTS.findall(value)):
+        if name in ("class", "id") and tag in LAYOUT and any(_marks(token) for token in value.split()):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or "display:none" in attrs.replace(" ", "")
 
 
 class Line(NamedTuple):
-    """inside: an article or main part. owner: number of the innermost container. linked, links: characters in links, and their number."""
+    """inside: an article or main part. owner: number of the innermost container, which is above those of all inside it. linked, links: characters in links, and their number."""
 
     text: str
     inside: bool
@@ -91,9 +108,10 @@ def _edge(tag: str) -> int:
     return WINDOW if tag == "body" else 1 if tag in ("article", "main", "div", "section", "table") or tag in BOILERPLATE else 0
 
 
-def lines(page: str) -> list[Line]:
-    """The lines of the stripped page; empty lines part containers."""
+def lines(page: str) -> tuple[list[Line], list[int]]:
+    """The lines of the stripped page, where empty lines part containers, and the container around each container."""
     out: list[Line] = []
+    around = [-1]
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open containers: tag, whether its content is dropped
     owners = [0]  # numbers of the page and of the open containers
@@ -163,6 +181,7 @@ def lines(page: str) -> list[Line]:
                 drops = _boilerplate(tag, attrs, marked > 0)
                 stack.append((tag, drops))
                 opened += 1
+                around.append(owners[-1])
                 owners.append(opened)
                 dropped += drops
                 marked += tag in ("article", "main")
@@ -172,17 +191,21 @@ def lines(page: str) -> list[Line]:
         elif tag in BLOCKS:
             end_line()
     end_line()
-    return out
+    return out, around
 
 
-def stretches(sizes: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) pairs: where the window sums of text lengths leave zero and where they are zero again."""
+def stretches(sizes: np.ndarray, threshold: int = 1, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[surge, dive) pairs: the runs of lines over which some window sum of text lengths reaches the threshold, without empty edges."""
     if not len(sizes):
         return []
-    sums = np.convolve(sizes, np.ones(window, np.int64))[: len(sizes)]  # over the line and those before it
-    live = np.concatenate([[0], (sums > 0).astype(np.int8), [0]])
-    edges = np.diff(live)
-    return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+    sums = np.convolve(sizes, np.ones(window, np.int64))  # each of the windows that hold a line, cut at the page's ends
+    reached = np.convolve((sums >= threshold).astype(np.int64), np.ones(window, np.int64))[window - 1 : window - 1 + len(sizes)] > 0
+    edges = np.diff(np.concatenate([[0], reached.astype(np.int8), [0]]))
+    out = []
+    for surge, dive in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+        filled = np.flatnonzero(sizes[surge:dive])
+        out.append((surge + int(filled[0]), surge + int(filled[-1]) + 1))
+    return out
 
 
 def _parted(own: list[Line]) -> list[Line]:
@@ -197,20 +220,32 @@ def _parted(own: list[Line]) -> list[Line]:
 
 def main_text(page: str) -> str:
     """The article's blocks, joined by line breaks."""
-    own = lines(page)
-    inside = [x.text for x in own if x.inside]
-    if inside:
-        return "\n".join(inside)
-    parted = _parted(own)
-    own = parted if any(x.text for x in parted) else own  # a page of links only
-    sizes = np.array([len(x.text) for x in own], np.int64)
-    found = stretches(sizes)
-    if not found:
+    own, around = lines(page)
+    if any(x.inside for x in own):
+        own = [x if x.inside else _GAP for x in own]
+        weights = np.array([ENOUGH if x.text else 0 for x in own], np.int64)
+    else:
+        parted = _parted(own)
+        own = parted if any(x.text for x in parted) else own  # a page of links only
+        weights = np.array([len(x.text) - x.linked for x in own], np.int64)
+        if not weights.any():
+            weights = np.array([len(x.text) for x in own], np.int64)
+    if not weights.any():
         return ""
-    surge, dive = max(found, key=lambda x: (int(sizes[x[0] : x[1]].sum()), -x[0]))
-    owners = {x.owner for x in own[surge:dive] if x.text}
-    kept = [(a, b) for a, b in found if any(x.text and x.owner in owners for x in own[a:b]) or sum(len(x.text) - x.linked for x in own[a:b]) >= ENOUGH]
-    return "\n".join(x.text for x in own[kept[0][0] : kept[-1][1]] if x.text)
+    most = int(np.convolve(weights, np.ones(WINDOW, np.int64)).max())
+    found = stretches(weights, min(ENOUGH, -(-most // 2)))
+    # The container with most of the text of the fullest stretch; what it holds before the first surge and after the last dive is the article's too.
+    surge, dive = max(found, key=lambda x: (int(weights[x[0] : x[1]].sum()), -x[0]))
+    text: Counter[int] = Counter()
+    for x, w in zip(own[surge:dive], weights[surge:dive].tolist(), strict=True):
+        text[x.owner] += w
+    home = max(text, key=lambda c: (text[c], -c))
+    within = {home}
+    for c in range(home + 1, len(around)):
+        if around[c] in within:
+            within.add(c)
+    first, last = found[0][0], found[-1][1]
+    return "\n".join(x.text for i, x in enumerate(own) if x.text and (first <= i < last or x.owner in within))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -204,12 +204,52 @@ def test_html_keeps_all_parts_of_an_article():
     assert text("<div><p>A.</p></div><div><p><a href=/x>Only a link in a paragraph</a></p></div><div><p>B.</p></div>") == "A.\nOnly a link in a paragraph\nB."
 
 
+def test_html_class_words_of_articles_stay():
+    text = html_text.main_text
+    page = "<body><div><div class='article-header'><h1 class='header'>Title</h1></div><p class='reply'>He made a reply.</p><p>And more.</p>{}</div></body>"
+    for drop in ("<div class='comment-list'><p>c</p></div>", "<ol id=comments><li>c</ol>", "<div class='site-header'>c</div>", "<section class=sidebar>c</section>", "<div class=ad>c</div>", "<div class='cookie-notice'>c</div>"):
+        assert text(page.format(drop)) == "Title\nHe made a reply.\nAnd more."
+
+
 def test_surge_and_dive():
     sizes = np.array([0, 0, 5, 0, 7, 0, 0, 0, 0, 9, 9])
-    assert html_text.stretches(sizes) == [(2, 7), (9, 11)]
+    assert html_text.stretches(sizes) == [(2, 11)] and html_text.stretches(sizes, 10) == [(2, 5), (9, 11)]
     assert html_text.stretches(np.zeros(0, int)) == []
 
 
+def test_surge_and_dive_decide():
+    """Unmarked lines away from dense text go, whatever their tags; lines of the article's own container stay, however short."""
+    body = "".join(f"<p>{'Many words in a paragraph. ' * 8}</p>" for _ in range(3))
+    page = f"<body><div>Site name</div><div>Some menu words</div><div>A tag line</div><div><div>By me</div></div><div>{body}<ul><li>a<li>b<li>c<li>d</ul></div><div>End</div><div>Last updated</div><div>Imprint</div></body>"
+    own, _ = html_text.lines(page)
+    kept = html_text.main_text(page).split("\n")
+    assert len(kept) < len([x for x in own if x.text]) and kept[-4:] == ["a", "b", "c", "d"] and "Site name" not in kept and "Imprint" not in kept and len([k for k in kept if k.startswith("Many")]) == 3
+
+
+def plain_article(page):
+    """A plain reading of the given pages' shape: what stands between the article's tags, cut at block tags."""
+    import html as h
+    import re
+
+    body = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    blocks = (" ".join(h.unescape(re.sub(r"</?[a-z][^<>]*>", "", part)).split()) for part in re.split(r"</?(?:p|h1|br)>", body))
+    return "\n".join(x for x in blocks if x)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_html_equals_a_plain_reading_of_all_pages(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    want = {r["page_id"]: plain_article(r["html"]) for r in pages.collect()}
+    assert {r["page_id"]: r["text"] for r in queries.op3_html_text(spark, f"/root/testdata/{sf}").collect()} == want
+    unmarked = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>")))
+    assert {r["page_id"]: r["text"] for r in html_text.extract(unmarked).collect()} == want
+
+
+def test_html_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x", "a", 5, "b")], "page_id bigint, url string, html string, text string, n_chars int, body string")
+    assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "u", "x", 1)]
+
+
 # --- licenses
 
 
