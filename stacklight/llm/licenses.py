@@ -8,11 +8,14 @@ template's words that are aligned.
 Where a text may hold a template is found without losing any: a template's rarest words,
 just more of them than a match may miss, are its markers; a match of the wanted coverage
 has at least one of them. Around each marker the text's words that the template could
-span are aligned; equal windows are aligned once. Overlapping matches of one template
-keep the best. Texts without any marker are passed over by one search.
+span are aligned; equal windows are aligned once. Where words of the template are missing,
+the window grows by ``gap`` words to the side where they should be, for as long as that aligns more:
+so a match holds any number of inserted stretches of up to ``gap`` words each; what is farther
+apart isn't one match. Of overlapping matches of one template the best coverage stays, then the
+shortest; what another has beside it is aligned again. Texts without any marker are passed over by one search.
 
 Defined results: null and empty texts have no matches; every occurrence in a text counts;
-ties in coverage go to the earlier place; repeated rows give repeated matches; other columns
+ties go to the shorter, then to the earlier place; repeated rows give repeated matches; other columns
 are ignored.
 """
 
@@ -22,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from stacklight.llm.common import in_slices, utf8
 
-COVERAGE = 0.8
+COVERAGE, GAP = 0.8, 256
 
 # Notices and short texts of public licenses.
 TEMPLATES: Mapping[str, str] = {
@@ -50,6 +54,17 @@ TEMPLATES: Mapping[str, str] = {
         Software.""",
     "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "BSD-3-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
         General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
         option) any later version.""",
@@ -110,8 +125,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Finds templates in texts."""
 
-    def __init__(self, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE):
-        self.coverage = coverage
+    def __init__(self, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, gap: int = GAP):
+        self.coverage, self.gap = coverage, gap
         self.templates = {name: w for name, text in templates.items() if (w := words_of(text))}
         common = Counter(w for words in self.templates.values() for w in set(words))
         self.marks: dict[str, list[tuple[str, list[int]]]] = {}  # marker -> templates and its places in them
@@ -124,7 +139,7 @@ class Scanner:
                 if taken > may_miss:
                     break
         self.any = re.compile(r"\b(?:" + "|".join(map(re.escape, self.marks)) + r")\b").search if self.marks else lambda _: None
-        self.known: dict[tuple, tuple[float, int, int]] = {}
+        self.known: dict[tuple, list[tuple[int, int]]] = {}
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first character, one past the last) of each match."""
@@ -146,33 +161,59 @@ class Scanner:
         for name, own in windows.items():
             hits = []
             for a, b in sorted(own):
-                covered, first, last = self._aligned(name, tuple(words[a:b]))
-                if covered >= self.coverage:
-                    hits.append((covered, a + first, a + last))
-            taken: list[tuple[int, int]] = []
-            for covered, first, last in sorted(hits, key=lambda h: (-h[0], h[1], h[2])):
-                k = bisect_left(taken, (first, last))
-                if (k == len(taken) or taken[k][0] > last) and (k == 0 or taken[k - 1][1] < first):
-                    taken.insert(k, (first, last))
-                    out.append((name, covered, spans[first][0], spans[last][1]))
+                hits += self._matches(name, words, a, b)
+            out += [(name, covered, spans[first][0], spans[last][1]) for covered, first, last in self._apart(name, words, hits)]
         return sorted(out, key=lambda m: (m[2], m[0]))
 
-    def _aligned(self, name: str, window: tuple[str, ...]) -> tuple[float, int, int]:
+    def _apart(self, name: str, words: list[str], hits: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+        """The hits that stay: the best first; what an overlapping one has beside a better one is aligned again."""
+        queue = sorted({(-covered, last - first, first, last) for covered, first, last in hits})
+        taken: list[tuple[int, int]] = []
+        out = []
+        while queue:
+            minus, _, first, last = heappop(queue)
+            k = bisect_left(taken, (first, last))
+            over = [t for t in taken[max(0, k - 1) : k + 1] if t[0] <= last and first <= t[1]]
+            if not over:
+                taken.insert(k, (first, last))
+                out.append((-minus, first, last))
+            for a, b in [(first, over[0][0]), (over[0][1] + 1, last + 1)] if over else []:
+                pairs = self._aligned(name, tuple(words[a:b])) if b > a else []
+                if len(pairs) >= self.coverage * len(self.templates[name]):
+                    heappush(queue, (-len(pairs) / len(self.templates[name]), pairs[-1][0] - pairs[0][0], a + pairs[0][0], a + pairs[-1][0]))
+        return out
+
+    def _matches(self, name: str, words: list[str], a: int, b: int) -> Iterator[tuple[float, int, int]]:
+        """(coverage, first word, last word) of the matches that a window and its extensions hold."""
+        size, pairs = len(self.templates[name]), self._aligned(name, tuple(words[a:b]))
+        while pairs:
+            if len(pairs) >= self.coverage * size:
+                yield len(pairs) / size, a + pairs[0][0], a + pairs[-1][0]
+            wider = []
+            if pairs[-1][1] < size - 1 and b < len(words):  # the template's end is missing
+                wider.append((a, min(len(words), b + self.gap + size)))
+            if pairs[0][1] > 0 and a > 0:  # its beginning is
+                wider.append((max(0, a - self.gap - size), b))
+            found = [(self._aligned(name, tuple(words[x:y])), x, y) for x, y in wider]
+            better = max(found, key=lambda f: len(f[0]), default=None)
+            if better is None or len(better[0]) <= len(pairs):
+                return
+            pairs, a, b = better
+
+    def _aligned(self, name: str, window: tuple[str, ...]) -> list[tuple[int, int]]:
         key = (name, window)
         if key not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > 10_000:
                 self.known.clear()
-            template = self.templates[name]
-            pairs = align(list(window), template)
-            self.known[key] = (len(pairs) / len(template), pairs[0][0], pairs[-1][0]) if pairs else (0.0, 0, 0)
+            self.known[key] = align(list(window), self.templates[name])
         return self.known[key]
 
 
 _SCHEMA = "doc_id bigint, license string, coverage double, start bigint, end bigint"
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], templates: Mapping[str, str], coverage: float) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner(templates, coverage)
+def _scanned(batches: Iterator[pa.RecordBatch], templates: Mapping[str, str], coverage: float, gap: int) -> Iterator[pa.RecordBatch]:
+    scanner = Scanner(templates, coverage, gap)
     for batch in in_slices(batches, 1):
         rows = [(i, *m) for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in scanner.scan((b or b"").decode("utf-8"))]
         columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -180,7 +221,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], templates: Mapping[str, str], co
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license", "coverage", "start", "end"])
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, coverage, start, end (in characters) of every match in every whole text; one pass, no shuffle."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
-    return rows.mapInArrow(lambda it: _scanned(it, dict(templates), coverage), _SCHEMA)
+    return rows.mapInArrow(lambda it: _scanned(it, dict(templates), coverage, gap), _SCHEMA)

@@ -281,6 +281,31 @@ def test_license_edges(spark):
     assert "Note: Released under the MIT License!"[span["start"] : span["end"]] == "Released under the MIT License"
 
 
+def test_license_with_insertions_against_brute_force():
+    """Words put in anywhere, up to 200 at a place: no match is lost against alignment over every window of the text."""
+    rng, scanner = random.Random(3), licenses.Scanner()
+    for name in ("MIT-text", "Apache-2.0-header", "BSD-3-Clause-text"):
+        template = licenses.words_of(licenses.TEMPLATES[name])
+        for n in (0, 5, 10, 30, 60, 120, 200):
+            own = list(template)
+            for at in sorted(rng.sample(range(1, len(own)), rng.choice([1, 2])), reverse=True):
+                own[at:at] = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            own = [w for w in own if rng.random() > 0.05]
+            text = ["before"] * 20 + own + ["after"] * 20
+            best = max(len(licenses.align(text[a:b], template)) for a in range(0, len(text), 25) for b in range(a + 25, len(text) + 25, 25)) / len(template)
+            found = [c for t, c, _, _ in scanner.scan(" ".join(text)) if t == name]
+            assert best >= 0.8 and len(found) == 1 and found[0] >= best - 1e-9, (name, n, best, found)
+
+
+def test_license_far_apart_and_side_by_side():
+    mit, scanner = licenses.TEMPLATES["MIT-text"], licenses.Scanner()
+    half = len(mit) // 2
+    assert not [m for m in scanner.scan(mit[:half] + " z" * 2000 + mit[half:]) if m[0] == "MIT-text"]
+    damaged = " ".join(mit.split()[: int(len(mit.split()) * 0.85)])
+    found = [m for m in scanner.scan(f"{damaged} and then {mit} end") if m[0] == "MIT-text"]
+    assert [round(m[1], 1) for m in found] in ([0.8, 1.0], [0.9, 1.0]) and found[0][3] <= found[1][2]
+
+
 # --- WARC
 
 
