@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, a laptop) is a temporary one made and set.
+    Only where a session on one machine names none (tests, a laptop) is a temporary one made
+    and set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="stacklight-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -38,7 +42,19 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def let_go(*frames: DataFrame) -> None:
+    """Delete what kept() wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "kept_path", None)
+        if isinstance(path, str):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def utf8(text: str | Column) -> Column:
@@ -47,7 +63,7 @@ def utf8(text: str | Column) -> Column:
 
 
 def joined_on_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """docs semi- or anti-joined with a list of ids.
+    """docs semi- or anti-joined with a list of ids (one column).
 
     The list is broadcast only when a count shows that it has at most BROADCAST_ROWS rows;
     otherwise both sides are shuffled by id.
@@ -59,13 +75,13 @@ def joined_on_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> Data
 
 
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple:
-    """(offsets, bytes) of a binary Arrow column as numpy views; nulls are empty."""
+    """(offsets, bytes) of a binary or text Arrow column as numpy views; nulls are empty."""
     import numpy as np
 
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(array, pa.ChunkedArray):  # combine_chunks may return one with a single chunk
         array = array.chunk(0) if array.num_chunks else pa.array([], column.type)
-    wide = pa.types.is_large_binary(array.type)
+    wide = pa.types.is_large_binary(array.type) or pa.types.is_large_string(array.type)
     offsets = np.frombuffer(array.buffers()[1], np.int64 if wide else np.int32, len(array) + 1, array.offset * (8 if wide else 4)) if len(array) else np.zeros(1, np.int32)
     data = np.frombuffer(array.buffers()[2], np.uint8) if len(array) and array.buffers()[2] is not None else np.zeros(0, np.uint8)
     lo, hi = int(offsets[0]), int(offsets[-1])
