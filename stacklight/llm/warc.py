@@ -3,9 +3,12 @@
 Writing: payloads are digested natively and grouped by digest with map-side partial
 aggregation. Of equal payloads of at least REVISIT_BYTES bytes the smallest page_id writes
 a response record; the others write revisit records that refer to it and carry no payload.
-Each task packs its records into archives of bounded size. Spark has no writer for raw
-files on every store, so an archive is a row (archive, content) of a Parquet table in the
-shared folder; ``read_files`` reads ordinary .warc.gz files from any store.
+The groups are broadcast behind a count of them, so that payloads stay where they are read;
+only beyond it are both sides shuffled. A record's identifier is its page_id and the number of
+its row, so no two records share one. Each task packs its records into archives of bounded
+size. An archive is a row (archive, content) of a Parquet table in the shared folder;
+``export`` writes such rows as .warc.gz files through Hadoop's file systems, and ``read_files``
+reads .warc.gz files from any store.
 
 Reading is sequential: bytes go piece by piece through an incremental zlib decompressor,
 which ends at each member; the record header gives the block's length; the payload is
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from stacklight.llm.common import kept, utf8
 
 REVISIT_BYTES, ARCHIVE_BYTES, PIECE = 100, 8 << 20, 64 << 10
+#: Groups of equal payloads (some 120 bytes each) that may be broadcast.
+BROADCAST_GROUPS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:page:"
 
@@ -39,15 +44,19 @@ def _header(fields: list[tuple[str, str]], first: str) -> bytes:
     return ("\r\n".join([first, *(f"{k}: {v}" for k, v in fields)]) + "\r\n\r\n").encode("utf-8")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzip member with one record."""
+def _name(page_id: int | None, row: int) -> str:
+    return f"<{_URN}{'' if page_id is None else page_id}:{row}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, row: int = 0, refers_row: int = 0) -> bytes:
+    """One gzip member with one record; row and refers_row tell records of one page_id apart."""
     http = _header([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
     block = http if revisit else http + payload
     target = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url) if url else "urn:none"
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{_URN}{'' if page_id is None else page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target)]
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _name(page_id, row)), ("WARC-Date", DATE), ("WARC-Target-URI", target)]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_URN}{refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _name(refers_to, refers_row))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(_header(fields, "WARC/1.1")) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
@@ -66,8 +75,8 @@ class Record:
         return self.headers["warc-type"]
 
     def page(self, name: str) -> int | None:
-        value = self.headers.get(name, "").strip("<>").removeprefix(_URN)
-        return int(value) if value and value != "None" else None
+        value = self.headers.get(name, "").strip("<>").removeprefix(_URN).partition(":")[0]
+        return int(value) if value else None
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -159,8 +168,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for i in range(batch.num_rows):
-            page_id, url, body, digest, refers_to, revisit = (c[i].as_py() for c in batch.columns)
-            parts.append(record(page_id, url, body or b"", digest, refers_to, revisit))
+            page_id, url, body, digest, refers_to, revisit, row, refers_row = (c[i].as_py() for c in batch.columns)
+            parts.append(record(page_id, url, body or b"", digest, refers_to, revisit, row, refers_row or 0))
             size, count = size + len(parts[-1]), count + 1
             if size >= ARCHIVE_BYTES:
                 yield out()
@@ -173,15 +182,37 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """archive, n_records, content: the pages as WARC archives."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("body"))
-    rows = rows.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.length("body"))
-    groups = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("n > 1").drop("n")
-    # Joined by two columns, so that both sides are shuffled and a payload that many pages share can be split.
-    both = rows.join(groups, ["digest", "size"], "left")
+    rows = rows.withColumns({"digest": F.sha2("body", 256), "size": F.length("body"), "row": F.monotonically_increasing_id()})
+    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row"))
+    groups = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    groups = kept(groups.where("n > 1 and first.page_id is not null").select("digest", "size", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")))
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    # Joined by two columns, so that where both sides are shuffled, a payload that many pages share can be split.
+    both = rows.join(F.broadcast(groups) if few else groups, ["digest", "size"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    both = both.select("page_id", "url", "body", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
+    both = both.select("page_id", "url", "body", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"), "row", F.when(revisit, F.col("first_row")).alias("refers_row"))
     return both.mapInArrow(_packed, "archive string, n_records bigint, content binary")
 
 
+def export(archive_rows: DataFrame, folder: str) -> int:
+    """Write each archive as a .warc.gz file into a folder of any store that Hadoop knows; the number of files.
+
+    The driver streams one archive at a time, of about ARCHIVE_BYTES; a file that is there
+    already is written anew, so that a second call after a loss ends in the same state.
+    """
+    spark = archive_rows.sparkSession
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for row in archive_rows.select("archive", "content").toLocalIterator():
+        place = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['archive']}")
+        out = place.getFileSystem(conf).create(place, True)
+        try:
+            out.write(bytes(row["content"]))
+        finally:
+            out.close()
+        n += 1
+    return n
+
+
 _RECORDS = "page_id bigint, target_uri string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
