@@ -170,6 +170,40 @@ def test_toxicity_edges(spark):
     assert [r["score"] for r in toxicity.scores(more, empty).collect()] == [0.0] * 6
 
 
+def plain_score(model, text):
+    """The forward pass word by word: no cache, no windows, no projections."""
+    import re
+
+    s, words = model.settings, re.findall(r"\w+", text.lower())
+    rows = toxicity.features(words, s.table_bits)
+    x = [sum(model.table[r].astype(float) for r in row) for row in rows]
+    act = []
+    for j, kernel in enumerate(model.kernels):
+        for f in range(s.filters):
+            sums = [sum(float(x[at + o] @ kernel[o, :, f]) for o in range(len(kernel))) for at in range(len(x) - len(kernel) + 1)]
+            act.append(max(0.0, (max(sums) if sums else 0.0) + model.bias[j * s.filters + f]))
+    z = sum(a * w for a, w in zip(act, model.out, strict=True)) + model.out_bias
+    return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    rows = sorted(docs.collect(), key=lambda r: len(r["text"] or ""))
+    some = [r for r in rows if len(r["text"] or "") < 3000][::4]
+    assert len(some) > 20 and all(abs(got[r["doc_id"]] - plain_score(model, r["text"] or "")) < 1e-4 for r in some)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    bad, good = "you are a loser and an idiot", "what a fine day it is"
+    rows = [(i, f"{bad if i % 3 == 0 else good} number {i % 7}", "en", "a") for i in range(1, 200)]
+    labels = [(i, int(i % 3 == 0)) for i in range(1, 200)]
+    one = toxicity.train(docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    twice = toxicity.train(docs_frame(spark, rows[::-1] + rows), spark.createDataFrame(labels[::-1] + [(i, 0) for i, _ in labels], "doc_id bigint, toxic int"))
+    assert np.array_equal(one.table, twice.table) and one.thresholds == twice.thresholds
+
+
 # --- HTML
 
 
@@ -325,6 +359,27 @@ def test_warc_edges(spark):
     assert warc.write_and_read(spark.createDataFrame([], df.schema)).collect() == []
 
 
+def test_warc_records_have_their_own_identifiers(spark, tmp_path):
+    big = "payload " * 40
+    rows = [(2, "u", big), (2, "u", big), (None, "u", big), (None, "v", "x"), (None, "v", "x"), (7, "u", big)]
+    df = spark.createDataFrame([(*r, "clash", b"clash", 1) for r in rows], "page_id bigint, url string, html string, digest string, body binary, row int")
+    made = warc.archives(df)
+    assert warc.export(made, str(tmp_path / "out")) == len(list((tmp_path / "out").glob("*.warc.gz")))
+    found = [r for f in (tmp_path / "out").glob("*.warc.gz") for r in warc.records([f.read_bytes()])]
+    names = [r.headers["warc-record-id"] for r in found]
+    assert len(set(names)) == len(rows) == len(found)
+    assert all(r.headers["warc-refers-to"] in names for r in found if r.kind == "revisit") and sum(r.kind == "revisit" for r in found) == 2
+    import gzip
+
+    assert all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1") for f in (tmp_path / "out").glob("*.warc.gz"))
+    assert sorted(map(str, warc.read_files(spark, str(tmp_path / "out")).select("page_id", "record_type", "refers_to").collect())) == sorted(map(str, warc.read(made).select("page_id", "record_type", "refers_to").collect()))
+
+
+def test_warc_with_many_groups(spark, monkeypatch, sf_dir):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    against_sql(queries.op9_warc(spark, sf_dir), queries.oracle_sql()["op9_warc"], sf_dir, "pages")
+
+
 def test_warc_stream_by_small_pieces_and_damage():
     made = [warc.record(i, f"http://x/{i}", bytes([65 + i]) * (1000 * i), hashlib.sha256(bytes([65 + i]) * (1000 * i)).hexdigest(), None, False) for i in range(4)]
     archive = b"".join(made)
