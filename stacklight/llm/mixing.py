@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Tokens are summed into cells, one for each combination of margins (source, language,
-topic). Raking scales the cells' weights to each margin's target shares in turn, round by
-round. A document of cell c is then kept with probability min(1, scale * weight(c) /
+topic). Raking scales the cells' weights to each margin's target shares in turn, for a block of
+``ROUNDS`` rounds, or with a tolerance for further blocks until no margin's sum is off its
+target by more than that share of all tokens, ``MOST_BLOCKS`` at most. What is left comes back as
+``residual``: targets that no weights can meet together, as over empty cells, leave one. A document of cell c is then kept with probability min(1, scale * weight(c) /
 tokens(c)); the scale is chosen so that the expected tokens are ``rate`` times all tokens,
 which takes a few rounds because cells that reach probability 1 can't give more. A document
 is kept when the number that md5 makes of its id is below its probability, so a choice
@@ -12,11 +14,13 @@ Default targets flatten a margin: each value's share goes with its token share t
 ``flatten``; 1 leaves it alone and 0 makes all values equal. The cells are one partial
 aggregation; the rounds work on the cells alone. Probabilities come back to the documents
 by a broadcast only when a count shows that there are few cells; otherwise by a shuffled
-join that adaptive execution may split.
+join that adaptive execution may split. While a count shows few cells, a block of rounds is one
+stage of windows over a single partition of them; beyond, sums are aggregated and joined.
 
 Defined results: a null margin value is the value "(none)"; null and blank texts have 0
 tokens; a cell without tokens has probability min(1, rate); repeated rows are chosen alike; a target for a
-value that no document has is left out and the rest are rescaled; other columns stay as they are.
+value that no document has is left out and the rest are rescaled; where targets are given, a value
+without one has share 0, so its documents go; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from stacklight.llm.common import kept
 #: Up to so many cells (about 100 bytes each) are broadcast.
 BROADCAST_CELLS = 50_000
 #: Up to so many cells a margin's sums are windows, which one task may see whole; beyond, they are aggregated before a shuffle and joined.
-WINDOW_CELLS = 500_000
-ROUNDS, SCALE_ROUNDS, NONE = 8, 6, "(none)"
+WINDOW_CELLS = 100_000
+#: Rounds in a block, and the most blocks.
+ROUNDS, MOST_BLOCKS = 8, 12
+SCALE_ROUNDS, NONE = 6, "(none)"
 MARGINS: Mapping[str, float] = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 RATE = 0.7
 
@@ -61,27 +67,47 @@ def default_targets(cells: DataFrame, margin: str, flatten: float) -> DataFrame:
     return cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins, tokens) with `weight`: tokens scaled until every margin's sums go with its targets; the total stays."""
+def _rounds(out: DataFrame, margins: list[str], rounds: int, few: bool) -> DataFrame:
+    """A block of rounds over cells with weight and a goal for each margin."""
+    out = out.coalesce(1) if few else out
+    for _ in range(rounds):
+        for m in margins:
+            if few:
+                out = out.withColumn("__sum", F.sum("weight").over(Window.partitionBy(m)))
+            else:
+                out = out.join(out.groupBy(m).agg(F.sum("weight").alias("__sum")), m)
+            factor = F.when(F.col("__sum") > 0, F.coalesce(f"__goal_{m}", F.lit(0.0)) / F.col("__sum")).otherwise(0.0)
+            out = out.withColumn("weight", F.col("weight") * factor).drop("__sum")
+        out = out if few else kept(out)  # cuts the lineage of the rounds before
+    return kept(out) if few else out
+
+
+def largest_residual(raked: DataFrame, margins: list[str]) -> float:
+    """The most that a margin's sum is off its goal, as a share of all weights."""
+    worst = 0.0
+    for m in margins:
+        sums = raked.groupBy(m).agg(F.sum("weight").alias("s"), F.first(f"__goal_{m}").alias("g"))
+        row = sums.agg(F.max(F.abs(F.col("s") - F.coalesce("g", F.lit(0.0)))).alias("off"), F.sum("s").alias("whole")).first()
+        worst = max(worst, float(row["off"] or 0) / (float(row["whole"] or 0) or 1.0))
+    return worst
+
+
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS, tolerance: float | None = None) -> tuple[DataFrame, float]:
+    """(cells with `weight`: tokens scaled until every margin's sums go with its targets while the total stays, largest residual)."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for m, t in targets.items():
         t = t.join(cells.select(m).distinct(), m, "left_semi").select(m, "share")
         whole = float(t.agg(F.sum("share")).first()[0] or 0) or 1.0
         out = out.join(t.select(m, (F.col("share") / whole * total).alias(f"__goal_{m}")), m, "left")
-    out = kept(out)
+    out, margins = kept(out), list(targets)
     few = cells.limit(WINDOW_CELLS + 1).count() <= WINDOW_CELLS
-    for r in range(rounds):
-        for m in targets:
-            if few:
-                out = out.withColumn("__sum", F.sum("weight").over(Window.partitionBy(m)))
-            else:
-                out = out.join(out.groupBy(m).agg(F.sum("weight").alias("__sum")), m)
-            factor = F.when(F.col("__sum") > 0, F.coalesce(f"__goal_{m}", F.lit(0.0)) / F.col("__sum")).otherwise(0.0)
-            out = out.withColumn("weight", F.col("weight") * factor).drop("__sum")
-        if not few or r % 2 or r == rounds - 1:
-            out = kept(out)  # cuts the lineage of the rounds before
-    return out.drop(*(f"__goal_{m}" for m in targets))
+    for _ in range(1 if tolerance is None else MOST_BLOCKS):
+        out = _rounds(out, margins, rounds, few)
+        residual = largest_residual(out, margins)
+        if tolerance is not None and residual <= tolerance:
+            break
+    return out.drop(*(f"__goal_{m}" for m in margins)), residual
 
 
 def probabilities(raked: DataFrame, rate: float = RATE) -> DataFrame:
@@ -98,34 +124,35 @@ def probabilities(raked: DataFrame, rate: float = RATE) -> DataFrame:
     return raked.withColumn("probability", F.coalesce(F.least(F.lit(1.0), gain * F.lit(scale)), F.lit(min(1.0, rate))))
 
 
-def _planned(docs: DataFrame, topic: Column | None, tokens: Column | None, margins: Mapping[str, float], targets: Mapping[str, DataFrame] | None, rate: float) -> DataFrame:
-    """docs with __cell_<margin>, __tokens and __probability."""
+def _planned(docs: DataFrame, topic: Column | None, tokens: Column | None, margins: Mapping[str, float], targets: Mapping[str, DataFrame] | None, rate: float, tolerance: float | None) -> DataFrame:
+    """docs with __cell_<margin>, __tokens, __probability and __residual."""
     topic = topic_of() if topic is None else topic
     tokens = tokens_of() if tokens is None else tokens
     cell = {m: F.coalesce((topic if m == "topic" else F.col(m)).cast("string"), F.lit(NONE)) for m in margins}
     cells = kept(docs.select(*(c.alias(m) for m, c in cell.items()), tokens.alias("n")).groupBy(*margins).agg(F.sum("n").alias("tokens")))
     goals = {m: default_targets(cells, m, p) for m, p in margins.items()} | dict(targets or {})
-    plan = kept(probabilities(rake(cells, goals), rate))
+    raked, residual = rake(cells, goals, tolerance=tolerance)
+    plan = kept(probabilities(raked, rate))
     names = {m: f"__cell_{m}" for m in margins}
     right = plan.select(*(F.col(m).alias(names[m]) for m in margins), F.col("probability").alias("__probability"))
     if right.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         right = F.broadcast(right)
     own = docs.select("*", *(c.alias(names[m]) for m, c in cell.items()), tokens.alias("__tokens"))
-    return own.join(right, list(names.values()))
+    return own.join(right, list(names.values())).withColumn("__residual", F.lit(residual))
 
 
-def sampled(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", margins: Mapping[str, float] = MARGINS, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
-    """docs with n_tokens, topic, probability and selected added (or replaced); every row of docs."""
-    both = _planned(docs, topic, tokens, margins, targets, rate)
+def sampled(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", margins: Mapping[str, float] = MARGINS, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, tolerance: float | None = None) -> DataFrame:
+    """docs with n_tokens, topic, probability, selected and residual (of all margins) added (or replaced); every row of docs."""
+    both = _planned(docs, topic, tokens, margins, targets, rate, tolerance)
     chosen = draw(id_col) < F.col("__probability")
     extra = {"topic": F.col("__cell_topic")} if "topic" in margins else {}
-    both = both.withColumns(extra | {"n_tokens": F.col("__tokens"), "probability": F.col("__probability"), "selected": chosen})
-    return both.drop(*(f"__cell_{m}" for m in margins), "__tokens", "__probability")
+    both = both.withColumns(extra | {"n_tokens": F.col("__tokens"), "probability": F.col("__probability"), "selected": chosen, "residual": F.col("__residual")})
+    return both.drop(*(f"__cell_{m}" for m in margins), "__tokens", "__probability", "__residual")
 
 
-def drawn(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", margins: Mapping[str, float] = MARGINS, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
+def drawn(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", margins: Mapping[str, float] = MARGINS, targets: Mapping[str, DataFrame] | None = None, rate: float = RATE, tolerance: float | None = None) -> DataFrame:
     """The selected rows of docs, with docs' own columns."""
-    return _planned(docs, topic, tokens, margins, targets, rate).where(draw(id_col) < F.col("__probability")).select(docs.columns)
+    return _planned(docs, topic, tokens, margins, targets, rate, tolerance).where(draw(id_col) < F.col("__probability")).select(docs.columns)
 
 
 def oracle_sql(margins: Mapping[str, float] = MARGINS, rate: float = RATE) -> str:
@@ -147,6 +174,8 @@ def oracle_sql(margins: Mapping[str, float] = MARGINS, rate: float = RATE) -> st
             name = f"w{r}_{m}"
             steps.append(f"{name} AS MATERIALIZED (SELECT {', '.join(f'a.{k}' for k in margins)}, a.tokens, a.weight * (goal / sum(a.weight) OVER (PARTITION BY a.{m})) AS weight FROM {at} a JOIN g_{m} g ON g.{m} = a.{m})")
             at = name
+    off = " UNION ALL ".join(f"SELECT max(abs(s - goal)) AS off FROM (SELECT {m}, sum(weight) AS s FROM {at} GROUP BY {m}) JOIN g_{m} USING ({m})" for m in margins)
+    steps.append(f"r AS MATERIALIZED (SELECT max(off) / (SELECT sum(weight) FROM {at}) AS residual FROM ({off}))")
     scale = f"SELECT {rate}::DOUBLE AS s"
     for r in range(SCALE_ROUNDS):
         steps.append(f"s{r} AS MATERIALIZED ({scale})")
@@ -160,6 +189,7 @@ def oracle_sql(margins: Mapping[str, float] = MARGINS, rate: float = RATE) -> st
         SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens,
                floor(coalesce(least(1.0, weight / tokens * (SELECT s FROM s)), {rate}) * 1e6 + 0.5)::BIGINT AS probability_ppm,
                CAST('0x' || substr(md5(d.doc_id::VARCHAR || ':mix'), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0
-                   < coalesce(least(1.0, weight / tokens * (SELECT s FROM s)), {rate}) AS selected
+                   < coalesce(least(1.0, weight / tokens * (SELECT s FROM s)), {rate}) AS selected,
+               floor((SELECT residual FROM r) * 1e6 + 0.5)::BIGINT AS residual_ppm
         FROM d JOIN {at} c ON {' AND '.join(f'c.{m} = d.{m}' for m in margins)}"""
     )

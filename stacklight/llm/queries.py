@@ -44,7 +44,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     ppm = F.floor(F.col("probability") * 1e6 + 0.5).cast("bigint").alias("probability_ppm")
-    return mixing.sampled(docs).select("doc_id", "source", "lang", "topic", "n_tokens", ppm, "selected")
+    residual = F.floor(F.col("residual") * 1e6 + 0.5).cast("bigint").alias("residual_ppm")
+    return mixing.sampled(docs).select("doc_id", "source", "lang", "topic", "n_tokens", ppm, "selected", residual)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,6 +401,23 @@ def test_warc_files(spark, tmp_path):
 # --- mixing
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_mixing_stops_on_a_tolerance(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "WINDOW_CELLS", few)
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 80), ("b", "y", 1000), ("c", "x", 5), ("d", "x", 9), ("c", "y", 7)], "source string, lang string, tokens bigint")
+    share = lambda m, d: spark.createDataFrame(list(d.items()), f"{m} string, share double")
+    goals = {"source": share("source", {"a": 0.4, "b": 0.4, "c": 0.1, "d": 0.1}), "lang": share("lang", {"x": 0.7, "y": 0.3})}
+    rough, before = mixing.rake(cells, goals, rounds=1)
+    raked, residual = mixing.rake(cells, goals, rounds=2, tolerance=1e-4)
+    out = raked.toPandas()
+    total = out["weight"].sum()
+    assert residual <= 1e-4 < before and abs(total - 1251) < 1e-6
+    assert np.allclose(out.groupby("source")["weight"].sum() / total, [0.4, 0.4, 0.1, 0.1], atol=1e-4) and np.allclose(out.groupby("lang")["weight"].sum() / total, [0.7, 0.3], atol=1e-4)
+    never = {"source": share("source", {"a": 0.1, "b": 0.1, "d": 0.8}), "lang": share("lang", {"x": 0.1, "y": 0.9})}
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 2)
+    assert mixing.rake(cells, never, rounds=2, tolerance=1e-4)[1] > 0.1
+
+
 def test_mixing_equals_sql(spark, sf_dir):
     against_sql(queries.op6_mixing(spark, sf_dir), queries.oracle_sql()["op6_mixing"], sf_dir, "documents")
 
