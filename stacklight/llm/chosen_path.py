@@ -1,18 +1,21 @@
 """Jaccard join on word shingles by the chosen-path method.
 
 Equal shingle sets are one entry with a count, so copies are never paired. Every entry
-chooses, in each of ``runs`` repetitions, the shingles whose hash for that run is below
+chooses, in each of several runs, the shingles whose hash for that run is below
 ``picks`` / set size; similar sets choose some of the same, whatever their sizes, and
-meet in those buckets. A bucket above ``small`` entries is split again and again by the
-value of a sampled minhash, which similar sets share; small buckets are compared by brute
-force on sketches, and a bucket that is still large is clustered around leaders, in blocks;
-its leaders then meet in pairs of blocks, and two are linked where the sketches and sizes of
-what follows them leave a link possible. What may be similar is thus linked;
+meet in those buckets. A bucket above ``small`` entries is split again and again: of a sample of
+``SAMPLE`` shingles that each entry keeps, it goes on along every one whose hash with the bucket
+is below ``splits`` / ``SAMPLE``, so a path is a sequence of sampled shared shingles. Small buckets are compared by brute
+force on sketches, and a bucket that is still large after ``depth`` splits is clustered around
+leaders, in blocks; its leaders then meet in pairs of blocks, and two are linked where the
+sketches and sizes of what follows them leave a link possible. What may be similar is thus linked;
 the linked entries of a component are then compared exactly, on their whole sets, in blocks
 of bounded size, and counted where they are compared: no list of pairs is ever made.
 
-A pair of similarity s survives a run's choice and splits with a probability known from the
-parameters; ``recall`` gives the share found after all runs, 0.998 or more at s = 0.8.
+Only the list of large buckets, behind a count of it, is broadcast to tell their rows; rows of
+large buckets are never dealt by bucket alone. Runs are repeated until ``recall``, the share of pairs
+of the threshold's similarity that survive some run even where each bucket is split ``depth`` times,
+reaches ``target``.
 
 Defined results: texts without words are alike to none; texts of fewer than five words have
 one shingle; rows without a doc_id are returned without a class and without links; rows
@@ -29,10 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import byte_column, each_group, in_slices, joined_on_id, kept, utf8, whole_groups
+from stacklight.llm.common import byte_column, each_group, in_slices, joined_on_id, kept, let_go, utf8, whole_groups
 from stacklight.llm.components import components
 from stacklight.llm.shingles import mix, shingle_sets
 
@@ -44,24 +47,41 @@ class Settings:
     size: int = 5
     numerator: int = 4
     denominator: int = 5
-    runs: int = 5
+    target: float = 0.998
     picks: float = 3.0
+    splits: float = 1.6
     depth: int = 3
     small: int = 128
-    block: int = 4096
+    block: int = 1024
     exact_block: int = 512
     plausible: float = 0.6
     alike: float = 0.9
     seed: int = 5
 
 
-SKETCH = 64
+#: Minhashes in a sketch, shingles in a sample (about; 4 bytes each).
+SKETCH, SAMPLE = 64, 64
+#: Large buckets (24 bytes each) that may be broadcast, and salts beyond.
+BROADCAST_BUCKETS, SALTS = 500_000, 64
+
+
+def survival(settings: Settings = Settings(), similarity: float | None = None) -> float:
+    """The expected number of common paths of a run at which a pair of a similarity still meets, for the worst ratio of sizes, when every bucket is split ``depth`` times."""
+    shared = settings.numerator / settings.denominator if similarity is None else similarity  # of the larger set, when the smaller lies inside it
+    alive = 1.0
+    for _ in range(settings.depth):
+        alive = 1 - math.exp(-settings.splits * shared * alive)
+    return settings.picks * shared * alive
+
+
+def runs_of(settings: Settings = Settings()) -> int:
+    """As many runs as the target recall needs."""
+    return math.ceil(-math.log(1 - settings.target) / survival(settings))
 
 
 def recall(settings: Settings = Settings(), similarity: float = 0.8) -> float:
-    """The expected share of pairs of a similarity that meet in some bucket, for the worst ratio of sizes, when every bucket is split `depth` times."""
-    shared = similarity  # of the larger set, when the smaller lies inside it
-    return 1 - math.exp(-settings.runs * settings.picks * shared * similarity**settings.depth)
+    """The expected share of pairs of a similarity that meet in some bucket of some run."""
+    return 1 - math.exp(-runs_of(settings) * survival(settings, similarity))
 
 
 def sketch(tokens: np.ndarray, seed: int) -> np.ndarray:
@@ -74,30 +94,36 @@ def sketch(tokens: np.ndarray, seed: int) -> np.ndarray:
     return (mix(low) >> np.uint64(56)).astype(np.uint8)
 
 
+def _below(share: float) -> np.uint64:
+    return np.uint64(min(0.999999, share) * 2.0**64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    runs = mix(np.arange(1, s.runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s.seed))
+    runs, none = runs_of(s), np.zeros(0, np.uint64)
+    seeds = mix(np.arange(1, runs + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s.seed))
     for batch in in_slices(batches, 1):
-        names, sizes, sketches, paths = [], [], [], []
+        names, sizes, sketches, paths, samples = [], [], [], [], []
         for tokens in shingle_sets(*byte_column(batch.column(1)), s.size):
             n = len(tokens)
             names.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
             sizes.append(n)
             sketches.append(sketch(tokens, s.seed).tobytes() if n else b"")
-            chosen = []
-            if n:
-                most = np.uint64(min(0.999999, s.picks / n) * 2.0**64)
-                for run in runs:
-                    path = mix(tokens ^ run)
-                    chosen.append(mix(path[path < most] ^ run))
-            paths.append(np.concatenate(chosen).view(np.int64) if chosen else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]), pa.int32()), pa.array(np.concatenate(paths) if paths else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["doc_id", "name", "n", "sketch", "paths"])
+            most, own = _below(s.picks / max(n, 1)), []
+            for seed in seeds[:-1] if n else ():
+                path = mix(tokens ^ seed)
+                own.append(mix(path[path < most] ^ seed))
+            paths.append(np.concatenate(own) if own else none)
+            drawn = mix(tokens ^ seeds[-1])
+            samples.append((drawn[drawn < _below(SAMPLE / max(n, 1))] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+        sampled = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, samples)]), pa.int32()), pa.array(np.concatenate(samples) if samples else np.zeros(0, np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]), pa.int32()), pa.array(np.concatenate(paths).view(np.int64) if paths else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists, sampled], ["doc_id", "name", "n", "sketch", "paths", "sample"])
 
 
 def signatures(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, name (of the shingle set), n (its size), sketch, paths (buckets chosen in all runs)."""
+    """doc_id, name (of the shingle set), n (its size), sketch, paths (the first buckets of all runs), sample (of its shingles)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.lower(F.col(text_col))).alias("body"))
-    return rows.mapInArrow(lambda it: _signed(it, settings), "doc_id bigint, name binary, n bigint, sketch binary, paths array<bigint>")
+    return rows.mapInArrow(lambda it: _signed(it, settings), "doc_id bigint, name binary, n bigint, sketch binary, paths array<bigint>, sample array<int>")
 
 
 def _sketches(table: pa.Table) -> np.ndarray:
@@ -207,31 +233,41 @@ def _block_pairs(block: str, blocks: str) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1), lambda o: F.struct(F.least(block, o).alias("low"), F.greatest(block, o).alias("high")))
 
 
+def _with_large(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """rows with members of their bucket where that is large, null elsewhere. Large buckets are broadcast behind a count; else rows are salted."""
+    if large.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
+        return rows.join(F.broadcast(large), "bucket", "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("entry"), F.lit(SALTS)))
+    each = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(each, ["bucket", "salt"], "left").drop("salt")
+
+
 def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: links between entries (entry, n, sketch, paths) that may reach the threshold; a spanning forest of each bucket's, not all pairs."""
+    """a, b: links between entries (entry, n, sketch, paths, sample) that may reach the threshold; a spanning forest of each bucket's, not all pairs."""
     s, found = settings, None
-    rows = entries.select("entry", "n", "sketch", F.explode("paths").alias("bucket"))
+    entries = kept(entries.select("entry", "n", "sketch", "paths", "sample"))
+    rows, last = entries.select("entry", "n", "sketch", F.explode("paths").alias("bucket")), None
+    parts_of_million = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000))
     for level in range(s.depth + 1):
-        rows = kept(rows)
-        counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        rows = rows.join(counts, "bucket")
-        if level < s.depth:
-            small = rows.where(F.col("members") <= s.small)
-        else:
-            rows = kept(rows)
-            small = rows.where(F.col("members") <= s.small)
-            large = rows.where(F.col("members") > s.small)
-        parts = small.select("bucket", "entry", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket", "entry")
+        large = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > s.small))
+        both = _with_large(rows, large)
+        # No bucket of these has more than ``small`` rows.
+        parts = both.where("members is null").select("bucket", "entry", "n", "sketch").repartition("bucket").withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+        parts = parts.where("here > 1").drop("here").sortWithinPartitions("bucket", "entry")
         links = kept(parts.mapInArrow(lambda it: _brute(it, s), "a bigint, b bigint").distinct())
         found = links if found is None else found.union(links)
+        both = both.where("members is not null")
         if level == s.depth:
             break
-        place = F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(SKETCH)).cast("int")
-        value = F.substring(F.hex("sketch"), 2 * place + 1, F.lit(2))
-        rows = rows.where(F.col("members") > s.small).select("entry", "n", "sketch", F.xxhash64("bucket", F.lit(level), value).alias("bucket"))
+        samples = entries.select(F.col("entry").alias("__entry"), "sample")
+        share = s.splits * 1e6 / F.least(F.lit(SAMPLE).cast("bigint"), F.col("n"))
+        onward = both.join(samples, F.col("entry") == F.col("__entry")).withColumn("step", F.explode(F.filter("sample", lambda t: parts_of_million("bucket", t, F.lit(level)) < share)))
+        done, last = last, kept(onward.select("entry", "n", "sketch", F.xxhash64("bucket", "step").alias("bucket")))
+        rows = last
+        let_go(*(x for x in (done, large) if x is not None))
     blocks = F.ceil(F.col("members") / s.block)
-    large = large.select("bucket", "entry", "n", "sketch", F.pmod(F.xxhash64("entry"), blocks).alias("part"))
-    led = kept(large.groupBy("bucket", "part").applyInArrow(lambda t: _lead(t.drop_columns(["part"]), s), "bucket bigint, a bigint, b bigint, radius bigint, low bigint, high bigint, sketch binary"))
+    blocked = both.select("bucket", "entry", "n", "sketch", F.pmod(F.xxhash64("entry"), blocks).alias("part"))
+    led = kept(blocked.groupBy("bucket", "part").applyInArrow(lambda t: _lead(t.drop_columns(["part"]), s), "bucket bigint, a bigint, b bigint, radius bigint, low bigint, high bigint, sketch binary"))
     leaders = led.where("sketch is not null").select("bucket", F.col("a").alias("entry"), "radius", "low", "high", "sketch")
     blocks = leaders.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("blocks"))
     leaders = leaders.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks"))).withColumn("pair", F.explode(_block_pairs("block", "blocks")))
@@ -304,8 +340,8 @@ def join(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     own = signed.groupBy("doc_id").agg(F.min(F.struct("name", "n")).alias("own")).select("doc_id", "own.*")
     usable = own.where("doc_id is not null and n > 0")
     groups = kept(usable.groupBy("name").agg(F.min("doc_id").alias("entry"), F.count(F.lit(1)).alias("weight"), F.any_value("n").alias("n")))
-    chosen = signed.select("doc_id", "name", "n", "sketch", "paths").join(groups.select("name", "n", F.col("entry").alias("doc_id"), F.col("entry")), ["name", "n", "doc_id"]).dropDuplicates(["entry"])
-    linked = components(candidate_links(chosen.select("entry", "n", "sketch", "paths"), s))
+    chosen = signed.select("doc_id", "name", "n", "sketch", "paths", "sample").join(groups.select("name", "n", F.col("entry").alias("doc_id"), F.col("entry")), ["name", "n", "doc_id"]).dropDuplicates(["entry"])
+    linked = components(candidate_links(chosen.select("entry", "n", "sketch", "paths", "sample"), s))
     sizes = linked.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     members = kept(linked.join(sizes, "component").join(groups.select(F.col("entry").alias("v"), "name", "weight"), "v").select(F.col("v").alias("doc_id"), "name", "component", "weight", F.ceil(F.col("members") / s.exact_block).alias("blocks")))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.lower(F.col(text_col))).alias("body"))

@@ -213,7 +213,35 @@ def test_join_edges(spark):
 
 
 def test_recall_of_the_parameters():
-    assert chosen_path.recall() > 0.997
+    assert chosen_path.recall() >= chosen_path.Settings().target and chosen_path.runs_of(chosen_path.Settings(target=0.9)) < chosen_path.runs_of()
+
+
+def test_pairs_meet_as_often_as_the_formula_says():
+    """Pairs of similarity 0.8 whose buckets are all split: the share that has a common path of full length in any run."""
+    import pyarrow as pa
+
+    rng, pairs, rows = np.random.default_rng(8), 300, []
+    for _ in range(pairs):
+        words = rng.integers(0, 1 << 62, 300).astype(str)
+        rows += [" ".join(words), " ".join(words[: int(300 * 0.805)])]
+    s = chosen_path.Settings(target=0.9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * pairs), pa.int64()), pa.array([r.encode() for r in rows], pa.binary())], ["doc_id", "body"])
+    table = pa.Table.from_batches(chosen_path._signed(iter([batch]), s)).to_pylist()
+
+    def full(row):
+        ends = [(b,) for b in row["paths"]]
+        for _ in range(s.depth):
+            ends = [(*e, t) for e in ends for t in row["sample"] if random.Random(str((e, t))).random() < s.splits / min(chosen_path.SAMPLE, row["n"])]
+        return set(ends)
+
+    met = np.mean([bool(full(table[2 * i]) & full(table[2 * i + 1])) for i in range(pairs)])
+    assert abs(met - chosen_path.recall(s, 0.805)) < 0.07
+
+
+def test_large_buckets_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BROADCAST_BUCKETS", 0)
+    rows = near_copies(4, groups=2, copies=50)
+    assert joined(spark, rows, chosen_path.Settings(small=8, depth=2, block=16, exact_block=10)) == brute(rows)
 
 
 def test_shingles():
