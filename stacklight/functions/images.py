@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 MAX_EDGE = 512
 
@@ -89,3 +92,18 @@ def detector_input(rgb: np.ndarray, size: int = 320, channels_last: bool = True)
     for c in range(3):
         out[:nh, :nw, c] = (rgb[..., c] if (nh, nw) == (h, w) else resize(rgb[..., c], nw, nh)) / 255.0
     return (out if channels_last else out.transpose(2, 0, 1))[None]
+
+
+#: What a column of evidence holds.
+EVIDENCE = "probe_width int, probe_height int, luminance_mean double, luminance_stddev double, entropy_bits double, dark_clip_ratio double, bright_clip_ratio double, edge_mean double, edge_variance_proxy double"
+
+
+def raster_evidence(pixels: str, width: int, height: int) -> Column:
+    """technical_evidence of grey rasters (array of width x height bytes) as a struct column, in Arrow batches."""
+    names = [part.split()[0] for part in EVIDENCE.split(", ")]
+
+    def measured(column: pd.Series) -> pd.DataFrame:
+        found = [technical_evidence(np.asarray(v, np.uint8).reshape(height, width)) for v in column]
+        return pd.DataFrame([[f[n] for n in names] for f in found], columns=names)
+
+    return F.pandas_udf(measured, EVIDENCE)(F.col(pixels))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What the audit contract excludes and recognises.
@@ -46,7 +46,7 @@ def alias_column(names: Sequence[str], *aliases: str) -> Column:
 
 def casefold(c: str | Column) -> Column:
     """Case folding in the JVM: upper then lower case, so that "STRASSE" and "Straße" are one; a dotless i stays itself."""
-    return F.translate(F.lower(F.upper(F.translate(col(c), "ı", "\ue000"))), "\ue000", "ı")
+    return F.lower(F.translate(F.upper(F.translate(col(c), "ı", "\ue000")), "\ue000", "ı"))
 
 
 def slashed(c: str | Column) -> Column:
@@ -168,3 +168,13 @@ def destination(path: str | Column, root: str, target: str, entity: str | Column
     if target == root:  # never back into the directory that is being drained
         unclassified = unclassified | (F.lower(top) == F.lower(source_directory(path, root)))
     return F.struct(F.when(unclassified, unsorted).otherwise(placed).alias("path"), state.alias("state"))
+
+
+def utc_text(c: str | Column) -> Column:
+    """ISO text of a moment in UTC with six digits of a second, which sorts like the moment; times without a zone are taken as UTC."""
+    return F.concat(F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def in_order(rows: DataFrame, path: str = "source_path") -> DataFrame:
+    """rows in the order that reports list paths: without case first, then as they are."""
+    return rows.orderBy(casefold(path), path)

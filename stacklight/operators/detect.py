@@ -73,6 +73,12 @@ def summary_of(found: str | Column, explicit: tuple = boxes.EXPLICIT, covered: t
     return F.struct(maxima.alias("class_maxima"), best(lambda x: x.isin(*explicit)).alias("explicit_score"), best(lambda x: x.isin(*covered)).alias("covered_score"), F.slice(own, 1, most).alias("detections"))
 
 
+def zipped(names: Column, scores: Column) -> Column:
+    """array<struct<name, score>> by position; different lengths are an error."""
+    same = F.size(names) == F.size(scores)
+    return F.when(same, F.zip_with(names, scores, lambda n, s: F.struct(n.alias("name"), s.alias("score")))).otherwise(F.raise_error(F.lit("the tagger's outputs don't fit its tags")))
+
+
 def top_tags(tags: Column, ratings: tuple[str, ...], most: int = 30, least: float = 0.25) -> Column:
     """Of array<struct<name, score>>: the best `most` tags that aren't ratings, then those of at least `least`."""
     ordered = F.array_sort(F.transform(F.filter(tags, lambda t: ~t["name"].isin(*ratings)), lambda t: F.struct((-t["score"]).alias("minus"), t["name"].alias("name"))))

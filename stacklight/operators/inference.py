@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import importlib
 import json
-import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -19,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.functions import images
+from stacklight.functions import boxes, images
+from stacklight.operators import detect
 
 OUTCOMES = ("COMPLETE", "SOURCE_CHANGED", "IO_RETRYABLE", "DECODE_OR_INVALID", "ADAPTER_INIT_FAILED", "CUDA_PROVIDER_LOST", "OOM", "FAILED")
 _RESULT = "asset_id string, outcome string, error string, features string, evidence string, embedding array<double>"
@@ -103,48 +103,12 @@ def png_text_keys(content: bytes) -> list[str]:
     return sorted(out)
 
 
-def decode_png(content: bytes) -> np.ndarray:
-    """(h, w, 3) of an 8-bit, not interlaced PNG of grey, RGB, or either with alpha; anything else raises ValueError."""
-    if content[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    at, data, head = 8, b"", None
-    while at + 8 <= len(content):
-        size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
-        body = content[at + 8 : at + 8 + size]
-        head = body if kind == b"IHDR" else head
-        data += body if kind == b"IDAT" else b""
-        at += 12 + size
-    if head is None:
-        raise ValueError("a PNG needs a header")
-    w, h, depth, color, interlace = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
-    if depth != 8 or interlace or channels is None:
-        raise ValueError("a PNG of this kind isn't decoded here")
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.uint8)
-    for y in range(h):
-        kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-        up = out[y - 1].astype(np.int64) if y else np.zeros_like(line)
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + up) & 255
-        else:
-            row = np.zeros_like(line)
-            for x in range(len(line)):
-                a = row[x - channels] if x >= channels else 0
-                c = up[x - channels] if x >= channels else 0
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
-                    guess = (a + up[x]) // 2
-                else:
-                    p = a + up[x] - c
-                    guess = min((abs(p - a), 0, a), (abs(p - up[x]), 1, up[x]), (abs(p - c), 2, c))[2]
-                row[x] = (line[x] + guess) & 255
-            out[y] = row
-    pixels = out.reshape(h, w, channels)
-    return pixels[..., :3] if channels >= 3 else np.repeat(pixels[..., :1], 3, axis=2)
+def rgb_of(height: int | None, width: int | None, channels: int | None, data: bytes | None) -> np.ndarray:
+    """(h, w, 3) of what Spark's image source decoded (rows of BGR, BGRA or grey bytes); an image that it couldn't decode raises ValueError."""
+    if height is None or height != height or height <= 0 or data is None:
+        raise ValueError("the image can't be decoded")
+    pixels = np.frombuffer(data, np.uint8).reshape(int(height), int(width), int(channels))
+    return pixels[..., [2, 1, 0]] if channels >= 3 else np.repeat(pixels[..., :1], 3, axis=2)
 
 
 def kind_of(error: BaseException) -> str:
@@ -172,10 +136,10 @@ def _adapter(key: str, factory: Callable[[], Any]) -> Any:
     return _MADE[key]
 
 
-def analyzed(files: DataFrame, factory: Callable[[], Any], key: str, decode: Callable[[bytes], np.ndarray] = decode_png) -> DataFrame:
-    """asset_id, outcome, error, features, evidence (JSON), embedding for files (asset_id, source_path, content, and expected_sha256 if sources must not have changed). Each asset is read, decoded and analysed once."""
+def analyzed(files: DataFrame, factory: Callable[[], Any], key: str) -> DataFrame:
+    """asset_id, outcome, error, features, evidence (JSON), embedding for files (asset_id, source_path, content, pixels as files.with_pixels() adds them, and expected_sha256 if sources must not have changed). The JVM decodes; each asset is analysed once."""
     expected = F.col("expected_sha256") if "expected_sha256" in files.columns else F.lit(None).cast("string")
-    rows = files.select("asset_id", "source_path", "content", expected.alias("expected"))
+    rows = files.select("asset_id", "source_path", "content", "height", "width", "nChannels", "data", expected.alias("expected"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         adapter, broken = None, None
@@ -193,7 +157,7 @@ def analyzed(files: DataFrame, factory: Callable[[], Any], key: str, decode: Cal
                     elif row.expected is not None and hashlib.sha256(row.content).hexdigest() != row.expected:
                         result["outcome"] = "SOURCE_CHANGED"
                     else:
-                        rgb = decode(row.content)
+                        rgb = rgb_of(row.height, row.width, row.nChannels, row.data)
                         found = adapter.analyze(rgb, row.content, row.source_path) if hasattr(adapter, "analyze") else Analysis(adapter.embed(row.content, row.source_path))
                         keys = png_text_keys(row.content)
                         features = {"width": rgb.shape[1], "height": rgb.shape[0], "technical": images.technical_evidence(rgb), "analysis": dict(found.features)}
@@ -210,6 +174,12 @@ def analyzed(files: DataFrame, factory: Callable[[], Any], key: str, decode: Cal
     return rows.mapInPandas(run, _RESULT)
 
 
+def with_detections(results: DataFrame, canvas: int = 320) -> DataFrame:
+    """analyzed() with `detections`, the summary of a detector's raw rows in features; null where there was no detector."""
+    raw = F.from_json(F.get_json_object("features", "$.analysis.nudenet_rows"), "array<array<array<double>>>")
+    return results.withColumn("__raw", raw).withColumn("detections", F.when(F.col("__raw").isNotNull(), detect.summary_of(detect.detected("__raw", canvas)))).drop("__raw")
+
+
 @dataclass
 class OnnxAdapter:
     """A tagger and, if given, a detector as ONNX sessions of one thread; providers are used in the order given and never silently replaced."""
@@ -247,5 +217,6 @@ class OnnxAdapter:
             first = self.sessions[1].get_inputs()[0]
             size = next((d for d in first.shape if d in (320, 640)), 320)
             rows = self.sessions[1].run(None, {first.name: images.detector_input(rgb, size, first.shape[-1] == 3)})
-            features["nudenet_rows"] = [np.asarray(r).tolist() for r in rows]
+            # Rows of every output; with_detections() makes the summary of them in the JVM.
+            features["nudenet_rows"] = [boxes.model_rows(r).tolist() for r in rows]
         return Analysis(vector.tolist(), {"providers": list(self.providers)}, features)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.functions import paths
+from stacklight.operators.assets import latest
 from stacklight.operators.runs import TERMINAL_OCCURRENCES
 
 STATES = ("PLANNED", "MOVED", "SOURCE_CHANGED", "COLLISION", "FAILED", "MISSING")
@@ -75,6 +76,17 @@ def clashes(plan: DataFrame) -> DataFrame:
     return plan.groupBy(paths.casefold("destination_path").alias("destination")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def open_moves(journal: DataFrame, limit: int | None = None) -> DataFrame:
+    """The last row of each move in a journal (source_path, state, event_seq, ...) that is PLANNED or FAILED, the first `limit` by path, or all."""
+    left = latest(journal, "source_path", "event_seq").where(F.col("state").isin("PLANNED", "FAILED"))
+    return left if limit is None else left.orderBy("source_path").limit(limit)
+
+
+def state_counts(journal: DataFrame) -> DataFrame:
+    """state, n of a journal's moves."""
+    return latest(journal, "source_path", "event_seq").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ready_directories(occ: DataFrame, directory: Column) -> DataFrame:
     """Directories in which every occurrence is settled."""
     settled = F.coalesce(F.col("occurrence_state").isin(*TERMINAL_OCCURRENCES), F.lit(False))

@@ -84,6 +84,18 @@ def retry_state(kind: Column, attempts: Column, most: int = MOST_ATTEMPTS) -> Co
     )
 
 
+def error_kind(message: Column) -> Column:
+    """What an error's text says of its cause: OOM, CUDA_PROVIDER_LOST or null."""
+    text = F.lower(message)
+    lost = text.contains("cudaexecutionprovider") | text.contains("cuda") & text.contains("provider")
+    return F.when(text.contains("out of memory") | text.contains("cuda_error_out_of_memory"), "OOM").when(lost, "CUDA_PROVIDER_LOST")
+
+
+def occurrences_of(occ: DataFrame, asset_ids: DataFrame) -> DataFrame:
+    """The paths of some assets (asset_id), in order of asset and path."""
+    return occ.join(asset_ids.select("asset_id").distinct(), "asset_id", "left_semi").orderBy("asset_id", "source_path")
+
+
 def pause_reason(kind: Column, ooms: Column) -> Column:
     return F.when(kind == "CUDA_PROVIDER_LOST", "cuda_provider_unavailable").when(kind == "ADAPTER_INIT_FAILED", "adapter_initialization_failed").when((kind == "OOM") & (ooms >= 2), "gpu_oom_after_single_worker_retry")
 

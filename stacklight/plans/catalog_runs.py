@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.functions import boxes, paths, vectors
+from stacklight.functions import boxes, images, paths, vectors
 from stacklight.operators import assets, decisions, detect, diff, moves, runs
-from stacklight.plans import outputs
-from stacklight.plans.catalog import ROOT, TARGET, found, labelled, ppm, query, read
+from stacklight.plans import outputs, reprocess
+from stacklight.plans.catalog import _METRICS, _OPEN, _OUTCOMES, CONFIG, GATES, GRID_M, GRID_S, ROOT, TARGET, _pairs_sql, found, known, labelled, ppm, query, read
 from stacklight.sources import baseline, files
 
 ITEM_STATES = ("COMPLETE", "PENDING", "LEASED", "RETRYABLE_FAILED", "FAILED", "SOURCE_CHANGED")
@@ -373,3 +373,98 @@ def move_sync(spark, sf_dir):
     journal = plan.where(paths.source_directory("source_path", ROOT).isin("src0", "src1", "src2")).select("source_path", "destination_path")
     new = moves.planned(move_rows(spark, sf_dir, journal), ROOT, TARGET)
     return moves.appended(new, journal).select("source_path", "destination_path")
+
+
+# --- images, tags, times and journals -----------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: least(255, greatest(0, floor((x::DOUBLE + 1) * 127.5)))::BIGINT) AS a FROM embeddings),
+b AS (SELECT vec_id, unnest(a) AS v FROM p), h AS (SELECT vec_id, v, count(*) AS n FROM b GROUP BY ALL),
+e AS (SELECT vec_id, floor(-sum(n / 64 * log2(n / 64)) * 1e3 + 0.05)::BIGINT AS entropy, floor(coalesce(sum(n) FILTER (WHERE v < 3), 0) / 64 * 1e6 + 0.5)::BIGINT AS dark, floor(sum(n * v) / 64 * 1e2 + 0.5)::BIGINT AS luminance FROM h GROUP BY vec_id),
+g AS (SELECT vec_id, a, unnest(range(1, 7)) AS y FROM p), g2 AS (SELECT vec_id, a, y, unnest(range(1, 7)) AS x FROM g),
+k AS (SELECT vec_id, least(255, greatest(0, 9 * a[y*8+x+1] - (a[(y-1)*8+x] + a[(y-1)*8+x+1] + a[(y-1)*8+x+2] + a[y*8+x] + a[y*8+x+1] + a[y*8+x+2] + a[(y+1)*8+x] + a[(y+1)*8+x+1] + a[(y+1)*8+x+2]))) AS e FROM g2)
+SELECT e.vec_id, entropy, dark, luminance, edge FROM e JOIN (SELECT vec_id, floor(avg(e) * 36 + 0.5)::BIGINT AS edge FROM k GROUP BY vec_id) USING (vec_id)""")
+def raster_evidence(spark, sf_dir):
+    """The library's technical evidence of 8x8 rasters made from the vectors."""
+    pixel = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127.5))).cast("int"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", pixel.alias("a")).withColumn("e", images.raster_evidence("a", 8, 8))
+    whole = lambda c, k: F.floor(F.col(f"e.{c}") * k + 0.5).cast("bigint")
+    return e.select("vec_id", F.floor(F.col("e.entropy_bits") * 1e3 + 0.05).cast("bigint").alias("entropy"), whole("dark_clip_ratio", 1e6).alias("dark"), whole("luminance_mean", 1e2).alias("luminance"), whole("edge_mean", 36).alias("edge"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, list('tag' || l_linenumber ORDER BY l_linenumber, l_partkey) AS names, list((l_partkey % 100) / 100.0::DOUBLE ORDER BY l_linenumber, l_partkey) AS scores FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, len(names) AS n, names[1] AS first, floor(list_sum(scores) * 1e6 + 0.5)::BIGINT AS sum_ppm FROM t""")
+def tag_scores(spark, sf_dir):
+    """A tagger's names with its probabilities, by position."""
+    x = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 100 / 100.0).cast("double").alias("p")))).alias("rows"))
+    z = x.select("l_orderkey", detect.zipped(F.transform("rows", lambda r: F.concat(F.lit("tag"), r["l_linenumber"].cast("string"))), F.transform("rows", lambda r: r["p"])).alias("z"))
+    return z.select("l_orderkey", F.size("z").cast("bigint").alias("n"), F.col("z")[0]["name"].alias("first"), ppm(F.aggregate("z", F.lit(0.0), lambda s, t: s + t["score"])).alias("sum_ppm"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at FROM events")
+def utc_texts(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", paths.utc_text("ts").alias("at"))
+
+
+@query("""WITH e AS (SELECT event_id, ['CUDA error: out of memory', 'CUDAExecutionProvider failed', 'the cuda Provider is gone', 'cuda_error_out_of_memory', 'a file is missing'][event_id % 5 + 1] AS m FROM events)
+SELECT event_id, CASE WHEN contains(lower(m), 'out of memory') OR contains(lower(m), 'out_of_memory') THEN 'OOM' WHEN lower(m) LIKE '%cuda%provider%' THEN 'CUDA_PROVIDER_LOST' END AS kind FROM e""")
+def error_kinds(spark, sf_dir):
+    m = _pick(("CUDA error: out of memory", "CUDAExecutionProvider failed", "the cuda Provider is gone", "cuda_error_out_of_memory", "a file is missing"), F.col("event_id"))
+    return read(spark, sf_dir, "events").select("event_id", runs.error_kind(m).alias("kind"))
+
+
+@query(f"WITH {_FOUND} SELECT asset_id, source_path FROM f WHERE asset_id IN (SELECT asset_id FROM f JOIN labels USING (doc_id) WHERE toxic = 1)")
+def asset_paths(spark, sf_dir):
+    """All paths of the assets that a toxic label names."""
+    occ = found(spark, sf_dir)
+    bad = occ.join(read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return runs.occurrences_of(occ, bad).select("asset_id", "source_path")
+
+
+def move_journal(spark, sf_dir) -> DataFrame:
+    """Orders as moves, their line items as events of them."""
+    x = read(spark, sf_dir, "lineitem")
+    return x.select(F.concat(F.lit("/library/"), F.col("l_orderkey").cast("string")).alias("source_path"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).cast("bigint").alias("event_seq"), _pick(moves.STATES, F.col("l_partkey") + F.col("l_linenumber")).alias("state"))
+
+
+_JOURNAL = f"""j AS (SELECT '/library/' || l_orderkey AS source_path, l_linenumber * 1000000 + l_partkey AS event_seq, {list(moves.STATES)!r}[(l_partkey + l_linenumber) % 6 + 1] AS state FROM lineitem),
+c AS (SELECT source_path, arg_max(state, event_seq) AS state FROM j GROUP BY source_path)"""
+
+
+@query(f"WITH {_JOURNAL} SELECT state, count(*) AS n FROM c GROUP BY state")
+def move_states(spark, sf_dir):
+    return moves.state_counts(move_journal(spark, sf_dir))
+
+
+@query(f"WITH {_JOURNAL} SELECT source_path, state FROM c WHERE state IN ('PLANNED', 'FAILED') ORDER BY source_path LIMIT 100")
+def open_moves(spark, sf_dir):
+    """The next 100 moves to execute."""
+    return moves.open_moves(move_journal(spark, sf_dir), 100).select("source_path", "state")
+
+
+@query(f"""{_OPEN}, {_pairs_sql(GRID_S, GRID_M)}, {_OUTCOMES}, {_METRICS}, pick AS (SELECT min_similarity, min_margin FROM r WHERE accepted >= {GATES.accepted} AND unknown_total >= {GATES.unknown} AND accepted_accuracy >= {GATES.accuracy} AND unknown_false_accept_rate <= {GATES.false_accept}
+ORDER BY coverage DESC, accepted_accuracy DESC, unknown_false_accept_rate, min_similarity DESC, min_margin DESC LIMIT 1)
+SELECT id AS asset_id, CASE WHEN score >= min_similarity AND margin >= min_margin THEN 'ACCEPTED' ELSE 'UNKNOWN' END AS decision_state, '待复核' AS proposed_bucket, CASE WHEN score >= min_similarity AND margin >= min_margin THEN nearest END AS identity,
+floor(greatest(0.0, least(1.0, score)) * 1e6 + 0.5)::BIGINT AS confidence_ppm, CASE WHEN score >= min_similarity AND margin >= min_margin THEN 'status_policy_not_calibrated' ELSE 'identity_unknown' END AS reasons FROM best, pick""")
+def decided(spark, sf_dir):
+    """Decisions by the thresholds that the calibration recommends; none where it recommends none."""
+    v = labelled(spark, sf_dir)
+    rows = openset_rows(v)
+    return rows.select("asset_id", "decision_state", "proposed_bucket", "identity", ppm(F.col("confidence")).alias("confidence_ppm"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def openset_rows(v: DataFrame) -> DataFrame:
+    report, rows = reprocess.decide(v.withColumnRenamed("id", "asset_id"), v, known(v), GRID_S, GRID_M, CONFIG.top_k, GATES)
+    if rows is None:
+        empty = "asset_id bigint, decision_state string, proposed_bucket string, identity bigint, confidence double, reasons array<string>"
+        return v.sparkSession.createDataFrame([], empty)
+    return rows
+
+
+@query("""WITH r AS (SELECT doc_id, source || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.PNG' END AS source FROM documents) SELECT source AS source_path, 'draft' AS old_bucket FROM r""")
+def baseline_sidecars(spark, sf_dir):
+    """A baseline as moves read it: rows of all kinds."""
+    d = read(spark, sf_dir, "documents")
+    side = F.col("doc_id") % 3 == 0
+    raw = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(side, ".txt").otherwise(".PNG")).alias("Path"), F.when(side, "sidecar").otherwise("Image").alias("Asset_Kind"), F.lit("draft").alias("Status"))
+    return baseline.normalised(raw, images_only=False).select("source_path", "old_bucket")

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stacklight.functions import paths
 from stacklight.operators import diff
 
+#: Values of a column whose counts a summary lists; more are written as a table beside it.
+MOST_COUNTS = 10_000
+
 
 def write_json(value: Any, path: str) -> None:
     """Sorted keys, two spaces, a newline at the end; the file appears whole or not at all."""
@@ -38,11 +42,17 @@ def run_report(rows: DataFrame, out: str, limit: int = 500, seed: str = "review-
     os.makedirs(out, exist_ok=True)
     summary = diff.summary(rows).first().asDict()
     for kind, column in (("by_status", "status"), ("by_effective_bucket", "effective_bucket")):
-        summary[kind] = {r[0]: r[1] for r in diff.counts_by(rows, column).orderBy(column).limit(10_000).collect()}
+        counts = diff.counts_by(rows, column)
+        found = counts.orderBy(column).limit(MOST_COUNTS + 1).collect()
+        if len(found) > MOST_COUNTS:  # too many for a summary: whole, as a table
+            write_csv(counts.orderBy(column), os.path.join(out, kind))
+            summary[kind] = {"table": kind}
+        else:
+            summary[kind] = {r[0]: r[1] for r in found}
     queue = diff.review_queue(rows, limit, seed)
     own = rows.select("occurrence_id", "source_path", "status", "proposed_bucket", "identity", "confidence", "review_reasons")
     chosen = own.join(F.broadcast(queue), "occurrence_id").orderBy("review_id")  # the queue has at most `limit` rows
-    write_csv(rows, os.path.join(out, "diff"))
+    write_csv(paths.in_order(rows), os.path.join(out, "diff"))
     write_json([r.asDict(recursive=True) for r in chosen.collect()], os.path.join(out, "review-queue.json"))
     write_json(summary, os.path.join(out, "summary.json"))
     return summary

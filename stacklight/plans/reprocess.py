@@ -1,11 +1,10 @@
-"""Runs from end to end: processing leased items batch by batch, and deciding from calibrated references.
+"""Runs from end to end: processing open items, and deciding from calibrated references.
 
-Each batch is a Spark job; the driver only claims, appends and looks at gates between batches.
+Processing is one Spark job for each attempt; the driver only appends and looks at gates between them.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -35,42 +34,44 @@ def items(tables: RunTables, run_id: str) -> DataFrame:
     return tables.current("items", ["run_id", "asset_id"]).where(F.col("run_id") == run_id)
 
 
-def process(tables: RunTables, run_id: str, files: DataFrame, factory: Callable[[], Any], key: str, capacity: int = 1000, lease_seconds: int = 300, limit: int | None = None, profile: Callable[[], resources.Profile] | None = None, locks: Callable[[], tuple[bool, bool]] | None = None) -> dict[str, Any]:
-    """Works off the run's items in batches of `capacity` against files (asset_id, source_path, content): counts by state, status and why it paused.
+def process(tables: RunTables, run_id: str, files: DataFrame, factory: Callable[[], Any], key: str, limit: int | None = None, profile: Callable[[], resources.Profile] | None = None, locks: Callable[[], tuple[bool, bool]] | None = None) -> dict[str, Any]:
+    """Works off the run's open items, or the first `limit` of them, against files (asset_id, source_path, content and pixels): counts by state, status and why it paused.
 
-    Input and output errors retry up to three attempts, bad images end, lost providers and
-    failed adapters pause the run at once, and a second out-of-memory of an item pauses it too.
+    One Spark job analyses all of them and appends how they ended; what may be tried again is
+    another job, three at most. Input and output errors retry up to three attempts, bad images
+    end, lost providers and failed adapters pause the run, and a second out-of-memory of an
+    item pauses it too.
     """
-    if capacity < 1 or limit is not None and limit < 1:
-        raise ValueError("capacity and limit must be positive")
-    paused, done, first = None, 0, True
-    while paused is None:
-        if profile is not None and (paused := resources.gate(profile(), *(locks() if locks else (False, False)), starting=first)):
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
+    paused, done = None, 0
+    for attempt in range(runs.MOST_ATTEMPTS):
+        if profile is not None and (paused := resources.gate(profile(), *(locks() if locks else (False, False)), starting=attempt == 0)):
             break
-        first = False
-        room = capacity if limit is None else min(capacity, limit - done)
-        if room <= 0:
-            paused = "invocation_limit_reached"
-            break
-        own, token = items(tables, run_id), uuid.uuid4().hex
+        own = items(tables, run_id)
         seq = (own.agg(F.max("event_seq")).first()[0] or 0) + 1
-        leased = runs.claim(own, room, lease_seconds, F.current_timestamp(), "driver", token).withColumn("event_seq", F.lit(seq).cast("bigint"))
-        tables.append("items", leased.select(*_EVENT), "run_id")
-        mine = tables.events("items").where((F.col("run_id") == run_id) & (F.col("lease_token") == token) & (F.col("state") == "LEASED"))
-        claimed = mine.count()
-        if not claimed:
-            break
-        done += claimed
-        results = inference.analyzed(files.join(F.broadcast(mine.select("asset_id")), "asset_id", "left_semi").dropDuplicates(["asset_id"]), factory, key)
-        both = mine.select("run_id", "asset_id", "attempts").join(results, "asset_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("SOURCE_CHANGED")))
-        ended = both.withColumns({"state": runs.retry_state(F.col("outcome"), F.col("attempts")), "event_seq": F.lit(seq + 1).cast("bigint"), "lease_owner": F.lit(None).cast("string"), "lease_token": F.lit(None).cast("string"), "lease_expires_at": F.lit(None).cast("timestamp")})
+        left = runs.recover_leases(own, F.current_timestamp()).where(F.col("state").isin(*runs.CLAIMABLE))
+        left = left if limit is None else left.orderBy("asset_id").limit(limit - done)
+        left = left.select("run_id", "asset_id", (F.col("attempts") + 1).alias("attempts"))
+        first = files.join(left.select("asset_id"), "asset_id", "left_semi").groupBy("asset_id").agg(F.min("source_path").alias("source_path"))
+        results = inference.analyzed(files.join(first, ["asset_id", "source_path"], "left_semi"), factory, key)
+        both = left.join(results, "asset_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("SOURCE_CHANGED")))
+        nothing = {c: F.lit(None).cast("string") for c in ("lease_owner", "lease_token")} | {"lease_expires_at": F.lit(None).cast("timestamp")}
+        ended = both.withColumns({"state": runs.retry_state(F.col("outcome"), F.col("attempts")), "event_seq": F.lit(seq).cast("bigint")} | nothing)
         tables.append("items", ended.select(*_EVENT), "run_id")
-        written = tables.events("items").where((F.col("run_id") == run_id) & (F.col("event_seq") == seq + 1))
-        why = written.select(runs.pause_reason(F.col("outcome"), F.col("attempts")).alias("why")).where("why is not null").agg(F.min("why")).first()[0]
-        paused = why
+        events = tables.events("items").where(F.col("run_id") == run_id)
+        ooms = events.where(F.col("outcome") == "OOM").groupBy("asset_id").agg(F.count(F.lit(1)).alias("ooms"))
+        written = events.where(F.col("event_seq") == seq).join(ooms, "asset_id", "left")
+        why = runs.pause_reason(F.col("outcome"), F.coalesce("ooms", F.lit(0)))
+        said = written.agg(F.count(F.lit(1)).alias("n"), F.min(why).alias("why"), F.sum((F.col("state") == "RETRYABLE_FAILED").cast("int")).alias("again")).first()
+        done, paused = done + said["n"], said["why"]
+        if paused or not said["again"] or limit is not None and done >= limit:
+            break
     counts = {r["state"]: r["n"] for r in items(tables, run_id).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
-    open_items = any(counts.get(s) for s in ("PENDING", "LEASED", "RETRYABLE_FAILED"))
-    return {"run_id": run_id, "status": "PAUSED" if paused or open_items else "COMPLETE", "paused_reason": paused or ("active_leases" if counts.get("LEASED") else None), "claimed": done, "items": counts}
+    still_open = any(counts.get(s) for s in ("PENDING", "LEASED", "RETRYABLE_FAILED"))
+    if paused is None and still_open and limit is not None and done >= limit:
+        paused = "invocation_limit_reached"
+    return {"run_id": run_id, "status": "PAUSED" if paused or still_open else "COMPLETE", "paused_reason": paused or ("active_leases" if counts.get("LEASED") else None), "claimed": done, "items": counts}
 
 
 def decide(vectors: DataFrame, records: DataFrame, references: DataFrame, similarities=openset.SIMILARITIES, margins=openset.MARGINS, top_k: int = 3, gates: openset.Gates = openset.STRICT) -> tuple[dict[str, Any], DataFrame | None]:
@@ -87,5 +88,5 @@ def decide(vectors: DataFrame, records: DataFrame, references: DataFrame, simila
         return report, None
     said = openset.classify(vectors, references, openset.OpenSet(best[0]["min_similarity"], best[0]["min_margin"], top_k))
     state = F.when(F.col("state") == "accepted", "ACCEPTED").otherwise("UNKNOWN")
-    reasons = F.when(F.col("state") == "accepted", F.array().cast("array<string>")).otherwise(F.array(F.lit("identity_unknown")))
+    reasons = F.array(F.when(F.col("state") == "accepted", "status_policy_not_calibrated").otherwise("identity_unknown"))
     return report, said.select("asset_id", state.alias("decision_state"), F.lit(PENDING_STATE).alias("proposed_bucket"), F.col("predicted").alias("identity"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("confidence"), reasons.alias("reasons"))

@@ -77,3 +77,8 @@ def decoded(spark: SparkSession, root: str) -> DataFrame:
     """source_path, height, width, channels, data of images that the JVM decodes (PNG, JPEG, GIF, BMP, TIFF); those that it can't have height -1."""
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
     return images.select(local_path("image.origin").alias("source_path"), "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def with_pixels(files: DataFrame, images: DataFrame) -> DataFrame:
+    """files (source_path, ...) with height, width, nChannels and data of decoded()."""
+    return files.join(images, "source_path", "left")

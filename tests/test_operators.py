@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from stacklight.functions import paths
 from stacklight.operators import assets, detect, diff, inference, moves, openset, runs
 from stacklight.plans import apply, cli, outputs
 from stacklight.sources import baseline, files, tables, vectors
@@ -208,6 +209,8 @@ def test_suppression(spark):
     assert sorted(r["seq"] for r in kept.collect()) == [1, 3]
     s = detect.summaries(kept, ("B",), ("A",)).first()
     assert (s["explicit_score"], s["covered_score"], s["class_maxima"], len(s["detections"])) == (0.7, 0.9, {"A": 0.9, "B": 0.7}, 2)
+    every = detect.summaries(kept, ("B",), ("A",), images=spark.createDataFrame([(1,), (2,)], "image int")).orderBy("image").collect()
+    assert [(r["image"], r["n"], r["explicit_score"], r["class_maxima"]) for r in every] == [(1, 2, 0.7, {"A": 0.9, "B": 0.7}), (2, 0, 0.0, {})]
 
 
 class Stub:
@@ -219,9 +222,13 @@ class Stub:
         return [3.0, 4.0]
 
 
-def test_analysis_outcomes(spark):
+def test_analysis_outcomes(spark, tmp_path):
     good = png(3, 2, text=b"prompt\0secret")
-    rows = spark.createDataFrame([("a", "/a.png", good, None), ("b", "/b.png", b"no image", None), ("c", "/c.png", good, "0" * 64)], "asset_id string, source_path string, content binary, expected_sha256 string")
+    for name, content in (("a.png", good), ("b.png", b"no image"), ("c.png", good)):
+        (tmp_path / name).write_bytes(content)
+    found = files.discover(spark, str(tmp_path)).select(files.local_path("path").alias("source_path"), "content")
+    rows = files.with_pixels(found, files.decoded(spark, str(tmp_path))).withColumn("asset_id", paths.stem("source_path"))
+    rows = rows.withColumn("expected_sha256", F.when(F.col("asset_id") == "c", "0" * 64))
     got = {r["asset_id"]: r for r in inference.analyzed(rows, Stub, "stub-1").collect()}
     assert got["a"]["outcome"] == "COMPLETE" and got["a"]["embedding"] == [0.6, 0.8] and '"width": 3' in got["a"]["features"]
     assert "secret" not in got["a"]["evidence"] and "prompt" in got["a"]["evidence"]
@@ -239,7 +246,35 @@ def test_jvm_decode(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png(4, 3))
     row = files.decoded(spark, str(tmp_path)).first()
     assert (row["width"], row["height"]) == (4, 3)
-    assert inference.decode_png(png(4, 3)).tolist() == [[[10, 200, 30]] * 4] * 3
+    assert inference.rgb_of(row["height"], row["width"], row["nChannels"], row["data"]).tolist() == [[[10, 200, 30]] * 4] * 3
+
+
+def test_jpeg_gif_and_bmp_are_analysed(spark, tmp_path):
+    """The JVM writes them here, as it reads them there."""
+    io, image = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.awt.image.BufferedImage(5, 4, 1)
+    for kind in ("jpg", "gif", "bmp"):
+        assert io.write(image, kind, spark._jvm.java.io.File(str(tmp_path / f"x.{kind}")))
+    found = files.discover(spark, str(tmp_path)).select(files.local_path("path").alias("source_path"), "content", F.sha2("content", 256).alias("asset_id"))
+    got = inference.analyzed(files.with_pixels(found, files.decoded(spark, str(tmp_path))), Stub, "stub-jvm").collect()
+    assert len(got) == 3 and all(r["outcome"] == "COMPLETE" and '"width": 5' in r["features"] for r in got)
+
+
+class Detector:
+    name = "nudenet"
+
+    def analyze(self, rgb, content, path):
+        box = [50.0, 50.0, 40.0, 40.0]
+        rows = [box + [0.0, 0.9] + [0.0] * 16, box + [0.0, 0.8] + [0.0] * 16, box + [0.7] * 18, box + [0.0] * 18]
+        return inference.Analysis(features={"rows": [rows]})
+
+
+def test_raw_detections_become_a_summary(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(4, 3))
+    found = files.discover(spark, str(tmp_path)).select(files.local_path("path").alias("source_path"), "content", F.lit("a").alias("asset_id"))
+    results = inference.analyzed(files.with_pixels(found, files.decoded(spark, str(tmp_path))), Detector, "detector-1")
+    row = inference.with_detections(results.withColumn("features", F.regexp_replace("features", '"rows"', '"nudenet_rows"'))).first()["detections"]
+    assert row["class_maxima"] == {"FACE_FEMALE": 0.9, "FEMALE_GENITALIA_COVERED": 0.7} and row["covered_score"] == 0.7 and row["explicit_score"] == 0.0
+    assert [(d["label"], d["confidence"], d["x"], d["w"]) for d in row["detections"]] == [("FACE_FEMALE", 0.9, 30.0, 40.0), ("FEMALE_GENITALIA_COVERED", 0.7, 30.0, 40.0)]
 
 
 def test_moves(spark, tmp_path):
