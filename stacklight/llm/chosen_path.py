@@ -49,8 +49,8 @@ class Settings:
     denominator: int = 5
     target: float = 0.998
     picks: float = 3.0
-    splits: float = 1.6
-    depth: int = 3
+    splits: float = 1.5
+    depth: int = 2
     small: int = 128
     block: int = 1024
     exact_block: int = 512
@@ -246,7 +246,7 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
     """a, b: links between entries (entry, n, sketch, paths, sample) that may reach the threshold; a spanning forest of each bucket's, not all pairs."""
     s, found = settings, None
     entries = kept(entries.select("entry", "n", "sketch", "paths", "sample"))
-    rows, last = entries.select("entry", "n", "sketch", F.explode("paths").alias("bucket")), None
+    rows, last = entries.select("entry", "n", "sketch", "sample", F.explode("paths").alias("bucket")), None
     parts_of_million = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000))
     for level in range(s.depth + 1):
         large = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > s.small))
@@ -259,10 +259,9 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
         both = both.where("members is not null")
         if level == s.depth:
             break
-        samples = entries.select(F.col("entry").alias("__entry"), "sample")
         share = s.splits * 1e6 / F.least(F.lit(SAMPLE).cast("bigint"), F.col("n"))
-        onward = both.join(samples, F.col("entry") == F.col("__entry")).withColumn("step", F.explode(F.filter("sample", lambda t: parts_of_million("bucket", t, F.lit(level)) < share)))
-        done, last = last, kept(onward.select("entry", "n", "sketch", F.xxhash64("bucket", "step").alias("bucket")))
+        onward = both.withColumn("step", F.explode(F.filter("sample", lambda t: parts_of_million("bucket", t, F.lit(level)) < share)))
+        done, last = last, kept(onward.select("entry", "n", "sketch", "sample", F.xxhash64("bucket", "step").alias("bucket")))
         rows = last
         let_go(*(x for x in (done, large) if x is not None))
     blocks = F.ceil(F.col("members") / s.block)
