@@ -92,6 +92,29 @@ def manifest(name: str, version: str, artifacts: Mapping[str, str], providers: S
     return {"name": name, "version": version, "artifacts": [{"role": r, "sha256": d} for r, d in sorted(artifacts.items())], "providers": list(providers)}
 
 
+def checked_manifest(given: Mapping[str, Any]) -> Mapping[str, Any]:
+    """A given manifest, if it names an adapter, a version, a role and a SHA-256 for every artifact, no path, and providers once each."""
+    artifacts = given.get("artifacts") or []
+    if not given.get("name") or not given.get("version") or any(not a.get("role") or "path" in a for a in artifacts):
+        raise ValueError("a manifest needs a name, a version, and a role but no path for every artifact")
+    manifest(given["name"], given["version"], {a["role"]: a.get("sha256") or "" for a in artifacts}, given.get("providers") or ())
+    return given
+
+
+def check_providers(evidence: Any, wanted: str = "CUDAExecutionProvider") -> None:
+    """Fails where any part of an adapter's evidence lists providers of which the first isn't the wanted one; evidence without providers passes."""
+    todo = [evidence]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, Mapping):
+            listed = part.get("providers")
+            if isinstance(listed, (list, tuple)) and listed and listed[0] != wanted:
+                raise RuntimeError(f"the adapter fell back from {wanted}: a cuda provider is unavailable")
+            todo += part.values()
+        elif isinstance(part, (list, tuple)):
+            todo += part
+
+
 def png_text_keys(content: bytes) -> list[str]:
     """The keywords of a PNG's text chunks."""
     out, at = [], 8

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
 import sys
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacklight.functions import paths
-from stacklight.operators import assets, moves, openset, resources, runs
+from stacklight.operators import assets, moves, openset, runs
 from stacklight.plans import apply, outputs
 from stacklight.sources import baseline, files, vectors
 from stacklight.sources.tables import RunTables
@@ -20,11 +21,7 @@ from stacklight.sources.tables import RunTables
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stacklight")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("plan", help="advice for this machine")
     sub.add_parser("doctor", help="which optional dependencies are there")
-    mode = sub.add_parser("resource-mode", help="write a resource profile")
-    mode.add_argument("mode", choices=sorted(resources.MODES))
-    mode.add_argument("--out", required=True)
     for name, text in (("scan", "fingerprint a library and report its counts"), ("verify-source", "fingerprints of a library")):
         c = sub.add_parser(name, help=text)
         c.add_argument("root")
@@ -51,17 +48,37 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--review-limit", type=int, default=500)
     c.add_argument("--seed", default="review-v1")
     c = sub.add_parser("migrate", help="plan moves; rename only with --execute")
-    c.add_argument("action", choices=("create", "status", "apply"))
+    c.add_argument("action", choices=("create", "sync", "status", "apply"))
     c.add_argument("--plan", required=True)
     c.add_argument("--baseline")
     c.add_argument("--root")
     c.add_argument("--target")
+    c.add_argument("--features", help="a feature run's paths: only its ready directories and processed images are planned")
+    c.add_argument("--directory", nargs="+", help="only these directories below the root")
     c.add_argument("--journal", help="folder of the run tables that keep outcomes; beside the plan by default")
     c.add_argument("--limit", type=int)
     c.add_argument("--execute", action="store_true")
     return p
 
 
+def _moves(args: argparse.Namespace, spark: SparkSession, known: DataFrame | None) -> DataFrame:
+    """The plan of a baseline's rows that a journal doesn't have: chosen by path first, so that nothing else is looked at."""
+    rows = baseline.normalised(baseline.read_csv(spark, args.baseline), images_only=False).withColumn("place", F.monotonically_increasing_id())
+    directories = done = snapshots = None
+    if args.features:
+        occ = spark.read.parquet(args.features)
+        directories = moves.ready_directories(occ, paths.source_directory("source_path", args.root))
+        done = occ.where(F.col("occurrence_state") == "PROCESSED")
+        snapshots = done.where("size is not null and mtime_ns is not null and sha256 is not null")
+    if args.directory:
+        asked = spark.createDataFrame([(d,) for d in args.directory], "directory string")
+        directories = asked if directories is None else directories.join(asked, "directory", "left_semi")
+    own = moves.selected(rows, args.root, directories, known, done)
+    facts = files.listing(own).where("regular").select("source_path", "sha256", F.col("size").alias("source_size"), "mtime_ns")
+    own = own.withColumn("engine", F.col("source_engine")).drop("source_size").join(facts, "source_path")
+    return moves.planned(moves.selected(own, args.root, snapshots=snapshots), args.root, args.target)
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> Any:
     if args.command == "scan" or args.command == "verify-source":
         found = files.snapshots(files.discover(spark, args.root))
@@ -91,16 +108,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         return outputs.run_report(spark.read.parquet(args.rows), args.out, args.review_limit, args.seed)
     if args.command == "migrate":
         if args.action == "create":
-            rows = baseline.normalised(baseline.read_csv(spark, args.baseline), images_only=False)
-            if outside := rows.where(~paths.is_excluded("source_path") & paths.relative("source_path", args.root).isNull()).first():
-                raise ValueError(f"a baseline path lies outside the authorized root: {outside['source_path']}")
-            facts = files.listing(rows).where("regular").select("source_path", "sha256", F.col("size").alias("source_size_now"), "mtime_ns")
-            own = rows.withColumn("engine", F.col("source_engine")).drop("source_size").join(facts, "source_path").withColumnRenamed("source_size_now", "source_size")
-            moves.planned(own, args.root, args.target).write.mode("overwrite").parquet(args.plan)
-            plan = spark.read.parquet(args.plan)
-            if clash := moves.clashes(plan).limit(5).collect():
-                raise ValueError(f"destinations clash: {clash[0]['destination']}")
-            return {"planned": plan.count()}
+            _moves(args, spark, None).write.mode("overwrite").parquet(args.plan)
+            return {"planned": spark.read.parquet(args.plan).count()}
+        if args.action == "sync":
+            known = spark.read.parquet(args.plan)
+            new = moves.appended(_moves(args, spark, known), known)
+            before = known.count()
+            new.select(known.columns).write.mode("append").parquet(args.plan)
+            return {"appended": spark.read.parquet(args.plan).count() - before}
         plan = spark.read.parquet(args.plan)
         if args.action == "status":
             return {r["state"]: r["n"] for r in apply.examined(plan).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -111,13 +126,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    if args.command == "plan":
-        out: Any = resources.plan(resources.discover()).as_dict()
-    elif args.command == "doctor":
-        out = resources.doctor()
-    elif args.command == "resource-mode":
-        outputs.write_json({"mode": args.mode, **resources.MODES[args.mode]}, args.out)
-        out = {"mode": args.mode}
+    if args.command == "doctor":
+        out: Any = {m: importlib.util.find_spec(m) is not None for m in ("numpy", "pandas", "pyarrow", "onnxruntime", "pyspark")}
     else:
         out = run(args, SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate())
     print(json.dumps(out, sort_keys=True, default=str, ensure_ascii=False))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacklight.functions.paths import PENDING_STATE
-from stacklight.operators import inference, openset, resources, runs
+from stacklight.operators import inference, openset, runs
 from stacklight.sources.tables import RunTables
 
 _EVENT = ("run_id", "asset_id", "event_seq", "state", "attempts", "lease_owner", "lease_token", "lease_expires_at", "outcome", "error", "features", "evidence", "embedding")
@@ -34,19 +34,19 @@ def items(tables: RunTables, run_id: str) -> DataFrame:
     return tables.current("items", ["run_id", "asset_id"]).where(F.col("run_id") == run_id)
 
 
-def process(tables: RunTables, run_id: str, files: DataFrame, factory: Callable[[], Any], key: str, limit: int | None = None, profile: Callable[[], resources.Profile] | None = None, locks: Callable[[], tuple[bool, bool]] | None = None) -> dict[str, Any]:
+def process(tables: RunTables, run_id: str, files: DataFrame, factory: Callable[[], Any], key: str, limit: int | None = None, gate: Callable[[], str | None] | None = None) -> dict[str, Any]:
     """Works off the run's open items, or the first `limit` of them, against files (asset_id, source_path, content and pixels): counts by state, status and why it paused.
 
     One Spark job analyses all of them and appends how they ended; what may be tried again is
     another job, three at most. Input and output errors retry up to three attempts, bad images
     end, lost providers and failed adapters pause the run, and a second out-of-memory of an
-    item pauses it too.
+    item pauses it too. `gate` may say before each job why the run must wait.
     """
     if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
     paused, done = None, 0
-    for attempt in range(runs.MOST_ATTEMPTS):
-        if profile is not None and (paused := resources.gate(profile(), *(locks() if locks else (False, False)), starting=attempt == 0)):
+    for _ in range(runs.MOST_ATTEMPTS):
+        if gate is not None and (paused := gate()):
             break
         own = items(tables, run_id)
         seq = (own.agg(F.max("event_seq")).first()[0] or 0) + 1

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stacklight.functions import boxes, digests, images, paths, vectors
-from stacklight.operators import inference, resources
+from stacklight.operators import inference
 
 
 def one(spark, column, **values):
@@ -95,13 +95,6 @@ def test_model_rows():
         boxes.model_rows(np.zeros((3, 5)))
 
 
-def test_resources():
-    big, small = resources.Profile(16, 32, 16, "g", 8192, 7000), resources.Profile(4, 8, 4, None)
-    assert resources.plan(big) == resources.Plan(2, 4, 4) and resources.plan(small) == resources.Plan(1, 1, 1)
-    assert resources.gate(big) is None and resources.gate(big, maintenance_lock=True) == "maintenance_lock"
-    assert resources.gate(resources.Profile(4, 8, 1.0)) == "low_ram" and resources.discover().cpu_logical >= 1
-
-
 def test_manifest_and_adapters():
     m = inference.manifest("a", "1", {"model": "0" * 64}, ["CPU"])
     assert "path" not in json.dumps(m)
@@ -109,3 +102,13 @@ def test_manifest_and_adapters():
         inference.manifest("a", "1", {"model": "0" * 64}, ["CPU", "CPU"])
     with pytest.raises(ValueError):
         inference.load_adapter("no_colon")
+
+
+def test_nested_metadata_and_configurations():
+    meta = {"prompt": "secret", "workflow": {"version": 1, "nodes": [1, {"b": 2, "a": 1}]}}
+    got = digests.nested_evidence(meta)
+    assert got["keys"] == ["prompt", "workflow"] and got["n"] == 2 and "secret" not in str(got)
+    assert got == digests.nested_evidence({"workflow": {"nodes": [1, {"a": 1, "b": 2}], "version": 1}, "prompt": "secret"})
+    print_of = digests.config_fingerprint
+    assert print_of({"model": "C:\\x\\m.onnx", "a": [1, "b"]}) == print_of({"a": [1, "b"], "model": "/y/m.onnx"}) != print_of({"model": "n.onnx", "a": [1, "b"]})
+    assert print_of({"a": []}) != print_of({"a": {}}) != print_of({"a": None}) and print_of({"a": "1"}) != print_of({"a": 1})

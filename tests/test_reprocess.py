@@ -1,6 +1,6 @@
 
 from stacklight.functions import paths
-from stacklight.operators import openset, resources
+from stacklight.operators import openset
 from stacklight.plans import reprocess
 from stacklight.sources import files, tables
 
@@ -47,7 +47,7 @@ def test_lost_provider_pauses(spark, tmp_path):
     reprocess.start(t, "r", own)
     out = reprocess.process(t, "r", own, Flaky, "flaky-2")
     assert (out["status"], out["paused_reason"], out["items"]) == ("PAUSED", "cuda_provider_unavailable", {"COMPLETE": 1, "RETRYABLE_FAILED": 1})
-    low = reprocess.process(t, "r", own, Flaky, "flaky-2", profile=lambda: resources.Profile(4, 8, 1.0))
+    low = reprocess.process(t, "r", own, Flaky, "flaky-2", gate=lambda: "low_ram")
     assert low["paused_reason"] == "low_ram" and low["claimed"] == 0
 
 
