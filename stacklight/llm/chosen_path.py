@@ -3,9 +3,11 @@
 Equal shingle sets are one entry with a count, so copies are never paired. Every entry
 chooses, in each of several runs, the shingles whose hash for that run is below
 ``picks`` / set size; similar sets choose some of the same, whatever their sizes, and
-meet in those buckets. A bucket above ``small`` entries is split again and again: of a sample of
-``SAMPLE`` shingles that each entry keeps, it goes on along every one whose hash with the bucket
-is below ``splits`` / ``SAMPLE``, so a path is a sequence of sampled shared shingles. Small buckets are compared by brute
+meet in those buckets. A bucket above ``small`` entries is split: of a sample of ``SAMPLE``
+shingles that each entry keeps, it goes on along every one whose hash with the bucket is below
+``splits`` / ``SAMPLE``. What is still large is split again and again by one sampled shingle each time,
+the first of the set in an order that the bucket draws (a minhash): a path is a sequence of sampled
+shared shingles, and a group of near copies doesn't multiply with its depth. Small buckets are compared by brute
 force on sketches, and a bucket that is still large after ``depth`` splits is clustered around
 leaders, in blocks; its leaders then meet in pairs of blocks, and two are linked where the
 sketches and sizes of what follows them leave a link possible. What may be similar is thus linked;
@@ -50,7 +52,7 @@ class Settings:
     target: float = 0.998
     picks: float = 3.0
     splits: float = 1.5
-    depth: int = 2
+    depth: int = 3
     small: int = 128
     block: int = 1024
     exact_block: int = 512
@@ -68,9 +70,7 @@ BROADCAST_BUCKETS, SALTS = 500_000, 64
 def survival(settings: Settings = Settings(), similarity: float | None = None) -> float:
     """The expected number of common paths of a run at which a pair of a similarity still meets, for the worst ratio of sizes, when every bucket is split ``depth`` times."""
     shared = settings.numerator / settings.denominator if similarity is None else similarity  # of the larger set, when the smaller lies inside it
-    alive = 1.0
-    for _ in range(settings.depth):
-        alive = 1 - math.exp(-settings.splits * shared * alive)
+    alive = 1 - math.exp(-settings.splits * shared * shared ** (settings.depth - 1)) if settings.depth else 1.0
     return settings.picks * shared * alive
 
 
@@ -247,7 +247,6 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
     s, found = settings, None
     entries = kept(entries.select("entry", "n", "sketch", "paths", "sample"))
     rows, last = entries.select("entry", "n", "sketch", "sample", F.explode("paths").alias("bucket")), None
-    parts_of_million = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000))
     for level in range(s.depth + 1):
         large = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > s.small))
         both = _with_large(rows, large)
@@ -259,9 +258,13 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
         both = both.where("members is not null")
         if level == s.depth:
             break
-        share = s.splits * 1e6 / F.least(F.lit(SAMPLE).cast("bigint"), F.col("n"))
-        onward = both.withColumn("step", F.explode(F.filter("sample", lambda t: parts_of_million("bucket", t, F.lit(level)) < share)))
-        done, last = last, kept(onward.select("entry", "n", "sketch", "sample", F.xxhash64("bucket", "step").alias("bucket")))
+        if level == 0:
+            share = s.splits * 1e6 / F.least(F.lit(SAMPLE).cast("bigint"), F.col("n"))
+            step = F.explode(F.filter("sample", lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(1_000_000)) < share)).cast("string")
+        else:
+            place = F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(SKETCH)).cast("int")
+            step = F.substring(F.hex("sketch"), 2 * place + 1, F.lit(2))
+        done, last = last, kept(both.select("entry", "n", "sketch", "bucket", step.alias("step")).select("entry", "n", "sketch", F.xxhash64("bucket", F.lit(level), "step").alias("bucket")))
         rows = last
         let_go(*(x for x in (done, large) if x is not None))
     blocks = F.ceil(F.col("members") / s.block)

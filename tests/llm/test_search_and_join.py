@@ -229,9 +229,10 @@ def test_pairs_meet_as_often_as_the_formula_says():
     table = pa.Table.from_batches(chosen_path._signed(iter([batch]), s)).to_pylist()
 
     def full(row):
-        ends = [(b,) for b in row["paths"]]
-        for _ in range(s.depth):
-            ends = [(*e, t) for e in ends for t in row["sample"] if random.Random(str((e, t))).random() < s.splits / min(chosen_path.SAMPLE, row["n"])]
+        sampled = lambda e, t: random.Random(str((e, t))).random() < s.splits / min(chosen_path.SAMPLE, row["n"])
+        ends = [(b, t) for b in row["paths"] for t in row["sample"] if sampled(b, t)]
+        for level in range(1, s.depth):
+            ends = [(*e, row["sketch"][random.Random(str((e, level))).randrange(chosen_path.SKETCH)]) for e in ends]
         return set(ends)
 
     met = np.mean([bool(full(table[2 * i]) & full(table[2 * i + 1])) for i in range(pairs)])
