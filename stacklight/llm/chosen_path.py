@@ -260,7 +260,8 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
             break
         if level == 0:
             share = s.splits * 1e6 / F.least(F.lit(SAMPLE).cast("bigint"), F.col("n"))
-            step = F.explode(F.filter("sample", lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(1_000_000)) < share)).cast("string")
+            chosen = F.filter("sample", lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(1_000_000)) < share)
+            step = F.explode(F.transform(chosen, lambda t: t.cast("string")))
         else:
             place = F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(SKETCH)).cast("int")
             step = F.substring(F.hex("sketch"), 2 * place + 1, F.lit(2))
