@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stacklight.functions import boxes, images, paths, vectors
 from stacklight.operators import assets, decisions, detect, diff, moves, runs
 from stacklight.plans import outputs, reprocess
-from stacklight.plans.catalog import _METRICS, _OPEN, _OUTCOMES, CONFIG, GATES, GRID_M, GRID_S, ROOT, TARGET, _pairs_sql, found, known, labelled, ppm, query, read
+from stacklight.plans.catalog import _METRICS, _OPEN, _OUTCOMES, CONFIG, GATES, GRID_M, GRID_S, ROOT, SQL, TARGET, _pairs_sql, found, known, labelled, ppm, query, read
 from stacklight.sources import baseline, files
 
 ITEM_STATES = ("COMPLETE", "PENDING", "LEASED", "RETRYABLE_FAILED", "FAILED", "SOURCE_CHANGED")
@@ -285,6 +285,11 @@ def float16_codec(spark, sf_dir):
     return v.select("id", F.length("half").cast("bigint").alias("n_bytes"), ppb(F.col("back")[0]).alias("first_ppb"), ppb(F.col("back")[63]).alias("last_ppb"), ppb(F.aggregate("back", F.lit(0.0), lambda s, x: s + F.abs(x))).alias("sum_ppb"))
 
 
+SQL["float16_roundtrip"] = f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS raw FROM embeddings), u AS (SELECT id, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS u FROM v),
+h AS (SELECT id, u, list_transform(u, lambda x: {_HALF}) AS h FROM u), b AS (SELECT id, u, h, list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) AS b FROM h)
+SELECT id, (2 * len(h))::INTEGER AS n_bytes, floor((1 - list_dot_product(b, u)) * 1e6 + 0.5)::BIGINT AS lost_ppm FROM b"""
+
+
 # --- detector outputs ---------------------------------------------------------------------------
 
 _CLASSES = len(boxes.CLASSES)
