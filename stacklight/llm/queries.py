@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from stacklight.llm import ann, bpe, chosen_path, chunk_dedup, html_text, licenses, mixing, suffix_dedup, toxicity, warc
+from stacklight.llm import ann, bpe, chosen_path, chunk_dedup, html_text, licenses, mixing, suffix_dedup, toxicity, turns, warc, whitening, winnowing
 from stacklight.llm.common import table
 
 
@@ -63,8 +63,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("pos", "whitened"))
+    return each.select("vec_id", (F.col("pos") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("pos")].alias("explained"), "identity_error")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+    return out.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", turns.digest().alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op4_license_scan, op5_suffix_dedup, op6_mixing, op7_ngram_join, op8_exact_dedup, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_html_text, op4_license_scan, op5_suffix_dedup, op6_mixing, op7_ngram_join, op8_exact_dedup, op9_warc, op10_bpe, op11_whitening, op12_decontamination, op13_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+        "op12_decontamination": winnowing.oracle_sql(),
         "op9_warc": """
             WITH p AS (
                 SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

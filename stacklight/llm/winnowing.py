@@ -2,12 +2,13 @@
 
 A window is ``span`` words in a row of an item; an item of fewer words, but not none, is one
 window. Texts on both sides are winnowed: of each window's k-gram hashes the smallest is its
-fingerprint, and windows in a row with one fingerprint are one run. Equal windows have
-equal fingerprints, so runs of documents that share none with the items go, and no shared
-window is lost. A run that stays is extended to its windows, which are compared, as words, with
-the distinct windows of the items; what they cover are the hit words.
+fingerprint. Equal windows have equal fingerprints, so the fingerprints of a document that no
+item has go, and no shared window is lost. One that stays is extended to the windows around it,
+which are compared, as words, with the distinct windows of the items; what they cover are the
+hit words.
 
-Documents are read once and never shuffled: a run carries its own words. The items'
+Documents are read once and never shuffled: they are cut into segments of 64 windows, and a
+fingerprint carries its segment's words, so work and memory go with a text's length. The items'
 fingerprints and windows are distinct and broadcast only when a count shows that they are few;
 beyond, both sides are shuffled. Neither join makes more rows than documents have windows.
 Documents with the same windows share one list of items, so a passage that many documents and
@@ -21,16 +22,15 @@ one; other columns are ignored; without items nothing is hit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import BROADCAST_ROWS, kept, let_go
+from stacklight.llm.common import BROADCAST_ROWS, kept
 
-#: Words of a window.
-SPAN = 10
+#: Words of a window; windows of a segment, in which documents are winnowed.
+SPAN, SEGMENT = 10, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that part words, once A-Z are in lower case.
 _SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -54,61 +54,52 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(parted, " "), lambda w: w != "")
 
 
-def _from(values: Column, at: int) -> Column:
-    return F.slice(values, at + 1, F.greatest(F.size(values) - at, F.lit(0)))
-
-
 def _sliding(values: Column, size: int, both: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
-    """`then` of the values of all runs of `size` elements, by doubling; the last size - 1 are of no use."""
+    """`then` of `both` over each element and the size - 1 after it, by doubling; the last size - 1 are of no use."""
 
     def grown(now: Column, have: int) -> Column:
         if have == size:
             return then(now)
         step = min(have, size - have)
-        return _let(F.zip_with(now, _from(now, step), both), lambda more: grown(more, have + step))
+        return _let(F.zip_with(now, F.slice(now, step + 1, F.size(now)), both), lambda more: grown(more, have + step))
 
     return grown(values, 1)
 
 
-def minima(words: Column, span: int) -> Column:
-    """The fingerprint of the window that starts at each word: the smallest hash of its k-grams."""
+def prints_of(words: Column, span: int) -> Column:
+    """The fingerprint of each window of a segment: the smallest hash of its k-grams."""
     gram, window = gram_and_window(span)
-
-    def smallest(grams: Column) -> Column:
-        return _sliding(grams, window, lambda a, b: F.least(a, b), lambda m: F.slice(m, 1, F.greatest(F.size(m) - (span - 1), F.lit(0))))
-
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _sliding(h, gram, lambda a, b: F.xxhash64(a, b), smallest))
+    own = lambda m: F.slice(m, 1, F.greatest(F.least(F.size(m) - (span - 1), F.lit(SEGMENT)), F.lit(0)))
+    least = lambda grams: _sliding(grams, window, lambda a, b: F.least(a, b), own)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _sliding(h, gram, lambda a, b: F.xxhash64(a, b), least))
 
 
-def _no_runs(span: int) -> Column:
-    return F.array().cast("array<struct<span:int,print:bigint,start:int,words:array<string>>>")
+def segments(words: Column, span: int) -> Column:
+    """(start, words) of each stretch of SEGMENT windows of at most `span` words; a text's last windows lie in the last one."""
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, SEGMENT + span - 1).alias("words")))
 
 
-def runs(words: Column, span: int) -> Column:
-    """(span, print, start, words) of each run of windows with one fingerprint; words are those of all its windows."""
+def _entries(spans: Iterable[int]) -> Column:
+    """(span, print) of the distinct fingerprints of a segment."""
+    of = lambda n: F.transform(F.array_distinct(prints_of(F.col("words"), n)), lambda p: F.struct(F.lit(n).alias("span"), p.alias("print")))
+    return F.concat(*map(of, spans))
 
-    def cut(prints: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(prints) - 1), lambda i: (i == 0) | (prints[i] != F.get(prints, i - 1)))
 
-        def one(heads: Column) -> Column:
-            end = lambda i: F.coalesce(F.get(heads, i + 1), F.size(prints))
-            return F.transform(heads, lambda s, i: F.struct(F.lit(span).alias("span"), prints[s].alias("print"), s.alias("start"), F.slice(words, s + 1, end(i) - s + (span - 1)).alias("words")))
-
-        return F.when(F.size(prints) == 0, _no_runs(span)).otherwise(_let(heads, one))
-
-    return _let(minima(words, span), cut)
+def _windows(spans: Iterable[int]) -> Column:
+    """(at, window: its words joined by blanks) of all windows of a segment that have the row's fingerprint."""
+    window = lambda i: F.array_join(F.slice("words", i + 1, F.col("span")), " ")
+    prints = F.coalesce(*(F.when(F.col("span") == n, prints_of(F.col("words"), n)) for n in spans))
+    return F.array_compact(F.transform(prints, lambda p, i: F.when(p == F.col("print"), F.struct((F.col("start") + i).alias("at"), window(i).alias("window")))))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """span, print, window (words joined by blanks), item: every window of every item."""
-    own = items.select(F.col(id_col).cast("string").alias("item"), words_of(text_col).alias("words")).where(F.size("words") > 0)
-    sized = [own.where(F.size("words") >= span if n == span else F.size("words") == n).select("item", F.explode(runs(F.col("words"), n)).alias("run")) for n in range(1, span + 1)]
-    return reduce(DataFrame.union, sized).select("item", "run.*").select("item", "span", "print", F.explode(_windows()).alias("hit")).select("span", "print", "hit.window", "item")
-
-
-def _windows() -> Column:
-    """(at, window) of all windows of a run."""
-    return F.transform(F.sequence(F.lit(0), F.size("words") - F.col("span")), lambda i: F.struct((F.col("start") + i).alias("at"), F.array_join(F.slice(F.col("words"), i + 1, F.col("span")), " ").alias("window")))
+    """span, print, window, item: every window of every item."""
+    own = items.select(F.col(id_col).cast("string").alias("item"), words_of(text_col).alias("words")).withColumn("n", F.size("words")).where("n > 0")
+    parts = own.select("item", F.least("n", F.lit(span)).alias("span"), F.explode(segments(F.col("words"), span)).alias("part")).select("item", "span", "part.*")
+    prints = F.coalesce(*(F.when(F.col("span") == n, prints_of(F.col("words"), n)) for n in range(1, span + 1)))
+    cut = parts.select("item", "span", "start", "words", F.explode(F.array_distinct(prints)).alias("print"))
+    return cut.select("item", "span", "print", F.explode(_windows(range(1, span + 1))).alias("hit")).select("span", "print", "hit.window", "item")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -123,12 +114,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     prints = distinct.select("span", "print").distinct().withColumn("known", F.lit(True))
     spans = [r[0] for r in distinct.select("span").distinct().collect()]  # at most `span` numbers
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(text_col).alias("words"))
-    # The first entry stands for the document itself.
-    itself = F.array(F.struct(F.lit(0).alias("span"), F.lit(None).cast("bigint").alias("print"), F.size("words").alias("start"), F.lit(None).cast("array<string>").alias("words")))
-    entries = _let(F.col("words"), lambda w: F.concat(itself, *(runs(w, n) for n in spans)))
-    parted = own.select("row", "id", F.explode(entries).alias("run")).select("row", "id", "run.*")
-    scanned = kept(parted.join(_small(prints), ["span", "print"], "left").where("span = 0 or known").drop("known", "print"))
-    hits = scanned.where("span > 0").select("row", "span", F.explode(_windows()).alias("hit")).select("row", "hit.at", (F.col("hit.at") + F.col("span")).alias("end"), "hit.window")
+    # The first part stands for the document itself; its start is the number of words.
+    itself = lambda w: F.array(F.struct(F.size(w).alias("start"), F.lit(None).cast("array<string>").alias("words")))
+    parts = own.select("row", "id", F.explode(_let(F.col("words"), lambda w: F.concat(itself(w), segments(w, span)))).alias("part")).select("row", "id", "part.*")
+    none = F.array(F.struct(F.lit(0).alias("span"), F.lit(None).cast("bigint").alias("print")))
+    entries = F.when(F.col("words").isNull(), none).otherwise(_entries(spans) if spans else F.slice(none, 1, 0))
+    cut = parts.select("row", "id", "start", "words", F.explode(entries).alias("entry")).select("row", "id", "start", "words", "entry.*")
+    scanned = kept(cut.join(_small(prints), ["span", "print"], "left").where("span = 0 or known").drop("known"))
+    hits = scanned.where("span > 0").select("row", "span", F.explode(_windows(spans or [span])).alias("hit")).select("row", "hit.at", (F.col("hit.at") + F.col("span")).alias("end"), "hit.window")
     hits = hits.join(_small(distinct.select("window", "number")), "window").drop("window")
     by_place = Window.partitionBy("row").orderBy("at", "end")
     before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
