@@ -24,16 +24,16 @@ vectors of a query's own buckets are compared with it, and a task passes on its
 
 Defined results: vectors that are null, empty, all zero or hold null, NaN or infinite
 components take no part, nor do rows without an id; ties go to the smaller id; repeated
-rows count once; vectors of other lengths than the query's aren't candidates; at least so
-many buckets are probed that a query meets ``least`` vectors of evenly spread ones, so a query
-with fewer candidates than k gets them all; other columns are ignored.
+rows count once; vectors of other lengths than the query's aren't candidates; a query that met fewer vectors than
+k is compared with all, so one with fewer candidates than k gets them all, however far off; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -333,6 +333,25 @@ def _pack(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(bodies, pa.binary())], [*(batch.schema.names[i] for i in keep), "body"])
 
 
+def _best_met(rows: DataFrame, queries: DataFrame, s: Settings, fits: dict[int, tuple[int, int]], dtype: str, keep: int) -> DataFrame:
+    """query, entry, score, first_id, n: the best `keep` of the rows (entry, first_id, body) that each query meets in the buckets it probes."""
+    dealt = rows.mapInArrow(lambda it: _dealt(it, s, fits, dtype, _ROWS), _PACKED)
+    dealt = dealt.union(queries.mapInArrow(lambda it: _dealt(it, s, fits, dtype, _QUERIES), _PACKED))
+    dealt = kept(dealt)
+    at = ["tab", "cell", "dims"]
+    of = lambda kind, size: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("kind") == kind, F.col("n"))) / size)).cast("int")
+    sizes = dealt.groupBy(at).agg(of(_ROWS, s.block).alias("row_blocks"), of(_QUERIES, s.query_block).alias("query_blocks"), F.bool_or(F.col("kind") == _QUERIES).alias("asked")).where("asked").drop("asked")
+    spot = F.pmod(F.xxhash64("entries"), F.lit(1 << 30))
+    is_row = F.col("kind") == _ROWS
+    mine, others = F.when(is_row, F.col("row_blocks")).otherwise(F.col("query_blocks")), F.when(is_row, F.col("query_blocks")).otherwise(F.col("row_blocks"))
+    placed = dealt.join(sizes, at).withColumn("mine", (spot % mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    placed = placed.select(*at, F.when(is_row, F.col("mine")).otherwise(F.col("other")).alias("row_block"), F.when(is_row, F.col("other")).otherwise(F.col("mine")).alias("query_block"), "kind", "entries", "extra", "buckets", "counts", "body")
+    placed = placed.repartition(*at, "row_block", "query_block").sortWithinPartitions(*at, "row_block", "query_block", "kind")
+    met = placed.mapInArrow(lambda it: _compared(it, dtype, keep), "query bigint, entry bigint, first_id bigint, score double")
+    once = met.groupBy("query", "entry").agg(F.max("score").alias("score"), F.any_value("first_id").alias("first_id"))
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))).where(F.col("n") <= keep)
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each row that satisfies is_query."""
     s, keep = settings, k + 1
@@ -351,22 +370,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     wide = 4 if kind == "float" else 8
     counts = {r["dims"]: r["n"] for r in packed.groupBy((F.length("body") / wide).cast("int").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
     fits = {dims: fit(n, dims, k, s) for dims, n in counts.items()}
-    own = packed.select("entry", F.col("ids")[0].alias("first_id"), "body", "asks")
-    dealt = own.drop("asks").mapInArrow(lambda it: _dealt(it, s, fits, dtype, _ROWS), _PACKED)
-    dealt = dealt.union(own.where("asks").drop("asks").mapInArrow(lambda it: _dealt(it, s, fits, dtype, _QUERIES), _PACKED))
-    dealt = kept(dealt)
-    at = ["tab", "cell", "dims"]
-    of = lambda kind, size: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("kind") == kind, F.col("n"))) / size)).cast("int")
-    sizes = dealt.groupBy(at).agg(of(_ROWS, s.block).alias("row_blocks"), of(_QUERIES, s.query_block).alias("query_blocks"), F.bool_or(F.col("kind") == _QUERIES).alias("asked")).where("asked").drop("asked")
-    spot = F.pmod(F.xxhash64("entries"), F.lit(1 << 30))
-    is_row = F.col("kind") == _ROWS
-    mine, others = F.when(is_row, F.col("row_blocks")).otherwise(F.col("query_blocks")), F.when(is_row, F.col("query_blocks")).otherwise(F.col("row_blocks"))
-    placed = dealt.join(sizes, at).withColumn("mine", (spot % mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    placed = placed.select(*at, F.when(is_row, F.col("mine")).otherwise(F.col("other")).alias("row_block"), F.when(is_row, F.col("other")).otherwise(F.col("mine")).alias("query_block"), "kind", "entries", "extra", "buckets", "counts", "body")
-    placed = placed.repartition(*at, "row_block", "query_block").sortWithinPartitions(*at, "row_block", "query_block", "kind")
-    met = placed.mapInArrow(lambda it: _compared(it, dtype, keep), "query bigint, entry bigint, first_id bigint, score double")
-    once = met.groupBy("query", "entry").agg(F.max("score").alias("score"), F.any_value("first_id").alias("first_id"))
-    best = once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))).where(F.col("n") <= keep)
+    own = packed.select("entry", F.col("ids")[0].alias("first_id"), "body", "asks", F.size("ids").alias("copies"))
+    best = kept(_best_met(own.select("entry", "first_id", "body"), own.where("asks").select("entry", "first_id", "body"), s, fits, dtype, keep))
+    # A query that met fewer than it can have, as where all others are far off, meets every row: one table of one hash, whose buckets it probes all.
+    enough = best.join(own.select("entry", "copies"), "entry").groupBy("query").agg(F.sum("copies").alias("met")).where(F.col("met") >= keep)
+    lacking = kept(own.where("asks").join(enough, own["entry"] == enough["query"], "left_anti").select("entry", "first_id", "body"))
+    if lacking.limit(1).count():
+        every = {dims: (1, 2 * padded(dims)) for dims in counts}
+        again = _best_met(own.select("entry", "first_id", "body"), lacking, replace(s, tables=1), every, dtype, keep)
+        best = best.join(lacking.select(F.col("entry").alias("query")), "query", "left_anti").unionByName(again)
     lists = best.join(packed.select("entry", "ids"), "entry").groupBy("query").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id"))))).alias("found"))
     lists = lists.join(packed.select(F.col("entry").alias("query"), "key"), "query").select("key", F.slice(F.array_sort("found"), 1, keep).alias("found"), F.lit(True).alias("asks"))
     # Both sides are shuffled by two columns, so that a vector that many queries share can be split.

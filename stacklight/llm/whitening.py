@@ -7,9 +7,10 @@ task sees all blocks. The scatter is dims x dims and is solved on the driver (``
 matrix, eigenvectors over the roots of their eigenvalues, is a BlockMatrix of one block, and the product
 with it projects the rows. The projections' own covariance is multiplied out in the same way.
 
-Nothing but sums, the dims x dims matrices and a count for each partition reaches the driver. Blocks
-have up to ``BLOCK_ROWS`` rows, fewer while rows are few; MLlib parts a matrix of one column of blocks
-into about the root of its input's partitions.
+Blocks are gathered by Spark SQL and written as MLlib stores matrices, to be read again as such: the
+way over IndexedRowMatrix boxes every entry, and its time grew with the square of the rows. Nothing but sums, the
+dims x dims matrices and a count for each partition reaches the driver. Blocks have up to ``BLOCK_ROWS``
+rows, fewer while rows are few. Rows of a product lie in about the root of its input's partitions, by MLlib's rule.
 
 Defined results: rows whose vector is null, empty or holds null, NaN or infinite entries take no part, nor
 do those whose length isn't the commonest (of equally common ones, the longest); repeated rows and rows without an
@@ -23,13 +24,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from stacklight.llm.common import kept
 
@@ -71,6 +71,37 @@ def block_rows(n: int, dims: int) -> int:
     return max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dims), 1 << math.ceil(math.log2(max(1, n)) / 2)))
 
 
+#: How MLlib stores a dense matrix in a table: by rows if it is transposed.
+_STORED = "struct<type:tinyint,numRows:int,numCols:int,colPtrs:array<int>,rowIndices:array<int>,values:array<double>,isTransposed:boolean>"
+
+
+def blocks_of(centred: DataFrame, rows: int, dims: int) -> DataFrame:
+    """at (block row, block column), ids, deviations, matrix (as stored) of the rows (index, id, deviation, centred), written once; rows of a block are in order of their index."""
+    listed = F.array_sort(F.collect_list(F.struct("index", "id", "deviation", "centred"))).alias("listed")
+    grouped = centred.groupBy(F.floor(F.col("index") / rows).alias("block")).agg(listed)
+    none = F.lit(None).cast("array<int>")
+    matrix = F.struct(F.lit(1).cast("tinyint").alias("type"), F.size("listed").alias("numRows"), F.lit(dims).alias("numCols"), none.alias("colPtrs"), none.alias("rowIndices"), F.flatten("listed.centred").alias("values"), F.lit(True).alias("isTransposed"))
+    return kept(grouped.select(F.struct(F.col("block"), F.lit(0).cast("bigint").alias("column")).alias("at"), F.col("listed.id").alias("ids"), F.col("listed.deviation").alias("deviations"), matrix.cast(_STORED).alias("matrix")))
+
+
+def as_matrix(blocks: DataFrame, rows: int, n: int, dims: int) -> BlockMatrix:
+    """The BlockMatrix of written blocks: what is stored is read again as matrices."""
+    schema = StructType([StructField("at", blocks.schema["at"].dataType), StructField("matrix", MatrixUDT())])
+    read = blocks.sparkSession.read.schema(schema).parquet(blocks.kept_path)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", read, rows, dims, n, dims), rows, dims)
+
+
+def as_rows(matrix: BlockMatrix) -> DataFrame:
+    """block, rows (array of arrays): the blocks of a BlockMatrix of one block column, written and read as stored."""
+    written = callMLlibFunc("getMatrixBlocks", matrix._java_matrix_wrapper._java_model)
+    stored = kept(written.toDF("at", "matrix"))
+    read = stored.sparkSession.read.schema(f"at struct<_1:int,_2:int>, matrix {_STORED}").parquet(stored.kept_path)
+    own = read.select(F.col("at._1").cast("bigint").alias("block"), "matrix.numRows", "matrix.numCols", "matrix.values", "matrix.isTransposed")
+    place = lambda i, k: F.when(F.col("isTransposed"), i * F.col("numCols") + k).otherwise(k * F.col("numRows") + i)
+    row = lambda i: F.transform(F.sequence(F.lit(0), F.col("numCols") - 1), lambda k: F.get("values", place(i, k)))
+    return own.select("block", F.transform(F.sequence(F.lit(0), F.col("numRows") - 1), row).alias("rows"))
+
+
 def _product(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
     """left x right with the middle dimension in so many parts; Python's own method has no such argument."""
     java = left._java_matrix_wrapper.call("multiply", right._java_matrix_wrapper._java_model, splits)
@@ -114,11 +145,10 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         square = F.aggregate("off", F.lit(0).cast("decimal(38,0)"), lambda a, v: F.try_add(a, F.try_multiply(v, v).cast("decimal(38,0)")).cast("decimal(38,0)"))
         deviation = square.try_cast("bigint")
     centred = own.withColumn("off", off).select("id", "index", deviation.alias("deviation"), F.transform("off", lambda v: v.cast("double") / float(n)).alias("centred"))
-    centred = kept(centred)
-
-    vectors = centred.select("index", array_to_vector("centred").alias("vector"))
-    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, dims).toBlockMatrix(block_rows(n, dims), dims)
-    splits = max(1, math.isqrt(-(-n // block_rows(n, dims))))
+    size = block_rows(n, dims)
+    blocks = blocks_of(centred, size, dims)
+    matrix = as_matrix(blocks, size, n, dims)
+    splits = max(1, math.isqrt(-(-n // size)))
     covariance = scatter(matrix, splits) / n
     values, axes, fine = components(covariance, most)
     trace = float(np.trace(covariance))
@@ -131,9 +161,8 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     right = BlockMatrix(spark.sparkContext.parallelize([((0, 0), DenseMatrix(dims, width, scaled.ravel(order="F").tolist()))], 1), dims, width)
     projected = _product(matrix, right, 1)
     error = float(np.abs(scatter(projected, splits) / n - np.eye(width)).max())
-    found = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-    found = found.select("index", vector_to_array("vector").alias("white"))
     places = iter(range(width))
     white = F.array(*(F.col("white")[next(places)] if f else F.lit(None).cast("double") for f in fine.tolist()))
-    both = centred.select("id", "index", "deviation").join(found, "index")
+    both = blocks.select(F.col("at.block").alias("block"), "ids", "deviations").join(as_rows(projected), "block").select(F.explode(F.arrays_zip("ids", "deviations", F.col("rows").alias("white"))).alias("row"))
+    both = both.select(F.col("row.ids").alias("id"), F.col("row.deviations").alias("deviation"), F.col("row.white").alias("white"))
     return both.select(F.col("id").alias(id_col), F.lit(n).cast("bigint").alias("n"), "deviation", white.alias("whitened"), F.array(*(F.lit(e).cast("double") for e in explained)).alias("explained"), F.lit(error).alias("identity_error"))

@@ -259,3 +259,14 @@ def test_components(spark):
     got = {r["v"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+@pytest.mark.parametrize("count", [2, 5, 6, 20])
+@pytest.mark.parametrize("dims", [8, 64])
+def test_ann_few_and_far_candidates_all_come_back(spark, count, dims):
+    rng = np.random.default_rng(count + dims)
+    away = rng.normal(size=dims)
+    vectors = {i: (away + 0.01 * rng.normal(size=dims)).tolist() for i in range(1, count)} | {0: (-away).tolist()}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    got = [(r["vec_id"], round(r["score"], 9)) for r in ann.search(rows, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(i, round(-minus, 9)) for minus, i in exact(vectors)[0]]
