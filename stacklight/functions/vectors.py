@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -25,8 +27,9 @@ def norm(a: str | Column) -> Column:
 
 def normalize(a: str | Column) -> Column:
     """The unit vector; an empty or zero vector is an error."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(col(a), lambda x: x / length)).otherwise(F.raise_error(F.lit("a vector must not be empty or zero")))
+    own = F.array(F.struct(col(a).alias("v"), norm(a).alias("n")))  # bound by a lambda, so that the length is computed once and not for each component
+    unit = lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])).otherwise(F.raise_error(F.lit("a vector must not be empty or zero")))
+    return F.transform(own, unit)[0]
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -49,20 +52,27 @@ def from_half_bytes(b: str | Column) -> Column:
     return F.pandas_udf(_from_half_bytes, "array<double>")(col(b))
 
 
+def _by_length(values: pd.Series, stacked: Callable[[list], np.ndarray], done: Callable[[np.ndarray], list]) -> pd.Series:
+    """`done` of the unit rows of what `stacked` makes of all values of one length; nulls stay."""
+    out = pd.Series([None] * len(values), dtype=object)
+    sizes = values.map(lambda x: -1 if x is None else len(x)).to_numpy()
+    for n in np.unique(sizes[sizes >= 0]):
+        own = np.flatnonzero(sizes == n)
+        x = stacked(values.iloc[own].tolist())
+        found = done(x / np.sqrt((x * x).sum(1, keepdims=True)))
+        for i, v in zip(own, found, strict=True):
+            out.iat[i] = v
+    return out
+
+
 def _half_bytes(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: None if x is None else (np.asarray(x, float) / np.linalg.norm(np.asarray(x, float))).astype("<f2").tobytes())
+    return _by_length(v, lambda rows: np.asarray(rows, float).reshape(len(rows), -1), lambda x: [row.tobytes() for row in x.astype("<f2")])
 
 
 def _from_half_bytes(b: pd.Series) -> pd.Series:
-    def unit(raw: bytes | None) -> list[float] | None:
-        if raw is None:
-            return None
-        if len(raw) % 2:
-            raise ValueError("half-precision bytes come in pairs")
-        x = np.frombuffer(raw, "<f2").astype(float)
-        return (x / np.linalg.norm(x)).tolist()
-
-    return b.map(unit)
+    if b.map(lambda raw: raw is not None and len(raw) % 2).any():
+        raise ValueError("half-precision bytes come in pairs")
+    return _by_length(b, lambda rows: np.frombuffer(b"".join(rows), "<f2").astype(float).reshape(len(rows), -1), lambda x: x.tolist())
 
 
 def millionths(c: Column) -> Column:

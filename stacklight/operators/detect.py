@@ -53,13 +53,16 @@ def detected(outputs: str | Column, canvas: int = 320, min_score: float = boxes.
         fine = F.size(r) >= 4 + n
         return F.struct(F.when(fine, -best).otherwise(F.raise_error(F.lit("the detector's output has an unknown shape"))).alias("minus"), i.cast("int").alias("seq"), F.element_at(classes, F.array_position(scores, best).cast("int")).alias("label"), box["x"].alias("x"), box["y"].alias("y"), box["w"].alias("w"), box["h"].alias("h"))
 
-    def of(rows: Column, output: Column) -> Column:
-        fine = F.filter(F.transform(rows, row), lambda b: (-b["minus"] >= min_score) & (b["w"] * b["h"] >= boxes.MIN_AREA))
+    def kept_of(fine: Column, output: Column) -> Column:
         first = lambda label: F.array_min(F.transform(F.filter(fine, lambda b: b["label"] == label), lambda b: b["seq"]))
         apart = lambda box: lambda k: (k["label"] != box["label"]) | (boxes.iou(box, k) <= overlap)
         kept = F.aggregate(F.array_sort(fine).cast(_FOUND), F.array().cast(_FOUND), lambda kept, box: F.when(F.forall(kept, apart(box)), F.concat(kept, F.array(box))).otherwise(kept))
         return F.transform(kept, lambda b: F.struct((-F.round(-b["minus"], 6)).alias("minus"), output.cast("int").alias("output"), first(b["label"]).alias("first"), b["minus"].alias("exact"), b["seq"].alias("seq"), b["label"].alias("label"), b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")))
 
+    def of(rows: Column, output: Column) -> Column:
+        fine = F.filter(F.transform(rows, row), lambda b: (-b["minus"] >= min_score) & (b["w"] * b["h"] >= boxes.MIN_AREA))
+        return F.transform(F.array(fine), lambda bound: kept_of(bound, output))[0]  # bound, so that it is computed once
+
     every = F.array_sort(F.flatten(F.transform(F.col(outputs) if isinstance(outputs, str) else outputs, of)))
     return F.transform(every, lambda d: F.struct(d["label"].alias("label"), (-d["minus"]).alias("confidence"), F.round(d["w"] * d["h"] / canvas**2, 6).alias("area_ratio"), *(F.round(d[k], 2).alias(k) for k in "xywh")))
 

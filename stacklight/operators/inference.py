@@ -6,6 +6,7 @@ outcomes in the result and never fail a task.
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import importlib
 import json
@@ -159,8 +160,60 @@ def _adapter(key: str, factory: Callable[[], Any]) -> Any:
     return _MADE[key]
 
 
+#: Images that a model sees at once, and the bytes of pixels (of contents, where they are more) in one step.
+MOST_IMAGES, MOST_BYTES = 16, 64 << 20
+
+
+def _steps(rows: Sequence[Any]) -> Iterator[list[Any]]:
+    """Runs of at most MOST_IMAGES rows and about MOST_BYTES; a larger image is a run of its own."""
+    out: list[Any] = []
+    size = 0
+    for row in rows:
+        own = len(row.data or b"") + len(row.content or b"")
+        if out and (len(out) == MOST_IMAGES or size + own > MOST_BYTES):
+            yield out
+            out, size = [], 0
+        out.append(row)
+        size += own
+    if out:
+        yield out
+
+
+def _found(adapter: Any, ready: list[tuple[Any, np.ndarray]]) -> list[Analysis | Exception]:
+    """What an adapter says of some images: all in one call if it can (analyze_many); one at a time if not, or if that call fails, so that one image can't fail others."""
+    if len(ready) > 1 and hasattr(adapter, "analyze_many"):
+        try:
+            return list(adapter.analyze_many([rgb for _, rgb in ready], [row.content for row, _ in ready], [row.source_path for row, _ in ready]))
+        except Exception:  # each image has its own outcome below
+            pass
+    out: list[Analysis | Exception] = []
+    for row, rgb in ready:
+        try:
+            out.append(adapter.analyze(rgb, row.content, row.source_path) if hasattr(adapter, "analyze") else Analysis(adapter.embed(row.content, row.source_path)))
+        except Exception as e:
+            out.append(e)
+    return out
+
+
+def _described(row: Any, rgb: np.ndarray, found: Analysis, wanted: str | None) -> dict[str, Any]:
+    """The result of an image that an adapter analysed; providers that aren't the wanted ones are an error."""
+    if wanted is not None:
+        check_providers(found.evidence, wanted)
+    features = {"width": rgb.shape[1], "height": rgb.shape[0], "technical": images.technical_evidence(rgb), "analysis": dict(found.features)}
+    evidence = {"metadata_keys": png_text_keys(row.content), "adapter": dict(found.evidence)}
+    out = {"features": json.dumps(features, sort_keys=True), "evidence": json.dumps(evidence, sort_keys=True)}
+    if found.embedding is not None:
+        v = np.asarray(found.embedding, float)
+        out["embedding"] = (v / np.linalg.norm(v)).tolist()
+    return out
+
+
 def analyzed(files: DataFrame, factory: Callable[[], Any], key: str) -> DataFrame:
-    """asset_id, outcome, error, features, evidence (JSON), embedding for files (asset_id, source_path, content, pixels as files.with_pixels() adds them, and expected_sha256 if sources must not have changed). The JVM decodes; each asset is analysed once."""
+    """asset_id, outcome, error, features, evidence (JSON), embedding for files (asset_id, source_path, content, pixels as files.with_pixels() adds them, and expected_sha256 if sources must not have changed).
+
+    The JVM decodes; each asset is analysed once, several at a time where the adapter can (analyze_many). An adapter's
+    manifest is checked when it is made, and its providers against what its evidence says.
+    """
     expected = F.col("expected_sha256") if "expected_sha256" in files.columns else F.lit(None).cast("string")
     rows = files.select("asset_id", "source_path", "content", "height", "width", "nChannels", "data", expected.alias("expected"))
 
@@ -168,31 +221,33 @@ def analyzed(files: DataFrame, factory: Callable[[], Any], key: str) -> DataFram
         adapter, broken = None, None
         try:
             adapter = _adapter(key, factory)
+            if getattr(adapter, "manifest", None):
+                checked_manifest(adapter.manifest)
         except Exception as e:  # the outcome carries it
             broken = e
+        wanted = next(iter(getattr(adapter, "providers", None) or ()), None)
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                result = {"asset_id": row.asset_id, "outcome": "COMPLETE", "error": None, "features": None, "evidence": None, "embedding": None}
-                try:
-                    if broken is not None:
-                        result |= {"outcome": "ADAPTER_INIT_FAILED", "error": safe(broken)}
-                    elif row.expected is not None and hashlib.sha256(row.content).hexdigest() != row.expected:
-                        result["outcome"] = "SOURCE_CHANGED"
-                    else:
-                        rgb = rgb_of(row.height, row.width, row.nChannels, row.data)
-                        found = adapter.analyze(rgb, row.content, row.source_path) if hasattr(adapter, "analyze") else Analysis(adapter.embed(row.content, row.source_path))
-                        keys = png_text_keys(row.content)
-                        features = {"width": rgb.shape[1], "height": rgb.shape[0], "technical": images.technical_evidence(rgb), "analysis": dict(found.features)}
-                        evidence = {"metadata_keys": keys, "adapter": dict(found.evidence)}
-                        result |= {"features": json.dumps(features, sort_keys=True), "evidence": json.dumps(evidence, sort_keys=True)}
-                        if found.embedding is not None:
-                            v = np.asarray(found.embedding, float)
-                            result["embedding"] = (v / np.linalg.norm(v)).tolist()
-                except Exception as e:
-                    result |= {"outcome": kind_of(e), "error": safe(e), "features": None, "evidence": None, "embedding": None}
-                out.append(result)
-            yield pd.DataFrame(out, columns=["asset_id", "outcome", "error", "features", "evidence", "embedding"])
+            for step in _steps(list(batch.itertuples(index=False))):
+                results = {r.asset_id: {"asset_id": r.asset_id, "outcome": "COMPLETE", "error": None, "features": None, "evidence": None, "embedding": None} for r in step}
+                ready = []
+                for row in step:
+                    try:
+                        if broken is not None:
+                            results[row.asset_id] |= {"outcome": "ADAPTER_INIT_FAILED", "error": safe(broken)}
+                        elif row.expected is not None and hashlib.sha256(row.content).hexdigest() != row.expected:
+                            results[row.asset_id]["outcome"] = "SOURCE_CHANGED"
+                        else:
+                            ready.append((row, rgb_of(row.height, row.width, row.nChannels, row.data)))
+                    except Exception as e:
+                        results[row.asset_id] |= {"outcome": kind_of(e), "error": safe(e)}
+                for (row, rgb), said in zip(ready, _found(adapter, ready), strict=True):
+                    try:
+                        if isinstance(said, Exception):
+                            raise said
+                        results[row.asset_id] |= _described(row, rgb, said, wanted)
+                    except Exception as e:
+                        results[row.asset_id] |= {"outcome": kind_of(e), "error": safe(e)}
+                yield pd.DataFrame(list(results.values()), columns=["asset_id", "outcome", "error", "features", "evidence", "embedding"])
 
     return rows.mapInPandas(run, _RESULT)
 
@@ -227,19 +282,55 @@ class OnnxAdapter:
 
     def __post_init__(self):
         self.sessions = [self._session(p) for p in (self.tagger, self.detector) if p]
+        self.manifest: Mapping[str, Any] | None = None
+
+    @classmethod
+    def from_paths(cls, tagger: str, tags: str, detector: str | None = None, version: str = "1", **settings: Any) -> OnnxAdapter:
+        """An adapter of model files and a CSV of tags (column `name`), with its manifest: roles and digests, no paths. Files that change while they are loaded are an error."""
+        files = {"tagger": tagger, "tags": tags} | ({"detector": detector} if detector else {})
+        before = {role: _file_digest(p) for role, p in files.items()}
+        with open(tags, encoding="utf-8-sig", newline="") as f:
+            names = [row["name"] for row in csv.DictReader(f)]
+        out = cls(tagger, names, detector, **settings)
+        if {role: _file_digest(p) for role, p in files.items()} != before:
+            raise RuntimeError("model files changed while they were loaded")
+        out.manifest = checked_manifest(manifest(out.name, version, before, list(out.providers)))
+        return out
 
     def analyze(self, rgb: np.ndarray, content: bytes, path: str) -> Analysis:
-        outputs = self.sessions[0].run(None, {self.sessions[0].get_inputs()[0].name: images.tagger_input(rgb)})
-        probabilities, vector = np.asarray(outputs[0]).ravel(), np.asarray(outputs[1]).ravel()
-        if len(probabilities) != len(self.tags) or len(vector) != self.dimensions:
+        return self.analyze_many([rgb], [content], [path])[0]
+
+    def analyze_many(self, rgbs: Sequence[np.ndarray], contents: Sequence[bytes], paths: Sequence[str]) -> list[Analysis]:
+        """One call of each model for all images; a model with a fixed batch axis of one is called for each."""
+        first = self.sessions[0].get_inputs()[0]
+        probabilities, vectors = (np.asarray(x).reshape(len(rgbs), -1) for x in _run(self.sessions[0], first, [images.tagger_input(rgb) for rgb in rgbs])[:2])
+        if probabilities.shape[1] != len(self.tags) or vectors.shape[1] != self.dimensions:
             raise ValueError("the tagger's outputs don't fit its tags or dimensions")
-        by_name = dict(zip(self.tags, map(float, probabilities), strict=True))
-        top = sorted(((-p, t) for t, p in by_name.items() if t not in self.ratings))[:30]
-        features: dict[str, Any] = {"wd14_moat": {f"rating_{r}": by_name.get(r, 0.0) for r in self.ratings} | {"top_tags": [{"name": t, "score": -p} for p, t in top if -p >= 0.25]}}
+        raw: list[Any] = [None] * len(rgbs)
         if len(self.sessions) > 1:
             first = self.sessions[1].get_inputs()[0]
             size = next((d for d in first.shape if d in (320, 640)), 320)
-            rows = self.sessions[1].run(None, {first.name: images.detector_input(rgb, size, first.shape[-1] == 3)})
+            outputs = _run(self.sessions[1], first, [images.detector_input(rgb, size, first.shape[-1] == 3) for rgb in rgbs])
             # Rows of every output; with_detections() makes the summary of them in the JVM.
-            features["nudenet_rows"] = [boxes.model_rows(r).tolist() for r in rows]
-        return Analysis(vector.tolist(), {"providers": list(self.providers)}, features)
+            raw = [[boxes.model_rows(np.asarray(x)[i]).tolist() for x in outputs] for i in range(len(rgbs))]
+        providers = self.sessions[0].get_providers()
+        return [Analysis(v.tolist(), {"providers": list(providers)}, self._features(p, r)) for p, v, r in zip(probabilities, vectors, raw, strict=True)]
+
+    def _features(self, probabilities: np.ndarray, rows: Any) -> dict[str, Any]:
+        by_name = dict(zip(self.tags, map(float, probabilities), strict=True))
+        top = sorted(((-p, t) for t, p in by_name.items() if t not in self.ratings))[:30]
+        said = {f"rating_{r}": by_name.get(r, 0.0) for r in self.ratings} | {"top_tags": [{"name": t, "score": -p} for p, t in top if -p >= 0.25]}
+        return {"wd14_moat": said} | ({"nudenet_rows": rows} if rows is not None else {})
+
+
+def _run(session: Any, first: Any, inputs: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """A session's outputs for some inputs of one image each, along a batch axis."""
+    if isinstance(first.shape[0], int):  # fixed
+        each = [session.run(None, {first.name: x}) for x in inputs]
+        return [np.concatenate([np.asarray(o) for o in outputs]) for outputs in zip(*each, strict=True)]
+    return session.run(None, {first.name: np.concatenate(inputs)})
+
+
+def _file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()

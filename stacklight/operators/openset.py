@@ -2,7 +2,8 @@
 
 References (label, vector) are folded into one row that holds every class with its centre
 and unit examples. That row is broadcast, behind a check of its size, and each vector is scored
-against it in one projection, without a shuffle. Scores don't depend on thresholds, so a
+against it in one projection, without a shuffle. Beyond that size references go in blocks of a row each,
+and a vector's best few of each class and block are merged. Scores don't depend on thresholds, so a
 calibration grid scores once and then counts.
 """
 
@@ -10,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklight.functions.vectors import dot, doubles, normalize
+from stacklight.functions.vectors import dot, normalize
+from stacklight.sources.shared import once
 
 #: The most reference values (examples x dimensions, 8 bytes each) that may be broadcast.
 MOST_REFERENCE_VALUES = 4_000_000
@@ -57,37 +60,78 @@ def centers(references: DataFrame, label: str = "label", vector: str = "vector")
 def exemplars(rows: DataFrame, per_class: int, label: str = "label", vector: str = "vector", key: str = "id") -> DataFrame:
     """The per_class vectors nearest each class's centre, ties to smaller keys: a bounded reference set made from all rows."""
     own = rows.select(F.col(label).alias("label"), F.col(key).alias("key"), normalize(vector).alias("vector"))
-    near = own.join(F.broadcast(centers(rows, label, vector)), "label")
+    near = own.join(centers(rows, label, vector), "label")
     near = near.withColumn("near", F.floor(dot("vector", "center") * 1e6 + 0.5).cast("bigint"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("near"), "key"))
     return near.withColumn("rank", rank).where(F.col("rank") <= per_class).select("label", "key", "vector")
 
 
-def reference_row(references: DataFrame, label: str = "label", vector: str = "vector") -> DataFrame:
-    """One row, classes: array<struct<label, center, examples>>. Blank labels, the name of the unknown class and no classes at all are errors."""
-    size = references.agg(F.sum(F.size(vector)).alias("n"), F.max((F.trim(F.coalesce(F.col(label).cast("string"), F.lit(""))) == "").cast("int")).alias("blank"), F.max((F.col(label).cast("string") == UNKNOWN).cast("int")).alias("unknown")).first()
+def _references(references: DataFrame, label: str, vector: str) -> tuple[DataFrame, int]:
+    """(label, unit; written once, values in all). Blank labels, the name of the unknown class and no classes at all are errors."""
+    units = once(references.select(F.col(label).alias("label"), normalize(vector).alias("unit")))
+    name = F.coalesce(F.col("label").cast("string"), F.lit(""))
+    size = units.agg(F.sum(F.size("unit")).alias("n"), F.bool_or((F.trim(name) == "") | (name == UNKNOWN)).alias("bad")).first()
     if not size["n"]:
         raise ValueError("there are no reference classes")
-    if size["blank"] or size["unknown"]:
+    if size["bad"]:
         raise ValueError(f"a reference label must not be blank or {UNKNOWN!r}")
-    if size["n"] > MOST_REFERENCE_VALUES:
-        raise ValueError(f"{size['n']} reference values exceed {MOST_REFERENCE_VALUES}; keep fewer exemplars for each class")
-    examples = references.groupBy(F.col(label).alias("label")).agg(F.collect_list(normalize(vector)).alias("examples"))
-    classes = examples.join(centers(references, label, vector), "label").select(F.struct("label", "center", "examples").alias("c"))
-    return classes.agg(F.array_sort(F.collect_list("c")).alias("classes"))
+    return units, size["n"]
 
 
-def scores(vectors: DataFrame, references: DataFrame, top_k: int = 3, vector: str = "vector", label: str = "label", reference_vector: str = "vector") -> DataFrame:
-    """vectors with ranked: array<struct<minus, label>>, best first; score = (mean of the top_k example cosines + centre cosine) / 2."""
-    row = reference_row(references, label, reference_vector)
-    unit = vectors.withColumn("__unit", normalize(vector)).join(F.broadcast(row))
+def _center(examples: Column) -> Column:
+    """The unit mean of unit vectors, each component averaged to a billionth."""
+    total = F.aggregate(F.slice(examples, 2, F.size(examples)), examples[0], lambda s, e: F.zip_with(s, e, lambda x, y: x + y))
+    return normalize(F.transform(total, lambda x: F.floor(x / F.size(examples) * 1e9 + 0.5) / 1e9))
 
-    def of(c: Column) -> Column:
-        near = F.slice(F.sort_array(F.transform(c["examples"], lambda e: dot(F.col("__unit"), e)), asc=False), 1, top_k)
-        mean = F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(near)
-        return F.struct((-(mean + dot(F.col("__unit"), c["center"])) / 2).alias("minus"), c["label"].alias("label"))
 
-    return unit.withColumn("ranked", F.array_sort(F.transform("classes", of))).drop("__unit", "classes")
+def _minus(tops: Column, center: Column) -> Column:
+    """A class's score with its sign turned: half the mean of the best example cosines and the centre cosine."""
+    mean = F.transform(F.array(tops), lambda t: F.aggregate(t, F.lit(0.0), lambda s, x: s + x) / F.size(t))[0]
+    return -(mean + center) / 2
+
+
+def _tops(examples: Column, top_k: int) -> Column:
+    """The best cosines of __unit with some examples, falling."""
+    return F.slice(F.sort_array(F.transform(examples, lambda e: dot(F.col("__unit"), e)), asc=False), 1, top_k)
+
+
+def _in_blocks(vectors: DataFrame, units: DataFrame, blocks: int, top_k: int, vector: str, key: str) -> DataFrame:
+    """scores() where references are too many for one row: a broadcast row for each block of them.
+
+    Every vector keeps its top_k cosines of each class in a block; they are merged by vector and class, so that
+    what is shuffled is bounded by blocks x classes x top_k numbers a vector, however many references there are.
+    """
+    placed = once(units.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")))
+    middle = once(centers(units, "label", "unit").select("label", "center", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("block")))
+    asked = vectors.select(F.col(key).alias("__key"), normalize(vector).alias("__unit"))
+    parts = []
+    for b in range(blocks):
+        own = placed.where(F.col("block") == b).groupBy("label").agg(F.collect_list("unit").alias("examples"))
+        classes = own.join(middle.where(F.col("block") == b).select("label", "center"), "label", "full")
+        row = classes.agg(F.collect_list(F.struct("label", "center", F.coalesce("examples", F.array().cast("array<array<double>>")).alias("examples"))).alias("classes"))
+        seen = F.transform("classes", lambda c: F.struct(c["label"].alias("label"), _tops(c["examples"], top_k).alias("tops"), F.when(c["center"].isNotNull(), dot(F.col("__unit"), c["center"])).alias("center")))
+        parts.append(asked.join(F.broadcast(row)).select("__key", F.inline(seen)))
+    merged = reduce(DataFrame.union, parts).groupBy("__key", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("tops")), asc=False), 1, top_k).alias("tops"), F.max("center").alias("center"))
+    ranked = merged.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct(_minus(F.col("tops"), F.col("center")).alias("minus"), "label"))).alias("ranked"))
+    return vectors.join(ranked, vectors[key] == ranked["__key"]).drop("__key")
+
+
+def scores(vectors: DataFrame, references: DataFrame, top_k: int = 3, vector: str = "vector", label: str = "label", reference_vector: str = "vector", key: str | None = None, most: int = MOST_REFERENCE_VALUES) -> DataFrame:
+    """vectors with ranked: array<struct<minus, label>>, best first; score = (mean of the top_k example cosines + centre cosine) / 2.
+
+    Up to `most` reference values are one broadcast row. More go in blocks of as many; `key`, a column
+    that names each vector once, ties the blocks' parts together.
+    """
+    units, size = _references(references, label, reference_vector)
+    if size > most:
+        if key is None:
+            raise ValueError(f"{size} reference values exceed {most}: name a key of the vectors, so that blocks of them can be merged")
+        return _in_blocks(vectors, units, -(-size // most), top_k, vector, key)
+    classes = units.groupBy("label").agg(F.collect_list("unit").alias("examples"))
+    row = classes.agg(F.array_sort(F.collect_list(F.struct("label", _center(F.col("examples")).alias("center"), "examples"))).alias("classes"))
+    asked = vectors.withColumn("__unit", normalize(vector)).join(F.broadcast(row))
+    of = lambda c: F.struct(_minus(_tops(c["examples"], top_k), dot(F.col("__unit"), c["center"])).alias("minus"), c["label"].alias("label"))
+    return asked.withColumn("ranked", F.array_sort(F.transform("classes", of))).drop("__unit", "classes")
 
 
 def decisions(scored: DataFrame, config: OpenSet = OpenSet()) -> DataFrame:
@@ -107,8 +151,8 @@ def decisions(scored: DataFrame, config: OpenSet = OpenSet()) -> DataFrame:
     )
 
 
-def classify(vectors: DataFrame, references: DataFrame, config: OpenSet = OpenSet(), vector: str = "vector") -> DataFrame:
-    return decisions(scores(vectors, references, config.top_k, vector), config)
+def classify(vectors: DataFrame, references: DataFrame, config: OpenSet = OpenSet(), vector: str = "vector", key: str | None = None) -> DataFrame:
+    return decisions(scores(vectors, references, config.top_k, vector, key=key), config)
 
 
 def route(rule_accepted: Column, rule_reason: Column, state: Column, label: Column) -> Column:
@@ -153,6 +197,6 @@ def recommend(rows: DataFrame, gates: Gates = Gates()) -> DataFrame:
     return rows.where(fine).orderBy(F.desc("coverage"), F.desc("accepted_accuracy"), "unknown_false_accept_rate", F.desc("min_similarity"), F.desc("min_margin")).limit(1)
 
 
-def calibrate(records: DataFrame, references: DataFrame, similarities: Sequence[float] = SIMILARITIES, margins: Sequence[float] = MARGINS, top_k: int = 3, vector: str = "vector", label: str = "label") -> DataFrame:
+def calibrate(records: DataFrame, references: DataFrame, similarities: Sequence[float] = SIMILARITIES, margins: Sequence[float] = MARGINS, top_k: int = 3, vector: str = "vector", label: str = "label", key: str | None = None) -> DataFrame:
     """Metrics of the whole grid from one scoring of the records."""
-    return metrics(outcomes(scores(records, references, top_k, vector), grid(records.sparkSession, similarities, margins), label))
+    return metrics(outcomes(scores(records, references, top_k, vector, key=key), grid(records.sparkSession, similarities, margins), label))

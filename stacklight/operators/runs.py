@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stacklight.functions.paths import casefold
 from stacklight.operators.assets import latest
+from stacklight.sources.files import hashed, looked_at
 
 ITEM_STATES = ("PENDING", "LEASED", "RETRYABLE_FAILED", "COMPLETE", "SOURCE_CHANGED", "FAILED")
 OCCURRENCE_STATES = ("FROZEN", "PROCESSED", "MISSING", "SOURCE_CHANGED", "ADDED_DEFERRED")
@@ -137,29 +138,58 @@ def violations(items: DataFrame, occ: DataFrame) -> DataFrame:
     return repeated.union(paths).union(orphans).union(states)
 
 
-def freeze(baseline: DataFrame, files: DataFrame, cutoff: Column, now: Column, stable_seconds: int = 120) -> DataFrame:
-    """baseline (source_path, baseline_sha256) with status and reason, from the listing files (source_path, size, modified, sha256, regular, steady).
+def _by_rules(rules: list[tuple[Column, str, str | None]], otherwise: Column) -> Column:
+    """struct(status, reason) of the first rule that holds."""
+    out = otherwise
+    for test, state, why in reversed(rules):
+        out = F.when(test, F.struct(F.lit(state).alias("status"), F.lit(why).cast("string").alias("reason"))).otherwise(out)
+    return out
 
-    The rules apply in order: not a regular file, later than the cutoff, not stable long
-    enough, changed while it was read, another digest, no digest to compare with.
-    """
+
+def before_reading(cutoff: Column, now: Column, stable_seconds: int, listed: Column) -> Column:
+    """struct(status, reason) that a stat alone (modified, regular) decides, else null: only what is null is worth reading."""
     if stable_seconds < 0:
         raise ValueError("stable_seconds must not be negative")
-    both = baseline.join(files.withColumn("__listed", F.lit(True)), "source_path", "left")
     recent = F.col("modified") > now - F.make_interval(secs=F.lit(stable_seconds))
     rules = [
-        (F.col("__listed").isNull(), "missing", "missing_or_unreadable"),
+        (~listed, "missing", "missing_or_unreadable"),
         (~F.coalesce("regular", F.lit(False)), "missing", "not_a_regular_file"),
         (F.col("modified") > cutoff, "added_deferred", "modified_after_cutoff"),
         (recent, "source_changed", "not_stable_for_required_interval"),
+    ]
+    return _by_rules(rules, F.lit(None).cast("struct<status:string,reason:string>"))
+
+
+def after_reading() -> Column:
+    """struct(status, reason) by digests (sha256, steady, baseline_sha256)."""
+    rules = [
         (~F.coalesce("steady", F.lit(True)) | F.col("sha256").isNull(), "source_changed", "changed_while_hashing"),
         (F.col("baseline_sha256") != F.col("sha256"), "source_changed", "baseline_sha256_mismatch"),
         (F.col("baseline_sha256").isNull(), "baseline_identity_unverifiable", None),
     ]
-    status, reason = F.lit("processed"), F.lit(None).cast("string")
-    for test, state, why in reversed(rules):
-        status, reason = F.when(test, state).otherwise(status), F.when(test, F.lit(why)).otherwise(reason)
-    return both.withColumns({"status": status, "reason": reason, "asset_id": F.when(status.isin("processed", "baseline_identity_unverifiable"), F.col("sha256"))}).drop("__listed")
+    return _by_rules(rules, F.struct(F.lit("processed").alias("status"), F.lit(None).cast("string").alias("reason")))
+
+
+def _frozen(rows: DataFrame, early: Column) -> DataFrame:
+    out = rows.withColumn("__state", F.coalesce(early, after_reading())).withColumns({"status": F.col("__state.status"), "reason": F.col("__state.reason")})
+    return out.withColumn("asset_id", F.when(F.col("status").isin("processed", "baseline_identity_unverifiable"), F.col("sha256"))).drop("__state")
+
+
+def freeze(baseline: DataFrame, files: DataFrame, cutoff: Column, now: Column, stable_seconds: int = 120) -> DataFrame:
+    """baseline (source_path, baseline_sha256) with status and reason, from the listing files (source_path, size, modified, sha256, regular, steady).
+
+    The rules apply in order: not a regular file, later than the cutoff, not stable long
+    enough, changed while it was read, another digest, no digest to compare with.
+    """
+    both = baseline.join(files.withColumn("__listed", F.lit(True)), "source_path", "left")
+    return _frozen(both, before_reading(cutoff, now, stable_seconds, F.col("__listed").isNotNull())).drop("__listed")
+
+
+def freeze_files(baseline: DataFrame, cutoff: Column, now: Column, stable_seconds: int = 120) -> DataFrame:
+    """freeze() of files on a shared mount, in two stages and without a join: stats decide first, and only what they leave open is read. A file that can't be read then has changed."""
+    early = before_reading(cutoff, now, stable_seconds, F.lit(True))
+    looked = looked_at(baseline).withColumn("__early", F.when(F.col("error").isNotNull(), F.struct(F.lit("missing").alias("status"), F.lit("missing_or_unreadable").alias("reason"))).otherwise(early))
+    return _frozen(hashed(looked, F.col("__early").isNull()), F.col("__early")).drop("__early")
 
 
 def added_deferred(found: DataFrame, baseline: DataFrame, excluded: Column) -> DataFrame:

@@ -85,14 +85,3 @@ def run(plan: DataFrame, tables: RunTables, limit: int | None = None, execute: b
         found = tables.events("moves").where(F.col("event_seq") == seq)
     return found.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
-
-def execute(plan: DataFrame, limit: int, execute: bool = False) -> list[tuple[str, str, str | None]]:
-    """(source, state, reason) of the first `limit` moves by path. Without execute=True nothing is renamed and states are what would happen."""
-    rows = examined(plan.orderBy("source_path").limit(limit)).orderBy("source_path").collect()
-    out = []
-    for r in rows:
-        state, why = r["state"], r["reason"]
-        if state == "PLANNED" and execute:
-            state, why = _rename(r["source_path"], r["destination_path"], r["sha256"])
-        out.append((r["source_path"], state, why))
-    return out

@@ -117,6 +117,14 @@ def openset_decision(spark, sf_dir):
     return d.select("id", "predicted", "state", ppm(F.col("score")).alias("score_ppm"), ppm(F.col("margin")).alias("margin_ppm"), "nearest")
 
 
+@query(SQL["openset_decision"])
+def openset_blocks(spark, sf_dir):
+    """openset_decision with references in blocks of 1,000 values, each broadcast on its own."""
+    v = labelled(spark, sf_dir)
+    d = openset.decisions(openset.scores(v, known(v), CONFIG.top_k, key="id", most=1000), CONFIG)
+    return d.select("id", "predicted", "state", ppm(F.col("score")).alias("score_ppm"), ppm(F.col("margin")).alias("margin_ppm"), "nearest")
+
+
 @query(f"{_OPEN} SELECT id, r::INTEGER AS rank, label, floor(score * 1e6 + 0.5)::BIGINT AS similarity_ppm FROM rk WHERE r <= {CONFIG.top_k}")
 def openset_candidates(spark, sf_dir):
     d = openset.decisions(_scored(spark, sf_dir), CONFIG)
@@ -573,3 +581,16 @@ def metadata_evidence(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     pairs = F.create_map(F.lit("source"), F.col("source"), F.lit("prompt"), F.concat(F.lit("n "), F.col("n_chars").cast("string")), F.lit("lang"), F.col("lang"))
     return d.select("doc_id", digests.metadata_evidence(pairs).alias("m")).select("doc_id", "m.sha256", F.array_join("m.keys", ",").alias("keys"), "m.n")
+
+
+@query("""SELECT o_orderkey, sha256('{"graph":{"links":[],"nodes":[{"id":' || o_orderkey || ',"kind":"' || o_orderstatus || '"},[1,2,null]]},"owner":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || o_custkey || '"' END || CASE WHEN o_orderkey % 2 = 0 THEN ',"zoom":true' ELSE '' END || '}') AS sha256,
+CASE WHEN o_orderkey % 2 = 0 THEN 'graph,owner,zoom' ELSE 'graph,owner' END AS keys, (2 + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::INTEGER AS n FROM orders""")
+def metadata_nested(spark, sf_dir):
+    """Evidence of nested metadata as it comes from files: keys in any order, white space between."""
+    o = read(spark, sf_dir, "orders")
+    owner = F.when(F.col("o_orderkey") % 5 == 0, "null").otherwise(F.concat(F.lit('"'), F.col("o_custkey").cast("string"), F.lit('"')))
+    zoom = F.when(F.col("o_orderkey") % 2 == 0, '"zoom": true, ').otherwise("")
+    nodes = F.concat(F.lit('"nodes": [{"kind":"'), "o_orderstatus", F.lit('", "id": '), F.col("o_orderkey").cast("string"), F.lit("}, [1, 2, null]]"))
+    text = F.concat(F.lit("{ "), zoom, F.lit('"owner" : '), owner, F.lit(', "graph":{'), nodes, F.lit(',\n"links":[]}}'))
+    own = o.select("o_orderkey", digests.nested_evidence(text).alias("e"))
+    return own.select("o_orderkey", "e.sha256", F.array_join("e.keys", ",").alias("keys"), "e.n")

@@ -13,6 +13,7 @@ from stacklight.operators import assets, decisions, detect, diff, moves, runs
 from stacklight.plans import outputs, reprocess
 from stacklight.plans.catalog import _METRICS, _OPEN, _OUTCOMES, CONFIG, GATES, GRID_M, GRID_S, ROOT, SQL, TARGET, _pairs_sql, found, known, labelled, ppm, query, read
 from stacklight.sources import baseline, files
+from stacklight.sources.shared import once
 
 ITEM_STATES = ("COMPLETE", "PENDING", "LEASED", "RETRYABLE_FAILED", "FAILED", "SOURCE_CHANGED")
 
@@ -345,19 +346,19 @@ def baseline_rows(spark, sf_dir) -> DataFrame:
     return rows.withColumn("place", n).union(rows.where("doc_id % 23 = 0").withColumn("place", n + 1_000_000_000))
 
 
-def feature_paths(spark, sf_dir) -> DataFrame:
+def feature_paths(rows: DataFrame) -> DataFrame:
     """The feature run's paths: a seventh is not processed, src3 has one open, src4 is locked out by the request."""
-    b = baseline_rows(spark, sf_dir).where("place < 1000000000")
+    b = rows.where("place < 1000000000")
     n = F.col("doc_id")
     return b.withColumn("occurrence_state", F.when((F.col("source") == "src3") & (n % 3 == 0), "FROZEN").when(n % 7 == 0, "MISSING").otherwise("PROCESSED"))
 
 
-def move_rows(spark, sf_dir, existing: DataFrame | None = None) -> DataFrame:
-    occ = feature_paths(spark, sf_dir)
+def move_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    occ = feature_paths(rows)
     ready = moves.ready_directories(occ, paths.source_directory("source_path", ROOT)).where("directory <> 'src4'")
     done = occ.where("occurrence_state = 'PROCESSED'")
     known = done.select("source_path", F.col("source_size").alias("size"), F.when(F.col("doc_id") % 19 == 0, -1).otherwise(F.col("mtime_ns")).alias("mtime_ns"), "sha256")
-    return moves.selected(baseline_rows(spark, sf_dir), ROOT, ready, existing, done, known)
+    return moves.selected(rows, ROOT, ready, existing, done, known)
 
 
 _MOVES = f"""b AS (SELECT doc_id, source, lang, '{ROOT}/' || source || '/' || lang || '/img' || doc_id % 40 || '_' || doc_id // 40 || CASE WHEN doc_id % 4 = 0 THEN '.txt' ELSE '.PNG' END AS source_path,
@@ -368,15 +369,16 @@ m AS (SELECT *, '{TARGET}/' || CASE WHEN doc_id % 6 = 0 THEN '待分拣' ELSE la
 
 @query(f"WITH {_MOVES} SELECT source_path, destination_path, sha AS sha256 FROM m")
 def move_plan(spark, sf_dir):
-    return moves.planned(move_rows(spark, sf_dir), ROOT, TARGET).select("source_path", "destination_path", "sha256")
+    return moves.planned(move_rows(once(baseline_rows(spark, sf_dir))), ROOT, TARGET).select("source_path", "destination_path", "sha256")
 
 
 @query(f"WITH {_MOVES} SELECT source_path, destination_path FROM m WHERE source NOT IN ('src0', 'src1', 'src2')")
 def move_sync(spark, sf_dir):
     """What directories that settled later add to a journal that has the first three."""
-    plan = moves.planned(move_rows(spark, sf_dir), ROOT, TARGET)
+    rows = once(baseline_rows(spark, sf_dir))
+    plan = moves.planned(move_rows(rows), ROOT, TARGET)
     journal = plan.where(paths.source_directory("source_path", ROOT).isin("src0", "src1", "src2")).select("source_path", "destination_path")
-    new = moves.planned(move_rows(spark, sf_dir, journal), ROOT, TARGET)
+    new = moves.planned(move_rows(rows, journal), ROOT, TARGET)
     return moves.appended(new, journal).select("source_path", "destination_path")
 
 

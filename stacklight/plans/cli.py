@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stacklight.functions import paths
 from stacklight.operators import assets, moves, openset, runs
-from stacklight.plans import apply, outputs
+from stacklight.plans import apply, outputs, stored
 from stacklight.sources import baseline, files, vectors
 from stacklight.sources.tables import RunTables
 
@@ -42,6 +42,28 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--cutoff", required=True)
     c.add_argument("--stable-seconds", type=int, default=120)
     c.add_argument("--out", required=True)
+    c = sub.add_parser("create", help="a run from a baseline: frozen paths, deferred ones below a root, items")
+    c.add_argument("baseline")
+    c.add_argument("--cutoff", required=True)
+    c.add_argument("--stable-seconds", type=int, default=120)
+    c.add_argument("--root")
+    decide = sub.add_parser("decide", help="decisions of a run's analysed assets, kept under one id")
+    for a in ("labelled", "references"):
+        decide.add_argument(f"--{a}", required=True)
+    decide.add_argument("--similarity", type=float, nargs="+", default=list(openset.SIMILARITIES))
+    decide.add_argument("--margin", type=float, nargs="+", default=list(openset.MARGINS))
+    decide.add_argument("--top-k", type=int, default=3)
+    compare = sub.add_parser("diff", help="report of a run under a decision")
+    compare.add_argument("--out", required=True)
+    compare.add_argument("--review-limit", type=int, default=500)
+    compare.add_argument("--seed", default="review-v1")
+    away = sub.add_parser("prune", help="empty the payloads of a run's items")
+    away.add_argument("--dry-run", action="store_true")
+    for own in (c, decide, compare, away):
+        own.add_argument("--tables", required=True, help="folder of the run tables")
+        own.add_argument("--run", required=True)
+    for own in (decide, compare):
+        own.add_argument("--decision", required=True)
     c = sub.add_parser("report", help="summary, differences and review queue of diff rows")
     c.add_argument("rows")
     c.add_argument("--out", required=True)
@@ -101,9 +123,20 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         rows = baseline.normalised(baseline.read_csv(spark, args.baseline))
         if repeated := baseline.repeated_paths(rows).limit(5).collect():
             raise ValueError(f"a baseline must list each path once: {repeated[0]['source_path']}")
-        frozen = runs.freeze(rows, files.listing(rows), F.to_timestamp(F.lit(args.cutoff)), F.current_timestamp(), args.stable_seconds)
+        frozen = runs.freeze_files(rows, F.to_timestamp(F.lit(args.cutoff)), F.current_timestamp(), args.stable_seconds)
+        frozen, seen = stored.observed(frozen, "freeze", **{s: F.col("status") == s for s in stored.KEPT_AS})
         frozen.write.mode("overwrite").parquet(args.out)
-        return {r["status"]: r["n"] for r in spark.read.parquet(args.out).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {s: n for s, n in seen.get.items() if n}
+    if args.command in ("create", "decide", "diff", "prune"):
+        tables = RunTables(spark, args.tables)
+        if args.command == "create":
+            rows = baseline.normalised(baseline.read_csv(spark, args.baseline))
+            return stored.create(tables, args.run, rows, F.to_timestamp(F.lit(args.cutoff)), F.current_timestamp(), args.stable_seconds, args.root)
+        if args.command == "decide":
+            return stored.decide(tables, args.run, args.decision, vectors.read_labelled(spark, args.labelled), vectors.read_references(spark, args.references), args.similarity, args.margin, args.top_k)
+        if args.command == "diff":
+            return stored.diff_report(tables, args.run, args.decision, args.out, args.review_limit, args.seed)
+        return stored.prune(tables, args.run, args.dry_run)
     if args.command == "report":
         return outputs.run_report(spark.read.parquet(args.rows), args.out, args.review_limit, args.seed)
     if args.command == "migrate":

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from stacklight.functions import paths
 
-_LISTED = "source_path string, size bigint, mtime_ns bigint, modified timestamp, sha256 string, regular boolean, steady boolean, error string"
-
 
 def local_path(c: str | Column) -> Column:
     """The path of a file: URI as plain text; other URIs stay."""
@@ -48,29 +46,73 @@ def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
     return unchanged(snapshots(files), expected)
 
 
-def _stat_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path in batch["source_path"]:
-            row = {"source_path": path, "size": None, "mtime_ns": None, "modified": None, "sha256": None, "regular": False, "steady": None, "error": None}
-            try:
-                info = os.lstat(path)
-                if stat.S_ISREG(info.st_mode):
-                    digest = hashlib.sha256()
-                    with open(path, "rb") as f:
-                        while block := f.read(1 << 20):
-                            digest.update(block)
-                    after = os.stat(path)
-                    row |= {"size": after.st_size, "mtime_ns": after.st_mtime_ns, "modified": pd.Timestamp(after.st_mtime_ns // 1000 * 1000, unit="ns"), "sha256": digest.hexdigest(), "regular": True, "steady": (info.st_size, info.st_mtime_ns) == (after.st_size, after.st_mtime_ns)}
-            except OSError as e:
-                row["error"] = f"{type(e).__name__}:message_sha256={hashlib.sha256(str(e).encode()).hexdigest()[:16]}"
-            rows.append(row)
-        yield pd.DataFrame(rows, columns=["source_path", "size", "mtime_ns", "modified", "sha256", "regular", "steady", "error"])
+_STAT = "size bigint, mtime_ns bigint, regular boolean, error string"
+_DIGEST = "sha256 string, size bigint, mtime_ns bigint, error string"
+
+
+def _failed(e: OSError) -> str:
+    return f"{type(e).__name__}:message_sha256={hashlib.sha256(str(e).encode()).hexdigest()[:16]}"
+
+
+def _stat_of(path: str | None) -> dict:
+    out = {"size": None, "mtime_ns": None, "regular": False, "error": None}
+    if path is None:
+        return out
+    try:
+        info = os.lstat(path)
+    except OSError as e:
+        return out | {"error": _failed(e)}
+    return out | {"size": info.st_size, "mtime_ns": info.st_mtime_ns, "regular": stat.S_ISREG(info.st_mode)}
+
+
+def _digest_of(path: str | None) -> dict:
+    out = {"sha256": None, "size": None, "mtime_ns": None, "error": None}
+    if path is None:  # not asked for: not opened
+        return out
+    try:
+        with open(path, "rb") as f:
+            digest = hashlib.file_digest(f, "sha256").hexdigest()
+        after = os.stat(path)
+    except OSError as e:
+        return out | {"error": _failed(e)}
+    return out | {"sha256": digest, "size": after.st_size, "mtime_ns": after.st_mtime_ns}
+
+
+def _each(f: Callable[[str | None], dict], schema: str) -> Callable:
+    """A pandas UDF that asks `f` about each path, once for each row."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([f(p) for p in batch], dtype=object)
+
+    return F.pandas_udf(run, schema, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+
+
+def stats(path: str | Column = "source_path") -> Column:
+    """struct(size, mtime_ns, regular, error) of a path on a mount that all workers share; symlinks and absent files aren't regular. Nothing is opened."""
+    return _each(_stat_of, _STAT)(paths.col(path))
+
+
+def digests(path: str | Column) -> Column:
+    """struct(sha256, size, mtime_ns, error): the digest of a path's file, and its stat after reading; a null path is not opened."""
+    return _each(_digest_of, _DIGEST)(paths.col(path))
+
+
+def looked_at(rows: DataFrame) -> DataFrame:
+    """rows (source_path) with size, mtime_ns, modified, regular, error: a stat for each, beside it."""
+    return rows.withColumn("__stat", stats()).select(*rows.columns, "__stat.size", "__stat.mtime_ns", F.timestamp_micros(F.floor(F.col("__stat.mtime_ns") / 1000)).alias("modified"), "__stat.regular", "__stat.error")
+
+
+def hashed(looked: DataFrame, wanted: Column) -> DataFrame:
+    """looked_at() with sha256, and steady: whether a file's stat was the same after reading as before. Only files that are `wanted` are opened."""
+    read = looked.withColumn("__digest", digests(F.when(F.coalesce(wanted, F.lit(False)), F.col("source_path"))))
+    steady = F.when(F.col("__digest.sha256").isNotNull(), (F.col("__digest.size") == F.col("size")) & (F.col("__digest.mtime_ns") == F.col("mtime_ns")))
+    return read.withColumns({"sha256": F.col("__digest.sha256"), "steady": steady, "error": F.coalesce("error", "__digest.error")}).drop("__digest")
 
 
 def listing(known_paths: DataFrame) -> DataFrame:
-    """What freeze() needs about each source_path on a mount that all workers share: nanosecond times, a digest between two stats, symlinks and absent files as irregular rows."""
-    return known_paths.select("source_path").mapInPandas(_stat_rows, _LISTED)
+    """source_path, size, mtime_ns, modified, sha256, regular, steady, error of each source_path: every regular file is read."""
+    return hashed(looked_at(known_paths.select("source_path")), F.col("regular")).select("source_path", "size", "mtime_ns", "modified", "sha256", "regular", "steady", "error")
 
 
 def decoded(spark: SparkSession, root: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacklight.operators.runs import current
+from stacklight.sources.shared import once
 
 VERSION = 4
 
@@ -31,6 +32,10 @@ class RunTables:
     def append(self, table: str, rows: DataFrame, *partitions: str) -> None:
         rows.write.mode("append").partitionBy(*partitions).parquet(f"{self.root}/{table}")
 
+    def replace(self, table: str, rows: DataFrame, *partitions: str) -> None:
+        """Rewrites the partitions that rows have and no other; rows may come from them, as they are computed before anything is replaced."""
+        once(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(f"{self.root}/{table}")
+
     def events(self, table: str) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}")
 
