@@ -63,9 +63,8 @@ ARTICLE = {"article", "post", "entry", "story", "content", "main", "page", "text
 #: Elements whose class words count: parts of a layout, not the text's own blocks.
 LAYOUT = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "figure", "details", "fieldset", "center", "li", "blockquote"}
 
-_ATTRS = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_START = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _BLANKS = re.compile(r"\s+")
 
@@ -108,6 +107,91 @@ def _edge(tag: str) -> int:
     return WINDOW if tag == "body" else 1 if tag in ("article", "main", "div", "section", "table") or tag in BOILERPLATE else 0
 
 
+class Token(NamedTuple):
+    """A piece of markup. tag is None for comments and declarations."""
+
+    start: int
+    end: int
+    closing: bool
+    tag: str | None
+    attrs: str
+
+
+class Markup:
+    """The markup of a page, in order. Every place is looked at a bounded number of times, however broken quotes and tags are.
+
+    A tag ends at the first ">" outside quotes; where there is none, or a quote stays open, its "<" is text. Places
+    that were once followed to their end, and things that were once found missing, are remembered.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()  # what doesn't occur after a place that was reached
+        self.ends: dict[int, int] = {}  # of sequences outside quotes that go on at a sign; -1: they never end
+        self.from_, self.sign = 0, -2  # no sign lies between the first place and the second
+
+    def after(self, what: str, at: int) -> int:
+        """The place of `what` at or after a place, or -1."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def _next_sign(self, at: int) -> int:
+        """The next of the signs that matter inside a tag, or -1."""
+        if self.from_ <= at <= self.sign or self.sign == -1 and self.from_ <= at:
+            return self.sign
+        found = _SIGN.search(self.page, at)
+        self.from_, self.sign = at, found.start() if found else -1
+        return self.sign
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ">" that ends a tag whose attributes begin at a place, or -1."""
+        seen, sign = [], self._next_sign(at)
+        end = None
+        while end is None:
+            if sign < 0:
+                end = -1
+            elif sign in self.ends:
+                end = self.ends[sign]
+            elif self.page[sign] == ">":
+                end = sign
+            else:
+                seen.append(sign)
+                close = self._closing(sign)
+                if close < 0:
+                    end = -1
+                else:
+                    found = _SIGN.search(self.page, close + 1)
+                    sign = found.start() if found else -1
+        for place in seen:
+            self.ends[place] = end
+        return end
+
+    def _closing(self, quote: int) -> int:
+        """The place of the quote that closes a quote, or -1."""
+        return self.page.find(self.page[quote], quote + 1)
+
+    def search(self, at: int) -> Token | None:
+        """The first token at or after a place."""
+        while (m := _START.search(self.page, at)) is not None:
+            text = m[0]
+            if text in ("<!--", "<![CDATA["):
+                mark = "-->" if text == "<!--" else "]]>"
+                end = self.after(mark, m.end())
+                return Token(m.start(), len(self.page) if end < 0 else end + 3, False, None, "")
+            end = self.after(">", m.end()) if m[2] is None else self.tag_end(m.end())
+            if end >= 0:
+                return Token(m.start(), end + 1, bool(m[1]), m[2], self.page[m.end() : end] if m[2] else "")
+            at = m.start() + 1
+        return None
+
+
+_SIGN = re.compile("[>\"']")
+
+
 def lines(page: str) -> tuple[list[Line], list[int]]:
     """The lines of the stripped page, where empty lines part containers, and the container around each container."""
     out: list[Line] = []
@@ -136,26 +220,31 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
             link = None
         while len(stack) > depth:
             tag, drops = stack.pop()
+            is_open[tag] -= 1
             owners.pop()
             dropped -= drops
             marked -= tag in ("article", "main")
 
+    markup, unended = Markup(page), set()
+    is_open: Counter[str] = Counter()
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = markup.search(at)
         if m is None:
             if not dropped:
                 text.append(page[at:])
             break
-        if not dropped and m.start() > at:
-            text.append(page[at : m.start()])
+        if not dropped and m.start > at:
+            text.append(page[at : m.start])
             if link is not None:
                 linked += len(html.unescape(text[-1]).strip())
-        at = m.end()
-        if m[2] is None:
+        at = m.end
+        if m.tag is None:
             continue
-        tag, closing, attrs = m[2].lower(), bool(m[1]), m[3]
+        tag, closing, attrs = m.tag.lower(), m.closing, m.attrs
         if not closing and tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = None if tag in unended else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end is None:
+                unended.add(tag)
             if not attrs.rstrip().endswith("/"):
                 at = end.end() if end else n if tag in ("script", "style") else at
             continue
@@ -168,24 +257,25 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
                 links += 1
         if tag in CONTAINERS or tag in BOILERPLATE or not closing and tag not in VOID and "=" in attrs and _boilerplate(tag, attrs, marked > 0):
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if depth is not None:
+                if is_open[tag]:
+                    depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                     end_line()
                     close(depth)
                     end_line(_edge(tag))
             elif not attrs.endswith("/"):
                 if tag in ("body", "main"):  # neither is ever inside boilerplate that was left open
                     text.clear() if dropped else end_line()
-                    close(next((i for i, (_, drops) in enumerate(stack) if drops), len(stack)))
+                    close(next(i for i, (_, drops) in enumerate(stack) if drops) if dropped else len(stack))
                 end_line(_edge(tag))
                 drops = _boilerplate(tag, attrs, marked > 0)
                 stack.append((tag, drops))
+                is_open[tag] += 1
                 opened += 1
                 around.append(owners[-1])
                 owners.append(opened)
                 dropped += drops
                 marked += tag in ("article", "main")
-        elif closing and any(t == tag for t, _ in stack):  # a dropped inline or block element
+        elif closing and is_open[tag]:  # a dropped inline or block element
             depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
             close(depth)
         elif tag in BLOCKS:

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import duckdb
@@ -279,6 +281,28 @@ def test_html_equals_a_plain_reading_of_all_pages(spark, sf):
     assert {r["page_id"]: r["text"] for r in html_text.extract(unmarked).collect()} == want
 
 
+def test_html_markup_is_found_as_by_one_pattern():
+    attrs = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
+    plain = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({attrs})>", re.S)
+    rng = random.Random(4)
+    pieces = ["<a ", "<b", "</p", ">", '"', "'", "<!--", "-->", "<![CDATA[", "]]>", "<!x", "<?", "x", " ", "<", "/", "="]
+    for _ in range(3000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        markup, at, got = html_text.Markup(page), 0, []
+        while (m := markup.search(at)) is not None:
+            got.append((m.start, m.end, m.closing, m.tag, m.attrs))
+            at = m.end
+        assert got == [(m.start(), m.end(), bool(m[1]), m[2], m[3] or "") for m in plain.finditer(page)], page
+
+
+@pytest.mark.parametrize("piece", ['<a href="x ', "<a href='x \"", "<a ", "<", "<div>", "<svg>", "<div></p>", '<a href="x">', "<!x ", "<a aaaaaaaa", "<div class='", "<span hidden=1>"])
+def test_html_time_goes_with_length(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_html_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "a", 5, "b")], "page_id bigint, url string, html string, text string, n_chars int, body string")
     assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "u", "x", 1)]
