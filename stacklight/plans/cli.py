@@ -6,15 +6,18 @@ import argparse
 import importlib.util
 import json
 import sys
+from collections.abc import Callable
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacklight.functions import paths
-from stacklight.operators import assets, moves, openset, runs
+from stacklight.operators import assets, inference, moves, openset, runs
 from stacklight.plans import apply, outputs, stored
 from stacklight.sources import baseline, files, vectors
+from stacklight.sources.shared import once
 from stacklight.sources.tables import RunTables
 
 
@@ -22,12 +25,29 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stacklight")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("doctor", help="which optional dependencies are there")
-    for name, text in (("scan", "fingerprint a library and report its counts"), ("verify-source", "fingerprints of a library")):
-        c = sub.add_parser(name, help=text)
-        c.add_argument("root")
-        c.add_argument("--out")
-    c = sub.add_parser("status", help="counts by state of a table of item events")
-    c.add_argument("events")
+    c = sub.add_parser("scan", help="fingerprint a library and report its counts")
+    c.add_argument("root", nargs="+")
+    c.add_argument("--out")
+    c.add_argument("--extension", nargs="+", default=list(paths.IMAGE_SUFFIXES))
+    c.add_argument("--follow-symlinks", action="store_true")
+    c = sub.add_parser("verify-source", help="fingerprints of a library")
+    c.add_argument("root")
+    c.add_argument("--out")
+    c = sub.add_parser("status", help="counts by state of a table of item events, or of a stored run")
+    c.add_argument("events", nargs="?")
+    c.add_argument("--tables")
+    c.add_argument("--run")
+    extract = sub.add_parser("extract", help="scan folders into a run and analyse what is new")
+    work = sub.add_parser("process", help="analyse the open items of a run")
+    for own in (extract, work):
+        own.add_argument("root", nargs="+")
+        own.add_argument("--adapter", help="module:factory")
+        own.add_argument("--tagger", help="ONNX model, with --tags, in place of an adapter")
+        own.add_argument("--tags", help="CSV with a column `name`")
+        own.add_argument("--detector")
+        own.add_argument("--provider", nargs="+", default=["CPUExecutionProvider"])
+        own.add_argument("--dimensions", type=int, default=1024)
+        own.add_argument("--limit", type=int)
     c = sub.add_parser("classify", help="open-set decision of one vector")
     for a in ("vector", "references"):
         c.add_argument(f"--{a}", required=True)
@@ -59,7 +79,7 @@ def parser() -> argparse.ArgumentParser:
     compare.add_argument("--seed", default="review-v1")
     away = sub.add_parser("prune", help="empty the payloads of a run's items")
     away.add_argument("--dry-run", action="store_true")
-    for own in (c, decide, compare, away):
+    for own in (c, decide, compare, away, extract, work):
         own.add_argument("--tables", required=True, help="folder of the run tables")
         own.add_argument("--run", required=True)
     for own in (decide, compare):
@@ -101,14 +121,29 @@ def _moves(args: argparse.Namespace, spark: SparkSession, known: DataFrame | Non
     return moves.planned(moves.selected(own, args.root, snapshots=snapshots), args.root, args.target)
 
 
+def _factory(args: argparse.Namespace) -> tuple[Callable[[], Any], str]:
+    """What makes the adapter in each worker, and a key that names it."""
+    if bool(args.adapter) == bool(args.tagger) or bool(args.tagger) != bool(args.tags):
+        raise ValueError("name either an adapter (module:factory) or a tagger with its tags")
+    if args.adapter:
+        return partial(inference.load_adapter, args.adapter), args.adapter
+    made = partial(inference.OnnxAdapter.from_paths, args.tagger, args.tags, args.detector, providers=tuple(args.provider), dimensions=args.dimensions)
+    return made, json.dumps([args.tagger, args.tags, args.detector, args.provider, args.dimensions])
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> Any:
-    if args.command == "scan" or args.command == "verify-source":
+    if args.command == "scan":
+        found = once(stored.scanned(spark, args.root, args.extension, args.follow_symlinks))
+        if args.out:
+            found.write.mode("overwrite").parquet(args.out)
+        return assets.scan_counts(found, failed=F.col("error").isNotNull()).first().asDict()
+    if args.command == "verify-source":
         found = files.snapshots(files.discover(spark, args.root))
         if args.out:
             found.write.mode("overwrite").parquet(args.out)
-        if args.command == "scan":
-            return assets.scan_counts(found).first().asDict()
         return assets.inventory(found).first().asDict()
+    if args.command == "status" and args.tables:
+        return stored.status(RunTables(spark, args.tables), args.run)
     if args.command == "status":
         items = runs.current(spark.read.parquet(args.events))
         return {r["state"]: r["n"] for r in items.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -127,8 +162,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         frozen, seen = stored.observed(frozen, "freeze", **{s: F.col("status") == s for s in stored.KEPT_AS})
         frozen.write.mode("overwrite").parquet(args.out)
         return {s: n for s, n in seen.get.items() if n}
-    if args.command in ("create", "decide", "diff", "prune"):
+    if args.command in ("create", "extract", "process", "decide", "diff", "prune"):
         tables = RunTables(spark, args.tables)
+        if args.command in ("extract", "process"):
+            factory, key = _factory(args)
+            new = stored.take_up(tables, args.run, stored.scanned(spark, args.root)) if args.command == "extract" else 0
+            return {"new": new} | stored.process(tables, args.run, args.root, factory, key, args.limit)
         if args.command == "create":
             rows = baseline.normalised(baseline.read_csv(spark, args.baseline))
             return stored.create(tables, args.run, rows, F.to_timestamp(F.lit(args.cutoff)), F.current_timestamp(), args.stable_seconds, args.root)

@@ -1,6 +1,6 @@
 """Runs kept as tables: created from a baseline, decided once for each decision, compared, pruned.
 
-Tables of a RunTables root: occurrences (by run_id), items (events, by run_id), decision_runs (events) and
+Tables of a RunTables root: runs (statistics), occurrences (by run_id), items (events, by run_id), decision_runs (events) and
 decisions (by decision_id). What is written a second time replaces its own partition alone, so a
 step that was interrupted is simply called again.
 """
@@ -8,16 +8,17 @@ step that was interrupted is simply called again.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stacklight.functions import digests, paths
 from stacklight.operators import decisions, diff, openset, runs
 from stacklight.plans import outputs, reprocess
-from stacklight.sources import baseline, walk
+from stacklight.sources import baseline, files, walk
 from stacklight.sources.shared import once
 from stacklight.sources.tables import RunTables
 
@@ -65,7 +66,51 @@ def create(tables: RunTables, run_id: str, rows: DataFrame, cutoff: Column, now:
     tables.append("occurrences", new, "run_id")
     own = tables.events("occurrences").where((F.col("run_id") == run_id) & (F.col("occurrence_state") == "FROZEN"))
     started = reprocess.start(tables, run_id, own.select("asset_id", "source_path"))
-    return {"run_id": run_id, "counts": {s.lower(): n for s, n in seen.get.items()}, "resumed": resumed, "assets": started}
+    out = {"run_id": run_id, "counts": {s.lower(): n for s, n in seen.get.items()}, "resumed": resumed, "assets": started}
+    _keep_statistics(tables, run_id, out)
+    return out
+
+
+def _keep_statistics(tables: RunTables, run_id: str, said: Mapping[str, Any]) -> None:
+    """Another entry of what was counted when a run was made or taken up again."""
+    seq = 0 if tables.missing("runs") else tables.events("runs").where(F.col("run_id") == run_id).count()
+    tables.append("runs", tables.spark.createDataFrame([(run_id, seq, json.dumps(said, sort_keys=True))], "run_id string, event_seq bigint, statistics string"))
+
+
+def status(tables: RunTables, run_id: str) -> dict[str, Any]:
+    """Counts of a run's items and paths by state, and the statistics of each time it was made or taken up."""
+    counts: dict[str, dict[str, int]] = {"item": {}, "occurrence": {}}
+    own = occurrences(tables, run_id)
+    for r in runs.run_counts(reprocess.items(tables, run_id), own).collect():
+        counts[r["kind"]][r["state"]] = r["n"]
+    kept = [] if tables.missing("runs") else tables.events("runs").where(F.col("run_id") == run_id).orderBy("event_seq").collect()
+    return {"run_id": run_id, "items": counts["item"], "occurrences": counts["occurrence"], "statistics": [json.loads(r["statistics"]) for r in kept]}
+
+
+def scanned(spark: SparkSession, roots: str | Sequence[str], suffixes: Sequence[str] = paths.IMAGE_SUFFIXES, follow_symlinks: bool = False) -> DataFrame:
+    """source_path, asset_id, size, mtime_ns, error of the files below the roots; a file that can't be read has an error and no digest."""
+    found = walk.library(spark, roots, suffixes, follow_symlinks=follow_symlinks).withColumn("read", files.digests("source_path"))
+    return found.select("source_path", F.col("read.sha256").alias("asset_id"), "size", "mtime_ns", F.col("read.error").alias("error"))
+
+
+def take_up(tables: RunTables, run_id: str, found: DataFrame) -> int:
+    """Adds what scanned() found, and the run doesn't have, as frozen paths with their items; the number of new assets."""
+    new = found.where("asset_id is not null")
+    if not tables.missing("occurrences"):
+        new = new.join(tables.events("occurrences").where(F.col("run_id") == run_id).select("source_path"), "source_path", "left_anti")
+    flags = {"run_id": F.lit(run_id), "old_bucket": F.lit(None).cast("string"), "audit_locked": F.lit(False), "baseline_identity_unverifiable": F.lit(True), "occurrence_state": F.lit("FROZEN"), "reason": F.lit(None).cast("string"), "sha256": F.col("asset_id")}
+    tables.append("occurrences", new.withColumns(flags).select(*_OCCURRENCE), "run_id")
+    return reprocess.start(tables, run_id, tables.events("occurrences").where((F.col("run_id") == run_id) & (F.col("occurrence_state") == "FROZEN")))
+
+
+def process(tables: RunTables, run_id: str, roots: str | Sequence[str], factory: Callable[[], Any], key: str, limit: int | None = None) -> dict[str, Any]:
+    """Works off a run's open items with an adapter. Contents and pixels of the run's frozen paths alone are joined; a file whose digest isn't its asset's any more has changed."""
+    spark = tables.spark
+    frozen = tables.events("occurrences").where((F.col("run_id") == run_id) & (F.col("occurrence_state") == "FROZEN")).select("source_path", "asset_id")
+    contents = files.discover(spark, roots).select(files.local_path("path").alias("source_path"), "content")
+    own = contents.join(frozen, "source_path").withColumn("expected_sha256", F.col("asset_id"))
+    pixels = files.decoded(spark, roots).join(frozen.select("source_path"), "source_path", "left_semi")
+    return reprocess.process(tables, run_id, files.with_pixels(own, pixels), factory, key, limit)
 
 
 def fingerprint(rows: DataFrame) -> str:
@@ -90,6 +135,9 @@ def decide(tables: RunTables, run_id: str, decision_id: str, records: DataFrame,
     """
     config = {"similarities": sorted(similarities), "margins": sorted(margins), "top_k": top_k, "gates": vars(gates)}
     asked = {"decision_id": decision_id, "run_id": run_id, "config_fingerprint": digests.config_fingerprint(config), "reference_fingerprint": fingerprint(references), "labels_fingerprint": fingerprint(records)}
+    left = reprocess.items(tables, run_id).where(F.col("state").isin("PENDING", "LEASED", "RETRYABLE_FAILED")).limit(1).count()
+    if left:
+        raise ValueError(f"the run {run_id} has open items, so nothing is decided")
     outcome = "new"
     if not tables.missing("decision_runs"):
         known = tables.current("decision_runs", "decision_id")

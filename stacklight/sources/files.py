@@ -115,9 +115,9 @@ def listing(known_paths: DataFrame) -> DataFrame:
     return hashed(looked_at(known_paths.select("source_path")), F.col("regular")).select("source_path", "size", "mtime_ns", "modified", "sha256", "regular", "steady", "error")
 
 
-def decoded(spark: SparkSession, root: str) -> DataFrame:
+def decoded(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
     """source_path, height, width, channels, data of images that the JVM decodes (PNG, JPEG, GIF, BMP, TIFF); those that it can't have height -1."""
-    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
+    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(list(root) if not isinstance(root, str) else root)
     return images.select(local_path("image.origin").alias("source_path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 

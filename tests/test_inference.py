@@ -123,3 +123,21 @@ def test_manifest_of_files(tmp_path):
     own = inference.OnnxAdapter.from_paths(model, tags, dimensions=3)
     assert [a["role"] for a in own.manifest["artifacts"]] == ["tagger", "tags"] and str(tmp_path) not in json.dumps(own.manifest)
     assert own.tags == ["general", "sky", "sea"]
+
+
+def test_extract_and_process_commands(spark, pictures, tmp_path):
+    from stacklight.plans import cli
+
+    model, tags = mean_model(tmp_path / "m.onnx", "N"), tags_file(tmp_path)
+    common = ["--tables", str(tmp_path / "t"), "--run", "r", "--tagger", model, "--tags", tags, "--dimensions", "3"]
+    call = lambda *a: cli.run(cli.parser().parse_args([*a, str(pictures), *common]), spark)
+    first = call("extract")
+    assert (first["new"], first["status"], first["items"]) == (6, "COMPLETE", {"COMPLETE": 5, "FAILED": 1})
+    (pictures / "more.png").write_bytes(png(9, 9))
+    assert call("process")["claimed"] == 0
+    again = call("extract")
+    assert (again["new"], again["claimed"], again["items"]) == (1, 1, {"COMPLETE": 6, "FAILED": 1})
+    status = cli.run(cli.parser().parse_args(["status", "--tables", str(tmp_path / "t"), "--run", "r"]), spark)
+    assert status["items"] == {"COMPLETE": 6, "FAILED": 1} and status["occurrences"] == {"PROCESSED": 6, "FROZEN": 1}
+    with pytest.raises(ValueError, match="either an adapter"):
+        cli.run(cli.parser().parse_args(["process", str(pictures), "--tables", str(tmp_path / "t"), "--run", "r"]), spark)

@@ -274,3 +274,21 @@ def test_commands_over_a_stored_run(spark, run, tree, tmp_path):
     assert said["status"] == "COMPLETE" and said["decisions"] == 2
     assert call("diff", "--decision", "d", "--out", str(tmp_path / "report"))["by_status"]["missing"] == 1
     assert call("prune", "--dry-run")["items"] == 2
+
+
+def test_scan_command_counts_copies_and_errors(spark, tree):
+    (tree / "copy.png").write_bytes(b"a.png")
+    call = lambda *a: cli.run(cli.parser().parse_args(["scan", *a]), spark)
+    assert call(str(tree)) == {"discovered": 8, "enqueued": 7, "duplicates": 1, "errors": 0}
+    assert call(str(tree), str(tree.parent / "aside"), "--extension", "txt") == {"discovered": 1, "enqueued": 1, "duplicates": 0, "errors": 0}
+    assert call(str(tree), "--follow-symlinks")["duplicates"] == 2
+
+
+def test_undecided_while_items_are_open(spark, run):
+    t, rows = run
+    stored.create(t, "r", rows, day(2), day(1))
+    with pytest.raises(ValueError, match="open items"):
+        stored.decide(t, "r", "d", *references(spark))
+    said = stored.status(t, "r")
+    assert said["items"] == {"PENDING": 2} and said["occurrences"] == {"FROZEN": 2, "MISSING": 1}
+    assert [s["counts"]["frozen"] for s in said["statistics"]] == [2]
