@@ -3,7 +3,8 @@
 Equal shingle sets are one entry with a count, so copies are never paired. Every entry
 chooses, in each of several runs, the shingles whose hash for that run is below
 ``picks`` / set size; similar sets choose some of the same, whatever their sizes, and
-meet in those buckets. A bucket above ``small`` entries is split: of a sample of ``SAMPLE``
+meet in those buckets. First, of entries that share one path with many others, those that are very like
+a leader follow it and leave: the leader stands for them, with the most that they differ from it. A bucket above ``small`` entries is split: of a sample of ``SAMPLE``
 shingles that each entry keeps, it goes on along every one whose hash with the bucket is below
 ``splits`` / ``SAMPLE``. What is still large is split again and again by one sampled shingle each time,
 the first of the set in an order that the bucket draws (a minhash): a path is a sequence of sampled
@@ -44,7 +45,7 @@ from stacklight.llm.shingles import mix, shingle_sets
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold is numerator / denominator. plausible, alike: shares of equal sketch values that link two entries, and make one follow a leader."""
+    """threshold is numerator / denominator. plausible, alike: shares of equal sketch values that link two entries, and make one follow a leader. reach: what a leader shares at least with what its followers reach, as Jaccard distances add up at most."""
 
     size: int = 5
     numerator: int = 4
@@ -58,6 +59,7 @@ class Settings:
     exact_block: int = 512
     plausible: float = 0.6
     alike: float = 0.9
+    reach: float = 0.7
     seed: int = 5
 
 
@@ -75,8 +77,8 @@ def survival(settings: Settings = Settings(), similarity: float | None = None) -
 
 
 def runs_of(settings: Settings = Settings()) -> int:
-    """As many runs as the target recall needs."""
-    return math.ceil(-math.log(1 - settings.target) / survival(settings))
+    """As many runs as the target recall needs, for leaders in their followers' place too."""
+    return math.ceil(-math.log(1 - settings.target) / survival(settings, settings.reach))
 
 
 def recall(settings: Settings = Settings(), similarity: float = 0.8) -> float:
@@ -130,9 +132,19 @@ def _sketches(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def _fits(n: np.ndarray, m: np.ndarray, s: Settings) -> np.ndarray:
-    """Sizes that allow the threshold."""
-    return np.minimum(n, m) * s.denominator >= np.maximum(n, m) * s.numerator
+class _Rows:
+    """Entries, or leaders for their followers. radius: most sketch values that differ between a leader and a follower; low, high: sizes of both."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(table.column("entry").to_numpy(), kind="stable")
+        self.entry, self.radius, self.low, self.high = (table.column(c).to_numpy()[order] for c in ("entry", "radius", "low", "high"))
+        self.sketch, self.order = _sketches(table)[order], order
+
+    def near(self, i: np.ndarray | int, j: np.ndarray | int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+        """(whether some of what i and j stand for may be linked, equal sketch values). Differing values obey the triangle inequality: followers differ in no fewer than their leaders do, less both radii."""
+        equal = (self.sketch[i] == self.sketch[j]).sum(-1)
+        fits = (self.high[j] * s.denominator >= self.low[i] * s.numerator) & (self.high[i] * s.denominator >= self.low[j] * s.numerator)
+        return fits & (equal + self.radius[i] + self.radius[j] >= s.plausible * SKETCH), equal
 
 
 class _Forest:
@@ -169,8 +181,10 @@ def _links(entry: np.ndarray, forest: _Forest) -> pa.RecordBatch:
 def _brute(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Plausible links inside small buckets; rows come sorted by bucket and entry."""
     for table in whole_groups(batches, 1):
-        bucket, entry, n, sk = table.column("bucket").to_numpy(), table.column("entry").to_numpy(), table.column("n").to_numpy(), _sketches(table)
-        forest, gap = _Forest(len(bucket)), 1
+        rows = _Rows(table)
+        bucket = table.column("bucket").to_numpy()[rows.order]
+        order = np.lexsort((rows.entry, bucket))
+        forest, gap, bucket = _Forest(len(bucket)), 1, bucket[order]
         here = np.arange(len(bucket))
         while True:
             here = here[here + gap < len(bucket)]
@@ -179,53 +193,45 @@ def _brute(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
                 break
             for at in range(0, len(here), 65_536):
                 some = here[at : at + 65_536]
-                some = some[_fits(n[some], n[some + gap], s)]
-                near = some[(sk[some] == sk[some + gap]).sum(1) >= s.plausible * SKETCH]
+                near = some[rows.near(order[some], order[some + gap], s)[0]]
                 forest.join(near, near + gap)
             gap += 1
-        yield _links(entry, forest)
+        yield _links(rows.entry[order], forest)
 
 
 def _lead(table: pa.Table, s: Settings) -> pa.Table:
-    """Links of a block (b set), and its leaders (sketch set): each leader meets all rows; what is very like a leader and of a fitting size follows it and never leads.
-
-    radius: most sketch values that differ between a leader and its followers. low, high: their sizes.
-    """
-    order = np.argsort(table.column("entry").to_numpy(), kind="stable")
-    entry, n, sk = table.column("entry").to_numpy()[order], table.column("n").to_numpy()[order], _sketches(table)[order]
-    forest, open_rows, leaders = _Forest(len(entry)), np.ones(len(entry), bool), []
-    for i in range(len(entry)):
+    """Links of a block (b set), and its leaders (sketch set): each leader meets all rows; what is very like a leader and of a fitting size follows it and never leads."""
+    rows = _Rows(table)
+    everything = np.arange(len(rows.entry))
+    forest, open_rows, leaders = _Forest(len(everything)), np.ones(len(everything), bool), []
+    for i in range(len(everything)):
         if not open_rows[i]:
             continue
-        equal, fits = (sk == sk[i]).sum(1), _fits(n, n[i], s)
-        near = np.flatnonzero((equal >= s.plausible * SKETCH) & fits)
+        possible, equal = rows.near(everything, i, s)
+        near = np.flatnonzero(possible)
         forest.join(near, np.full(len(near), i))
-        own = open_rows & fits & (equal >= s.alike * SKETCH)
+        own = open_rows & possible & (equal >= s.alike * SKETCH)
+        own[i] = True
         open_rows[own] = False
-        leaders.append((i, SKETCH - equal[own].min(), n[own].min(), n[own].max()))
-    links = _links(entry, forest)
+        leaders.append((i, (SKETCH - equal[own] + rows.radius[own]).max(), rows.low[own].min(), rows.high[own].max()))
+    links = _links(rows.entry, forest)
     row, radius, low, high = (np.array(x, np.int64) for x in zip(*leaders, strict=True))
     k, m = links.num_rows, len(row)
     bucket = pa.array([table.column("bucket")[0].as_py()] * (k + m), pa.int64())
     numbers = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (radius, low, high)]
-    sketches = pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array([x.tobytes() for x in sk[row]], pa.binary())])
-    return pa.table([bucket, pa.concat_arrays([links.column(0), pa.array(entry[row])]), pa.concat_arrays([links.column(1), pa.nulls(m, pa.int64())]), *numbers, sketches], ["bucket", "a", "b", "radius", "low", "high", "sketch"])
+    sketches = pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array([x.tobytes() for x in rows.sketch[row]], pa.binary())])
+    return pa.table([bucket, pa.concat_arrays([links.column(0), pa.array(rows.entry[row])]), pa.concat_arrays([links.column(1), pa.nulls(m, pa.int64())]), *numbers, sketches], ["bucket", "a", "b", "radius", "low", "high", "sketch"])
 
 
 def _leaders_meet(table: pa.Table, s: Settings) -> pa.Table:
     """Links between the leaders of two blocks (or of one, if first and second are the same) whose followers may be plausible links of fitting sizes."""
-    order = np.argsort(table.column("entry").to_numpy(), kind="stable")
-    entry, radius, low, high, block = (table.column(c).to_numpy()[order] for c in ("entry", "radius", "low", "high", "block"))
-    sk, forest = _sketches(table)[order], _Forest(len(entry))
-    rows, columns = np.flatnonzero(block == table.column("first")[0].as_py()), np.flatnonzero(block == table.column("second")[0].as_py())
-    other = sk[columns]
-    for i in rows.tolist():
-        # Differing values obey the triangle inequality: two followers differ in no fewer than their leaders do, less both radii.
-        possible = (other == sk[i]).sum(1) + radius[columns] + radius[i] >= s.plausible * SKETCH
-        possible &= (high[columns] * s.denominator >= low[i] * s.numerator) & (high[i] * s.denominator >= low[columns] * s.numerator)
-        near = columns[possible]
+    rows = _Rows(table)
+    block, forest = table.column("block").to_numpy()[rows.order], _Forest(len(rows.entry))
+    columns = np.flatnonzero(block == table.column("second")[0].as_py())
+    for i in np.flatnonzero(block == table.column("first")[0].as_py()).tolist():
+        near = columns[rows.near(columns, i, s)[0]]
         forest.join(near, np.full(len(near), i))
-    return pa.Table.from_batches([_links(entry, forest)])
+    return pa.Table.from_batches([_links(rows.entry, forest)])
 
 
 def _block_pairs(block: str, blocks: str) -> Column:
@@ -242,19 +248,40 @@ def _with_large(rows: DataFrame, large: DataFrame) -> DataFrame:
     return salted.join(each, ["bucket", "salt"], "left").drop("salt")
 
 
+_LED = "bucket bigint, a bigint, b bigint, radius bigint, low bigint, high bigint, sketch binary"
+_STAND = ("entry", "n", "radius", "low", "high", "sketch")
+
+
+def _led(rows: DataFrame, s: Settings) -> DataFrame:
+    """_lead() of rows (bucket, members, entry, radius, low, high, sketch) in blocks of about s.block, written once."""
+    blocked = rows.select("bucket", *_STAND, F.pmod(F.xxhash64("entry"), F.ceil(F.col("members") / s.block)).alias("part"))
+    return kept(blocked.groupBy("bucket", "part").applyInArrow(lambda t: _lead(t.drop_columns(["part"]), s), _LED))
+
+
+def _followers_left(entries: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(what stands for all entries, with their paths and samples; links). Of entries that share their first path with more than s.small others, followers leave: their leaders stand for them from now on."""
+    alone = entries.select("entry", "n", F.lit(0).cast("bigint").alias("radius"), F.col("n").alias("low"), F.col("n").alias("high"), "sketch", F.array_min("paths").alias("bucket")).where("bucket is not null")
+    large = kept(alone.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > s.small))
+    crowded = kept(_with_large(alone, large).where("members is not null"))
+    led = _led(crowded, s)
+    leaders = led.where("sketch is not null").select(F.col("a").alias("entry"), "radius", "low", "high")
+    gone = crowded.select("entry").join(leaders.select("entry"), "entry", "left_anti")
+    left = entries.join(gone, "entry", "left_anti").join(leaders, "entry", "left")
+    return kept(left.select("entry", "n", F.coalesce("radius", F.lit(0)).alias("radius"), F.coalesce("low", "n").alias("low"), F.coalesce("high", "n").alias("high"), "sketch", "paths", "sample")), led.where("b is not null").select("a", "b")
+
+
 def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
     """a, b: links between entries (entry, n, sketch, paths, sample) that may reach the threshold; a spanning forest of each bucket's, not all pairs."""
-    s, found = settings, None
-    entries = kept(entries.select("entry", "n", "sketch", "paths", "sample"))
-    rows, last = entries.select("entry", "n", "sketch", "sample", F.explode("paths").alias("bucket")), None
+    s = settings
+    entries, found = _followers_left(kept(entries.select("entry", "n", "sketch", "paths", "sample")), s)
+    rows, last = entries.select(*_STAND, "sample", F.explode("paths").alias("bucket")), None
     for level in range(s.depth + 1):
         large = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > s.small))
         both = _with_large(rows, large)
         # No bucket of these has more than ``small`` rows.
-        parts = both.where("members is null").select("bucket", "entry", "n", "sketch").repartition("bucket").withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+        parts = both.where("members is null").select("bucket", *_STAND).repartition("bucket").withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
         parts = parts.where("here > 1").drop("here").sortWithinPartitions("bucket", "entry")
-        links = kept(parts.mapInArrow(lambda it: _brute(it, s), "a bigint, b bigint").distinct())
-        found = links if found is None else found.union(links)
+        found = found.union(kept(parts.mapInArrow(lambda it: _brute(it, s), "a bigint, b bigint").distinct()))
         both = both.where("members is not null")
         if level == s.depth:
             break
@@ -265,12 +292,10 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
         else:
             place = F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(SKETCH)).cast("int")
             step = F.substring(F.hex("sketch"), 2 * place + 1, F.lit(2))
-        done, last = last, kept(both.select("entry", "n", "sketch", "bucket", step.alias("step")).select("entry", "n", "sketch", F.xxhash64("bucket", F.lit(level), "step").alias("bucket")))
+        done, last = last, kept(both.select(*_STAND, "bucket", step.alias("step")).select(*_STAND, F.xxhash64("bucket", F.lit(level), "step").alias("bucket")))
         rows = last
         let_go(*(x for x in (done, large) if x is not None))
-    blocks = F.ceil(F.col("members") / s.block)
-    blocked = both.select("bucket", "entry", "n", "sketch", F.pmod(F.xxhash64("entry"), blocks).alias("part"))
-    led = kept(blocked.groupBy("bucket", "part").applyInArrow(lambda t: _lead(t.drop_columns(["part"]), s), "bucket bigint, a bigint, b bigint, radius bigint, low bigint, high bigint, sketch binary"))
+    led = _led(both, s)
     leaders = led.where("sketch is not null").select("bucket", F.col("a").alias("entry"), "radius", "low", "high", "sketch")
     blocks = leaders.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("blocks"))
     leaders = leaders.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks"))).withColumn("pair", F.explode(_block_pairs("block", "blocks")))
