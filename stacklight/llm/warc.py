@@ -15,8 +15,8 @@ which ends at each member; the record header gives the block's length; the paylo
 digested as it passes and checked against the header.
 
 Defined results: a null payload is an empty payload; a null url is written as
-"urn:none"; rows that repeat a page_id are written each, and equal ones revisit
-the first; a null page_id is written too and ranks after every other id; control
+"urn:none"; rows that repeat a page_id are written each, and of equal payloads all rows of the
+smallest page_id are responses, the rest revisit one of them; a null page_id is written too and ranks after every other id; control
 characters in a url are percent-encoded; other columns are ignored. A damaged record raises.
 """
 
