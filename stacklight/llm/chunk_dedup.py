@@ -1,11 +1,12 @@
 """Exact deduplication by content-defined chunk recipes.
 
 Each text is normalised (A-Z lower-cased) and cut into chunks at places that its own bytes
-choose. The chunk store keeps every distinct chunk once: its identifier is the first half of
-its SHA-256, and the bytes that come under one identifier are compared, so equal identifiers
-are known to mean equal bytes. Bytes move once for each task that meets a chunk, as chunks, never
-as documents. A document's recipe is the ordered list of its identifiers. Texts are equal
-exactly when their recipes are, and only these lists are shuffled and compared.
+choose. Its identifier is the first half of a chunk's SHA-256. Identifiers are verified: within a
+task the bytes under one identifier are compared, and between tasks a second digest of another
+kind (BLAKE2b, 256 bits) and the lengths, so that no text is moved to be verified. A document's
+recipe is the ordered list of its identifiers. Texts are equal exactly when their recipes are,
+and only identifiers and these lists are shuffled and compared. The chunk store keeps every
+distinct chunk once, with its bytes on request; these are then compared between tasks, too.
 
 Defined results: a null text is an empty text; all empty texts are equal; a null doc_id
 ranks below every other id; rows that repeat a doc_id are one document and get the same
@@ -28,11 +29,11 @@ from stacklight.llm.common import byte_column, in_slices, kept, utf8
 #: Cut where the hash of the last WINDOW bytes has MASK_BITS zero bits; chunks have MIN_CHUNK to MAX_CHUNK bytes (but for a text's last).
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 128, 65_536
 #: Bytes of an identifier, and bytes of chunks that a task remembers, so that it need not send them again.
-ID_BYTES, REMEMBERED = 16, 16 << 20
+ID_BYTES, CHECK_BYTES, REMEMBERED = 16, 32, 16 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RECIPES = "doc_id bigint, n_bytes bigint, text_sha256 string, n_chunks bigint, recipe array<binary>"
-_CHUNKS = "chunk_id binary, n_bytes bigint, n_uses bigint, first_doc_id bigint, content binary"
+_CHUNKS = "chunk_id binary, check binary, n_bytes bigint, n_uses bigint, first_doc_id bigint, content binary"
 
 
 def cut_hashes(data: np.ndarray) -> np.ndarray:
@@ -85,8 +86,8 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), n_chunks, pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "text_sha256", "n_chunks", "recipe"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each slice's distinct chunks with their uses; bytes only where the task hasn't sent them of late. Bytes that it remembers are compared."""
+def _chunks(batches: Iterator[pa.RecordBatch], contents: bool = True) -> Iterator[pa.RecordBatch]:
+    """Each slice's distinct chunks with their uses and second digests; bytes only if asked for, and where the task hasn't sent them of late. Bytes that it remembers are compared."""
     sent: dict[bytes, bytes] = {}
     held = 0
     for batch in in_slices(batches, 1):
@@ -111,13 +112,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += len(content)
             elif known != content:
                 raise ValueError(f"identifier {name.hex()} stands for two chunks")
-            out.append((name, len(content), n, first, content if known is None else None))
+            check = hashlib.blake2b(content, digest_size=CHECK_BYTES).digest()
+            out.append((name, check, len(content), n, first, content if contents and known is None else None))
         if held > REMEMBERED:
             sent.clear()
             held = 0
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk_id", "n_bytes", "n_uses", "first_doc_id", "content"])
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk_id", "check", "n_bytes", "n_uses", "first_doc_id", "content"])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,11 +131,14 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _rows(docs, id_col, text_col).mapInArrow(_recipes, _RECIPES)
 
 
-def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every distinct chunk once: chunk_id, n_bytes, n_uses, first_doc_id, content, verified (all bytes under the identifier are equal)."""
-    each = _rows(docs, id_col, text_col).mapInArrow(_chunks, _CHUNKS)
-    same = (F.min("content") == F.max("content")) & (F.min("n_bytes") == F.max("n_bytes"))
-    return each.groupBy("chunk_id").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_uses").alias("n_uses"), F.min("first_doc_id").alias("first_doc_id"), F.min("content").alias("content"), same.alias("verified"))
+def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contents: bool = True) -> DataFrame:
+    """Every distinct chunk once: chunk_id, n_bytes, n_uses, first_doc_id, verified (all second digests and lengths under the identifier are equal); with `contents` also content, whose bytes are compared as well."""
+    each = _rows(docs, id_col, text_col).mapInArrow(lambda it: _chunks(it, contents), _CHUNKS)
+    one = lambda c: F.min(c) == F.max(c)
+    figures = [F.max("n_bytes").alias("n_bytes"), F.sum("n_uses").alias("n_uses"), F.min("first_doc_id").alias("first_doc_id")]
+    if not contents:
+        return each.groupBy("chunk_id").agg(*figures, (one("check") & one("n_bytes")).alias("verified"))
+    return each.groupBy("chunk_id").agg(*figures, F.min("content").alias("content"), (one("check") & one("n_bytes") & one("content")).alias("verified"))
 
 
 def verify(store: DataFrame) -> int:
@@ -152,7 +157,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row per task. The groups come back to their rows in a join on list and chunk count; both
     sides are shuffled for it, and so adaptive execution may split a skewed recipe.
     """
-    verify(chunk_store(docs, id_col, text_col))
+    verify(chunk_store(docs, id_col, text_col, contents=False))
     own = kept(recipes(docs, id_col, text_col))
     groups = own.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("n_chunks").alias("n_chunks"))
     groups = groups.where("group_size > 1")

@@ -70,6 +70,14 @@ def test_chunk_store(spark):
     assert {bytes(r["content"]) for r in store.collect()} == {b"x" * 100, b"y"} and chunk_dedup.verify(store) == 2
 
 
+def test_chunks_are_verified_without_moving_them(spark):
+    rows = [(i, "x" * 100 + "yz" * (i % 3), "en", "a") for i in range(40)]
+    store = chunk_dedup.chunk_store(docs_frame(spark, rows), contents=False)
+    assert "content" not in store.columns and all(r["verified"] for r in store.collect())
+    full = chunk_dedup.chunk_store(docs_frame(spark, rows)).drop("content")
+    assert sorted(map(tuple, store.select(full.columns).collect())) == sorted(map(tuple, full.collect()))
+
+
 def test_an_identifier_of_two_chunks_raises(spark, monkeypatch):
     rows = [(i, f"text number {i}", "en", "a") for i in range(20)]
     store = chunk_dedup.chunk_store(docs_frame(spark, rows))
