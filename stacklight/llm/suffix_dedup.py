@@ -21,7 +21,9 @@ them are alone; so the sort is dealt out by anchors, without losing a match:
 
 Documents are dealt into parts of bounded bytes by a hash of row and input split, once; every
 stage reads that same exchange, so neither rows without an id nor repeated ones share a part
-for it. Counts, contexts and intervals are packed into binary columns, a row for each part and
+for it. A task takes the parts or buckets of its partition one after another, so that memory is
+that of one part, while partitions are those of 128 MB of text and never more than some ten
+thousands, however large the corpus is. Counts, contexts and intervals are packed into binary columns, a row for each part and
 bucket that have any: a part sends at most a row for each anchor, however many buckets there
 are, and rows grow with the input.
 
@@ -44,6 +46,8 @@ from stacklight.llm.common import binary_array, byte_column, utf8
 LENGTH, K = 50, 24
 #: Bytes of text for each part, the fewest parts, and the most buckets (their numbers come from 24 bits of a hash).
 PART_BYTES, LEAST_PARTS, MOST_BUCKETS = 8 << 20, 64, 1 << 22
+#: Bytes of text for each partition of an exchange, and the most partitions.
+PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 32_768
 #: Anchors above so many occurrences send windows.
 HOT = 4096
 #: At most about so many bytes are suffix-sorted at once (groups of one anchor stay together).
@@ -490,16 +494,21 @@ def part_count(docs: DataFrame, text_col: str = "text") -> int:
     return max(LEAST_PARTS, -(-size // PART_BYTES))
 
 
+def partition_count(parts: int) -> int:
+    """Partitions that parts or buckets go to: one each up to LEAST_PARTS, then as many as their bytes need."""
+    return max(min(parts, LEAST_PARTS), min(MOST_PARTITIONS, -(-parts * PART_BYTES // PARTITION_BYTES)))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document; with `texts` also the kept bytes."""
     count = parts or part_count(docs, text_col)
     buckets = min(count, MOST_BUCKETS)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
     part = F.pmod(F.xxhash64("doc_id", "body", F.spark_partition_id()), F.lit(count)).cast("bigint")
-    # Exchanges have a partition for each part or bucket, so that no task grows with the input.
-    dealt = own.select(part.alias("part"), "doc_id", "body").repartition(count, "part")
+    part_width, bucket_width = partition_count(count), partition_count(buckets)
+    dealt = own.select(part.alias("part"), "doc_id", "body").repartition(part_width, "part")
     asked = dealt.groupBy("part").applyInArrow(lambda t: _ask(t, buckets), "bucket bigint, part bigint, hashes binary, counts binary")
-    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, "part bigint, bucket bigint, flags binary")
-    cut = dealt.groupBy("part").cogroup(answers.repartition(count, "part").groupBy("part")).applyInArrow(lambda t, a: _contexts(t, a, buckets), "bucket bigint, part bigint, body binary, doc_id binary, doc binary, start binary, lo binary, hi binary, spans binary")
-    spans = cut.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort, "part bigint, spans binary")
-    return dealt.groupBy("part").cogroup(spans.repartition(count, "part").groupBy("part")).applyInArrow(lambda t, s: _remove(t, s, texts), _SCHEMA + ", kept binary" * texts)
+    answers = asked.repartition(bucket_width, "bucket").groupBy("bucket").applyInArrow(_answer, "part bigint, bucket bigint, flags binary")
+    cut = dealt.groupBy("part").cogroup(answers.repartition(part_width, "part").groupBy("part")).applyInArrow(lambda t, a: _contexts(t, a, buckets), "bucket bigint, part bigint, body binary, doc_id binary, doc binary, start binary, lo binary, hi binary, spans binary")
+    spans = cut.repartition(bucket_width, "bucket").groupBy("bucket").applyInArrow(_sort, "part bigint, spans binary")
+    return dealt.groupBy("part").cogroup(spans.repartition(part_width, "part").groupBy("part")).applyInArrow(lambda t, s: _remove(t, s, texts), _SCHEMA + ", kept binary" * texts)

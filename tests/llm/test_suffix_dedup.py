@@ -79,6 +79,22 @@ def test_nulls_repeats_and_long_texts(spark):
     assert got == sorted([(1, 0, 0), (2, 0, 0), (3, n, 0), (3, n, 0), (None, n, n), (9, n * 3000, n * 3000), (10, 5, 0)], key=str)
 
 
+def test_partitions_stay_few():
+    assert S.partition_count(5) == 5 and S.partition_count(S.LEAST_PARTS) == S.LEAST_PARTS
+    assert S.partition_count((1 << 40) // S.PART_BYTES) < 10_000
+    assert S.partition_count(10**9) == S.MOST_PARTITIONS
+
+
+def test_parts_share_partitions(spark, monkeypatch):
+    """Many parts in each partition, walked one after another: as by brute force."""
+    monkeypatch.setattr(S, "LEAST_PARTS", 2)
+    docs = made(4)
+    rows = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA)
+    out = S.remove_repeats(rows, parts=11)
+    assert out.rdd.getNumPartitions() == 2
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute([(i, t.encode()) for i, t in docs])
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA), parts=2).collect() == []
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
