@@ -9,10 +9,11 @@ double precision.
 Hashes and probes follow from the number of vectors and a recall target by one rule, with no
 switch (``fit``). Vectors whose directions are spread evenly are the hardest to search: their
 nearest neighbours are the farthest away. For them the cosine of the first to k-th neighbour
-follows from the number of vectors and dimensions; pairs of those cosines are drawn and
-hashed, and as many buckets are probed as the target's share of them needs. Data that has
-closer neighbours is found more often. Hashes are added so that a bucket holds at most about
-``bucket_rows`` of such vectors; two at least.
+follows from the number of vectors and dimensions. About ``sample`` vectors, chosen by their digests,
+show how near neighbours are in the data: among fewer vectors neighbours are farther away, so
+both are bounds from below, and the greater counts, quantile by quantile. Pairs of those cosines are
+drawn and hashed, and as many buckets are probed as the target's share of them needs. Hashes are
+added so that a bucket holds at most about ``bucket_rows`` of evenly spread vectors; two at least.
 
 Identical vectors are one entry that keeps its smallest ids, as many as a result can need,
 so copies cost nothing and lose nothing. Buckets with one first axis are a cell; a query goes
@@ -46,7 +47,7 @@ from stacklight.llm.common import each_group, kept
 
 @dataclass(frozen=True)
 class Settings:
-    """recall: the target. least: vectors that a query should meet. hashes, probes: set them to overrule the rule. pairs: drawn to find it."""
+    """recall: the target. least: vectors that a query should meet. hashes, probes: set them to overrule the rule. pairs: drawn to find it. sample: vectors (about) that show how near neighbours are; all vectors are indexed."""
 
     tables: int = 20
     recall: float = 0.94
@@ -58,6 +59,7 @@ class Settings:
     block: int = 1024
     query_block: int = 512
     pairs: int = 1000
+    sample: int = 4096
     seed: int = 11
 
 
@@ -150,9 +152,20 @@ def neighbour_cosines(count: int, dims: int, ranks: np.ndarray, rng: np.random.G
     return c[len(c) - np.searchsorted(above[::-1], wanted) - 1]
 
 
+def sampled_cosines(x: np.ndarray, k: int, most: int) -> tuple[float, ...]:
+    """`most` quantiles, rising, of the cosines of up to `most` unit vectors with their first k neighbours among all given; none if there are fewer than k others."""
+    if len(x) <= k:
+        return ()
+    asked = np.arange(min(len(x), most))
+    c = x[asked] @ x.T
+    c[asked, asked] = -2
+    best = np.clip(np.partition(c, -k, axis=1)[:, -k:], -1, 1)
+    return tuple(np.quantile(best, (np.arange(most) + 0.5) / most).tolist())
+
+
 @lru_cache(maxsize=256)
-def fit(count: int, dims: int, k: int, s: Settings) -> tuple[int, int]:
-    """(hashes, probes) for `count` vectors of a length: as many probes as the pairs' share ``recall`` needs in the best of all tables."""
+def fit(count: int, dims: int, k: int, s: Settings, seen: tuple[float, ...] = ()) -> tuple[int, int]:
+    """(hashes, probes) for `count` vectors of a length: as many probes as the pairs' share ``recall`` needs in the best of all tables. seen: rising cosines of ``pairs`` neighbours in a sample."""
     axes = 2 * padded(dims)
     hashes = s.hashes or max(2, math.ceil(math.log(max(1, count / s.bucket_rows), axes)))
     whole = axes**hashes
@@ -163,7 +176,8 @@ def fit(count: int, dims: int, k: int, s: Settings) -> tuple[int, int]:
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     other -= (other * q).sum(1, keepdims=True) * q
     other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
-    cosine = neighbour_cosines(count, dims, np.resize(np.arange(1, k + 1), s.pairs), rng)[:, None]
+    cosine = neighbour_cosines(count, dims, np.resize(np.arange(1, k + 1), s.pairs), rng)
+    cosine = (np.maximum(np.sort(cosine), seen) if seen else cosine)[:, None]
     near = cosine * q + np.sqrt(np.maximum(0, 1 - cosine**2)) * other
     rank = np.full(s.pairs, whole, np.int64)
     rows = np.arange(s.pairs)
@@ -352,6 +366,13 @@ def _best_met(rows: DataFrame, queries: DataFrame, s: Settings, fits: dict[int,
     return once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))).where(F.col("n") <= keep)
 
 
+def _seen(packed: DataFrame, total: int, dtype: str, k: int, s: Settings) -> dict[int, tuple[float, ...]]:
+    """Cosines of neighbours in the sample, by vector length: entries whose digest is small, at most twice ``sample`` of them."""
+    least = min(2**64 - 1, int(2**64 * s.sample / max(1, total))).to_bytes(8, "big")
+    chosen = packed.where(F.col("key") <= F.lit(least)).select("body").limit(2 * s.sample).toArrow()
+    return {x.shape[1]: sampled_cosines(x, k, s.pairs) for _, x in _matrix(chosen.column("body"), dtype)}
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each row that satisfies is_query."""
     s, keep = settings, k + 1
@@ -366,10 +387,11 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     entries = first.groupBy("key").agg(F.any_value("vec").alias("vec"), F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
     entries = entries.join(asking, "key").withColumn("entry", F.monotonically_increasing_id())
     packed = kept(entries.select("entry", "key", "ids", "asks", "vec").mapInArrow(lambda it: _pack(it, dtype), "entry bigint, key binary, ids array<bigint>, asks boolean, body binary"))
-    # A count for each vector length; nothing else of the data comes to the driver.
+    # A count for each vector length, and the sample; nothing else of the data comes to the driver.
     wide = 4 if kind == "float" else 8
     counts = {r["dims"]: r["n"] for r in packed.groupBy((F.length("body") / wide).cast("int").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    fits = {dims: fit(n, dims, k, s) for dims, n in counts.items()}
+    seen = {} if s.probes else _seen(packed, sum(counts.values()), dtype, k, s)
+    fits = {dims: fit(n, dims, k, s, seen.get(dims, ())) for dims, n in counts.items()}
     own = packed.select("entry", F.col("ids")[0].alias("first_id"), "body", "asks", F.size("ids").alias("copies"))
     best = kept(_best_met(own.select("entry", "first_id", "body"), own.where("asks").select("entry", "first_id", "body"), s, fits, dtype, keep))
     # A query that met fewer than it can have, as where all others are far off, meets every row: one table of one hash, whose buckets it probes all.

@@ -112,6 +112,47 @@ def test_ann_rule_keeps_recall_with_few_candidates(count, most):
     assert hit.mean() >= 0.9 and met.mean() < most
 
 
+@pytest.mark.parametrize("dims", [64, 256, 768])
+def test_ann_fits_to_the_cosines_of_a_sample(dims):
+    """Vectors in clusters need few probes at any length, where evenly spread ones need very many; recall and share of candidates by brute force."""
+    s, rng, count = ann.Settings(), np.random.default_rng(7), 20_000
+    x = rng.standard_normal((400, dims))[np.arange(count) % 400] + 0.6 * rng.standard_normal((count, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen = ann.sampled_cosines(x[: s.sample], 5, s.pairs)
+    assert len(seen) == s.pairs and list(seen) == sorted(seen)
+    hashes, probes = ann.fit(count, dims, 5, s, seen)
+    assert probes < ann.fit(count, dims, 5, s)[1]
+    q, some = x[:100], x[-2000:]
+    score = q @ x.T
+    score[np.arange(100), np.arange(100)] = -2
+    near = x[np.argpartition(-score, 5, axis=1)[:, :5]]
+    hit, met = np.zeros((100, 5), bool), np.zeros((100, len(some)), bool)
+    for t in range(s.tables):
+        own, others = ann.own_bucket(near.reshape(-1, dims), t, hashes, s.seed).reshape(100, 5), ann.own_bucket(some, t, hashes, s.seed)
+        for i, probed in enumerate(ann.probed_buckets(q, t, hashes, probes, s.seed)):
+            hit[i] |= np.isin(own[i], probed)
+            met[i] |= np.isin(others, probed)
+    assert hit.mean() >= 0.9 and met.mean() < 0.1
+
+
+def test_ann_sample_of_few_vectors():
+    assert ann.sampled_cosines(np.eye(5), 5, 10) == ()
+    assert ann.sampled_cosines(np.eye(6), 5, 4) == (0.0,) * 4
+
+
+@pytest.mark.parametrize("dims", [8, 96])
+def test_ann_of_few_vectors_that_are_far_off(spark, dims):
+    """2 to 20 vectors, all opposite to the query: all of them come back, as by brute force."""
+    for n in (2, 5, 20):
+        x = np.random.default_rng(n).standard_normal((n, dims)) * 0.1
+        x[:, 0] = -1
+        x[0] = np.eye(dims)[0]
+        rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+        got = [r["vec_id"] for r in ann.search(rows, F.col("vec_id") == 0).orderBy("rank").collect()]
+        cosine = x @ x[0] / np.linalg.norm(x, axis=1)
+        assert got == sorted(range(1, n), key=lambda i: (-cosine[i], i))[:5]
+
+
 def test_ann_probes_are_the_best_buckets():
     x = np.random.default_rng(6).standard_normal((4, 8))
     for hashes, probes in ((1, 5), (2, 40), (3, 100), (2, 1 << 30)):
