@@ -22,8 +22,8 @@ them are alone; so the sort is dealt out by anchors, without losing a match:
 Documents are dealt into parts of bounded bytes by a hash of row and input split, once; every
 stage reads that same exchange, so neither rows without an id nor repeated ones share a part
 for it. A task takes the parts or buckets of its partition one after another, so that memory is
-that of one part, while partitions are those of 128 MB of text and never more than some ten
-thousands, however large the corpus is. Counts, contexts and intervals are packed into binary columns, a row for each part and
+that of one part, while partitions are some thousands, then those of 128 MB of text, and at most
+some ten thousands, however large the corpus is. Counts, contexts and intervals are packed into binary columns, a row for each part and
 bucket that have any: a part sends at most a row for each anchor, however many buckets there
 are, and rows grow with the input.
 
@@ -46,8 +46,8 @@ from stacklight.llm.common import binary_array, byte_column, utf8
 LENGTH, K = 50, 24
 #: Bytes of text for each part, the fewest parts, and the most buckets (their numbers come from 24 bits of a hash).
 PART_BYTES, LEAST_PARTS, MOST_BUCKETS = 8 << 20, 64, 1 << 22
-#: Bytes of text for each partition of an exchange, and the most partitions.
-PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 32_768
+#: Partitions of an exchange up to which each part has its own, bytes of text for each beyond that, and the most partitions.
+OWN_PARTITIONS, PARTITION_BYTES, MOST_PARTITIONS = 2048, 128 << 20, 32_768
 #: Anchors above so many occurrences send windows.
 HOT = 4096
 #: At most about so many bytes are suffix-sorted at once (groups of one anchor stay together).
@@ -495,8 +495,8 @@ def part_count(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def partition_count(parts: int) -> int:
-    """Partitions that parts or buckets go to: one each up to LEAST_PARTS, then as many as their bytes need."""
-    return max(min(parts, LEAST_PARTS), min(MOST_PARTITIONS, -(-parts * PART_BYTES // PARTITION_BYTES)))
+    """Partitions that parts or buckets go to: one each up to OWN_PARTITIONS, then as many as their bytes need."""
+    return max(min(parts, OWN_PARTITIONS), min(MOST_PARTITIONS, -(-parts * PART_BYTES // PARTITION_BYTES)))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, texts: bool = False) -> DataFrame:

@@ -80,14 +80,14 @@ def test_nulls_repeats_and_long_texts(spark):
 
 
 def test_partitions_stay_few():
-    assert S.partition_count(5) == 5 and S.partition_count(S.LEAST_PARTS) == S.LEAST_PARTS
+    assert S.partition_count(5) == 5 and S.partition_count(S.OWN_PARTITIONS) == S.OWN_PARTITIONS
     assert S.partition_count((1 << 40) // S.PART_BYTES) < 10_000
     assert S.partition_count(10**9) == S.MOST_PARTITIONS
 
 
 def test_parts_share_partitions(spark, monkeypatch):
     """Many parts in each partition, walked one after another: as by brute force."""
-    monkeypatch.setattr(S, "LEAST_PARTS", 2)
+    monkeypatch.setattr(S, "OWN_PARTITIONS", 2)
     docs = made(4)
     rows = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA)
     out = S.remove_repeats(rows, parts=11)
