@@ -214,6 +214,38 @@ def test_toxicity_of_repeated_ids(spark):
     assert np.array_equal(one.table, twice.table) and one.thresholds == twice.thresholds
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    bad, good = "you are a loser and an idiot", "what a fine day it is"
+    rows = [(i, f"{bad if i % 3 == 0 else good} number {i % 7}", "en", "a") for i in range(1, 9_001)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id bigint, toxic int")
+    seen, begun, calibrate = {}, toxicity._begun, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "_begun", lambda s, counts, toxic, n, pos: seen.update(fit=n, pos=pos) or begun(s, counts, toxic, n, pos))
+    monkeypatch.setattr(toxicity, "calibrate", lambda scored: seen.update(tune=scored.count()) or calibrate(scored))
+    model = toxicity.train(docs_frame(spark, rows), labels, toxicity.Settings(epochs=1))
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, *_ in rows}
+    assert seen == {"fit": sum(f > 1 for f in fold.values()), "pos": sum(f > 1 and i % 3 == 0 for i, f in fold.items()), "tune": sum(f == 1 for f in fold.values())}
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.scores(docs_frame(spark, rows), model).collect()}
+    assert got == {i: i % 3 == 0 for i in got} and set(model.thresholds) == {"", "en"}
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    bad, good = "you are a loser and an idiot", "what a fine day it is"
+    rows = [(i, f"{(good + ' ') * 2_000}{bad if i % 3 == 0 else good} number {i % 7}", "en", "a") for i in range(1, 200)]
+    model = toxicity.train(docs_frame(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.scores(docs_frame(spark, [(1, bad, "en", "a"), (2, good, "en", "a")]), model).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_toxicity_of_many_blocks_does_not_depend_on_partitions(spark):
+    bad, good = "you are a loser and an idiot", "what a fine day it is"
+    rows = [(i, f"{bad if i % 3 == 0 else good} number {i % 7}", "en", "a") for i in range(1, 600)]
+    labels, s = spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id bigint, toxic int"), toxicity.Settings(block=50)
+    one, other = (toxicity.train(docs_frame(spark, rows).repartition(n), labels.repartition(n), s) for n in (1, 7))
+    assert np.array_equal(one.table, other.table) and np.array_equal(one.out, other.out) and one.out_bias == other.out_bias and one.thresholds == other.thresholds
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.scores(docs_frame(spark, rows), one).collect()}
+    assert got == {i: i % 3 == 0 for i in got}
+
+
 # --- HTML
 
 
