@@ -246,6 +246,25 @@ def test_toxicity_of_many_blocks_does_not_depend_on_partitions(spark):
     assert got == {i: i % 3 == 0 for i in got}
 
 
+def test_toxicity_thresholds_are_those_of_the_largest_f1(spark):
+    rng = np.random.default_rng(3)
+    n = 3_000
+    y = (rng.random(n) < 0.2).astype(int)
+    score = np.round(1 / (1 + np.exp(-(rng.standard_normal(n) * 2 + 3 * y - 3))), 3).clip(0.001, 0.999)
+    lang = rng.choice(["en", "de", "", "few", None], n, p=[0.5, 0.3, 0.1, 0.02, 0.08])
+    want = {}
+    for each in ("", "en", "de"):
+        own = np.array([each in ("", x) for x in lang])
+        points = sorted(set(score[own]), reverse=True)
+        f1 = [2 * y[own][score[own] >= p].sum() / ((score[own] >= p).sum() + y[own].sum()) for p in points]
+        best = int(np.argmax(f1))
+        want[each] = (points[best] + (points[best + 1] if best + 1 < len(points) else 0)) / 2
+    rows = spark.createDataFrame([(x, float(p), int(v)) for x, p, v in zip(lang, score, y, strict=True)], "lang string, score double, y bigint")
+    got = toxicity.calibrate(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert toxicity.calibrate(rows.limit(0)) == {}
+
+
 # --- HTML
 
 
