@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import in_slices, utf8
+from stacklight.llm.common import WORKER_CACHES, in_slices, mapped, utf8
 
 #: A worker remembers the ids of at most twice so many pre-tokens, in two generations.
 MEMORY = 150_000
@@ -204,6 +204,9 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+WORKER_CACHES.append(codec.cache_clear)
+
+
 class _Gather:
     """Concatenates table entries for arrays of ids."""
 
@@ -260,15 +263,15 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
-    return rows.mapInArrow(lambda it: _encoded(it, path, pattern), "doc_id bigint, ids array<int>")
+    return mapped(rows, lambda it: _encoded(it, path, pattern), "doc_id bigint, ids array<int>", caches=False)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, text, from the rows of encode()."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, path, pattern), "doc_id bigint, text string")
+    return mapped(encoded.select("doc_id", "ids"), lambda it: _decoded(it, path, pattern), "doc_id bigint, text string", caches=False)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes: digests of each text's ids and of the bytes they decode to."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("body"))
-    return rows.mapInArrow(lambda it: _digests(it, path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint")
+    return mapped(rows, lambda it: _digests(it, path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint", caches=False)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import byte_column, each_group, in_slices, joined_on_id, kept, let_go, utf8, whole_groups
+from stacklight.llm.common import byte_column, each_group, in_slices, joined_on_id, kept, let_go, mapped, utf8, whole_groups
 from stacklight.llm.components import components
 from stacklight.llm.shingles import mix, shingle_sets
 
@@ -123,7 +123,7 @@ def _signed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 def signatures(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, name (of the shingle set), n (its size), sketch, paths (the first buckets of all runs), sample (of its shingles)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.lower(F.col(text_col))).alias("body"))
-    return rows.mapInArrow(lambda it: _signed(it, settings), "doc_id bigint, name binary, n bigint, sketch binary, paths array<bigint>, sample array<int>")
+    return mapped(rows, lambda it: _signed(it, settings), "doc_id bigint, name binary, n bigint, sketch binary, paths array<bigint>, sample array<int>")
 
 
 def _sketches(table: pa.Table) -> np.ndarray:
@@ -253,7 +253,7 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
         # No bucket of these has more than ``small`` rows.
         parts = both.where("members is null").select("bucket", "entry", "n", "sketch").repartition("bucket").withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
         parts = parts.where("here > 1").drop("here").sortWithinPartitions("bucket", "entry")
-        links = kept(parts.mapInArrow(lambda it: _brute(it, s), "a bigint, b bigint").distinct())
+        links = kept(mapped(parts, lambda it: _brute(it, s), "a bigint, b bigint").distinct())
         found = links if found is None else found.union(links)
         both = both.where("members is not null")
         if level == s.depth:
@@ -349,11 +349,11 @@ def join(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     members = kept(linked.join(sizes, "component").join(groups.select(F.col("entry").alias("v"), "name", "weight"), "v").select(F.col("v").alias("doc_id"), "name", "component", "weight", F.ceil(F.col("members") / s.exact_block).alias("blocks")))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.lower(F.col(text_col))).alias("body"))
     texts = joined_on_id(texts, members, "doc_id", "left_semi")
-    sets = texts.select("body", "doc_id").mapInArrow(lambda it: _sets(it, s), "doc_id bigint, name binary, tokens binary")
+    sets = mapped(texts.select("body", "doc_id"), lambda it: _sets(it, s), "doc_id bigint, name binary, tokens binary")
     placed = sets.join(members, ["doc_id", "name"]).dropDuplicates(["doc_id"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     placed = placed.withColumn("pair", F.explode(_block_pairs("block", "blocks"))).select("component", "pair.low", "pair.high", F.col("doc_id").alias("entry"), "weight", "block", "tokens")
     placed = placed.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "entry")
-    compared = kept(placed.mapInArrow(lambda it: _compared(it, s), "entry bigint, links bigint, root bigint"))
+    compared = kept(mapped(placed, lambda it: _compared(it, s), "entry bigint, links bigint, root bigint"))
     links = compared.groupBy("entry").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("entry").alias("a"), F.col("root").alias("b")))
     results = groups.join(links, "entry", "left").join(classes.withColumnRenamed("v", "entry"), "entry", "left")

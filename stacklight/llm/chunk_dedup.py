@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import byte_column, in_slices, kept, utf8
+from stacklight.llm.common import byte_column, in_slices, kept, mapped, utf8
 
 #: Cut where the hash of the last WINDOW bytes has MASK_BITS zero bits; chunks have MIN_CHUNK to MAX_CHUNK bytes (but for a text's last).
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 128, 65_536
@@ -128,12 +128,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, text_sha256, n_chunks, recipe (the ordered chunk identifiers); one row per input row."""
-    return _rows(docs, id_col, text_col).mapInArrow(_recipes, _RECIPES)
+    return mapped(_rows(docs, id_col, text_col), _recipes, _RECIPES)
 
 
 def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contents: bool = True) -> DataFrame:
     """Every distinct chunk once: chunk_id, n_bytes, n_uses, first_doc_id, verified (all second digests and lengths under the identifier are equal); with `contents` also content, whose bytes are compared as well."""
-    each = _rows(docs, id_col, text_col).mapInArrow(lambda it: _chunks(it, contents), _CHUNKS)
+    each = mapped(_rows(docs, id_col, text_col), lambda it: _chunks(it, contents), _CHUNKS)
     one = lambda c: F.min(c) == F.max(c)
     figures = [F.max("n_bytes").alias("n_bytes"), F.sum("n_uses").alias("n_uses"), F.min("first_doc_id").alias("first_doc_id")]
     if not contents:
