@@ -3,7 +3,9 @@
 Equal shingle sets are one entry with a count, so copies are never paired. Every entry
 chooses, in each of several runs, the shingles whose hash for that run is below
 ``picks`` / set size; similar sets choose some of the same, whatever their sizes, and
-meet in those buckets. A bucket above ``small`` entries is split: of a sample of ``SAMPLE``
+meet in those buckets. In the large buckets of the first ``tying`` runs all entries first meet a few pivots, which tie most of a group of near
+copies together. After that a bucket of one tie is left alone, as its links would join nothing, and one with few entries beside
+one large tie is settled by comparing these with all of it. Any other bucket above ``small`` entries is split: of a sample of ``SAMPLE``
 shingles that each entry keeps, it goes on along every one whose hash with the bucket is below
 ``splits`` / ``SAMPLE``. What is still large is split again and again by one sampled shingle each time,
 the first of the set in an order that the bucket draws (a minhash): a path is a sequence of sampled
@@ -31,6 +33,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ from stacklight.llm.shingles import mix, shingle_sets
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold is numerator / denominator. plausible, alike: shares of equal sketch values that link two entries, and make one follow a leader."""
+    """threshold is numerator / denominator. tying: runs whose large buckets are tied by pivots first. aside: entries outside a bucket's one large tie that are compared with all of it, unsplit. plausible, alike: shares of equal sketch values that link two entries, and make one follow a leader."""
 
     size: int = 5
     numerator: int = 4
@@ -54,6 +57,9 @@ class Settings:
     splits: float = 1.5
     depth: int = 3
     small: int = 128
+    tying: int = 2
+    pivots: int = 32
+    aside: int = 512
     block: int = 1024
     exact_block: int = 512
     plausible: float = 0.6
@@ -102,7 +108,7 @@ def _signed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
     runs, none = runs_of(s), np.zeros(0, np.uint64)
     seeds = mix(np.arange(1, runs + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s.seed))
     for batch in in_slices(batches, 1):
-        names, sizes, sketches, paths, samples = [], [], [], [], []
+        names, sizes, sketches, paths, early, samples = [], [], [], [], [], []
         for tokens in shingle_sets(*byte_column(batch.column(1)), s.size):
             n = len(tokens)
             names.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
@@ -113,17 +119,18 @@ def _signed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
                 path = mix(tokens ^ seed)
                 own.append(mix(path[path < most] ^ seed))
             paths.append(np.concatenate(own) if own else none)
+            early.append(sum(map(len, own[: s.tying])))
             drawn = mix(tokens ^ seeds[-1])
             samples.append((drawn[drawn < _below(SAMPLE / max(n, 1))] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
         sampled = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, samples)]), pa.int32()), pa.array(np.concatenate(samples) if samples else np.zeros(0, np.int32)))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]), pa.int32()), pa.array(np.concatenate(paths).view(np.int64) if paths else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists, sampled], ["doc_id", "name", "n", "sketch", "paths", "sample"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists, pa.array(early, pa.int32()), sampled], ["doc_id", "name", "n", "sketch", "paths", "early", "sample"])
 
 
 def signatures(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, name (of the shingle set), n (its size), sketch, paths (the first buckets of all runs), sample (of its shingles)."""
+    """doc_id, name (of the shingle set), n (its size), sketch, paths (the first buckets of all runs), early (how many of them, the leading ones, are of the first ``tying`` runs), sample (of its shingles)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.lower(F.col(text_col))).alias("body"))
-    return mapped(rows, lambda it: _signed(it, settings), "doc_id bigint, name binary, n bigint, sketch binary, paths array<bigint>, sample array<int>")
+    return mapped(rows, lambda it: _signed(it, settings), "doc_id bigint, name binary, n bigint, sketch binary, paths array<bigint>, early int, sample array<int>")
 
 
 def _sketches(table: pa.Table) -> np.ndarray:
@@ -242,20 +249,59 @@ def _with_large(rows: DataFrame, large: DataFrame) -> DataFrame:
     return salted.join(each, ["bucket", "salt"], "left").drop("salt")
 
 
-def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: links between entries (entry, n, sketch, paths, sample) that may reach the threshold; a spanning forest of each bucket's, not all pairs."""
-    s, found = settings, None
-    entries = kept(entries.select("entry", "n", "sketch", "paths", "sample"))
-    rows, last = entries.select("entry", "n", "sketch", "sample", F.explode("paths").alias("bucket")), None
+def _beside(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Plausible links of the loose entries of a block with all its entries; rows come sorted by bucket, part, loose and entry."""
+    for table in each_group(batches, 2):
+        entry, n, sk = table.column("entry").to_numpy(), table.column("n").to_numpy(), _sketches(table)
+        forest = _Forest(len(entry))
+        for i in np.flatnonzero(table.column("loose").to_numpy(zero_copy_only=False)).tolist():
+            near = np.flatnonzero(_fits(n, n[i], s) & ((sk == sk[i]).sum(1) >= s.plausible * SKETCH))
+            forest.join(near, np.full(len(near), i))
+        yield _links(entry, forest)
+
+
+def _star(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) of the loose entries of large buckets (bucket, members, loose, entry, n, sketch) with all of their bucket; blocks have about ``block`` others each, and all loose ones."""
+    s, blocks = settings, F.ceil(F.col("members") / settings.block)
+    part = F.when(F.col("loose"), F.sequence(F.lit(0).cast("bigint"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("entry"), blocks)))
+    dealt = rows.select("bucket", F.explode(part).alias("part"), "loose", "entry", "n", "sketch")
+    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "loose", "entry")
+    return kept(mapped(dealt, lambda it: _beside(it, s), "a bigint, b bigint").distinct())
+
+
+def _tied(entries: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) of all entries in large buckets of the first ``tying`` runs with about ``pivots`` of each bucket, which its hashes choose: what they miss is left to the splits."""
+    s = settings
+    # Pivots only tie early: a link that they miss is looked for in all runs.
+    rows = entries.select("entry", "n", "sketch", F.explode(F.slice("paths", F.lit(1), F.col("early"))).alias("bucket"))
+    large = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > s.small))
+    chosen = F.pmod(F.xxhash64("bucket", "entry"), F.lit(1_000_000)) < s.pivots * 1e6 / F.col("members")
+    return _star(_with_large(rows, large).where("members is not null").withColumn("loose", chosen), s)
+
+
+def _met(entries: DataFrame, settings: Settings) -> list[DataFrame]:
+    """Links (a, b) between entries (entry, tie, loose, n, sketch, paths, sample) that meet.
+
+    Entries of one tie are linked already; those that aren't loose are in ties of more than ``small``. A bucket
+    of one tie goes no further. A large bucket of one large tie and at most ``aside`` loose entries isn't split: each loose
+    entry is compared with all others in it, in blocks.
+    """
+    s, found = settings, []
+    own = ["entry", "tie", "loose", "n", "sketch"]
+    rows, last = entries.select(*own, "sample", F.explode("paths").alias("bucket")), None
     for level in range(s.depth + 1):
-        large = kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > s.small))
+        tied = F.when(~F.col("loose"), F.col("tie"))
+        large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.count_if("loose").alias("out"), (F.min(tied) == F.max(tied)).alias("one")).where(F.col("members") > s.small)
+        near = F.col("one") & (F.col("out") <= s.aside)
+        large = kept(large.select("bucket", "members", F.when(near & (F.col("out") == 0), "done").when(near, "near").otherwise("split").alias("way")))
         both = _with_large(rows, large)
         # No bucket of these has more than ``small`` rows.
-        parts = both.where("members is null").select("bucket", "entry", "n", "sketch").repartition("bucket").withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-        parts = parts.where("here > 1").drop("here").sortWithinPartitions("bucket", "entry")
-        links = kept(mapped(parts, lambda it: _brute(it, s), "a bigint, b bigint").distinct())
-        found = links if found is None else found.union(links)
-        both = both.where("members is not null")
+        here = Window.partitionBy("bucket")
+        parts = both.where("members is null").select("bucket", "entry", "tie", "n", "sketch").repartition("bucket").withColumn("least", F.min("tie").over(here)).withColumn("most", F.max("tie").over(here))
+        parts = parts.where("least < most").select("bucket", "entry", "n", "sketch").sortWithinPartitions("bucket", "entry")
+        found.append(kept(mapped(parts, lambda it: _brute(it, s), "a bigint, b bigint").distinct()))
+        found.append(_star(both.where("way = 'near'"), s))
+        both = both.where("way = 'split'")
         if level == s.depth:
             break
         if level == 0:
@@ -265,7 +311,7 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
         else:
             place = F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(SKETCH)).cast("int")
             step = F.substring(F.hex("sketch"), 2 * place + 1, F.lit(2))
-        done, last = last, kept(both.select("entry", "n", "sketch", "bucket", step.alias("step")).select("entry", "n", "sketch", F.xxhash64("bucket", F.lit(level), "step").alias("bucket")))
+        done, last = last, kept(both.select(*own, "bucket", step.alias("step")).select(*own, F.xxhash64("bucket", F.lit(level), "step").alias("bucket")))
         rows = last
         let_go(*(x for x in (done, large) if x is not None))
     blocks = F.ceil(F.col("members") / s.block)
@@ -276,7 +322,19 @@ def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
     leaders = leaders.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks"))).withColumn("pair", F.explode(_block_pairs("block", "blocks")))
     leaders = leaders.select("bucket", F.col("pair.low").alias("first"), F.col("pair.high").alias("second"), "entry", "radius", "low", "high", "sketch", "block")
     again = leaders.groupBy("bucket", "first", "second").applyInArrow(lambda t: _leaders_meet(t, s), "a bigint, b bigint")
-    return found.union(led.where("b is not null").select("a", "b")).union(again)
+    return [*found, led.where("b is not null").select("a", "b"), again]
+
+
+def candidate_links(entries: DataFrame, settings: Settings) -> DataFrame:
+    """a, b: links between entries (entry, n, sketch, paths, early, sample) that may reach the threshold; a spanning forest of each bucket's, not all pairs."""
+    s = settings
+    entries = kept(entries.select("entry", "n", "sketch", "paths", "early", "sample"))
+    first = _tied(entries, s)
+    ties = kept(components(first))
+    sizes = ties.groupBy("component").agg((F.count(F.lit(1)) <= s.small).alias("loose"))
+    tied = entries.join(ties.join(sizes, "component").select(F.col("v").alias("entry"), F.col("component").alias("tie"), "loose"), "entry", "left")
+    tied = tied.withColumns({"tie": F.coalesce("tie", "entry"), "loose": F.coalesce("loose", F.lit(True))}).drop("early")
+    return reduce(DataFrame.union, _met(kept(tied), s), first)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -343,8 +401,8 @@ def join(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     own = signed.groupBy("doc_id").agg(F.min(F.struct("name", "n")).alias("own")).select("doc_id", "own.*")
     usable = own.where("doc_id is not null and n > 0")
     groups = kept(usable.groupBy("name").agg(F.min("doc_id").alias("entry"), F.count(F.lit(1)).alias("weight"), F.any_value("n").alias("n")))
-    chosen = signed.select("doc_id", "name", "n", "sketch", "paths", "sample").join(groups.select("name", "n", F.col("entry").alias("doc_id"), F.col("entry")), ["name", "n", "doc_id"]).dropDuplicates(["entry"])
-    linked = components(candidate_links(chosen.select("entry", "n", "sketch", "paths", "sample"), s))
+    chosen = signed.select("doc_id", "name", "n", "sketch", "paths", "early", "sample").join(groups.select("name", "n", F.col("entry").alias("doc_id"), F.col("entry")), ["name", "n", "doc_id"]).dropDuplicates(["entry"])
+    linked = components(candidate_links(chosen.select("entry", "n", "sketch", "paths", "early", "sample"), s))
     sizes = linked.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     members = kept(linked.join(sizes, "component").join(groups.select(F.col("entry").alias("v"), "name", "weight"), "v").select(F.col("v").alias("doc_id"), "name", "component", "weight", F.ceil(F.col("members") / s.exact_block).alias("blocks")))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.lower(F.col(text_col))).alias("body"))

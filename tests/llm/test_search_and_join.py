@@ -280,6 +280,26 @@ def test_pairs_meet_as_often_as_the_formula_says():
     assert abs(met - chosen_path.recall(s, 0.805)) < 0.07
 
 
+def test_group_of_near_copies_is_split_in_one_run_only(spark, monkeypatch):
+    """What the first run ties is not split again in the others; entries that it leaves loose still find all their links."""
+    rng, seen = random.Random(9), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(300):
+        own = list(base)
+        for _ in range(8 if i % 20 == 0 else rng.choice([1, 2, 3])):
+            own[rng.randrange(len(own))] = word()
+        rows.append((i, " ".join(own)))
+
+    def counted(rows, large, plain=chosen_path._with_large):
+        seen.append(rows.join(large, "bucket").count())
+        return plain(rows, large)
+
+    monkeypatch.setattr(chosen_path, "_with_large", counted)
+    assert joined(spark, rows, chosen_path.Settings(small=32, aside=64)) == brute(rows)
+    assert sum(seen) < 25 * len(rows)
+
+
 def test_large_buckets_beyond_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "BROADCAST_BUCKETS", 0)
     rows = near_copies(4, groups=2, copies=50)
