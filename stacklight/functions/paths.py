@@ -155,9 +155,11 @@ def nested_context(path: str | Column, root: str, entity: str | Column, subject:
 
 
 def destination(path: str | Column, root: str, target: str, entity: str | Column, subject: str | Column, engine: str | Column, posted: Column, mtime_ns: str | Column) -> Column:
-    """struct(path, state): where a source belongs in the sorted tree. Months are of the session's time zone."""
+    """struct(path, state): where a source belongs in the sorted tree. Months are of the session's time zone; mtime_ns may be a decimal beyond a bigint."""
     state = F.when(posted, POSTED_STATE).otherwise(PENDING_STATE)
-    month = F.date_format(F.timestamp_micros(F.floor(col(mtime_ns) / 1000).cast("bigint")), "yyyy/MM")
+    moment = F.timestamp_micros(F.floor(col(mtime_ns).cast("decimal(38,0)") / 1000).cast("bigint"))
+    year = F.year(moment)  # a pattern's year would have a sign beyond 9999
+    month = F.concat(F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string")), F.lit("/"), F.date_format(moment, "MM"))
     maker, own = safe_component(engine, NO_ENGINE[1]), safe_component(stem(path), "image")
     name = F.when(F.lower(own).startswith(F.lower(maker)), portable_name(path)).otherwise(F.concat(maker, F.lit("__"), own, suffix(path)))
     ent, sub = F.coalesce(col(entity), F.lit("")), F.coalesce(col(subject), F.lit(""))

@@ -526,11 +526,17 @@ def plan(spark, sf_dir) -> DataFrame:
     rows = d.select(
         F.concat(F.lit(f"{ROOT}/"), folder, F.lit("/img"), (n % 50).cast("string"), F.lit("_"), (n % 3).cast("string"), F.lit(".PNG")).alias("source_path"), "doc_id",
         F.when(n % 5 == 0, "").otherwise(F.col("lang")).alias("entity"), F.when(n % 6 == 0, "").otherwise(F.col("source")).alias("subject"), F.when(n % 2 == 0, "other").otherwise("En:gine").alias("engine"),
-        F.when(n % 9 == 0, "Posted").otherwise("draft").alias("old_bucket"), F.sha2("text", 256).alias("sha256"), (n * 86400000000000 + 1600000000000000000).alias("mtime_ns"),
+        F.when(n % 9 == 0, "Posted").otherwise("draft").alias("old_bucket"), F.sha2("text", 256).alias("sha256"), (n.cast("decimal(20,0)") * 86400000000000 + 1600000000000000000).alias("mtime_ns"),
     )
     return rows
 
 
+def placed(spark, sf_dir) -> DataFrame:
+    rows = plan(spark, sf_dir).withColumn("c", paths.nested_context("source_path", ROOT, "entity", "subject", "engine"))
+    rows = rows.withColumn("d", paths.destination("source_path", ROOT, TARGET, F.col("c.entity"), F.col("c.subject"), F.col("c.engine"), paths.is_posted("old_bucket"), "mtime_ns"))
+    return rows.select("doc_id", "source_path", F.col("d.path").alias("destination_path"), F.col("d.state").alias("target_state"), "sha256")
+
+
 _PLAN = f"""p AS (SELECT doc_id, doc_id % 4 = 0 AS nested, sha256(text) AS sha, '{ROOT}/' || CASE WHEN doc_id % 4 = 0 THEN 'krea2_turbo/_json/' || lang || '/2024/' || source ELSE source END || '/img' || doc_id % 50 || '_' || doc_id % 3 || '.PNG' AS source_path,
  CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS entity, CASE WHEN doc_id % 6 = 0 THEN '' ELSE source END AS subject, lang, source, CASE WHEN doc_id % 2 = 0 THEN 'other' ELSE 'En_gine' END AS engine, doc_id % 9 = 0 AS posted,
  strftime(to_timestamp(doc_id * 86400 + 1600000000) AT TIME ZONE 'UTC', '%Y/%m') AS month FROM documents),
@@ -540,9 +546,7 @@ d AS (SELECT *, '{TARGET}/' || CASE WHEN ent = '' OR sub = '' THEN '待分拣' E
 
 @query(f"WITH {_PLAN} SELECT doc_id, source_path, folder || name || '.png' AS destination_path, CASE WHEN posted THEN '已发帖' ELSE '待复核' END AS target_state FROM d")
 def plan_destinations(spark, sf_dir):
-    rows = plan(spark, sf_dir).withColumn("c", paths.nested_context("source_path", ROOT, "entity", "subject", "engine"))
-    rows = rows.withColumn("d", paths.destination("source_path", ROOT, TARGET, F.col("c.entity"), F.col("c.subject"), F.col("c.engine"), paths.is_posted("old_bucket"), "mtime_ns"))
-    return rows.select("doc_id", "source_path", F.col("d.path").alias("destination_path"), F.col("d.state").alias("target_state"))
+    return placed(spark, sf_dir).drop("sha256")
 
 
 @query(f"""WITH {_PLAN}, r AS (SELECT *, row_number() OVER (PARTITION BY lower(folder || name || '.png') ORDER BY source_path, doc_id) AS n FROM d)

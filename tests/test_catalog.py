@@ -23,6 +23,16 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert shown(got) == shown(want)
 
 
+@pytest.mark.parametrize("name", ["plan_destinations", "collision_rename"])
+def test_plans_of_large_ids_equal_sql(spark, sf_dir, name, tmp_path):
+    """Ids whose days lie beyond nanoseconds in a bigint, beyond four digits of a year, and before the epoch."""
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * replace (doc_id + shift as doc_id) from '{sf_dir}/documents.parquet', (select unnest([0, 88000, 650000, 2900000, 100000000, -750000, -100000]) as shift)")
+    con.execute(f"copy documents to '{tmp_path}/documents.parquet' (format parquet)")
+    got, want = catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(catalog.SQL[name]).df()
+    assert shown(got) == shown(want)
+
+
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
