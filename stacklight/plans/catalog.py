@@ -552,7 +552,7 @@ def plan_destinations(spark, sf_dir):
 @query(f"""WITH {_PLAN}, r AS (SELECT *, row_number() OVER (PARTITION BY lower(folder || name || '.png') ORDER BY source_path, doc_id) AS n FROM d)
 SELECT doc_id, folder || name || CASE WHEN n > 1 THEN '__' || substr(sha, 1, 12) ELSE '' END || '.png' AS destination_path FROM r""")
 def collision_rename(spark, sf_dir):
-    own = plan_destinations(spark, sf_dir).join(plan(spark, sf_dir).select("doc_id", "sha256"), "doc_id").withColumn("order", F.struct("source_path", "doc_id"))
+    own = placed(spark, sf_dir).withColumn("order", F.struct("source_path", "doc_id"))
     return moves.renamed(own, "order").select("doc_id", "destination_path")
 
 

@@ -33,6 +33,14 @@ def test_plans_of_large_ids_equal_sql(spark, sf_dir, name, tmp_path):
     assert shown(got) == shown(want)
 
 
+def test_renames_of_repeated_ids_equal_sql(spark, sf_dir, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * from '{sf_dir}/documents.parquet' union all select * replace (text || '!' as text, 'other' as source) from '{sf_dir}/documents.parquet' where doc_id % 2 = 0")
+    con.execute(f"copy documents to '{tmp_path}/documents.parquet' (format parquet)")
+    got, want = catalog.QUERIES["collision_rename"](spark, str(tmp_path)).toPandas(), con.sql(catalog.SQL["collision_rename"]).df()
+    assert shown(got) == shown(want)
+
+
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
