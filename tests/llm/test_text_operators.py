@@ -246,6 +246,32 @@ def test_toxicity_of_many_blocks_does_not_depend_on_partitions(spark):
     assert got == {i: i % 3 == 0 for i in got}
 
 
+def test_toxicity_of_more_labels_than_are_broadcast(spark, monkeypatch):
+    """The same model, from texts that are shuffled once, hardly any of them without a label."""
+    bad, good = "you are a loser and an idiot", "what a fine day it is"
+    rows = [(i, f"{bad if i % 3 == 0 else good} number {i % 7}", "en", "a") for i in range(1, 4_000)]
+    rows += [(i, "another text of an id that has two", "en", "a") for i in range(1, 200, 7)] + [(i, None, "en", "a") for i in (3, 5_000)] + [(None, good, "en", "a")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 800)] + [(9_000_000 + i, 1) for i in range(50)], "doc_id int, toxic int")
+    one = toxicity.train(docs_frame(spark, rows), labels, toxicity.Settings(block=50))
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 10)
+    first, mapped = [], toxicity.mapped
+    monkeypatch.setattr(toxicity, "mapped", lambda df, *more: first.append(df) or mapped(df, *more))
+    other = toxicity.train(docs_frame(spark, rows), labels, toxicity.Settings(block=50))
+    assert np.array_equal(one.table, other.table) and np.array_equal(one.out, other.out) and one.out_bias == other.out_bias and one.thresholds == other.thresholds
+    plan = first[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(block") == 1
+    met = {r["id"] for r in first[0].where("text is not null").select("id").collect()}
+    fits = {i for i in range(1, 4_000) if zlib.crc32(str(i).encode()) % 5}
+    assert {i for i in fits if i < 800} <= met <= fits and len({i for i in met if i >= 800}) < 0.25 * len(fits)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_toxicity_of_one_class(spark, label):
+    rows = [(i, f"number {i}", "en", "a") for i in range(1, 60)]
+    model = toxicity.train(docs_frame(spark, rows), spark.createDataFrame([(i, label) for i, *_ in rows], "doc_id bigint, toxic int"))
+    assert {r["score"] for r in toxicity.scores(docs_frame(spark, rows), model).collect()} == {float(label)}
+
+
 def test_toxicity_thresholds_are_those_of_the_largest_f1(spark):
     rng = np.random.default_rng(3)
     n = 3_000
